@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, packing, pii, token_file
+from . import decontaminate, exact_dedup, html_text, importance, language, packing, pii, simhash, token_file, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,13 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.token_output(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), toxicity.learnable())
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    return toxicity.toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = pii.personal_data(table(spark, sf_dir, "documents"))
     base = ("email", "ip", "card", "phone")
@@ -49,6 +56,14 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select("doc_id", *counts, F.sha2(listed(only), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_texts(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def op6_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1)
 
@@ -57,8 +72,20 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    return language.languages(docs, language.fit(docs, language.learnable())).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digits = F.lpad(F.lower(F.hex("fp")), 16, "0")
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_token_files, op4_personal_data, op7_pack, op8_exact_dedup)}
+    """One query per operator, over whole tables."""
+    return {f.__name__: f for f in (op1_decontaminate, op2_token_files, op3_toxicity, op4_personal_data, op5_main_text, op6_importance, op7_pack, op8_exact_dedup, op9_language, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
