@@ -1,15 +1,16 @@
 """Toxicity: a subsequence string-kernel SVM with Nystroem landmarks.
 
-Strings are words as they stand in sentences, with look-alike signs read as letters and other
-signs dropped. Two strings are compared by their common subsequences of three letters, each
-occurrence weighted by DECAY to the power of the letters it spans (at most SPAN), so letters put
-in or left out lower the similarity but don't remove it. The kernel is divided by the square roots
-of the total weight a string of each length can have, which keeps it positive semidefinite.
+Strings are words as they stand in sentences, with look-alike signs read as letters, other signs
+dropped and a mark at either end. Two strings are compared by their common subsequences of four
+symbols, each occurrence weighted by DECAY to the power of the symbols it spans (at most SPAN), so
+letters put in or left out lower the similarity but don't remove it. Subsequences are hashed to
+SLOTS features. The kernel is divided by the square roots of the total weight a string of each
+length can have, which keeps it positive semidefinite.
 
 Words of labelled sentences carry the sentence's label. Landmarks are picked among them; the
 Nystroem map turns a word into its kernel values with the landmarks, whitened; a squared-hinge
 linear SVM separates toxic from clean occurrences. As the decision is linear in the landmarks'
-kernels, it folds into one weight per letter triple, and a word's score is a sum over its triples:
+kernels, it folds into one weight per feature, and a word's score is a sum over its subsequences:
 whole texts are scored at a cost in proportion to their distinct words. A text's score is a
 logistic function of its two most toxic words.
 """
@@ -30,9 +31,14 @@ SENTENCES = 40_000
 #: Words of these that the SVM is fitted on, most frequent first.
 WORDS = 60_000
 LANDMARKS = 160
+#: Landmarks are less alike than this (cosine of their kernel).
+ALIKE_MOST = 0.8
 DECAY = 0.8
+RIDGE = 0.2
 SPAN = 6
 ALPHABET = 64
+EDGE_MARK = ALPHABET - 1
+SLOTS = 1 << 20
 #: Words scored and kept per Python worker.
 CACHE = 400_000
 FLOOR = -1.0
@@ -48,7 +54,7 @@ def _symbol(c: str) -> int:
     if "a" <= c <= "z":
         return ord(c) - 96
     if c.isalpha():
-        return 27 + ord(c) % (ALPHABET - 27)
+        return 27 + ord(c) % (EDGE_MARK - 27)
     return 0
 
 
@@ -67,21 +73,21 @@ def cleaned(word: str) -> list[int]:
     """Symbols of a word. Look-alikes count only between letters, so numbers aren't words."""
     low = word.lower()
     if low.isascii() and low.isalpha():
-        return [ord(c) - 96 for c in low]
+        return [EDGE_MARK, *[ord(c) - 96 for c in low], EDGE_MARK]
     if not any(c.isalpha() for c in low):
         return []
     low = low.rstrip("!$@.,;:?") if low[-1:] in "!$@.,;:?" else low
-    return [s for s in map(TABLE.__getitem__, low) if s]
+    return [EDGE_MARK, *[s for s in map(TABLE.__getitem__, low) if s], EDGE_MARK]
 
 
-OFFSETS = [(i, j) for j in range(2, SPAN) for i in range(1, j)]
+OFFSETS = [(i, j, k) for k in range(3, SPAN) for j in range(2, k) for i in range(1, j)]
 
 
 def _lengths_mass(longest: int = 64) -> np.ndarray:
-    """Square root of the summed squared weights of all triples in a string of each length."""
+    """Square root of the summed squared weights of all subsequences in a string of each length."""
     mass = np.zeros(longest + 1)
     for n in range(longest + 1):
-        mass[n] = sum(DECAY ** (2 * (j + 1)) * max(0, n - j) for _, j in OFFSETS)
+        mass[n] = sum(DECAY ** (2 * (k + 1)) * max(0, n - k) for *_, k in OFFSETS)
     return np.sqrt(np.maximum(mass, 1e-9))
 
 
@@ -101,26 +107,27 @@ def flat(strings: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, starts, size
 
 
-def triples(symbols: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
-    """(positions, codes, weight) for every pair of offsets; zeros never take part."""
+def features(symbols: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
+    """(positions, slots, weight) for every set of offsets; zeros never take part."""
     n = len(symbols) - SPAN
-    for i, j in OFFSETS:
-        a, b, c = symbols[:n], symbols[i : n + i], symbols[j : n + j]
-        at = np.flatnonzero((a > 0) & (b > 0) & (c > 0))
-        yield at, (a[at] * ALPHABET + b[at]) * ALPHABET + c[at], DECAY ** (j + 1)
+    packed = symbols.astype(np.uint32)
+    for i, j, k in OFFSETS:
+        at = np.flatnonzero((symbols[:n] > 0) & (symbols[k : n + k] > 0))
+        code = ((packed[at] * np.uint32(64) + packed[at + i]) * np.uint32(64) + packed[at + j]) * np.uint32(64) + packed[at + k]
+        yield at, ((code * np.uint32(0x9E3779B1)) >> np.uint32(12)).astype(np.int64), DECAY ** (k + 1)
 
 
 def norms(sizes: np.ndarray) -> np.ndarray:
-    return MASS[np.clip(sizes, 3, LONG)]
+    return MASS[np.clip(sizes, 4, LONG)]
 
 
 def kernel(strings: list[list[int]], landmarks: list[list[int]]) -> np.ndarray:
     """Normalised kernel matrix, strings by landmarks."""
     symbols, starts, sizes = flat(landmarks)
     owner = np.searchsorted(starts, np.arange(len(symbols)), side="right") - 1
-    found = [(owner[at], codes, w) for at, codes, w in triples(symbols)]
+    found = [(owner[at], codes, w) for at, codes, w in features(symbols)]
     known = np.unique(np.concatenate([c for _, c, _ in found])) if found else np.empty(0, np.int64)
-    column = np.full(ALPHABET**3, -1, dtype=np.int64)
+    column = np.full(SLOTS, -1, dtype=np.int64)
     column[known] = np.arange(len(known))
     right = np.zeros((len(known), len(landmarks)))
     for o, codes, w in found:
@@ -131,13 +138,27 @@ def kernel(strings: list[list[int]], landmarks: list[list[int]]) -> np.ndarray:
         symbols, starts, sizes = flat(strings[a : a + 2000])
         owner = np.searchsorted(starts, np.arange(len(symbols)), side="right") - 1
         left = np.zeros((len(sizes), len(known)))
-        for at, codes, w in triples(symbols):
+        for at, codes, w in features(symbols):
             col = column[codes]
             np.add.at(left, (owner[at[col >= 0]], col[col >= 0]), w)
         out[a : a + 2000] = (left @ right) / norms(sizes)[:, None]
     return out
 
 
+def spread(strings: list[list[int]], most: int) -> list[int]:
+    """Places of up to `most` strings, in order, leaving out those too like one taken before."""
+    like = kernel(strings, strings)
+    own = np.sqrt(np.maximum(np.diag(like), 1e-9))
+    like = like / own[:, None] / own
+    out: list[int] = []
+    for k in range(len(strings)):
+        if len(out) == most:
+            break
+        if not out or like[k, out].max() < ALIKE_MOST:
+            out.append(k)
+    return out
+
+
 def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
     """Linear SVM (last coefficient: intercept) by Newton steps on the squared hinge loss."""
     x = np.hstack((x, np.ones((len(x), 1))))
@@ -156,7 +177,7 @@ def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
 
 @dataclass
 class ToxicityModel:
-    """weights: by letter triple; bias of a word; a, b, c: logistic of the two highest word scores."""
+    """weights: by feature slot; bias of a word; a, b, c: logistic of the two highest word scores."""
 
     weights: np.ndarray
     bias: float
@@ -166,11 +187,11 @@ class ToxicityModel:
         """SVM decision of each word, at least FLOOR."""
         out = np.full(len(words), FLOOR)
         strings = [cleaned(w) for w in words]
-        have = [k for k, s in enumerate(strings) if len(s) >= 3]
+        have = [k for k, s in enumerate(strings) if len(s) >= 4]
         if have:
             symbols, starts, sizes = flat([strings[k] for k in have])
             sums = np.zeros(len(symbols))
-            for at, codes, w in triples(symbols):
+            for at, codes, w in features(symbols):
                 sums[at] += w * self.weights[codes]
             out[have] = np.maximum(FLOOR, np.add.reduceat(sums, starts) / norms(sizes) + self.bias)
         return out
@@ -242,7 +263,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> ToxicityModel:
 def fit_texts(texts: list[str], toxic: list[int]) -> ToxicityModel:
     """Fit on texts and their labels, in the driver; the caller bounds their number."""
     if len(set(toxic)) < 2:
-        return ToxicityModel(np.zeros(ALPHABET**3, dtype=np.float32), FLOOR, (0.0, 0.0, -3.0))
+        return ToxicityModel(np.zeros(SLOTS, dtype=np.float32), FLOOR, (0.0, 0.0, -3.0))
     seen: dict[str, list[int]] = {}
     for text, y in zip(texts, toxic, strict=True):
         for w in set(_tokens(text)):
@@ -250,7 +271,7 @@ def fit_texts(texts: list[str], toxic: list[int]) -> ToxicityModel:
     merged: dict[tuple[int, ...], list[int]] = {}
     for w in sorted(seen):
         s = tuple(cleaned(w))
-        if len(s) >= 3:
+        if len(s) >= 4:
             have = merged.setdefault(s, [0, 0])
             have[0] += seen[w][0]
             have[1] += seen[w][1]
@@ -259,9 +280,13 @@ def fit_texts(texts: list[str], toxic: list[int]) -> ToxicityModel:
     total = [toxic.count(0), toxic.count(1)]
     odds = np.log((n[:, 1] + 0.5) / (total[1] + 1)) - np.log((n[:, 0] + 0.5) / (total[0] + 1))
     # landmarks: the most telling words of toxic sentences, and frequent clean ones
-    telling = np.argsort(-odds * np.sqrt(n.sum(axis=1)), kind="stable")[: LANDMARKS // 2]
-    common = [k for k in range(len(words)) if odds[k] < 0.5 and k not in set(telling.tolist())][: LANDMARKS - len(telling)]
-    marks = [list(words[k]) for k in [*telling.tolist(), *common]]
+    pool = np.argsort(-odds * np.sqrt(n.sum(axis=1)), kind="stable")[: 6 * LANDMARKS]
+    pool = pool[odds[pool] > 0.5]
+    telling = [int(pool[k]) for k in spread([list(words[k]) for k in pool], LANDMARKS // 2)]
+    taken = set(telling)
+    common = [k for k in range(len(words)) if odds[k] < 0.5 and k not in taken][: 2 * LANDMARKS]
+    common = [common[k] for k in spread([list(words[k]) for k in common], LANDMARKS - len(telling))]
+    marks = [list(words[k]) for k in [*telling, *common]]
     k_mm = kernel(marks, marks)
     value, vector = np.linalg.eigh((k_mm + k_mm.T) / 2)
     whiten = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
@@ -272,13 +297,13 @@ def fit_texts(texts: list[str], toxic: list[int]) -> ToxicityModel:
     x, y = np.vstack((phi, phi)), np.concatenate((np.ones(len(words)), -np.ones(len(words))))
     weight = np.concatenate((foul, clean))
     weight[: len(words)][n[:, 1] < 4] = 0
-    w = squared_hinge(x, y, weight * 1000, ridge=1.0)
+    w = squared_hinge(x, y, weight * 1000, ridge=RIDGE)
     beta = whiten @ w[:-1]
-    table = np.zeros(ALPHABET**3)
+    table = np.zeros(SLOTS)
     symbols, starts, sizes = flat(marks)
     owner = np.searchsorted(starts, np.arange(len(symbols)), side="right") - 1
     scale = beta / norms(sizes)
-    for at, codes, weight in triples(symbols):
+    for at, codes, weight in features(symbols):
         np.add.at(table, codes, weight * scale[owner[at]])
     model = ToxicityModel(table.astype(np.float32), float(w[-1]))
     tops = np.array(Scorer(model).tops(texts))
