@@ -1,0 +1,487 @@
+"""Queries over the driver's tables, one per operator; `oracles` has their SQL.
+
+Most read `documents` as files: `file_view` gives every document a path, chosen by doc_id so that
+each path rule has hits.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import frames, highlight, lockfiles, outline, paths, prompts, redact, text, tokens, workflow
+from ..operators import budget, files, selection, tree
+from ..operators import format as shape
+from ..schema import PackOptions, profiles
+from . import pack as plan
+
+EXTENSIONS = [".rs", ".py", ".md", ".toml", ".json", ".svg", ".min.js", ".pem", ".go", ".txt", "_test.rs", ".png", ".yaml", ".ts", ".js.map", ".c", ".java", ".Dockerfile", ".spec.ts", ".SVG", "", ".tar.gz"]
+BUDGET = 4000
+SK, GH, AK = "sk-" + "a1B2" * 6, "ghp_" + "Z9y8" * 6, "AKIA" + "ABCD1234" * 2
+PEM = "-----BEGIN RSA PRIVATE KEY-----\nabc\n-----END RSA PRIVATE KEY-----"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def pick(values: list[str], k: Column) -> Column:
+    return F.get(F.array(*[F.lit(v) for v in values]), (k % len(values)).cast("int"))
+
+
+def file_path() -> Column:
+    d, s, lang = F.col("doc_id"), F.col("doc_id").cast("string"), F.col("lang")
+    return (
+        F.when(d % 23 == 5, F.concat(lang, F.lit("/d"), s, F.lit("/"), pick(paths.LOCKFILES, d)))
+        .when(d % 29 == 3, F.concat(lang, F.lit("/m"), s, F.lit("/main.rs")))
+        .when(d % 31 == 2, F.concat(F.lit(".hidden/f"), s, F.lit(".rs")))
+        .when(d % 37 == 4, F.concat(F.lit("tests/t"), s, F.lit(".rs")))
+        .when(d % 41 == 6, F.concat(lang, F.lit("/docs/x"), s, F.lit(".zig")))
+        .when(d % 43 == 7, F.concat(lang, F.lit("-b/.env."), s))
+        .otherwise(F.concat(lang, F.lit("/doc_"), s, pick(EXTENSIONS, d)))
+    )
+
+
+def file_view(spark: SparkSession, sf_dir: str, content: Column | None = None) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("body", F.coalesce(F.col("text") if content is None else content, F.lit("")))
+    return files.as_files(docs, F.col("source"), file_path(), F.col("body"))
+
+
+def ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", file_path().alias("path"), "source", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def scan_documents(spark, sf_dir):
+    return file_view(spark, sf_dir).select("repo_id", "path", F.array_join("path_parts", "|").alias("parts"), "size_bytes", F.md5("content").alias("content_md5"))
+
+
+def path_predicates(spark, sf_dir):
+    p = F.col("path")
+    return ids(spark, sf_dir).select("doc_id", paths.is_lockfile(p).alias("is_lock"), paths.is_svg(p).alias("is_svg"), paths.is_minified(p).alias("is_minified"), paths.is_sensitive(p).alias("is_sensitive"), paths.has_binary_extension(p).alias("is_binary"), paths.should_skip(p).alias("skip"), paths.should_skip(p, True).alias("skip_with_locks"))
+
+
+def skip_filter(spark, sf_dir):
+    return ids(spark, sf_dir).filter(~paths.should_skip(F.col("path"))).select("doc_id", "path")
+
+
+def size_filter(spark, sf_dir):
+    return file_view(spark, sf_dir).filter(files.size_filter(PackOptions(max_file_size=2000))).select("repo_id", "path", "size_bytes")
+
+
+def glob_filter(spark, sf_dir):
+    p = F.col("path")
+    return ids(spark, sf_dir).filter(~paths.matches_any(p, ["**/docs/**", "*.tar.*"]) & paths.matches_any(p, ["*.{rs,py}", "en/doc_[0-4]*", "tests/t?.rs"])).select("doc_id", "path")
+
+
+def depth_filter(spark, sf_dir):
+    path = F.regexp_extract("url", r"^[a-z]+://[^/]+/([^?#]*)", 1)
+    return table(spark, sf_dir, "pages").select("page_id", path.alias("path")).withColumn("depth", paths.depth(F.col("path")).cast("bigint")).filter("depth <= 2")
+
+
+def hidden_filter(spark, sf_dir):
+    return ids(spark, sf_dir).filter(~paths.is_hidden(F.col("path"))).select("doc_id", "path")
+
+
+def language_hint(spark, sf_dir):
+    return ids(spark, sf_dir).select("doc_id", paths.extension(F.col("path")).alias("ext"), paths.language_hint(F.col("path")).alias("hint"))
+
+
+def compression_tier(spark, sf_dir):
+    return ids(spark, sf_dir).select("doc_id", paths.compression_tier(F.col("path")).cast("bigint").alias("tier"))
+
+
+def path_order(spark, sf_dir):
+    return shape.numbered(file_view(spark, sf_dir)).select("repo_id", "path", F.col("number").cast("bigint").alias("number"))
+
+
+def changed_semi_join(spark, sf_dir):
+    changed = table(spark, sf_dir, "labels").filter("toxic = 1").join(ids(spark, sf_dir), "doc_id").select("path")
+    return files.changed_only(file_view(spark, sf_dir), changed).select("repo_id", "path", "size_bytes")
+
+
+def skipped_anti_join(spark, sf_dir):
+    own = file_view(spark, sf_dir)
+    return files.skipped(own, own.filter(files.path_filter(PackOptions()))).select("repo_id", "path")
+
+
+def _status(spark, sf_dir) -> DataFrame:
+    codes = ["M ", " M", "MM", "A ", "AM", " D", "D ", "R ", "??", "!!", "AD", "  "]
+    e, n = F.col("event_id"), F.col("event_id").cast("string")
+    name = F.when(e % 7 == 0, F.concat(F.lit("old"), n, F.lit(" -> new/"), n, F.lit(".rs"))).when(e % 11 == 0, F.concat(F.lit('"sp ace/'), n, F.lit('.rs"'))).otherwise(F.concat(F.col("event_type"), F.lit("/"), n, F.lit(".rs")))
+    return table(spark, sf_dir, "events").select(F.concat(pick(codes, e), F.lit(" "), name).alias("line"))
+
+
+def git_status_parse(spark, sf_dir):
+    lines = _status(spark, sf_dir)
+    return files.git_changes(lines).withColumn("mode", F.lit("modified")).union(files.git_changes(lines, True).withColumn("mode", F.lit("staged")))
+
+
+def _secret() -> Column:
+    d = F.col("doc_id")
+    return F.concat(F.col("text"), F.when(d % 5 == 0, F.lit(f" key={SK} ")).when(d % 5 == 1, F.lit(f"\n({GH})\nx{GH}")).when(d % 5 == 2, F.lit(f" {AK} {AK}Z")).when(d % 5 == 3, F.lit(f"\n{PEM}\n{SK[:12]} ")).otherwise(""))
+
+
+def redact_documents(spark, sf_dir):
+    docs = ids(spark, sf_dir).withColumn("raw", _secret())
+    return docs.select("doc_id", F.md5(redact.redact_secrets(F.col("raw"))).alias("clean_md5"), F.length(redact.redact_secrets(F.col("raw"))).cast("bigint").alias("n_chars"))
+
+
+def redact_counts(spark, sf_dir):
+    return ids(spark, sf_dir).withColumn("raw", _secret()).select("doc_id", redact.count_secrets(F.col("raw")).cast("bigint").alias("n_secrets"))
+
+
+def redact_turns(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").withColumn("raw", F.when(F.col("turn") % 2 == 0, F.concat(F.lit(f"token: {GH};"), F.col("text"))).otherwise(F.col("text")))
+    return turns.groupBy("role").agg(F.sum(redact.count_secrets(F.col("raw"))).cast("bigint").alias("n_secrets"), F.sum(F.length(redact.redact_secrets(F.col("raw")))).cast("bigint").alias("n_chars"))
+
+
+def token_estimate(spark, sf_dir):
+    return ids(spark, sf_dir).select("doc_id", tokens.estimate(F.col("text")).alias("tokens"))
+
+
+def token_profiles(spark, sf_dir):
+    counted = ids(spark, sf_dir).select("source", tokens.estimate(F.col("text")).alias("n"))
+    joined = counted.join(F.broadcast(profiles(spark)))  # eight fixed rows
+    return joined.groupBy("source", "profile", "context_window").agg(F.sum(tokens.scaled(F.col("n"), F.col("factor"))).alias("tokens")).withColumn("fits", F.col("tokens") <= F.col("context_window"))
+
+
+def scan_summary(spark, sf_dir):
+    return files.summary(file_view(spark, sf_dir).withColumn("token_count", tokens.estimate(F.col("content"))))
+
+
+def summary_by_repo(spark, sf_dir):
+    return files.summary(file_view(spark, sf_dir).filter(files.path_filter(PackOptions())).withColumn("token_count", tokens.estimate(F.col("content"))), "repo_id")
+
+
+def dir_rollup(spark, sf_dir):
+    return tree.rollup(file_view(spark, sf_dir)).select("repo_id", "dir", "files", "tokens", "bytes")
+
+
+def _joined(n: DataFrame) -> DataFrame:
+    return n.withColumn("node", F.array_join("node", "/"))
+
+
+def tree_nodes(spark, sf_dir):
+    return _joined(tree.nodes(file_view(spark, sf_dir))).select("repo_id", "node", F.col("depth").cast("bigint").alias("depth"), "is_file", "files", "tokens", "bytes")
+
+
+def tree_lines(spark, sf_dir):
+    return _joined(tree.tree_lines(file_view(spark, sf_dir)))
+
+
+def tree_render(spark, sf_dir):
+    return tree.render(file_view(spark, sf_dir))
+
+
+def tree_flat(spark, sf_dir):
+    big = lambda c: F.col(c).cast("bigint").alias(c)
+    return _joined(tree.flat(tree.nodes(file_view(spark, sf_dir)))).select("repo_id", "node", big("idx"), big("subtree_end"), big("parent"))
+
+
+def tree_visible(spark, sf_dir):
+    n = tree.nodes(file_view(spark, sf_dir))
+    return _joined(tree.visible(n, n.filter(F.array_join("node", "/") == "en"), 2)).select("repo_id", "node")
+
+
+def tree_filter(spark, sf_dir):
+    own = file_view(spark, sf_dir)
+    return _joined(tree.with_ancestors(tree.nodes(own), own.filter(selection.fuzzy_match(F.col("path"), "en .py")))).select("repo_id", "node")
+
+
+def _selected(spark, sf_dir) -> DataFrame:
+    toxic = table(spark, sf_dir, "labels").select("doc_id", (F.col("toxic") == 0).alias("ok")).dropDuplicates(["doc_id"])
+    docs = table(spark, sf_dir, "documents").join(toxic, "doc_id", "left")
+    own = files.as_files(docs, F.col("source"), file_path(), F.coalesce("text", F.lit("")))
+    picked = docs.select(F.col("source").alias("repo_id"), file_path().alias("path"), F.coalesce("ok", F.lit(False)).alias("selected"))
+    return own.join(picked, ["repo_id", "path"])
+
+
+def selection_toggle(spark, sf_dir):
+    return selection.toggle(_selected(spark, sf_dir), selection.under(F.col("path_parts"), ["en"])).select("repo_id", "path", "selected")
+
+
+def selection_toggle_all(spark, sf_dir):
+    return selection.toggle_all(_selected(spark, sf_dir)).select("repo_id", "path", "selected")
+
+
+def selection_invert(spark, sf_dir):
+    return selection.invert(_selected(spark, sf_dir), F.endswith("path", F.lit(".rs"))).select("repo_id", "path", "selected")
+
+
+def tri_state(spark, sf_dir):
+    n = tree.tri_state(tree.nodes(_selected(spark, sf_dir), selected="selected"))
+    return _joined(n).select("repo_id", "node", "sel_files", "sel_tokens", "sel_bytes", "state")
+
+
+def budget_prune(spark, sf_dir):
+    return budget.fit_budget(file_view(spark, sf_dir), BUDGET).select("repo_id", "path", F.col("tier").cast("bigint").alias("tier"), "tokens_fit", "kept")
+
+
+def _outlined(spark, sf_dir) -> DataFrame:
+    return budget.fit_budget(file_view(spark, sf_dir), BUDGET, F.when(F.endswith("path", F.lit(".rs")) | F.endswith("path", F.lit(".py")), F.substring("content", 1, 60)))
+
+
+def budget_fit(spark, sf_dir):
+    return _outlined(spark, sf_dir).select("repo_id", "path", F.md5("content_fit").alias("content_md5"), "tokens_fit", "outlined", "kept")
+
+
+def budget_affected(spark, sf_dir):
+    return budget.affected(_outlined(spark, sf_dir))
+
+
+def format_xml_blocks(spark, sf_dir):
+    own = file_view(spark, sf_dir).withColumn("is_outlined", F.endswith("path", F.lit(".rs")))
+    return shape.blocks(own).select("repo_id", "path", F.md5("block").alias("block_md5"))
+
+
+def format_md_blocks(spark, sf_dir):
+    return shape.blocks(file_view(spark, sf_dir), "markdown").select("repo_id", "path", F.md5("block").alias("block_md5"))
+
+
+def md_fence(spark, sf_dir):
+    d = F.col("doc_id")
+    body = F.concat(F.substring("text", 1, 20), F.repeat(F.lit("`"), (d % 6).cast("int")), F.lit(" x "), F.repeat(F.lit("`"), (d % 4).cast("int")))
+    return ids(spark, sf_dir).select("doc_id", text.fence(body).alias("fence"))
+
+
+def json_escape(spark, sf_dir):
+    d = F.col("doc_id")
+    body = F.concat(F.substring("text", 1, 200), pick(['"q"\\', "\t\r\n", "\x01\x1f", "\b\f", "é/<>"], d))
+    return ids(spark, sf_dir).select("doc_id", text.json_escape(body).alias("escaped"))
+
+
+def format_tool_call(spark, sf_dir):
+    return shape.blocks(file_view(spark, sf_dir), "tool-call").select("repo_id", "path", F.md5("block").alias("block_md5"))
+
+
+def pack_document(spark, sf_dir):
+    return shape.documents(file_view(spark, sf_dir)).select("repo_id", F.md5("document").alias("document_md5"), F.length("document").cast("bigint").alias("n_chars"))
+
+
+def pack_markdown(spark, sf_dir):
+    return shape.documents(file_view(spark, sf_dir), "markdown").select("repo_id", F.md5("document").alias("document_md5"))
+
+
+def pack_tool_call(spark, sf_dir):
+    return shape.documents(file_view(spark, sf_dir), "tool-call").select("repo_id", F.md5("document").alias("document_md5"))
+
+
+def pack_budget(spark, sf_dir):
+    """The flagship: path and size rules, redaction, estimate, budget, XML blocks, one text per repository."""
+    options = PackOptions(max_file_size=20_000, redact_secrets=True, budget=BUDGET)
+    return plan.pack(file_view(spark, sf_dir, _secret()), options).select("repo_id", F.md5("document").alias("document_md5"), F.length("document").cast("bigint").alias("n_chars"))
+
+
+def _deps(rows: DataFrame, name: str, content: Column) -> DataFrame:
+    read = rows.withColumn("d", F.explode(lockfiles.dependencies(F.lit(f"a/{name}"), content)))
+    return read.select("p_partkey", F.col("d.name").alias("name"), F.col("d.version").alias("version"))
+
+
+def _part(spark, sf_dir) -> tuple[DataFrame, Column, Column]:
+    k = F.col("p_partkey").cast("string")
+    return table(spark, sf_dir, "part"), k, F.col("p_size").cast("string")
+
+
+def lock_gosum(spark, sf_dir):
+    rows, k, v = _part(spark, sf_dir)
+    body = F.concat(F.lit("# note\n\nexample.org/m"), k, F.lit(" v1."), v, F.lit(".0 h1:x=\nexample.org/m"), k, F.lit(" v1."), v, F.lit(".0/go.mod h1:y=\r\nexample.org/a  v0.1.0 h1:z=\nlonely\n"))
+    return _deps(rows, "go.sum", body)
+
+
+def lock_pnpm(spark, sf_dir):
+    rows, k, v = _part(spark, sf_dir)
+    body = F.concat(F.lit("packages:\n  /@s/p"), k, F.lit("@1."), v, F.lit(".0:\n    resolution: x\n  'q"), k, F.lit("@2.0.0(react@18.0.0)':\n  r@3."), v, F.lit(".1_abc:\n  # c@1.0.0:\n"))
+    return _deps(rows, "pnpm-lock.yaml", body)
+
+
+def lock_cargo(spark, sf_dir):
+    rows, k, v = _part(spark, sf_dir)
+    body = F.concat(F.lit('version = 3\n\n[[package]]\nname = "c'), k, F.lit('"\nversion = "0.'), v, F.lit('.1"\n\n[[package]]\nname = "no-version"\n\n[metadata]\nname = "m"\nversion = "9"\n[[package]]\nversion = "1.0.0"\nname = "b"\n'))
+    return _deps(rows, "Cargo.lock", body)
+
+
+def lock_npm(spark, sf_dir):
+    rows, k, v = _part(spark, sf_dir)
+    body = F.concat(F.lit('{"packages": {"": {"version": "0"}, "node_modules/a'), k, F.lit('": {"version": "1.'), v, F.lit('.0"}, "node_modules/x/node_modules/@s/b": {"resolved": "u", "version": "2.'), v, F.lit('.0"}}}'))
+    return _deps(rows, "package-lock.json", body)
+
+
+def lock_yarn(spark, sf_dir):
+    rows, k, v = _part(spark, sf_dir)
+    body = F.concat(F.lit('# yarn\n\n"@s/y'), k, F.lit('@^1.0.0", "@s/y@^1.2.0":\n  version "1.'), v, F.lit('.3"\n  dependencies:\n    version "8"\n\nz@2:\n  version: 2.'), v, F.lit(".0\n"))
+    return _deps(rows, "yarn.lock", body)
+
+
+def lock_manifest(spark, sf_dir):
+    rows, k, v = _part(spark, sf_dir)
+    body = F.concat(F.lit("z/last v9\nm/m"), k, F.lit(" v1."), v, F.lit("\na/a v2\na/a v1\n"))
+    return rows.select("p_partkey", shape.manifest(lockfiles.go_sum(body)).alias("manifest"))
+
+
+def _graph(spark, sf_dir) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k")
+    body = F.concat(F.lit('{"1": {"class_type": "'), F.col("event_type"), F.lit('", "inputs": {"steps": '), k, F.lit(', "text": "a prompt '), k, F.lit('"}}, "2": {"class_type": "KSampler", "inputs": {"cfg": 7, "model": ["1", 0], "seed": '), F.col("event_id").cast("string"), F.lit("}}}"))
+    return e.select("event_id", "props", body.alias("content"))
+
+
+def workflow_histogram(spark, sf_dir):
+    return workflow.histogram(_graph(spark, sf_dir))
+
+
+def workflow_settings(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy(workflow.number_setting(F.col("props"), "k").alias("k")).agg(F.count("*").alias("n"))
+
+
+def workflow_manifest(spark, sf_dir):
+    return _graph(spark, sf_dir).select("event_id", workflow.manifest(F.col("content")).alias("manifest"))
+
+
+def _asks(spark, sf_dir) -> DataFrame:
+    t = F.col("turn")
+    head = pick(["Please generate a video of ", "I want to see: show me a video of ", "Create a video where - ", ""], t + F.col("conv_id"))
+    mid = pick([" very slowly, shot on 85mm Cooke at golden hour. Then it is just really quite calm; neon lighting", "\nShot 2: a drone wide angle view, f/1.4 bokeh", " cut to a cooked studio meal", ""], t)
+    end = pick([", please.", " thank you.", "."], F.col("conv_id"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(head, F.regexp_replace(F.substring("text", 1, 80), r"[^A-Za-z ,]", ""), mid, end).alias("ask"))
+
+
+def prompt_strip_filler(spark, sf_dir):
+    return _asks(spark, sf_dir).select("conv_id", "turn", prompts.strip_fillers(F.col("ask")).alias("clean"))
+
+
+def prompt_condense(spark, sf_dir):
+    return _asks(spark, sf_dir).select("conv_id", "turn", prompts.condense(F.col("ask")).alias("condensed"))
+
+
+def prompt_shots(spark, sf_dir):
+    return _asks(spark, sf_dir).select("conv_id", "turn", F.posexplode(prompts.shots(F.col("ask"))).alias("pos", "shot")).select("conv_id", "turn", F.col("pos").cast("bigint").alias("pos"), "shot")
+
+
+def prompt_specs(spark, sf_dir):
+    a = F.col("ask")
+    return _asks(spark, sf_dir).select("conv_id", "turn", F.coalesce(prompts.specs(a, prompts.LENS), F.lit("-")).alias("lens"), F.coalesce(prompts.specs(a, prompts.LIGHTING), F.lit("-")).alias("lighting"))
+
+
+def prompt_compile(spark, sf_dir):
+    return _asks(spark, sf_dir).select("conv_id", "turn", prompts.compiled(F.col("ask"), F.lit(5), F.lit("anchor.png")).alias("compiled"))
+
+
+def _frames(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", frames.quantised(F.col("embedding")).alias("levels"))
+
+
+def frame_sharpness(spark, sf_dir):
+    return _frames(spark, sf_dir).select("vec_id", F.round(frames.grid_sharpness(F.col("levels"), 8), 4).alias("sharpness"))
+
+
+def sharpest_frame(spark, sf_dir):
+    scored = _frames(spark, sf_dir).select(F.col("label").alias("clip_id"), F.col("vec_id").alias("frame_idx"), frames.grid_sharpness(F.col("levels"), 8).alias("sharpness"))
+    return frames.sharpest(scored).select("clip_id", "frame_idx", F.round("sharpness", 4).alias("sharpness"))
+
+
+def pgm_stream(spark, sf_dir):
+    """Frames written as one PGM stream per vector and read back by the table function's reader, then scored."""
+    hexed = F.array_join(F.transform("levels", lambda v: F.lpad(F.hex(v), 2, "0")), "")
+    stream = F.concat(F.encode(F.lit("P5\n# c\n8 8\n255\n"), "UTF-8"), F.unhex(hexed))
+    two = _frames(spark, sf_dir).select("vec_id", F.concat(stream, stream).alias("stream"))
+    two.createOrReplaceTempView("textloom_streams")
+    spark.udtf.register("pgm_frames", frames.PgmFrames)
+    read = spark.sql("SELECT vec_id, f.frame_idx, f.width, f.height, f.pixels FROM textloom_streams, LATERAL pgm_frames(stream) f")
+    return read.select("vec_id", "frame_idx", F.round(frames.frame_sharpness(F.col("pixels"), F.col("width"), F.col("height")), 4).alias("sharpness"))
+
+
+RUST = "use a;\npub struct S {{\n    x: u8,\n}}\n\nimpl S {{\n    pub fn f{n}(&self) -> u8 {{\n        if self.x > {n} {{ 1 }} else {{ 2 }}\n    }}\n}}\n"
+PYTHON = "import os\n\n@d\ndef f{n}(a,\n      b):\n    \"\"\"doc\"\"\"\n    return {n}\n\nclass C:\n    x = {n}\n    def m(self): return 1\n    y = 2\n    def z(self):\n        pass\n"
+GO = "package p\n\nfunc F{n}(a int) int {{\n\tif a > {n} {{\n\t\treturn a\n\t}}\n\treturn {n}\n}}\n\ntype T struct {{\n\tx int\n}}\n"
+
+
+def _code(template: str) -> Column:
+    return F.regexp_replace(F.lit(template.replace("{{", "{").replace("}}", "}").replace("{n}", "NUMBER")), F.lit("NUMBER"), F.col("p_partkey").cast("string"))
+
+
+def _outline(spark, sf_dir, template: str, name: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", outline.outline(_code(template), F.lit(name)).alias("outline"))
+
+
+def outline_rust(spark, sf_dir):
+    return _outline(spark, sf_dir, RUST, "a/lib.rs")
+
+
+def outline_python(spark, sf_dir):
+    return _outline(spark, sf_dir, PYTHON, "a/app.py")
+
+
+def outline_generic(spark, sf_dir):
+    return _outline(spark, sf_dir, GO, "a/main.go")
+
+
+def highlight_lines(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(text.lines(_code(RUST))).alias("pos", "line"))
+    return rows.select("p_partkey", F.col("pos").cast("bigint").alias("pos"), F.array_join(F.transform(highlight.highlight("line", F.lit("rust")), lambda s: F.concat(s["kind"], F.lit(":"), s["text"])), "|").alias("spans"))
+
+
+def fuzzy_filter(spark, sf_dir):
+    return ids(spark, sf_dir).filter(selection.fuzzy_match(F.col("path"), "en dc .rs")).select("doc_id", "path")
+
+
+def fuzzy_best(spark, sf_dir):
+    return selection.best_match(file_view(spark, sf_dir), "doc rs").select("repo_id", "path", F.round("score", 4).alias("score"))
+
+
+def number_formats(spark, sf_dir):
+    n = (F.col("o_orderkey") * F.col("o_orderkey") * 37).alias("n")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", n)
+    c = F.col("n")
+    return rows.select("o_orderkey", text.grouped(c).alias("grouped"), text.compact(c).alias("compact"), text.size_short(c).alias("short"), text.size_long(c).alias("long"), text.digits(c).cast("bigint").alias("digits"))
+
+
+def size_literals(spark, sf_dir):
+    k = F.col("p_size")
+    literal = F.concat(k.cast("string"), F.lit("."), (k % 10).cast("string"), pick(["", "B", "kb", "KiB", " MB", "g", "parsec"], F.col("p_partkey")))
+    return table(spark, sf_dir, "part").select("p_partkey", text.size_of(literal).alias("n_bytes"))
+
+
+def context_gauge(spark, sf_dir):
+    g = text.gauge((F.col("o_totalprice") / 2).cast("bigint"), F.lit(128_000))
+    return table(spark, sf_dir, "orders").select("o_orderkey", g.alias("g")).select("o_orderkey", F.round("g.ratio", 6).alias("ratio"), "g.bar", "g.colour", "g.over")
+
+
+def line_index(spark, sf_dir):
+    rows = ids(spark, sf_dir).select("doc_id", F.posexplode(text.lines(F.concat("text", F.lit("\nlast\n")))).alias("pos", "line"))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.max(F.length("line")).cast("bigint").alias("longest"))
+
+
+def tail_paths(spark, sf_dir):
+    return ids(spark, sf_dir).select("doc_id", text.tail_fit(F.col("path"), 12).alias("shown"))
+
+
+def binary_filter(spark, sf_dir):
+    d = F.col("doc_id")
+    data = F.encode(F.concat(F.when(d % 3 == 0, F.lit("\x00")).otherwise(F.lit("")), F.col("text")), "UTF-8")
+    return ids(spark, sf_dir).filter(files.text_filter(data)).select("doc_id")
+
+
+def stats_line(spark, sf_dir):
+    s = files.summary(file_view(spark, sf_dir).withColumn("token_count", tokens.estimate(F.col("content"))), "repo_id")
+    return s.select("repo_id", shape.stats_line(F.col("file_count"), F.col("total_bytes"), F.col("total_tokens")).alias("line"))
+
+
+def outlined_preview(spark, sf_dir):
+    own = file_view(spark, sf_dir).filter(F.endswith("path", F.lit(".rs"))).groupBy("repo_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("path_parts", "path"))), lambda x: x["path"]).alias("all"))
+    return own.select("repo_id", shape.preview(F.col("all")).alias("preview"))
+
+
+QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
+    scan_documents, path_predicates, skip_filter, size_filter, glob_filter, depth_filter, hidden_filter, language_hint, compression_tier, path_order, changed_semi_join, skipped_anti_join,
+    git_status_parse, redact_documents, redact_counts, redact_turns, token_estimate, token_profiles, scan_summary, summary_by_repo, dir_rollup, tree_nodes, tree_lines, tree_render, tree_flat,
+    tree_visible, tree_filter, selection_toggle, selection_toggle_all, selection_invert, tri_state, budget_prune, budget_fit, budget_affected, format_xml_blocks, format_md_blocks, md_fence,
+    json_escape, format_tool_call, pack_document, pack_markdown, pack_tool_call, pack_budget, lock_gosum, lock_pnpm, lock_cargo, lock_npm, lock_yarn, lock_manifest, workflow_histogram,
+    workflow_settings, workflow_manifest, prompt_strip_filler, prompt_condense, prompt_shots, prompt_specs, prompt_compile, frame_sharpness, sharpest_frame, pgm_stream, outline_rust,
+    outline_python, outline_generic, highlight_lines, fuzzy_filter, fuzzy_best, number_formats, size_literals, context_gauge, line_index, tail_paths, binary_filter, stats_line, outlined_preview,
+]
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in QUERIES}

@@ -1,0 +1,221 @@
+"""DuckDB SQL for the queries of `catalogue`, written apart from the operators.
+
+Only fixed lists and the synthetic inputs are shared, so that both sides read the same rows.
+"""
+
+from __future__ import annotations
+
+from ..functions.paths import BINARY_EXTENSIONS, LANGUAGES, LOCKFILES
+from ..functions.prompts import FILLERS, LENS, LIGHTING, STOP_WORDS
+from ..schema import PROFILES
+from .catalogue import AK, BUDGET, EXTENSIONS, GH, PEM, SK
+
+
+def quoted(s: str) -> str:
+    out = "'" + s.replace("'", "''") + "'"
+    for c in "\n\r\t\x01\x1f\b\f":
+        out = out.replace(c, f"'||chr({ord(c)})||'")
+    return out
+
+
+def one_of(values: list[str]) -> str:
+    return "[" + ", ".join(map(quoted, values)) + "]"
+
+
+IDS = f"""ids AS (SELECT doc_id, source, lang, coalesce(text, '') AS text, CASE
+    WHEN doc_id % 23 = 5 THEN lang || '/d' || doc_id || '/' || {one_of(LOCKFILES)}[doc_id % {len(LOCKFILES)} + 1]
+    WHEN doc_id % 29 = 3 THEN lang || '/m' || doc_id || '/main.rs'
+    WHEN doc_id % 31 = 2 THEN '.hidden/f' || doc_id || '.rs'
+    WHEN doc_id % 37 = 4 THEN 'tests/t' || doc_id || '.rs'
+    WHEN doc_id % 41 = 6 THEN lang || '/docs/x' || doc_id || '.zig'
+    WHEN doc_id % 43 = 7 THEN lang || '-b/.env.' || doc_id
+    ELSE lang || '/doc_' || doc_id || {one_of(EXTENSIONS)}[doc_id % {len(EXTENSIONS)} + 1] END AS path FROM documents)"""
+NAMED = """named AS (SELECT *, string_split(path, '/')[-1] AS name, lower(string_split(path, '/')[-1]) AS low, regexp_extract(string_split(path, '/')[-1], '^.+\\.([^.]*)$', 1) AS ext,
+    strlen(text) AS size, CAST(ceil(strlen(text) / 4.0) AS BIGINT) AS tok, string_split(path, '/') AS parts FROM ids)"""
+RULES = f"""rules AS (SELECT *, name IN ({", ".join(map(quoted, LOCKFILES))}) AS is_lock, lower(ext) = 'svg' AS is_svg,
+    (low LIKE '%.min.js' OR low LIKE '%.min.css' OR low LIKE '%.min.mjs' OR low LIKE '%.min.cjs' OR low IN ('bundle.js', 'bundle.css') OR low LIKE '%.bundle.js' OR low LIKE '%.bundle.css' OR low LIKE '%.map') AS is_minified,
+    (low LIKE '.env%' OR regexp_matches(low, '\\.(pem|key|keystore|p12|pfx|cert|crt)$') OR contains(low, 'id_rsa') OR contains(low, 'id_ecdsa') OR contains(low, 'id_ed25519') OR contains(low, 'id_dsa')
+        OR low IN ('credentials.json', 'secrets.json', 'secrets.yaml', 'secrets.yml', 'service-account.json')) AS is_sensitive,
+    lower(ext) IN ({", ".join(map(quoted, BINARY_EXTENSIONS))}) AS is_binary, len(list_filter(parts, lambda p: starts_with(p, '.'))) > 0 AS is_hidden FROM named)"""
+HINT = "CASE " + " ".join(f"WHEN ext IN ({', '.join(quoted(e) for e in exts.split())}) THEN {quoted(lang)}" for lang, exts in LANGUAGES.items()) + " ELSE '' END"
+TIER = f"""CASE WHEN regexp_matches(lower(path), '^(test|tests|bench|benches|example|examples)/') OR contains(lower(path), '/tests/') OR contains(lower(path), '/test/') OR contains(lower(path), '/benches/') OR contains(lower(path), '/examples/')
+    OR regexp_matches(low, '(_test\\.rs|_tests\\.rs|_test\\.go|_test\\.py)$') OR starts_with(low, 'test_') OR contains(low, '.test.') OR contains(low, '.spec.') THEN 0
+    WHEN regexp_matches(lower(path), '^docs?/') OR contains(lower(path), '/docs/') OR regexp_matches(low, '\\.(md|markdown|txt|rst)$') THEN 1
+    WHEN low IN ('lib.rs', 'main.rs', 'mod.rs', 'index.ts', 'index.js', 'app.py', 'main.go') THEN 4
+    WHEN ({HINT}) IN ('json', 'yaml', 'toml', 'dockerfile') THEN 2 ELSE 3 END"""
+FILES = f"WITH RECURSIVE {IDS}, {NAMED}, {RULES}"
+SKIP = "(is_lock OR is_svg OR is_minified OR is_sensitive OR is_binary)"
+PREFIXES = "px AS (SELECT source, path, parts, size, tok, unnest(list_transform(range(1, len(parts) + 1), lambda i: parts[1:i])) AS node FROM named)"
+NODES = "nodes AS (SELECT source, node, bool_or(node = parts) AS is_file, count(*) AS files, CAST(sum(tok) AS BIGINT) AS tokens, CAST(sum(size) AS BIGINT) AS bytes, len(node) AS depth FROM px GROUP BY source, node)"
+LINES = f"""{PREFIXES}, own AS (SELECT DISTINCT source, node FROM px), last AS (SELECT source, node, lead(node) OVER (PARTITION BY source, node[1:len(node)-1] ORDER BY node) IS NULL AS is_last FROM own),
+    above AS (SELECT o.source, o.node, a.is_last, len(a.node) AS d FROM (SELECT source, node, unnest(list_transform(range(1, len(node) + 1), lambda i: node[1:i])) AS at FROM own) o JOIN last a ON a.source = o.source AND a.node = o.at),
+    lines AS (SELECT source, node, coalesce(string_agg(CASE WHEN is_last THEN '    ' ELSE '│   ' END, '' ORDER BY d) FILTER (WHERE d < len(node)), '') || max(CASE WHEN d = len(node) THEN CASE WHEN is_last THEN '└── ' ELSE '├── ' END END) || node[-1] AS line FROM above GROUP BY source, node),
+    trees AS (SELECT source, '.' || chr(10) || string_agg(line || chr(10), '' ORDER BY node) AS tree FROM lines GROUP BY source)"""
+LINED = "CASE WHEN text LIKE '%' || chr(10) THEN text ELSE text || chr(10) END"
+FENCE = "repeat('`', greatest(2, coalesce(list_max(list_transform(regexp_extract_all({0}, '(`+)', 1), lambda x: length(x))), 0)) + 1)"
+XML = "'<file path=\"' || path || '\">' || chr(10) || " + LINED + " || '</file>' || chr(10)"
+MARKDOWN = f"'## File: ' || path || chr(10) || chr(10) || {FENCE.format('text')} || ({HINT}) || chr(10) || {LINED} || {FENCE.format('text')} || chr(10)"
+
+
+def escape(column: str) -> str:
+    out = column
+    for raw, shown in (("chr(92)", "chr(92)||chr(92)"), ("chr(34)", "chr(92)||chr(34)"), ("chr(10)", "'\\n'"), ("chr(13)", "'\\r'"), ("chr(9)", "'\\t'"), ("chr(8)", "'\\b'"), ("chr(12)", "'\\f'"), ("chr(1)", "'\\u0001'"), ("chr(31)", "'\\u001f'")):
+        out = f"replace({out}, {raw}, {shown})"
+    return out
+
+
+TOOL = f"""'  {{' || chr(10) || '    "role": "tool",' || chr(10) || '    "tool_call_id": "call_read_file_' || number || '",' || chr(10) || '    "name": "read_file",' || chr(10) || '    "path": "' || path || '",' || chr(10)
+    || '    "content": "' || {escape("text")} || '"' || chr(10) || '  }}'"""
+NUMBERED = "numbered AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY parts) AS number FROM named)"
+SELECTED = """sel AS (SELECT n.*, coalesce(l.toxic = 0, false) AS selected FROM named n LEFT JOIN (SELECT DISTINCT ON (doc_id) doc_id, toxic FROM labels) l USING (doc_id))"""
+
+SECRETS = f"""raws AS (SELECT *, text || CASE doc_id % 5 WHEN 0 THEN ' key={SK} ' WHEN 1 THEN chr(10) || '({GH})' || chr(10) || 'x{GH}' WHEN 2 THEN ' {AK} {AK}Z' WHEN 3 THEN chr(10) || {quoted(PEM)} || chr(10) || '{SK[:12]} ' ELSE '' END AS raw FROM ids)"""
+#: RE2 has no look-around: the character before is kept by hand, and what must follow a cloud key is spelled out by word boundaries.
+TOKEN = "(^|[^A-Za-z0-9_-])(sk-[A-Za-z0-9_-]{20,}|(?:github_pat_|gh[pousr]_)[A-Za-z0-9_]{20,}|AKIA[A-Z0-9]{16}\\b)"
+PEM_SQL = "-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*-----END [A-Z ]*PRIVATE KEY-----"
+CLEAN = "regexp_replace(regexp_replace(RAW, '" + PEM_SQL + "', '[REDACTED_SECRET]', 'g'), '" + TOKEN + "', '\\1[REDACTED_SECRET]', 'g')"
+HITS = "len(regexp_extract_all(RAW, '" + PEM_SQL + "')) + len(regexp_extract_all(RAW, '" + TOKEN + "'))"
+
+ORDER = "tier, {tok} DESC, {size} DESC, parts DESC"
+BEFORE = "coalesce(sum({v}) OVER (PARTITION BY source ORDER BY " + ORDER + " ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+
+
+def fitted(source: str, outline: str | None) -> str:
+    """CTEs p0 to p3 of the two phases over a relation with text, tok, size, parts, path, low, ext."""
+    save = "0" if outline is None else f"CASE WHEN strlen({outline}) < size AND CAST(ceil(strlen({outline}) / 4.0) AS BIGINT) < tok THEN tok - CAST(ceil(strlen({outline}) / 4.0) AS BIGINT) ELSE 0 END"
+    return f"""p0 AS (SELECT *, {TIER} AS tier, {save} AS saving, sum(tok) OVER (PARTITION BY source) AS total_0 FROM {source}),
+    p1 AS (SELECT *, total_0 - {BEFORE.format(v="saving", tok="tok", size="size")} > {BUDGET} AND saving > 0 AS outlined FROM p0),
+    p2 AS (SELECT *, tok - CASE WHEN outlined THEN saving ELSE 0 END AS tokens_fit, {"text" if outline is None else f"CASE WHEN outlined THEN {outline} ELSE text END"} AS content_fit FROM p1),
+    p3 AS (SELECT *, sum(tokens_fit) OVER (PARTITION BY source) - {BEFORE.format(v="tokens_fit", tok="tokens_fit", size="strlen(content_fit)")} <= {BUDGET} AS kept FROM p2)"""
+
+
+HEAD = "CASE WHEN path LIKE '%.rs' OR path LIKE '%.py' THEN left(text, 60) END"
+CODES = one_of(["M ", " M", "MM", "A ", "AM", " D", "D ", "R ", "??", "!!", "AD", "  "])
+STATUS = f"""st AS (SELECT {CODES}[event_id % 12 + 1] AS xy, CASE WHEN event_id % 7 = 0 THEN 'new/' || event_id || '.rs' WHEN event_id % 11 = 0 THEN 'sp ace/' || event_id || '.rs' ELSE event_type || '/' || event_id || '.rs' END AS path FROM events)"""
+PART = "SELECT p_partkey, {0} AS name, {1} AS version FROM part"
+
+
+def deps(*pairs: tuple[str, str]) -> str:
+    return " UNION ".join(PART.format(n, v) for n, v in pairs)
+
+
+MIDS = one_of([" very slowly, shot on 85mm Cooke at golden hour. Then it is just really quite calm; neon lighting", "\nShot 2: a drone wide angle view, f/1.4 bokeh", " cut to a cooked studio meal", ""])
+ASKS = f"""asks AS (SELECT conv_id, turn, ['Please generate a video of ', 'I want to see: show me a video of ', 'Create a video where - ', ''][(turn + conv_id) % 4 + 1] || regexp_replace(left(text, 80), '[^A-Za-z ,]', '', 'g') || {MIDS}[turn % 4 + 1] || [', please.', ' thank you.', '.'][conv_id % 3 + 1] AS ask FROM conversations)"""
+TRIM = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+STRIP = TRIM.format("regexp_replace(regexp_replace(" + TRIM.format("ask") + ", '(?i)^(?:(?:" + "|".join(FILLERS) + r")[\s,:-]*)+', ''), '(?i)(, please\.| please\.|, thank you\.| thank you\.)$', '')")
+CUT = r"string_split(regexp_replace(regexp_replace(regexp_replace(ask, ' [cC]ut to: | [cC]ut to |(?:[Ss]hot|[Ss]cene) (?:1[0-9]|20|[1-9]):', chr(10), 'g'), '\.(\s|$)', chr(10) || '\1', 'g'), '[\n;]', chr(10), 'g'), chr(10))"
+BARE = "list_filter(list_transform(" + CUT + ", lambda s: " + TRIM.format(r"regexp_replace(" + TRIM.format("s") + r", '\.+$', '')") + "), lambda s: s <> '')"
+
+
+def spec_sql(known: list[str]) -> str:
+    """Longest-first list; a found detail that contains a later one on word boundaries hides it."""
+    import re
+
+    has = lambda spec, text: f"regexp_matches({text}, {quoted('(^|[^a-z0-9])' + re.escape(spec) + '([^a-z0-9]|$)')})"
+    cells = []
+    for k, spec in enumerate(known):
+        covers = [o for o in known[:k] if re.search(rf"(?<![a-z0-9]){re.escape(spec)}(?![a-z0-9])", o)]
+        cond = has(spec, "lower(ask)") + "".join(f" AND NOT {has(o, 'lower(ask)')}" for o in covers)
+        cells.append(f"CASE WHEN {cond} THEN {quoted(spec)} END")
+    return f"coalesce(nullif(array_to_string(list_filter([{', '.join(cells)}], lambda s: s IS NOT NULL), ', '), ''), '-')"
+
+
+LEVELS = "lv AS (SELECT vec_id, label, list_transform(embedding, lambda v: CAST(least(255, greatest(0, floor((CAST(v AS DOUBLE) + 1) / 2 * 255))) AS INTEGER)) AS g FROM embeddings)"
+SHARP = f"""{LEVELS}, pos AS (SELECT vec_id, label, g, y, x FROM lv, range(2, 6) a(y), range(2, 6) b(x)),
+    sm AS (SELECT vec_id, label, y, x, (8 * g[y * 8 + x + 1] + g[(y-1) * 8 + x] + g[(y-1) * 8 + x + 1] + g[(y-1) * 8 + x + 2] + g[y * 8 + x] + g[y * 8 + x + 2] + g[(y+1) * 8 + x] + g[(y+1) * 8 + x + 1] + g[(y+1) * 8 + x + 2] + 8) >> 4 AS s FROM pos),
+    lap AS (SELECT c.vec_id, c.label, u.s + d.s + l.s + r.s - 4 * c.s AS v FROM sm c JOIN sm u ON u.vec_id = c.vec_id AND u.x = c.x AND u.y = c.y - 1 JOIN sm d ON d.vec_id = c.vec_id AND d.x = c.x AND d.y = c.y + 1
+        JOIN sm l ON l.vec_id = c.vec_id AND l.y = c.y AND l.x = c.x - 1 JOIN sm r ON r.vec_id = c.vec_id AND r.y = c.y AND r.x = c.x + 1),
+    sharp AS (SELECT vec_id, label, greatest(0.0, sum(v * v) / 4.0 - (sum(v) / 4.0) * (sum(v) / 4.0)) AS sharpness FROM lap GROUP BY vec_id, label)"""
+N = "(SELECT o_orderkey, o_orderkey * o_orderkey * 37 AS n FROM orders)"
+FUZZY = "regexp_matches(lower(path), '(?s)e.*n') AND regexp_matches(lower(path), '(?s)d.*c') AND regexp_matches(lower(path), '(?s)\\..*r.*s')"
+
+SQL: dict[str, str] = {
+    "scan_documents": f"{FILES} SELECT source AS repo_id, path, array_to_string(parts, '|') AS parts, size AS size_bytes, md5(text) AS content_md5 FROM named",
+    "path_predicates": f"{FILES} SELECT doc_id, is_lock, is_svg, is_minified, is_sensitive, is_binary, {SKIP} AS skip, NOT is_lock AND {SKIP} AS skip_with_locks FROM rules",
+    "skip_filter": f"{FILES} SELECT doc_id, path FROM rules WHERE NOT {SKIP}",
+    "size_filter": f"{FILES} SELECT source AS repo_id, path, size AS size_bytes FROM named WHERE size <= 2000",
+    "glob_filter": f"{FILES} SELECT doc_id, path FROM ids WHERE NOT (path LIKE '%/docs/%' OR path LIKE 'docs/%' OR path LIKE '%.tar.%') AND (path LIKE '%.rs' OR path LIKE '%.py' OR regexp_matches(path, '^en/doc_[0-4]') OR regexp_matches(path, '^tests/t.\\.rs$'))",
+    "depth_filter": "WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1) AS path FROM pages) SELECT page_id, path, CAST(len(string_split(path, '/')) AS BIGINT) AS depth FROM p WHERE len(string_split(path, '/')) <= 2",
+    "hidden_filter": f"{FILES} SELECT doc_id, path FROM rules WHERE NOT is_hidden",
+    "language_hint": f"{FILES} SELECT doc_id, ext, {HINT} AS hint FROM named",
+    "compression_tier": f"{FILES} SELECT doc_id, CAST({TIER} AS BIGINT) AS tier FROM named",
+    "path_order": f"{FILES}, {NUMBERED} SELECT source AS repo_id, path, number FROM numbered",
+    "changed_semi_join": f"{FILES} SELECT source AS repo_id, path, size AS size_bytes FROM named WHERE path IN (SELECT n.path FROM named n JOIN labels l USING (doc_id) WHERE l.toxic = 1)",
+    "skipped_anti_join": f"{FILES} SELECT source AS repo_id, path FROM rules WHERE {SKIP} OR is_hidden",
+    "git_status_parse": f"""WITH {STATUS} SELECT DISTINCT path, 'modified' AS mode FROM st WHERE xy <> '  ' AND xy[1] NOT IN ('!', 'D') AND xy[2] NOT IN ('!', 'D')
+        UNION ALL SELECT DISTINCT path, 'staged' FROM st WHERE xy[1] NOT IN (' ', '?', '!', 'D') AND xy[2] <> 'D'""",
+    "redact_documents": f"WITH {IDS}, {SECRETS} SELECT doc_id, md5({CLEAN.replace('RAW', 'raw')}) AS clean_md5, length({CLEAN.replace('RAW', 'raw')}) AS n_chars FROM raws",
+    "redact_counts": f"WITH {IDS}, {SECRETS} SELECT doc_id, {HITS.replace('RAW', 'raw')} AS n_secrets FROM raws",
+    "redact_turns": f"WITH t AS (SELECT role, CASE WHEN turn % 2 = 0 THEN 'token: {GH};' || text ELSE text END AS raw FROM conversations) SELECT role, CAST(sum({HITS.replace('RAW', 'raw')}) AS BIGINT) AS n_secrets, CAST(sum(length({CLEAN.replace('RAW', 'raw')})) AS BIGINT) AS n_chars FROM t GROUP BY role",
+    "token_estimate": f"{FILES} SELECT doc_id, tok AS tokens FROM named",
+    "token_profiles": f"""{FILES}, prof(profile, factor, context_window) AS (VALUES {", ".join(f"('{p[0]}', CAST({p[2]} AS DOUBLE), CAST({p[3]} AS BIGINT))" for p in PROFILES)})
+        SELECT source, profile, context_window, CAST(sum(round(CAST(tok AS DOUBLE) * factor)) AS BIGINT) AS tokens, sum(round(CAST(tok AS DOUBLE) * factor)) <= context_window AS fits FROM named, prof GROUP BY source, profile, context_window""",
+    "scan_summary": f"{FILES} SELECT count(*) AS file_count, CAST(sum(size) AS BIGINT) AS total_bytes, CAST(sum(tok) AS BIGINT) AS total_tokens FROM named",
+    "summary_by_repo": f"{FILES} SELECT source AS repo_id, count(*) AS file_count, CAST(sum(size) AS BIGINT) AS total_bytes, CAST(sum(tok) AS BIGINT) AS total_tokens FROM rules WHERE NOT {SKIP} AND NOT is_hidden GROUP BY source",
+    "dir_rollup": f"""{FILES}, {PREFIXES}, {NODES} SELECT source AS repo_id, array_to_string(node, '/') AS dir, files, tokens, bytes FROM nodes WHERE NOT is_file
+        UNION ALL SELECT source, '', count(*), CAST(sum(tok) AS BIGINT), CAST(sum(size) AS BIGINT) FROM named GROUP BY source""",
+    "tree_nodes": f"{FILES}, {PREFIXES}, {NODES} SELECT source AS repo_id, array_to_string(node, '/') AS node, depth, is_file, files, tokens, bytes FROM nodes",
+    "tree_lines": f"{FILES}, {LINES} SELECT source AS repo_id, array_to_string(node, '/') AS node, line FROM lines",
+    "tree_render": f"{FILES}, {LINES} SELECT source AS repo_id, tree FROM trees",
+    "tree_flat": f"""{FILES}, {PREFIXES}, {NODES}, k AS (SELECT *, list_transform(node, lambda name, i: {{'file': is_file AND i = len(node), 'name': name}}) AS key FROM nodes),
+        f AS (SELECT source, node, depth, row_number() OVER (PARTITION BY source ORDER BY key) - 1 AS idx FROM k)
+        SELECT a.source AS repo_id, array_to_string(a.node, '/') AS node, a.idx, a.idx + count(b.node) AS subtree_end, max(p.idx) AS parent FROM f a JOIN f b ON a.source = b.source AND b.node[1:a.depth] = a.node
+        LEFT JOIN f p ON p.source = a.source AND a.depth > 1 AND p.node = a.node[1:a.depth-1] GROUP BY a.source, a.node, a.idx""",
+    "tree_visible": f"{FILES}, {PREFIXES}, {NODES} SELECT source AS repo_id, array_to_string(node, '/') AS node FROM nodes WHERE depth <= 2 AND NOT (depth = 2 AND node[1] = 'en')",
+    "tree_filter": f"{FILES}, {PREFIXES} SELECT DISTINCT source AS repo_id, array_to_string(node, '/') AS node FROM px WHERE regexp_matches(lower(path), 'e.*n') AND regexp_matches(lower(path), '\\..*p.*y')",
+    "selection_toggle": f"""{FILES}, {SELECTED} SELECT source AS repo_id, path, CASE WHEN parts[1] = 'en' THEN NOT coalesce(bool_and(selected) FILTER (WHERE parts[1] = 'en') OVER (PARTITION BY source), false) ELSE selected END AS selected FROM sel""",
+    "selection_toggle_all": f"{FILES}, {SELECTED} SELECT source AS repo_id, path, NOT bool_and(selected) OVER (PARTITION BY source) AS selected FROM sel",
+    "selection_invert": f"{FILES}, {SELECTED} SELECT source AS repo_id, path, CASE WHEN path LIKE '%.rs' THEN NOT selected ELSE selected END AS selected FROM sel",
+    "tri_state": f"""{FILES}, {SELECTED}, sx AS (SELECT source, selected, size, tok, unnest(list_transform(range(1, len(parts) + 1), lambda i: parts[1:i])) AS node FROM sel),
+        t AS (SELECT source, node, count(*) AS files, count(*) FILTER (WHERE selected) AS sel_files, coalesce(CAST(sum(tok) FILTER (WHERE selected) AS BIGINT), 0) AS sel_tokens, coalesce(CAST(sum(size) FILTER (WHERE selected) AS BIGINT), 0) AS sel_bytes FROM sx GROUP BY source, node)
+        SELECT source AS repo_id, array_to_string(node, '/') AS node, sel_files, sel_tokens, sel_bytes, CASE WHEN sel_files = 0 THEN 'none' WHEN sel_files = files THEN 'all' ELSE 'partial' END AS state FROM t""",
+    "budget_prune": f"{FILES}, {fitted('named', None)} SELECT source AS repo_id, path, CAST(tier AS BIGINT) AS tier, tokens_fit, kept FROM p3",
+    "budget_fit": f"{FILES}, {fitted('named', HEAD)} SELECT source AS repo_id, path, md5(content_fit) AS content_md5, tokens_fit, outlined, kept FROM p3",
+    "budget_affected": f"{FILES}, {fitted('named', HEAD)} SELECT source AS repo_id, CAST(sum(CAST(outlined AS INT) + CAST(NOT kept AS INT)) AS BIGINT) AS affected FROM p3 GROUP BY source",
+    "format_xml_blocks": f"{FILES} SELECT source AS repo_id, path, md5('<file path=\"' || path || CASE WHEN path LIKE '%.rs' THEN '\" outline=\"true\">' ELSE '\">' END || chr(10) || {LINED} || '</file>' || chr(10)) AS block_md5 FROM named",
+    "format_md_blocks": f"{FILES} SELECT source AS repo_id, path, md5({MARKDOWN}) AS block_md5 FROM named",
+    "md_fence": f"WITH {IDS}, b AS (SELECT doc_id, left(text, 20) || repeat('`', doc_id % 6) || ' x ' || repeat('`', doc_id % 4) AS body FROM ids) SELECT doc_id, {FENCE.format('body')} AS fence FROM b",
+    "json_escape": f"WITH {IDS}, b AS (SELECT doc_id, left(text, 200) || {one_of(['\"q\"\\', chr(9) + chr(13) + chr(10), chr(1) + chr(31), chr(8) + chr(12), 'é/<>'])}[doc_id % 5 + 1] AS body FROM ids) SELECT doc_id, {escape('body')} AS escaped FROM b",
+    "format_tool_call": f"{FILES}, {NUMBERED} SELECT source AS repo_id, path, md5({TOOL}) AS block_md5 FROM numbered",
+    "pack_document": f"""{FILES}, {LINES}, docs AS (SELECT source, '<repository_structure>' || chr(10) || max(tree) || '</repository_structure>' || chr(10) || chr(10) || string_agg({XML}, chr(10) ORDER BY parts) AS document FROM named JOIN trees USING (source) GROUP BY source)
+        SELECT source AS repo_id, md5(document) AS document_md5, length(document) AS n_chars FROM docs""",
+    "pack_markdown": f"""{FILES}, {LINES} SELECT source AS repo_id, md5('# Repository Structure' || chr(10) || chr(10) || '```' || chr(10) || max(tree) || '```' || chr(10) || chr(10) || '# Repository Files' || chr(10) || chr(10) || string_agg({MARKDOWN}, chr(10) ORDER BY parts)) AS document_md5 FROM named JOIN trees USING (source) GROUP BY source""",
+    "pack_tool_call": f"{FILES}, {NUMBERED} SELECT source AS repo_id, md5('[' || chr(10) || string_agg({TOOL}, ',' || chr(10) ORDER BY parts) || chr(10) || ']' || chr(10)) AS document_md5 FROM numbered GROUP BY source",
+    "lock_gosum": deps(("'example.org/m' || p_partkey", "'v1.' || p_size || '.0'"), ("'example.org/a'", "'v0.1.0'")),
+    "lock_pnpm": deps(("'@s/p' || p_partkey", "'1.' || p_size || '.0'"), ("'q' || p_partkey", "'2.0.0'"), ("'r'", "'3.' || p_size || '.1'")),
+    "lock_cargo": deps(("'c' || p_partkey", "'0.' || p_size || '.1'"), ("'b'", "'1.0.0'")),
+    "lock_npm": deps(("'a' || p_partkey", "'1.' || p_size || '.0'"), ("'@s/b'", "'2.' || p_size || '.0'")),
+    "lock_yarn": deps(("'@s/y' || p_partkey", "'1.' || p_size || '.3'"), ("'z'", "'2.' || p_size || '.0'")),
+    "lock_manifest": "SELECT p_partkey, 'a/a @ v1' || chr(10) || 'a/a @ v2' || chr(10) || 'm/m' || p_partkey || ' @ v1.' || p_size || chr(10) || 'z/last @ v9' || chr(10) AS manifest FROM part",
+    "workflow_histogram": "SELECT event_type AS node_type, count(*) AS n FROM events GROUP BY event_type UNION ALL SELECT 'KSampler', count(*) FROM events",
+    "workflow_settings": "SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1",
+    "workflow_manifest": """SELECT event_id, '# ComfyUI Workflow Manifest (2 nodes, 2 unique types)' || chr(10) || '## Nodes' || chr(10) || '- KSampler x1' || chr(10) || '- ' || event_type || ' x1' || chr(10) || '## Prompts' || chr(10)
+        || '- "a prompt ' || k || '"' || chr(10) || '## Sampler & Latent Config' || chr(10) || '- cfg: 7' || chr(10) || '- seed: ' || event_id || chr(10) || '- steps: ' || k || chr(10) AS manifest FROM (SELECT *, json_extract_string(props, '$.k') AS k FROM events)""",
+    "prompt_strip_filler": f"WITH {ASKS} SELECT conv_id, turn, {STRIP} AS clean FROM asks",
+    "prompt_condense": f"WITH {ASKS} SELECT conv_id, turn, array_to_string(list_filter(regexp_split_to_array({TRIM.format('ask')}, '\\s+'), lambda w: NOT list_contains({one_of(STOP_WORDS)}, lower(regexp_replace(w, '^[^A-Za-z0-9]+|[^A-Za-z0-9]+$', '', 'g')))), ' ') AS condensed FROM asks",
+    "prompt_shots": f"WITH {ASKS}, s AS (SELECT conv_id, turn, CASE WHEN len({BARE}) = 0 THEN [ask] ELSE {BARE} END AS b FROM asks) SELECT conv_id, turn, unnest(range(0, len(b))) AS pos, unnest(b) AS shot FROM s",
+    "prompt_specs": f"WITH {ASKS} SELECT conv_id, turn, {spec_sql(LENS)} AS lens, {spec_sql(LIGHTING)} AS lighting FROM asks",
+    "frame_sharpness": f"WITH {SHARP} SELECT vec_id, round(sharpness, 4) AS sharpness FROM sharp",
+    "sharpest_frame": f"WITH {SHARP}, r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sharpness DESC, vec_id) AS k FROM sharp) SELECT label AS clip_id, vec_id AS frame_idx, round(sharpness, 4) AS sharpness FROM r WHERE k = 1",
+    "pgm_stream": f"WITH {SHARP} SELECT vec_id, frame_idx, round(sharpness, 4) AS sharpness FROM sharp, (VALUES (0), (1)) f(frame_idx)",
+    "fuzzy_filter": f"WITH {IDS} SELECT doc_id, path FROM ids WHERE {FUZZY}",
+    "number_formats": f"""SELECT o_orderkey, format('{{:,}}', n) AS grouped, CASE WHEN n < 1000 THEN CAST(n AS VARCHAR) WHEN n < 10000 THEN (n // 1000) || '.' || (n % 1000 // 100) || 'k' WHEN n < 1000000 THEN (n // 1000) || 'k' ELSE (n // 1000000) || '.' || (n % 1000000 // 100000) || 'M' END AS compact,
+        CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN format('{{:.1f}} KB', n / 1024.0::DOUBLE) WHEN n < 1073741824 THEN format('{{:.1f}} MB', n / 1048576.0::DOUBLE) ELSE format('{{:.2f}} GB', n / 1073741824.0::DOUBLE) END AS short,
+        CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN format('{{:.1f}} KB', n / 1024.0::DOUBLE) WHEN n < 1073741824 THEN format('{{:.2f}} MB', n / 1048576.0::DOUBLE) ELSE format('{{:.2f}} GB', n / 1073741824.0::DOUBLE) END AS long, length(CAST(n AS VARCHAR)) AS digits FROM {N}""",
+    "size_literals": """SELECT p_partkey, CAST(floor(CAST(p_size || '.' || (p_size % 10) AS DOUBLE) * [1, 1, 1024, 1024, 1048576, 1073741824, NULL][p_partkey % 7 + 1]) AS BIGINT) AS n_bytes FROM part""",
+    "context_gauge": """WITH r AS (SELECT o_orderkey, CAST(trunc(o_totalprice / 2) AS BIGINT) / 128000.0::DOUBLE AS ratio FROM orders) SELECT o_orderkey, round(ratio, 6) AS ratio, repeat('█', least(12, CAST(round(least(1.0, ratio) * 12) AS INT))) || repeat('░', 12 - least(12, CAST(round(least(1.0, ratio) * 12) AS INT))) AS bar,
+        CASE WHEN ratio >= 1 THEN 'red' WHEN ratio >= 0.9 THEN 'light_red' WHEN ratio >= 0.7 THEN 'yellow' ELSE 'green' END AS colour, ratio > 1 AS over FROM r""",
+    "line_index": f"WITH {IDS}, l AS (SELECT doc_id, unnest(string_split(text || chr(10) || 'last', chr(10))) AS line FROM ids) SELECT doc_id, count(*) AS n_lines, max(length(line)) AS longest FROM l GROUP BY doc_id",
+    "tail_paths": f"WITH {IDS} SELECT doc_id, CASE WHEN length(path) <= 12 THEN path ELSE '…' || right(path, 11) END AS shown FROM ids",
+    "binary_filter": "SELECT doc_id FROM documents WHERE doc_id % 3 <> 0",
+    "stats_line": f"""{FILES}, s AS (SELECT source, count(*) AS n, sum(size) AS b, sum(tok) AS t FROM named GROUP BY source) SELECT source AS repo_id, n || ' files (' || CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN format('{{:.1f}} KB', b / 1024.0::DOUBLE) ELSE format('{{:.2f}} MB', b / 1048576.0::DOUBLE) END || ', ' || t || ' tokens)' AS line FROM s""",
+    "outlined_preview": f"{FILES}, g AS (SELECT source, list(path ORDER BY parts) AS a FROM named WHERE path LIKE '%.rs' GROUP BY source) SELECT source AS repo_id, array_to_string(a[1:5], ', ') || CASE WHEN len(a) > 5 THEN ' (+' || (len(a) - 5) || ' more)' ELSE '' END AS preview FROM g",
+}
+SQL["pack_budget"] = f"""WITH RECURSIVE ids0 AS ({IDS.removeprefix("ids AS (").removesuffix(")")}), ids AS (SELECT doc_id, source, lang, path, text || CASE doc_id % 5 WHEN 0 THEN ' key={SK} ' WHEN 1 THEN chr(10) || '({GH})' || chr(10) || 'x{GH}' WHEN 2 THEN ' {AK} {AK}Z' WHEN 3 THEN chr(10) || {quoted(PEM)} || chr(10) || '{SK[:12]} ' ELSE '' END AS text FROM ids0),
+    {NAMED}, {RULES}, ok AS (SELECT doc_id, source, path, parts, low, ext, {CLEAN.replace("RAW", "text")} AS text FROM rules WHERE NOT {SKIP} AND NOT is_hidden AND size <= 20000), sized AS (SELECT *, strlen(text) AS size, CAST(ceil(strlen(text) / 4.0) AS BIGINT) AS tok FROM ok),
+    {fitted("sized", None)}, kept AS (SELECT source, path, parts, size, tok, text FROM p3 WHERE kept), {LINES.replace("FROM named", "FROM kept")},
+    docs AS (SELECT source, '<repository_structure>' || chr(10) || max(tree) || '</repository_structure>' || chr(10) || chr(10) || string_agg({XML}, chr(10) ORDER BY parts) AS document FROM kept JOIN trees USING (source) GROUP BY source)
+    SELECT source AS repo_id, md5(document) AS document_md5, length(document) AS n_chars FROM docs"""
+SQL["fuzzy_best"] = f"""{FILES}, h AS (SELECT source, path, parts, -length(path) / 100.0 + CASE WHEN contains(lower(path), 'doc') THEN 2 ELSE 0 END + CASE WHEN contains('/' || lower(path), '/doc') THEN 1 ELSE 0 END + CASE WHEN contains(lower(path), 'rs') THEN 2 ELSE 0 END + CASE WHEN contains('/' || lower(path), '/rs') THEN 1 ELSE 0 END AS score
+    FROM named WHERE regexp_matches(lower(path), 'd.*o.*c') AND regexp_matches(lower(path), 'r.*s')), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY round(score, 6) DESC, parts) AS k FROM h)
+    SELECT source AS repo_id, path, CAST(round(score, 4) AS DOUBLE) AS score FROM r WHERE k = 1"""
