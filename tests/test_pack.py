@@ -1,0 +1,201 @@
+"""Source trees, packs, budgets and streams."""
+
+import subprocess
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from textloom.functions import outline
+from textloom.operators import budget, files, selection, tree
+from textloom.operators import format as shape
+from textloom.plans import pack
+from textloom.schema import FILE, PackOptions
+from textloom.sources.ignore import Rules, pattern_regex
+from textloom.sources.repo_tree import read_tree
+
+
+def relation(spark, rows, repo="r"):
+    """FILE relation from {path: content}."""
+    made = [(repo, p, p.split("/"), len(c.encode()), c, None, False) for p, c in rows.items()]
+    return spark.createDataFrame(made, FILE)
+
+
+@pytest.fixture
+def repo(tmp_path):
+    for path, data in {
+        "src/main.rs": b"fn main() {\n    go();\n}\n", "Cargo.lock": b'[[package]]\nname = "a"\nversion = "1"\n', "logo.svg": b"<svg/>", ".env.production": b"K=1", "data.dat": b"x\x00y", "bad.txt": b"\xff\xfe",
+        "ignored_dir/a.rs": b"x", "keep/ignored_dir2/b.rs": b"y", ".packignore": b"ignored_dir/\n*.tmp\n!keep.tmp\n", "a.tmp": b"t", "keep.tmp": b"k", "pkg/__init__.py": b"", "big.txt": b"z" * 5000, "wf.json": b'{"1": {"class_type": "A"}}',
+    }.items():
+        f = tmp_path / path
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_bytes(data)
+    return tmp_path
+
+
+def names(df):
+    return sorted(r["path"] for r in df.select("path").collect())
+
+
+def test_scan(spark, repo):
+    options = PackOptions(max_file_size=1000)
+    kept = pack.packed_files(pack.tree_files(spark, str(repo), options), options)
+    assert names(kept) == ["keep.tmp", "keep/ignored_dir2/b.rs", "pkg/__init__.py", "src/main.rs", "wf.json"]
+    locks = PackOptions(summary_locks=True, outline=True, max_file_size=1000)
+    found = {r["path"]: r for r in pack.packed_files(pack.tree_files(spark, str(repo), locks), locks).collect()}
+    assert found["Cargo.deps.txt"]["content"] == "a @ 1\n" and not found["Cargo.deps.txt"]["is_outlined"]
+    assert found["wf.workflow.txt"]["content"].startswith("# ComfyUI Workflow Manifest (1 nodes")
+    assert found["src/main.rs"]["content"] == "fn main() { /* ... */ }\n" and found["src/main.rs"]["is_outlined"]
+    shallow = PackOptions(max_depth=1, include=("*.tmp",))
+    assert names(pack.packed_files(pack.tree_files(spark, str(repo), shallow), shallow)) == ["keep.tmp"]
+
+
+def test_source_pushes_filters(spark, repo):
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        df = read_tree(spark, str(repo), hidden=True).filter("size_bytes > 4000")
+        assert names(df) == ["big.txt"]
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    assert names(read_tree(spark, str(repo / "big.txt"))) == ["big.txt"]
+    with pytest.raises(Exception, match="no such source tree"):
+        read_tree(spark, str(repo / "none")).collect()
+
+
+def test_git(spark, repo):
+    run = lambda *a: subprocess.run(["git", "-C", str(repo), *a], check=True, capture_output=True)
+    run("init", "-q")
+    run("add", "src/main.rs")
+    assert names(pack.changed_files(spark, str(repo), staged=True)) == ["src/main.rs"]
+    assert "keep.tmp" in names(pack.changed_files(spark, str(repo)))
+    options = PackOptions()
+    assert names(pack.packed_files(pack.tree_files(spark, str(repo), options), options, pack.changed_files(spark, str(repo), True))) == ["src/main.rs"]
+
+
+def test_git_lines(spark):
+    lines = [" M a.rs", "M  b.rs", "?? c.rs", "!! d.rs", " D e.rs", "D  f.rs", "R  old.rs -> new.rs", 'A  "sp ace.rs"', "AM g.rs", "x", "MD h.rs"]
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    assert names(files.git_changes(df)) == ["a.rs", "b.rs", "c.rs", "g.rs", "new.rs", "sp ace.rs"]
+    assert names(files.git_changes(df, staged=True)) == ["b.rs", "g.rs", "new.rs", "sp ace.rs"]
+
+
+def test_ignore_rules():
+    rules = Rules(tuple(("", *pattern_regex(p)) for p in ["*.log", "!keep.log", "/top", "dir/", "a/**/z", "b/*.c"]))
+    hit = [("x/y.log", False), ("top", False), ("q/dir", True), ("a/z", False), ("a/m/n/z", False), ("b/k.c", False)]
+    miss = [("keep.log", False), ("q/top", False), ("q/dir", False), ("b/k/l.c", False), ("c", False)]
+    assert all(rules.ignored(*x) for x in hit) and not any(rules.ignored(*x) for x in miss)
+    assert pattern_regex("# c") is None and pattern_regex("") is None
+
+
+def test_tree_text(spark):
+    got = tree.render(relation(spark, {"src/main.rs": "", "src/lib.rs": "", "Cargo.toml": "", "docs/a/b.md": ""})).first()["tree"]
+    assert got == ".\n├── Cargo.toml\n├── docs\n│   └── a\n│       └── b.md\n└── src\n    ├── lib.rs\n    └── main.rs\n"
+
+
+def test_node_totals(spark):
+    n = {"/".join(r["node"]): r for r in tree.nodes(relation(spark, {"a/x": "1" * 41, "a/y": "22", "z": "333"})).collect()}
+    assert (n["a/x"]["tokens"], n["a"]["files"], n["a"]["bytes"], n["a"]["tokens"]) == (11, 2, 43, 12) and n["z"]["is_file"] and not n["a"]["is_file"]
+
+
+def test_selection(spark):
+    own = relation(spark, {"a/x": "", "a/y": "", "b": ""}).withColumn("selected", F.col("path") == "a/x")
+    on = lambda df: {r["path"] for r in df.filter("selected").collect()}
+    once = selection.toggle(own, selection.under(F.col("path_parts"), ["a"]))
+    assert on(once) == {"a/x", "a/y"}
+    assert on(selection.toggle(once, selection.under(F.col("path_parts"), ["a"]))) == set()
+    assert on(selection.toggle_all(own)) == {"a/x", "a/y", "b"} and on(selection.invert(own)) == {"a/y", "b"}
+
+
+def test_formats(spark):
+    own = relation(spark, {"b.md": "```\ncode\n```", "a.rs": 'say "hi"\n'})
+    doc = lambda kind: shape.documents(own, kind).first()["document"]
+    assert doc("xml").endswith('<file path="a.rs">\nsay "hi"\n</file>\n\n<file path="b.md">\n```\ncode\n```\n</file>\n')
+    assert "## File: b.md\n\n````markdown\n```\ncode\n```\n````\n" in doc("markdown")
+    import json
+
+    calls = json.loads(doc("tool-call"))
+    assert [c["path"] for c in calls] == ["a.rs", "b.md"] and calls[0]["tool_call_id"] == "call_read_file_1" and calls[0]["content"] == 'say "hi"\n'
+    assert shape.documents(own.limit(0)).count() == 0
+
+
+def engine(n):
+    return "pub struct E;\nimpl E {\n    pub fn run(&self) {\n" + "".join(f"        let v{k} = {k};\n" for k in range(n)) + "    }\n}\n"
+
+
+def test_budget_phases(spark):
+    own = relation(spark, {"src/engine.rs": engine(200), "src/main.rs": "fn main() {}\n", "tests/t.rs": engine(50)})
+    lined = outline.outline(F.col("content"), F.col("path"))
+    fit = lambda b: {r["path"]: (r["outlined"], r["kept"]) for r in budget.fit_budget(own, b, lined).collect()}
+    assert set(fit(100_000).values()) == {(False, True)}
+    some = fit(1200)
+    assert some["tests/t.rs"] == (True, True) and some["src/main.rs"] == (False, True)
+    assert fit(20)["src/main.rs"][1] and not fit(20)["tests/t.rs"][1]
+    assert budget.affected(budget.fit_budget(own, 20, lined)).first()["affected"] >= 2
+
+
+def sequential(rows, limit):
+    """The two phases as loops over [tier, path, content tokens, outline tokens or None, content bytes, outline bytes]."""
+    state = {p: [t, tok, size, False] for t, p, tok, _, size, _ in rows}
+    extra = {p: (otok, osize) for _, p, _, otok, _, osize in rows}
+    order = lambda: sorted(state, key=lambda p: (state[p][0], -state[p][1], -state[p][2], [-ord(c) for c in p]))
+    total = sum(s[1] for s in state.values())
+    for p in order():
+        if total <= limit:
+            break
+        otok, osize = extra[p]
+        if otok is not None and osize < state[p][2] and otok < state[p][1]:
+            total -= state[p][1] - otok
+            state[p][1:] = [otok, osize, True]
+    outlined = {p for p in state if state[p][3]}
+    dropped = set()
+    for p in order():
+        if total <= limit:
+            break
+        total -= state[p][1]
+        dropped.add(p)
+    return outlined, dropped
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.sampled_from(["tests/", "docs/", "m/", "c/"]), st.integers(0, 400), st.integers(0, 400)), min_size=1, max_size=12), st.integers(0, 400))
+def test_budget_is_the_loop(spark, made, limit):
+    rows = {f"{d}f{k:02d}.{'json' if d == 'c/' else 'rs'}": ("x" * a, "y" * b) for k, (d, a, b) in enumerate(made)}
+    tier = {"t": 0, "d": 1, "m": 3, "c": 2}
+    up = lambda n: -(-n // 4)
+    want = sequential([[tier[p[0]], p, up(len(a)), up(len(b)), len(a), len(b)] for p, (a, b) in rows.items()], limit)
+    own = relation(spark, {p: a for p, (a, _) in rows.items()}).join(spark.createDataFrame([(p, b) for p, (_, b) in rows.items()], "path string, short string"), "path")
+    got = budget.fit_budget(own.select("repo_id", *[c for c in own.columns if c != "repo_id"]), limit, F.col("short")).collect()
+    assert ({r["path"] for r in got if r["outlined"]}, {r["path"] for r in got if not r["kept"]}) == want
+
+
+def test_stream(spark, tmp_path):
+    from textloom.streaming.rows import pack_stream, transform_stream
+
+    relation(spark, {"a.rs": "fn f() {\n  1\n}\n", "b.svg": "x"}).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(FILE).parquet(str(tmp_path / "in"))
+    got = []
+    pack_stream(stream, PackOptions(budget=1000), lambda df, n: got.extend(df.collect()), str(tmp_path / "cp")).awaitTermination(60)
+    assert len(got) == 1 and "a.rs" in got[0]["document"] and "b.svg" not in got[0]["document"]
+    assert transform_stream(stream, PackOptions(outline=True)).isStreaming
+    with pytest.raises(ValueError):
+        transform_stream(stream, PackOptions(budget=5))
+
+
+def test_cli(spark, repo, capsys, tmp_path):
+    from textloom import cli
+
+    out = tmp_path / "pack.xml"
+    assert cli.main([str(repo), "-o", str(out), "-t", "--max-file-size", "1KB", "-I", "*.rs"]) == 0
+    assert out.read_text().count("<file path=") == 2 and "2 files (" in capsys.readouterr().err
+    assert cli.main([str(repo), "-I", "*.none"]) == 0 and "no files" in capsys.readouterr().err
+    assert cli.main(["--video-prompt", "show me a video of a fox"]) == 0 and "subject: a fox" in capsys.readouterr().out
+
+
+def test_plans_stay_narrow(spark, sf_dir):
+    """Rules prune columns and don't shuffle; the change set is broadcast."""
+    from textloom.plans import catalogue
+
+    plan = lambda q: q(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(catalogue.skip_filter) and "text" not in plan(catalogue.skip_filter).split("ReadSchema")[1]
+    assert "BroadcastHashJoin" in plan(catalogue.changed_semi_join) and "CartesianProduct" not in plan(catalogue.tree_lines)

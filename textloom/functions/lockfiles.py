@@ -82,7 +82,7 @@ def npm_packages(content: str) -> set[tuple[str, str]]:
     found: set[tuple[str, str]] = set()
     _, there, rest = content.partition('"packages"')
     marks = list(MODULE.finditer(rest)) if there else []
-    for m, nxt in zip(marks, [*marks[1:], None], strict=True):
+    for m, nxt in zip(marks, [*marks[1:], None], strict=False):
         name = m[1].rpartition("node_modules/")[2]
         version = VERSION.search(rest, m.end(), nxt.start() if nxt else len(rest))
         if name and version:

@@ -1,8 +1,9 @@
 """Source trees as a Spark data source: `spark.read.format("repo_tree").load(root)`.
 
-The driver lists the tree (pruning ignored and hidden folders), so path and size filters of a query
-are applied before any file is read; executors then read batches of files. The root must be on
-storage that all executors mount. Options: maxdepth, hidden, gitignore, ignorefile (a further
+The driver lists the tree (pruning ignored and hidden folders); executors then read batches of
+files. Where `spark.sql.python.filterPushdown.enabled` is set, path and size filters of a query are
+applied while listing, before any file is read. The root must be on storage that all executors
+mount. Options: maxdepth, hidden, gitignore, ignorefile (a further
 ignore file's name), batch (files per partition), maxsize (bytes).
 """
 
@@ -63,15 +64,6 @@ class RepoTreeReader(DataSourceReader):
         if not options.get("path") or not os.path.exists(self.root):
             raise ValueError(f"no such source tree: {options.get('path')!r}")
 
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
-        """Comparisons of size_bytes and of path are applied while listing."""
-        for f in filters:
-            known = {("size_bytes",): NUMERIC, ("path",): TEXTUAL}.get(f.attribute if hasattr(f, "attribute") else ())
-            if known and (test := known.get(type(f))):
-                self.tests.append((f.attribute[0], lambda v, t=test, x=f.value: t(v, x)))
-            else:
-                yield f
-
     def _wanted(self, path: str, size: int) -> bool:
         most = self.options.get("maxsize")
         return (most is None or size <= int(most)) and all(t(size if c == "size_bytes" else path) for c, t in self.tests)
@@ -100,6 +92,19 @@ class RepoTreeReader(DataSourceReader):
             yield self.options.get("repo", os.path.basename(self.root)), path, path.split("/"), full, size, data
 
 
+class PushingReader(RepoTreeReader):
+    """For sessions that allow filter push-down to Python sources; Spark refuses such a reader elsewhere."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Comparisons of size_bytes and of path are applied while listing."""
+        for f in filters:
+            known = {("size_bytes",): NUMERIC, ("path",): TEXTUAL}.get(f.attribute if hasattr(f, "attribute") else ())
+            if known and (test := known.get(type(f))):
+                self.tests.append((f.attribute[0], lambda v, t=test, x=f.value: t(v, x)))
+            else:
+                yield f
+
+
 class RepoTree(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -109,13 +114,13 @@ class RepoTree(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> RepoTreeReader:
-        return RepoTreeReader(dict(self.options))
+        return (PushingReader if self.options.get("pushdown", "false").lower() == "true" else RepoTreeReader)(dict(self.options))
 
 
 def read_tree(spark: SparkSession, root: str, **options: object) -> DataFrame:
     """FILE relation of a source tree with binary content; registers the source."""
     spark.dataSource.register(RepoTree)
-    reader = spark.read.format("repo_tree")
+    reader = spark.read.format("repo_tree").option("pushdown", spark.conf.get("spark.sql.python.filterPushdown.enabled", "false"))
     for key, value in options.items():
         if value is not None:
             reader = reader.option(key, str(value).lower() if isinstance(value, bool) else str(value))
