@@ -1,7 +1,7 @@
 """Sum-of-squares packing of documents into sequences of `size` tokens.
 
 The rule: put each piece where the sum, over residual gaps g, of the squared number of open bins
-with gap g becomes smallest. The state is a count per gap, and what a bin holds matters only by
+with gap g becomes smallest; open a new bin when none has room. The state is a count per gap, and what a bin holds matters only by
 lengths, so the whole packing can be computed from the histogram of piece lengths (at most `size`
 numbers, whatever the corpus). Bins that were filled alike are kept as one pattern with a count.
 
@@ -31,10 +31,10 @@ SALTS = 256
 def plan_lengths(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, int, int, int, int]]:
     """Slots (length, first rank, last rank + 1, first bin, offset): pieces of a length, by rank, go to consecutive bins.
 
-    Lengths come in descending order. A move takes up to `step` pieces of one length; the gap is
-    chosen by the change of the sum of squares that one piece makes (2 (n[g-s] - n[g] + 1) for an
-    open gap g, 2 n[size-s] + 1 for a new bin, 1 - 2 n[s] for a gap that it closes); ties take the
-    smallest gap, so a new bin is opened last.
+    Lengths come in descending order. A move takes up to `step` pieces of one length; of the open
+    bins with room, the gap is chosen by the change of the sum of squares that one piece makes
+    (2 (n[g-s] - n[g] + 1) for a gap g, 1 - 2 n[s] for one that it closes); ties take the smallest
+    gap. A bin is opened only when none has room, so that few are left open in the end.
     """
     open_bins = np.zeros(size + 1, dtype=np.int64)
     runs: dict[int, list[tuple[int, int]]] = {}  # gap -> runs (first bin, how many) of open bins
@@ -49,10 +49,9 @@ def plan_lengths(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, in
             delta = np.where(gaps > 0, 2 * (after - gaps + 1), np.iinfo(np.int64).max)
             if gaps[0]:
                 delta[0] = 1 - 2 * gaps[0]
-            fresh = 1 if length == size else 2 * int(open_bins[size - length]) + 1
             best = int(np.argmin(delta))
             take = min(step, left)
-            if delta[best] <= fresh:
+            if gaps[best]:
                 gap = length + best
                 first, n = runs[gap].pop()
                 take = min(take, n)
