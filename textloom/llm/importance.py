@@ -73,7 +73,8 @@ def _count(rows: DataFrame) -> dict[str, np.ndarray]:
                     sums[1] += n
         for k in range(2):
             at = np.flatnonzero(sums[k])
-            yield pa.RecordBatch.from_pydict({"model": [k] * len(at), "bucket": at, "n": sums[k][at]})
+            columns = np.full(len(at), k, dtype=np.int64), at, sums[k][at]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["model", "bucket", "n"])
 
     counted = rows.mapInArrow(run, "model long, bucket long, n long").groupBy("model", "bucket").agg(F.sum("n").alias("n")).collect()
     out = {"raw": np.zeros(BUCKETS), "target": np.zeros(BUCKETS)}

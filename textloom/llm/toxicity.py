@@ -121,27 +121,30 @@ def norms(sizes: np.ndarray) -> np.ndarray:
     return MASS[np.clip(sizes, 4, LONG)]
 
 
+def _table(strings: list[list[int]], column: np.ndarray, width: int) -> np.ndarray:
+    """Weights of the features with a column, strings by columns."""
+    symbols, starts, sizes = flat(strings)
+    owner = np.searchsorted(starts, np.arange(len(symbols)), side="right") - 1
+    cells, weights = [], []
+    for at, slots, w in features(symbols):
+        col = column[slots]
+        known = col >= 0
+        cells.append(owner[at[known]] * width + col[known])
+        weights.append(np.full(int(known.sum()), w))
+    return np.bincount(np.concatenate(cells), np.concatenate(weights), minlength=len(sizes) * width).reshape(len(sizes), width)
+
+
 def kernel(strings: list[list[int]], landmarks: list[list[int]]) -> np.ndarray:
     """Normalised kernel matrix, strings by landmarks."""
-    symbols, starts, sizes = flat(landmarks)
-    owner = np.searchsorted(starts, np.arange(len(symbols)), side="right") - 1
-    found = [(owner[at], codes, w) for at, codes, w in features(symbols)]
-    known = np.unique(np.concatenate([c for _, c, _ in found])) if found else np.empty(0, np.int64)
+    known = np.unique(np.concatenate([slots for _, slots, _ in features(flat(landmarks)[0])]))
     column = np.full(SLOTS, -1, dtype=np.int64)
     column[known] = np.arange(len(known))
-    right = np.zeros((len(known), len(landmarks)))
-    for o, codes, w in found:
-        np.add.at(right, (column[codes], o), w)
-    right /= norms(sizes)
+    size = lambda x: np.array([len(s) for s in x], dtype=np.int64)
+    right = _table(landmarks, column, len(known)).T / norms(size(landmarks))
     out = np.zeros((len(strings), len(landmarks)))
     for a in range(0, len(strings), 2000):
-        symbols, starts, sizes = flat(strings[a : a + 2000])
-        owner = np.searchsorted(starts, np.arange(len(symbols)), side="right") - 1
-        left = np.zeros((len(sizes), len(known)))
-        for at, codes, w in features(symbols):
-            col = column[codes]
-            np.add.at(left, (owner[at[col >= 0]], col[col >= 0]), w)
-        out[a : a + 2000] = (left @ right) / norms(sizes)[:, None]
+        part = strings[a : a + 2000]
+        out[a : a + 2000] = (_table(part, column, len(known)) @ right) / norms(size(part))[:, None]
     return out
 
 
@@ -261,9 +264,27 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> ToxicityModel:
 
 
 def fit_texts(texts: list[str], toxic: list[int]) -> ToxicityModel:
-    """Fit on texts and their labels, in the driver; the caller bounds their number."""
+    """Fit on texts and their labels, in the driver; the caller bounds their number.
+
+    The logistic function is fitted on scores of texts that the words' SVM hasn't seen: each half of
+    the texts is scored by a model of the other half.
+    """
     if len(set(toxic)) < 2:
         return ToxicityModel(np.zeros(SLOTS, dtype=np.float32), FLOOR, (0.0, 0.0, -3.0))
+    model = fit_words(texts, toxic)
+    halves = [[k for k in range(len(texts)) if (k // 2 + toxic[k]) % 2 == h] for h in (0, 1)]
+    tops = np.empty((len(texts), 2))
+    for own, other in (halves, halves[::-1]):
+        seen = [toxic[k] for k in other]
+        unseen = fit_words([texts[k] for k in other], seen) if len(set(seen)) == 2 else model
+        if own:
+            tops[own] = Scorer(unseen).tops([texts[k] for k in own])
+    model.logistic = logistic(tops, np.array(toxic, dtype=np.float64))
+    return model
+
+
+def fit_words(texts: list[str], toxic: list[int]) -> ToxicityModel:
+    """The words' SVM, folded into feature weights."""
     seen: dict[str, list[int]] = {}
     for text, y in zip(texts, toxic, strict=True):
         for w in set(_tokens(text)):
@@ -297,6 +318,7 @@ def fit_texts(texts: list[str], toxic: list[int]) -> ToxicityModel:
     x, y = np.vstack((phi, phi)), np.concatenate((np.ones(len(words)), -np.ones(len(words))))
     weight = np.concatenate((foul, clean))
     weight[: len(words)][n[:, 1] < 4] = 0
+    x, y, weight = x[weight > 0], y[weight > 0], weight[weight > 0]
     w = squared_hinge(x, y, weight * 1000, ridge=RIDGE)
     beta = whiten @ w[:-1]
     table = np.zeros(SLOTS)
@@ -305,26 +327,25 @@ def fit_texts(texts: list[str], toxic: list[int]) -> ToxicityModel:
     scale = beta / norms(sizes)
     for at, codes, weight in features(symbols):
         np.add.at(table, codes, weight * scale[owner[at]])
-    model = ToxicityModel(table.astype(np.float32), float(w[-1]))
-    tops = np.array(Scorer(model).tops(texts))
-    model.logistic = logistic(tops, np.array(toxic, dtype=np.float64))
-    return model
+    return ToxicityModel(table.astype(np.float32), float(w[-1]))
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """Logistic regression on two columns, classes weighted alike, slightly regularised."""
-    x = np.hstack((x, np.ones((len(x), 1))))
-    weight = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)) * len(y)
-    w = np.zeros(3)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag([0.5, 0.5, 1e-6])
-        g = x.T @ (weight * (p - y)) + np.array([0.5, 0.5, 1e-6]) * w
-        step = np.linalg.solve(h, g)
-        w -= step
-        if np.abs(step).max() < 1e-8:
-            break
-    return float(w[0]), float(w[1]), float(w[2])
+    """Logistic regression on the two highest scores, slightly regularised; neither may count against toxicity."""
+    use = [0, 1]
+    while True:
+        z = np.hstack((x[:, use], np.ones((len(x), 1))))
+        w, keep = np.zeros(z.shape[1]), np.array([0.1] * len(use) + [1e-6])
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+            step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(keep), z.T @ (p - y) + keep * w)
+            w -= step
+            if np.abs(step).max() < 1e-8:
+                break
+        if len(use) == 1 or min(w[:2]) >= 0:
+            found = dict(zip(use, w, strict=False))
+            return float(max(0.0, found.get(0, 0.0))), float(max(0.0, found.get(1, 0.0))), float(w[-1])
+        use = [int(np.argmax(w[:2]))]
 
 
 def toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
