@@ -117,6 +117,7 @@ def exact_duplicates(docs: DataFrame, text_col: str = "text", block_bytes: int =
     """
     ids = text_identities(docs, text_col, block_bytes)
     groups = ids.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
+    groups = staged(groups, "groups")  # a plain scan on this side lets the adaptive planner split a hot group of the join
     kept = F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull())
     return (
         ids.join(groups, ["level", "name"])
