@@ -5,6 +5,8 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from cases import HARD  # noqa: E402
+
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
@@ -31,13 +33,6 @@ def sample(spark, sf_dir):
     return [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
 
 
-#: What every operator must handle: nulls, empty, blank, ties, repeats, one very long text, other scripts.
-HARD = [
-    (1, None), (2, ""), (3, "   \n\t "), (4, "Same text here with Several words"), (5, "same text here with several words"), (6, "same text here with several words"), (7, "ÄÖ ñandú 漢字 😀 naïve"),
-    (8, "word " * 40_000), (9, "x" * 70_000), (10, "1234 5678 !!! ---"), (11, "a"), (11, "a"), (None, "no number on this one"), (None, None), (12, "tab\tand\x0bvertical\x1cfile sep nbsp"),
-]
-
-
 @pytest.fixture
 def hard(docs_of):
     return docs_of(HARD, clash=True)

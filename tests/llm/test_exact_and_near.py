@@ -5,7 +5,7 @@ import hashlib
 import brute
 import numpy as np
 import pytest
-from conftest import HARD
+from cases import HARD
 from hypothesis import given, settings
 from hypothesis import strategies as st
 

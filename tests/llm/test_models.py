@@ -3,7 +3,7 @@
 import zlib
 
 import numpy as np
-from conftest import HARD
+from cases import HARD
 from pyspark.sql import functions as F
 
 from textloom.llm import importance, language, queries, toxicity

@@ -3,7 +3,7 @@
 import hashlib
 
 import brute
-from conftest import HARD
+from cases import HARD
 from hypothesis import given, settings
 from hypothesis import strategies as st
 

@@ -1,6 +1,19 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 SQL = {
+    "op1_decontaminate": f"""
+        WITH w AS (SELECT doc_id, {WORDS} AS ws FROM documents), i AS (SELECT item_id, {WORDS} AS ws FROM benchmark WHERE item_id IS NOT NULL),
+        wins AS (SELECT DISTINCT item_id, least(13, len(ws)) AS n, array_to_string(ws[k:k + 12], ' ') AS g FROM i, unnest(range(1, greatest(1, len(ws) - 12) + 1)) t(k) WHERE len(ws) > 0),
+        sizes AS (SELECT DISTINCT n FROM wins),
+        spans AS (SELECT doc_id, n, k, array_to_string(ws[k:k + n - 1], ' ') AS g FROM w, sizes, unnest(range(1, len(ws) - n + 2)) t(k)),
+        hits AS (SELECT doc_id, k, n, item_id FROM spans JOIN wins USING (g, n)),
+        covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hits, unnest(range(k, k + n)) t(p) GROUP BY doc_id),
+        items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+        SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(listed, '')) AS items_sha256,
+            coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated FROM w LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+    """,
     "op8_exact_dedup": """
         WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents),
         g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
