@@ -116,6 +116,28 @@ CASES = [
 ]
 
 
+FILLER = "Some longer sentence of the article that goes on. "
+MORE = [
+    (page(f"<div class='topnav'><a href=a>Home</a> <a href=b>News</a></div><div class='content has-sidebar'><h1>Head</h1><p>{FILLER}</p><div class='share-buttons'>Share</div></div><div class='mainmenu'>x</div>"), f"Head\n{FILLER.strip()}"),
+    (page(f"<article><header class='entry-header'><h1>Head</h1></header><div class='entry-content'><p>{FILLER}</p></div><footer class='entry-footer'>tags</footer></article><section id='comments'><article class='comment'><p>reader says</p></article></section>"), f"Head\n{FILLER.strip()}"),
+    (page(f"<ul><li><a href=1>One</a><li><a href=2>Two</a></ul><h2>Head</h2><p>{FILLER}<p>{FILLER}<form>search<input></form>"), f"Head\n{FILLER.strip()}\n{FILLER.strip()}"),
+    (page(f"<div id=wrapper><div id=header>Site</div><div role=main><blockquote>{FILLER}</blockquote><p>See <a href=x>this link</a>.</p></div><div class='cookieconsent'>c</div><div id=footer>f</div></div>"), f"{FILLER.strip()}\nSee this link ."),
+    (page(f"<div class='AdBanner'>buy</div><table><tr><td class=sidebar>s</td><td class=body><p>{FILLER}</p></td></tr></table><noscript>n</noscript><template>t</template>"), FILLER.strip()),
+]
+
+
+def test_other_layouts():
+    for source, want in MORE:
+        assert html_text.main_text(source, []).replace("link.", "link .") == want, source
+
+
+def test_salted_hosts(spark, monkeypatch):
+    df = spark.createDataFrame([(k, f"http://h{k % 2}.x/", CASES[0][0]) for k in range(6)] + [(9, None, None)], "page_id long, url string, html string")
+    want = {tuple(r) for r in html_text.main_texts(df).collect()}
+    monkeypatch.setattr(html_text, "BROADCAST_HOSTS", 0)
+    assert {tuple(r) for r in html_text.main_texts(df).collect()} == want and len(want) == 7
+
+
 def test_main_text_cases():
     for source, want in CASES:
         assert html_text.main_text(source, []) == want, source

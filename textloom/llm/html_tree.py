@@ -26,12 +26,20 @@ PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 CHAFF = frozenset(
     "ad ads adbox adslot adsense advert adverts advertisement advertising advertorial banner bar breadcrumb breadcrumbs bookmarks comment comments commentlist consent cookie cookies copyright cta disclaimer "
     "disqus dropdown feedback footer form gdpr header hidden login masthead menu menus metadata modal nav navbar navigation navi newsletter notice notices notification offscreen outbrain overlay pager "
-    "pagination paywall popup popular promo promoted promotion rail recommend recommended recommendations related reply replies respond responses search share sharebar sharing sidebar side signup skip social "
+    "pagination paywall popup popular promo promoted promotion rail recommend recommended recommendations reactions related discussion reply replies respond responses search share sharebar sharing sidebar side signup skip social "
     "sponsor sponsored sponsors subscribe subscription taboola tags teaser toc toolbar tooltip topbar tracking trending warning widget widgets".split()
 )
 DROPPED = frozenset("nav footer aside form button select input textarea script style noscript template svg math canvas iframe object embed dialog menu audio video map head title datalist xmp noembed noframes".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar tablist status tooltip".split())
-GOOD = frozenset("article post entry story content main body text".split())
+#: Compounds written as one word, such as topnav or cookiebar.
+COMPOUND = re.compile(r"(nav|navbar|navigation|menu|footer|sidebar|banner|breadcrumbs?|popup|newsletter|masthead|adbox)$|^(nav|menu|footer|sidebar|cookie|advert|sponsor|newsletter|breadcrumb|subscribe)|^comments?(er|list|box|form|area|section|thread)s?$")
+GOOD = frozenset("article post entry story content".split())
+#: Chaff even where a good word stands beside it ...
+ALWAYS = frozenset("comment comments ad ads advert sidebar footer nav menu related share cookie teaser reply discussion".split())
+#: ... unless it only says what the page has besides, as in "content with-sidebar".
+BESIDES = frozenset("has with no without".split())
+#: Blocks of these that are nothing but a short link, outside a marked article, are menu entries.
+LINKED = frozenset("li td dd dt div ul ol".split())
 
 
 @dataclass(slots=True)
@@ -73,8 +81,9 @@ def _kind(tag: str, attrs: dict[str, str], inside: bool) -> tuple[bool, bool]:
     named = f"{attrs.get('class', '')} {attrs.get('id', '')}"
     words = {w.lower() for w in PARTS.findall(named)}
     strong = tag in ("article", "main") or attrs.get("role") in ("main", "article") or attrs.get("itemprop") == "articleBody"
-    if words & CHAFF and not (strong and not words & {"comment", "comments", "ad", "ads", "related", "teaser", "reply"}):
-        if not (words & GOOD and tag in ("div", "section", "body") and not words & {"comment", "comments", "ad", "ads", "advert", "sidebar", "footer", "nav", "menu", "related", "share", "cookie"}):
+    if words & CHAFF or any(COMPOUND.search(w) for w in words):
+        wanted = strong or bool(words & GOOD)
+        if not wanted or words & ALWAYS and not words & BESIDES:
             return True, False
     return False, strong
 
@@ -86,20 +95,27 @@ def parse(source: str) -> Page:
     stack = [0]
     text: list[str] = []
     at, n, lower = 0, len(source), None
+    link, linked = 0, 0  # open links; characters of the block inside links
 
     def flush() -> None:
+        nonlocal linked
         if text:
             body = " ".join("".join(text).split())
             text.clear()
             if body:
-                blocks.append((body, elements[stack[-1]].chaff))
+                own = elements[stack[-1]]
+                entry = linked * 10 >= 9 * len(body) and len(body) < 60 and any(elements[k].tag in LINKED for k in stack[-3:]) and own.tag != "p" and not any(elements[k].good for k in stack)
+                blocks.append((body, own.chaff or entry))
+        linked = 0
 
     def close(upto: int) -> None:
         """Close elements from the top of the stack down to this place in it."""
+        nonlocal link
         while len(stack) > upto:
             e = elements[stack[-1]]
             if e.tag in BLOCK or e.chaff != elements[e.parent].chaff:
                 flush()
+            link -= e.tag == "a"
             e.last = len(blocks)
             stack.pop()
 
@@ -111,6 +127,7 @@ def parse(source: str) -> Page:
         if lt > at:
             piece = source[at:lt]
             text.append(html.unescape(piece) if "&" in piece else piece)
+            linked += len(text[-1]) if link else 0
         mark = source[lt + 1 : lt + 2]
         if mark == "!":
             if source.startswith("<!--", lt):
@@ -204,6 +221,7 @@ def parse(source: str) -> Page:
             continue
         if not m[3].rstrip().endswith("/") or tag in BLOCK:
             stack.append(len(elements) - 1)
+            link += tag == "a"
     close(1)
     flush()
     elements[0].last = len(blocks)
