@@ -161,6 +161,38 @@ def test_numbers(spark):
     assert one(spark, text.size_short(F.lit(9_472))) == "9.2 KB"
 
 
+def test_preview_keeps_characters(spark):
+    df = spark.createDataFrame([(t,) for t in ("abcdefgh", "abc", "ab😀cd", "a😀😀", "éééé", "abcdeé", None)], "t string")
+    got = [tuple(r["p"]) for r in df.select(text.preview(F.col("t"), 6).alias("p")).collect()]
+    assert got == [("abcdef", True), ("abc", False), ("ab😀", True), ("a😀", True), ("ééé", True), ("abcde", True), (None, None)]
+
+
+def test_anchor_with_stand_in_tools(spark, tmp_path, monkeypatch):
+    """Stand-ins for the video tools: two soft frames in the short tail, a sharp one in the wider."""
+    from textloom.sources import video
+
+    flat, checks = bytes([9] * 256), bytes((x // 4 + y // 4) % 2 * 255 for y in range(16) for x in range(16))
+    head = b"P5 16 16 255\n"
+    (tmp_path / "soft").write_bytes((head + flat) * 2)
+    (tmp_path / "wide").write_bytes(head + flat + head + checks + head + flat)
+    tool = tmp_path / "ffmpeg"
+    tool.write_text(f"#!/bin/sh\nfor last; do :; done\ncase \"$*\" in *-0.500*image2pipe*) cat {tmp_path}/soft;; *image2pipe*) cat {tmp_path}/wide;; *) echo \"$*\" > \"$last\";; esac\n")
+    probe = tmp_path / "ffprobe"
+    probe.write_text("#!/bin/sh\necho 10.0\n")
+    for f in (tool, probe):
+        f.chmod(0o755)
+    monkeypatch.setenv("PATH", f"{tmp_path}:/bin:/usr/bin")
+    clip = tmp_path / "clip.mp4"
+    clip.write_bytes(b"x")
+    still, idx, score = video.anchor(str(clip))
+    assert still.endswith("clip.anchor.png") and idx == 1 and score > 12 and "-sseof -1.000" in (tmp_path / "clip.anchor.png").read_text()
+    with pytest.raises(FileNotFoundError):
+        video.anchor(str(tmp_path / "none.mp4"))
+    monkeypatch.setenv("PATH", str(tmp_path / "nowhere"))
+    with pytest.raises(video.ToolMissing):
+        video.anchor(str(clip))
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="ab_ 1\"'`\\/#.(){}é=", max_size=40), st.sampled_from(["rust", "python", "go", ""]))
 def test_highlight_keeps_the_line(line, lang):

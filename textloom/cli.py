@@ -14,6 +14,7 @@ from .operators import files as ops
 from .plans.pack import changed_files, packed_files, tree_files
 from .schema import PackOptions, format_name, profile_name
 from .session import session
+from .sources.video import anchor
 
 
 def parser() -> argparse.ArgumentParser:
@@ -37,7 +38,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--redact-secrets", action="store_true")
     p.add_argument("--video-prompt")
     p.add_argument("--shot-duration", type=int)
-    p.add_argument("--video-anchor", help="path named in the prompt as the conditioning image")
+    p.add_argument("--video-anchor", help="a video whose sharpest tail frame becomes the conditioning image")
     p.add_argument("-q", "--quiet", action="store_true")
     return p
 
@@ -48,6 +49,11 @@ def options_of(a: argparse.Namespace) -> PackOptions:
 
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
+    if args.video_anchor is not None:
+        args.video_anchor, idx, score = anchor(args.video_anchor)
+        if args.video_prompt is None:
+            print(f"{args.video_anchor} (frame #{idx}, sharpness={score:.2f})")
+            return 0
     spark = session("textloom-cli")
     if args.video_prompt is not None:
         row = spark.createDataFrame([(args.video_prompt, args.shot_duration, args.video_anchor)], "text string, seconds int, anchor string")

@@ -91,6 +91,21 @@ def lines(text: Column) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(cut, "\n", -1), lambda x: F.regexp_replace(x, r"\r\z", "")))
 
 
+PREVIEW_BYTES = 256 * 1024
+
+
+def preview(text: Column, most: int = PREVIEW_BYTES) -> Column:
+    """struct(shown, truncated): at most so many bytes, cut back to a whole character."""
+    raw = text.cast("binary")
+    follows = lambda at: F.conv(F.hex(F.substring(raw, at, 1)), 16, 10).cast("int").bitwiseAND(F.lit(0xC0)) == 0x80
+    keep = F.lit(most - 3)
+    for back in (2, 1, 0):  # a byte that begins a character is the last but none of those shown
+        keep = F.when(follows(most + 1 - back), keep).otherwise(F.lit(most - back))
+    long = F.octet_length(text) > most
+    cut = F.substring(raw, F.lit(1), keep).cast("string")
+    return F.struct(F.when(long, cut).otherwise(text).alias("shown"), long.alias("truncated"))
+
+
 SIZE_UNITS = {"": 1.0, "B": 1.0, **{u: 1024.0**k for k, c in enumerate("KMG", 1) for u in (c, f"{c}B", f"{c}IB")}}
 TOKEN_UNITS = {"": 1.0, "K": 1e3, "M": 1e6}
 
