@@ -88,6 +88,18 @@ def test_ignore_rules():
     assert pattern_regex("# c") is None and pattern_regex("") is None
 
 
+def test_ignore_files_from_above(tmp_path):
+    from textloom.sources.repo_tree import walk
+
+    for path, body in {".git/info/exclude": "secret*\n", ".gitignore": "*.log\n/sub/top\n", "sub/.gitignore": "!keep.log\nlocal\n", "sub/a.log": "", "sub/keep.log": "", "sub/top": "", "sub/deep/local": "", "sub/secret1": "", "sub/x.py": ""}.items():
+        f = tmp_path / path
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_text(body)
+    assert sorted(p for p, _ in walk(str(tmp_path / "sub"))) == ["keep.log", "x.py"]
+    assert sorted(p for p, _ in walk(str(tmp_path / "sub"), gitignore=False)) == ["a.log", "deep/local", "keep.log", "secret1", "top", "x.py"]
+    assert sorted(p for p, _ in walk(str(tmp_path))) == ["sub/keep.log", "sub/x.py"]
+
+
 def test_tree_text(spark):
     got = tree.render(relation(spark, {"src/main.rs": "", "src/lib.rs": "", "Cargo.toml": "", "docs/a/b.md": ""})).first()["tree"]
     assert got == ".\n├── Cargo.toml\n├── docs\n│   └── a\n│       └── b.md\n└── src\n    ├── lib.rs\n    └── main.rs\n"

@@ -57,15 +57,20 @@ class Rules:
 
     rules: tuple[tuple[str, re.Pattern[str], bool, bool], ...] = ()
 
-    def below(self, folder: str, root: str, names: tuple[str, ...]) -> "Rules":
+    def read(self, path: str, folder: str) -> "Rules":
+        """With a file's patterns, which hold below `folder`."""
+        if not os.path.isfile(path):
+            return self
+        with open(path, encoding="utf-8", errors="replace") as lines:
+            found = tuple((f"{folder}/" if folder else "", *made) for line in lines if (made := pattern_regex(line)))
+        return Rules(self.rules + found)
+
+    def below(self, folder: str, top: str, names: tuple[str, ...]) -> "Rules":
         """With the ignore files that stand in this folder; of several names later ones win."""
-        found = list(self.rules)
+        rules = self
         for name in names:
-            path = os.path.join(root, folder, name)
-            if os.path.isfile(path):
-                with open(path, encoding="utf-8", errors="replace") as lines:
-                    found += [(f"{folder}/" if folder else "", *made) for line in lines if (made := pattern_regex(line))]
-        return Rules(tuple(found)) if len(found) > len(self.rules) else self
+            rules = rules.read(os.path.join(top, folder, name), folder)
+        return rules
 
     def ignored(self, path: str, is_folder: bool) -> bool:
         for folder, regex, negated, folders in reversed(self.rules):

@@ -30,12 +30,30 @@ class Batch(InputPartition):
 
 
 def walk(root: str, max_depth: int | None = None, hidden: bool = False, gitignore: bool = True, ignore_names: tuple[str, ...] = ()) -> Iterator[tuple[str, int]]:
-    """(relative path, size) of regular files, folders pruned as soon as a rule ignores them. Unreadable folders are skipped."""
-    names = ((".gitignore",) if gitignore and os.path.exists(os.path.join(root, ".git")) else ()) + ((".ignore",) if gitignore else ()) + ignore_names
-    todo: list[tuple[str, int, Rules]] = [("", 0, Rules())]
+    """(relative path, size) of regular files, folders pruned as soon as a rule ignores them. Unreadable folders are skipped.
+
+    Git's rules count inside a work tree only: the user's, the tree's own excludes, and ignore files
+    from its top down to each folder, later ones winning.
+    """
+    root = os.path.realpath(root)
+    top = root
+    while gitignore and not os.path.exists(os.path.join(top, ".git")) and os.path.dirname(top) != top:
+        top = os.path.dirname(top)
+    tracked = gitignore and os.path.exists(os.path.join(top, ".git"))
+    top = top if tracked else root
+    names = ((".gitignore",) if tracked else ()) + ((".ignore",) if gitignore else ()) + ignore_names
+    rules = Rules()
+    if tracked:
+        home = os.environ.get("XDG_CONFIG_HOME") or os.path.expanduser("~/.config")
+        rules = rules.read(os.path.join(home, "git", "ignore"), "").read(os.path.join(top, ".git", "info", "exclude"), "")
+    base = "" if top == root else os.path.relpath(root, top)
+    above = base.split("/") if base else []
+    for k in range(len(above)):
+        rules = rules.below("/".join(above[:k]), top, names)
+    todo: list[tuple[str, int, Rules]] = [("", 0, rules)]
     while todo:
         folder, depth, rules = todo.pop()
-        rules = rules.below(folder, root, names)
+        rules = rules.below("/".join(x for x in (base, folder) if x), top, names)
         try:
             entries = sorted(os.scandir(os.path.join(root, folder)), key=lambda e: e.name)
         except OSError:
@@ -45,7 +63,7 @@ def walk(root: str, max_depth: int | None = None, hidden: bool = False, gitignor
             if not hidden and e.name.startswith(".") or max_depth is not None and depth + 1 > max_depth:
                 continue
             is_folder = e.is_dir(follow_symlinks=False)
-            if rules.ignored(path, is_folder):
+            if rules.ignored(f"{base}/{path}" if base else path, is_folder):
                 continue
             if is_folder:
                 todo.append((path, depth + 1, rules))
