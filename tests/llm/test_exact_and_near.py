@@ -99,6 +99,8 @@ def test_crowded_homes(spark, monkeypatch):
     monkeypatch.setattr(simhash, "TILE", 8)
     nodes = spark.createDataFrame([(f, 100 + k) for k, f in enumerate(fps)], "fp long, node long")
     got = {r["node"]: r["root"] for r in simhash.components(simhash.links(nodes)).collect()}
+    monkeypatch.setattr(simhash, "TILE", 4096)
+    assert {r["node"]: r["root"] for r in simhash.components(simhash.links(nodes, parts=6)).collect()} == got
     want = components_by_hand(np.array(fps, dtype=np.uint64), 3)
     least = {}
     for k, lab in enumerate(want):

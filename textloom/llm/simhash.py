@@ -3,8 +3,8 @@
 Fingerprints are compared with numpy exclusive-or and bit counts in tiles; tiles whose population
 counts differ by more than the radius are skipped unread. To keep the work of a large corpus in
 proportion, fingerprints are first dealt into tiles' homes by their segments: two that differ in at
-most r bits agree in at least one of r + 1 segments, so every linked pair meets in some home and
-no pair is missed. A home over `TILE` fingerprints is split into sub-tiles, each pair of sub-tiles
+most r bits agree in at least p - r of p segments, so every linked pair meets in some home and no
+pair is missed (homes whose hashes agree only share their comparisons). A home over `TILE` fingerprints is split into sub-tiles, each pair of sub-tiles
 its own task unit, so one crowded home is worked on by many tasks.
 
 Equal fingerprints are one node, so a group of exact copies costs a single comparison. A unit
@@ -15,6 +15,7 @@ the whole are found from these by alternating large-star and small-star rounds.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -127,12 +128,18 @@ def _stars(keys: np.ndarray, fps: np.ndarray, nodes: np.ndarray, radius: int) ->
     return u[u != v], v[u != v]
 
 
-def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Star edges (u, v), v < u, whose components are those of all links among `nodes` (fp, node)."""
-    parts = radius + 1
-    width = 64 // parts
-    values = [F.shiftrightunsigned("fp", k * width).bitwiseAND(F.lit((1 << width) - 1)) for k in range(parts)]
-    homes = nodes.select("fp", "node", F.explode(F.array(*[v * parts + k for k, v in enumerate(values)])).alias("home"))
+def links(nodes: DataFrame, radius: int = RADIUS, parts: int | None = None) -> DataFrame:
+    """Star edges (u, v), v < u, whose components are those of all links among `nodes` (fp, node).
+
+    The 64 bits are cut into `parts` segments (default: radius + 1). At least parts - radius of them
+    agree in a linked pair, so each choice of that many segments is a home. More parts make more
+    and smaller homes: 6 (20 homes of 32 bits each) suits billions of fingerprints.
+    """
+    parts = parts or radius + 1
+    cuts = [64 * k // parts for k in range(parts + 1)]
+    values = [F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << b - a) - 1)) for a, b in zip(cuts, cuts[1:], strict=False)]
+    keys = [F.xxhash64(F.lit(n), *[values[k] for k in chosen]) for n, chosen in enumerate(combinations(range(parts), parts - radius))]
+    homes = nodes.select("fp", "node", F.explode(F.array(*keys)).alias("home"))
     crowd = staged(homes.groupBy("home").count().filter("count > 1"), "homes")
     k = F.ceil(F.col("count") / F.lit(TILE)).cast("int")
     own = F.pmod(F.xxhash64("fp"), F.col("k")).cast("int")
