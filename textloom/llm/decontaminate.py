@@ -89,8 +89,8 @@ def _pass(docs: DataFrame, sam: SuffixAutomaton) -> DataFrame:
         sam = shared.value
         for batch in batches:
             out = []
-            for text in batch.column(1).to_pylist():
-                words = words_of(text)
+            for text in batch.column(1):
+                words = words_of(text.as_py())
                 spans, items = find_hits(words, sam)
                 out.append((len(words), [{"start": a, "end": b} for a, b in spans], sorted({sam.items[k].split("\n")[0] for k in items})))
             n, spans, items = zip(*out, strict=True) if out else ((), (), ())
@@ -169,13 +169,13 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, longest: int | None =
         sam = shared.value
         for batch in batches:
             keep, texts = [], []
-            for text in batch.column(at).to_pylist():
+            for value in batch.column(at):
+                text = value.as_py()
                 words = words_of(text)
                 spans, _ = find_hits(words, sam)
                 hit = sum(b - a for a, b in spans)
                 if longest is None:
                     keep.append(not (hit and hit * SHARE >= len(words)))
-                    texts.append(text)
                 else:
                     new = cut_spans(text, spans, longest, share if share is not None else 1 / SHARE, len(words)) if spans else text
                     keep.append(new is not None or text is None)

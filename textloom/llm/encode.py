@@ -16,8 +16,8 @@ import unicodedata
 
 import numpy as np
 
-#: Pieces kept per Python worker and generation; two generations bound the memory to about 170 MB.
-CACHE = 400_000
+#: Pieces kept per Python worker and generation; two generations bound the memory to about 130 MB.
+CACHE = 300_000
 #: Control characters that Python splits at and the tokenizer doesn't.
 CONTROL = re.compile(r"[\x1c-\x1f]")
 LONGEST = 200
