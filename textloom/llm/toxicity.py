@@ -17,6 +17,7 @@ logistic function of its two most toxic words.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import staged
+
 #: Labelled documents of each class that are read for fitting, lowest hash of doc_id first; longer ones than SENTENCES characters are passed over.
 SAMPLE = 3000
 SENTENCES = 40_000
 #: Words of these that the SVM is fitted on, most frequent first.
-WORDS = 60_000
+WORDS = 40_000
 LANDMARKS = 160
 #: Landmarks are less alike than this (cosine of their kernel).
 ALIKE_MOST = 0.8
@@ -67,17 +70,19 @@ class _Table(dict):
 
 
 TABLE = _Table()
+TO_SYMBOL = bytes(max(0, c - 96) for c in range(256))
+MARK = bytes([EDGE_MARK])
 
 
-def cleaned(word: str) -> list[int]:
-    """Symbols of a word. Look-alikes count only between letters, so numbers aren't words."""
+def cleaned(word: str) -> bytes:
+    """Symbols of a word. Look-alikes count only beside letters, so numbers aren't words."""
     low = word.lower()
     if low.isascii() and low.isalpha():
-        return [EDGE_MARK, *[ord(c) - 96 for c in low], EDGE_MARK]
+        return MARK + low.encode().translate(TO_SYMBOL) + MARK
     if not any(c.isalpha() for c in low):
-        return []
+        return b""
     low = low.rstrip("!$@.,;:?") if low[-1:] in "!$@.,;:?" else low
-    return [EDGE_MARK, *[s for s in map(TABLE.__getitem__, low) if s], EDGE_MARK]
+    return MARK + bytes(s for s in map(TABLE.__getitem__, low) if s) + MARK
 
 
 OFFSETS = [(i, j, k) for k in range(3, SPAN) for j in range(2, k) for i in range(1, j)]
@@ -96,14 +101,14 @@ MASS = _lengths_mass()
 LONG = 14
 
 
-def flat(strings: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def flat(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All symbols in one array with SPAN zeros behind each string, the strings' starts, their lengths."""
     size = np.array([len(s) for s in strings], dtype=np.int64)
     starts = np.concatenate(([0], np.cumsum(size + SPAN)))[:-1].astype(np.int64)
     out = np.zeros(int((size + SPAN).sum()) + SPAN, dtype=np.int64)
     if len(strings):
         where = np.repeat(starts - np.concatenate(([0], np.cumsum(size)))[:-1], size) + np.arange(int(size.sum()))
-        out[where] = np.fromiter((c for s in strings for c in s), dtype=np.int64, count=int(size.sum()))
+        out[where] = np.frombuffer(b"".join(strings), dtype=np.uint8)
     return out, starts, size
 
 
@@ -121,7 +126,7 @@ def norms(sizes: np.ndarray) -> np.ndarray:
     return MASS[np.clip(sizes, 4, LONG)]
 
 
-def _table(strings: list[list[int]], column: np.ndarray, width: int) -> np.ndarray:
+def _table(strings: list[bytes], column: np.ndarray, width: int) -> np.ndarray:
     """Weights of the features with a column, strings by columns."""
     symbols, starts, sizes = flat(strings)
     owner = np.searchsorted(starts, np.arange(len(symbols)), side="right") - 1
@@ -134,7 +139,7 @@ def _table(strings: list[list[int]], column: np.ndarray, width: int) -> np.ndarr
     return np.bincount(np.concatenate(cells), np.concatenate(weights), minlength=len(sizes) * width).reshape(len(sizes), width)
 
 
-def kernel(strings: list[list[int]], landmarks: list[list[int]]) -> np.ndarray:
+def kernel(strings: list[bytes], landmarks: list[bytes]) -> np.ndarray:
     """Normalised kernel matrix, strings by landmarks."""
     known = np.unique(np.concatenate([slots for _, slots, _ in features(flat(landmarks)[0])]))
     column = np.full(SLOTS, -1, dtype=np.int64)
@@ -142,13 +147,14 @@ def kernel(strings: list[list[int]], landmarks: list[list[int]]) -> np.ndarray:
     size = lambda x: np.array([len(s) for s in x], dtype=np.int64)
     right = _table(landmarks, column, len(known)).T / norms(size(landmarks))
     out = np.zeros((len(strings), len(landmarks)))
-    for a in range(0, len(strings), 2000):
-        part = strings[a : a + 2000]
-        out[a : a + 2000] = (_table(part, column, len(known)) @ right) / norms(size(part))[:, None]
+    rows = max(1, 4_000_000 // max(1, len(known)))  # some 30 MB at a time
+    for a in range(0, len(strings), rows):
+        part = strings[a : a + rows]
+        out[a : a + rows] = (_table(part, column, len(known)) @ right) / norms(size(part))[:, None]
     return out
 
 
-def spread(strings: list[list[int]], most: int) -> list[int]:
+def spread(strings: list[bytes], most: int) -> list[int]:
     """Places of up to `most` strings, in order, leaving out those too like one taken before."""
     like = kernel(strings, strings)
     own = np.sqrt(np.maximum(np.diag(like), 1e-9))
@@ -250,7 +256,9 @@ _scorers: dict[int, Scorer] = {}
 def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> ToxicityModel:
     """Fit on at most SAMPLE documents of each class; `usable` is a condition on doc_id.
 
-    Without both classes the model scores everything alike, below the threshold.
+    Words are counted and texts scored on the executors; the driver receives at most WORDS words and
+    two numbers a document. The logistic function is fitted on scores of texts that the words' SVM
+    hasn't seen: each half of the sample is scored by a model of the other half. Without both classes the model scores everything alike, below the threshold.
     """
     spark = docs.sparkSession
     by_doc = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & usable).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -258,67 +266,99 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> ToxicityModel:
     if not picked:
         return fit_texts([], [])
     chosen = spark.createDataFrame([(r["doc_id"], r["toxic"]) for r in picked], "doc_id long, toxic int")  # at most 2 * SAMPLE rows
-    sample = docs.select("doc_id", "text").filter(F.length("text") <= SENTENCES).join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
-    rows = sorted((r["doc_id"], r["text"], r["toxic"]) for r in sample.collect())
-    return fit_texts([t for _, t, _ in rows], [y for _, _, y in rows])
+    group = 2 * F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(2)).cast("int") + F.col("toxic")
+    texts = docs.select("doc_id", "text").filter(F.length("text") <= SENTENCES).join(F.broadcast(chosen), "doc_id").select(group.alias("g"), "text")
+    sample = staged(texts, "toxicity-sample")
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, len(batch), 500):
+                part = batch.slice(a, 500)
+                words, n = word_counts(part.column(1).to_pylist(), part.column(0).to_pylist(), 4)
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), *(pa.array(x, pa.int64()) for x in n)], names=["word", "n0", "n1", "n2", "n3"])
+
+    sums = [F.sum(f"n{g}").alias(f"n{g}") for g in range(4)]
+    counted = sample.mapInArrow(count, "word binary, n0 long, n1 long, n2 long, n3 long").groupBy("word").agg(*sums)
+    top = counted.orderBy((F.col("n0") + F.col("n1") + F.col("n2") + F.col("n3")).desc(), "word").limit(WORDS).collect()
+    sizes = np.zeros(4, dtype=np.int64)
+    for r in sample.groupBy("g").count().collect():
+        sizes[r["g"]] = r["count"]
+    model, halves = fit_halves([bytes(r["word"]) for r in top], np.array([[r[f"n{g}"] for r in top] for g in range(4)]).reshape(4, len(top)), sizes)
+    if halves is None:
+        return model
+    shared = spark.sparkContext.broadcast(halves)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorers = [Scorer(m) for m in shared.value]
+        for batch in batches:
+            for g, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                first, second = scorers[g // 2].tops([text.as_py()])[0]
+                yield pa.RecordBatch.from_arrays([pa.array([g % 2], pa.int32()), pa.array([first], pa.float64()), pa.array([second], pa.float64())], names=["toxic", "first", "second"])
 
-def fit_texts(texts: list[str], toxic: list[int]) -> ToxicityModel:
-    """Fit on texts and their labels, in the driver; the caller bounds their number.
+    tops = sample.mapInArrow(score, "toxic int, first double, second double").orderBy("toxic", "first", "second").collect()
+    model.logistic = logistic(np.array([(r["first"], r["second"]) for r in tops]), np.array([r["toxic"] for r in tops], dtype=np.float64))
+    return model
 
-    The logistic function is fitted on scores of texts that the words' SVM hasn't seen: each half of
-    the texts is scored by a model of the other half.
-    """
-    if len(set(toxic)) < 2:
-        return ToxicityModel(np.zeros(SLOTS, dtype=np.float32), FLOOR, (0.0, 0.0, -3.0))
-    model = fit_words(texts, toxic)
-    halves = [[k for k in range(len(texts)) if (k // 2 + toxic[k]) % 2 == h] for h in (0, 1)]
-    tops = np.empty((len(texts), 2))
-    for own, other in (halves, halves[::-1]):
-        seen = [toxic[k] for k in other]
-        unseen = fit_words([texts[k] for k in other], seen) if len(set(seen)) == 2 else model
-        if own:
-            tops[own] = Scorer(unseen).tops([texts[k] for k in own])
-    model.logistic = logistic(tops, np.array(toxic, dtype=np.float64))
+
+def word_counts(texts: list[str], groups: list[int], n_groups: int) -> tuple[list[bytes], np.ndarray]:
+    """Distinct cleaned words, and in how many texts of each group they stand."""
+    place: dict[bytes, int] = {}
+    counts = [array("i") for _ in range(n_groups)]
+    for text, g in zip(texts, groups, strict=True):
+        for word in {cleaned(w) for w in set(_tokens(text))}:
+            if len(word) >= 4:
+                k = place.setdefault(word, len(place))
+                if k == len(counts[0]):
+                    for c in counts:
+                        c.append(0)
+                counts[g][k] += 1
+    return list(place), np.array([np.frombuffer(c, dtype=np.int32) for c in counts]).reshape(n_groups, len(place))
+
+
+def fit_halves(words: list[bytes], n: np.ndarray, size: np.ndarray) -> tuple[ToxicityModel, list[ToxicityModel] | None]:
+    """Model of all texts, and for either half a model of the other half; n: texts of each group 2 * half + toxic that hold the word."""
+    both = size[:2] + size[2:]
+    if not both.min():
+        return ToxicityModel(np.zeros(SLOTS, dtype=np.float32), FLOOR, (0.0, 0.0, -3.0)), None
+    model = fit_words(words, (n[:2] + n[2:]).T, both)
+    return model, [fit_words(words, n[g : g + 2].T, size[g : g + 2]) if size[g : g + 2].min() else model for g in (2, 0)]
+
+
+def fit_texts(texts: list[str], toxic: list[int]) -> ToxicityModel:
+    """Fit on texts and their labels in this process, as `fit` does with tables."""
+    groups = [2 * ((k // 2 + y) % 2) + y for k, y in enumerate(toxic)]
+    words, n = word_counts(texts, groups, 4)
+    model, halves = fit_halves(words, n, np.bincount(groups, minlength=4))
+    if halves is not None:
+        scorers = [Scorer(m) for m in halves]
+        tops = [scorers[g // 2].tops([text])[0] for g, text in zip(groups, texts, strict=True)]
+        model.logistic = logistic(np.array(tops), np.array(toxic, dtype=np.float64))
     return model
 
 
-def fit_words(texts: list[str], toxic: list[int]) -> ToxicityModel:
-    """The words' SVM, folded into feature weights."""
-    seen: dict[str, list[int]] = {}
-    for text, y in zip(texts, toxic, strict=True):
-        for w in set(_tokens(text)):
-            seen.setdefault(w, [0, 0])[y] += 1
-    merged: dict[tuple[int, ...], list[int]] = {}
-    for w in sorted(seen):
-        s = tuple(cleaned(w))
-        if len(s) >= 4:
-            have = merged.setdefault(s, [0, 0])
-            have[0] += seen[w][0]
-            have[1] += seen[w][1]
-    words = sorted(merged, key=lambda s: (-sum(merged[s]), s))[:WORDS]
-    n = np.array([merged[s] for s in words], dtype=np.float64)
-    total = [toxic.count(0), toxic.count(1)]
+def fit_words(known: list[bytes], counts: np.ndarray, total: np.ndarray) -> ToxicityModel:
+    """The words' SVM, folded into feature weights; counts: texts of either class that hold the word, of so many in all."""
+    first = sorted(np.flatnonzero(counts.sum(axis=1)).tolist(), key=lambda k: (-int(counts[k].sum()), known[k]))[:WORDS]
+    words, n = [known[k] for k in first], counts[first].astype(np.float64)
     odds = np.log((n[:, 1] + 0.5) / (total[1] + 1)) - np.log((n[:, 0] + 0.5) / (total[0] + 1))
     # landmarks: the most telling words of toxic sentences, and frequent clean ones
-    pool = np.argsort(-odds * np.sqrt(n.sum(axis=1)), kind="stable")[: 6 * LANDMARKS]
+    pool = np.argsort(-odds * np.sqrt(n.sum(axis=1)), kind="stable")[: 3 * LANDMARKS]
     pool = pool[odds[pool] > 0.5]
-    telling = [int(pool[k]) for k in spread([list(words[k]) for k in pool], LANDMARKS // 2)]
+    telling = [int(pool[k]) for k in spread([words[k] for k in pool], LANDMARKS // 2)]
     taken = set(telling)
     common = [k for k in range(len(words)) if odds[k] < 0.5 and k not in taken][: 2 * LANDMARKS]
-    common = [common[k] for k in spread([list(words[k]) for k in common], LANDMARKS - len(telling))]
-    marks = [list(words[k]) for k in [*telling, *common]]
+    common = [common[k] for k in spread([words[k] for k in common], LANDMARKS - len(telling))]
+    marks = [words[k] for k in [*telling, *common]]
     k_mm = kernel(marks, marks)
     value, vector = np.linalg.eigh((k_mm + k_mm.T) / 2)
     whiten = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
-    phi = kernel([list(s) for s in words], marks) @ whiten
+    phi = (kernel(words, marks) @ whiten).astype(np.float32)
     # occurrences in toxic sentences are toxic only as far as clean sentences don't have the word as often
-    share = n / np.array(total)
-    foul, clean = np.maximum(0, share[:, 1] - 2 * share[:, 0]), share[:, 0] + 1 / sum(total)
-    x, y = np.vstack((phi, phi)), np.concatenate((np.ones(len(words)), -np.ones(len(words))))
-    weight = np.concatenate((foul, clean))
-    weight[: len(words)][n[:, 1] < 4] = 0
-    x, y, weight = x[weight > 0], y[weight > 0], weight[weight > 0]
+    share = n / total
+    foul, clean = np.maximum(0, share[:, 1] - 2 * share[:, 0]), share[:, 0] + 1 / total.sum()
+    foul[n[:, 1] < 4] = 0
+    bad = np.flatnonzero(foul)
+    x, y, weight = np.vstack((phi[bad], phi)), np.concatenate((np.ones(len(bad)), -np.ones(len(words)))), np.concatenate((foul[bad], clean))
     w = squared_hinge(x, y, weight * 1000, ridge=RIDGE)
     beta = whiten @ w[:-1]
     table = np.zeros(SLOTS)
