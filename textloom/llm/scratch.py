@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 KEY = "spark.checkpoint.dir"
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,7 +25,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/textloom-{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/textloom-{tag}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
 
 
 def staged(df: DataFrame, tag: str) -> DataFrame:
@@ -32,3 +35,13 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     path = new_path(df.sparkSession, tag)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete what this process has written here; for long sessions, once results derived from it are stored."""
+    conf = spark._jsc.hadoopConfiguration()
+    for name in (gone := list(_made)):
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
+        _made.remove(name)
+    return len(gone)
