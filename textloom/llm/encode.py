@@ -41,10 +41,11 @@ class Encoder:
     Other pieces go through the whole tokenizer.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.limit = cache
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.model = self.tok.model
@@ -108,7 +109,7 @@ class Encoder:
                 words = text.replace("\n", " \n").split(" ")
                 words[0] = "\0" + words[0]
                 out.append(b"".join(map(self.cache.__getitem__, words)))
-            if len(self.cache) > CACHE:
+            if len(self.cache) > self.limit:
                 self.cache = Pieces(self, self.cache)
         return out
 
@@ -132,11 +133,11 @@ class Pieces(dict):
         return ids
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cache: int = CACHE) -> Encoder:
     """This worker process's encoder for a vocabulary file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, cache) not in _encoders:
+        _encoders[path, cache] = Encoder(path, cache)
+    return _encoders[path, cache]

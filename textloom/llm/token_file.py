@@ -37,6 +37,8 @@ SKIPPABLE, SEEK_MAGIC, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 INDEX_SKIPPABLE, INDEX_MAGIC = 0x184D2A50, 0x544B4958
 #: Bytes of ids after which a frame is closed; a document is never split over frames.
 FRAME_BYTES = 1 << 18
+#: Pieces that an encoder keeps here, and as many of the generation before: no other stage shares its workers.
+PIECES = 400_000
 INDEX = np.dtype([("doc_id", "<i8"), ("frame", "<u4"), ("at", "<u8"), ("n_tokens", "<u8")])
 
 
@@ -151,7 +153,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, root: str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
 
-        enc, out, count, tokens, first = encoder(vocabulary), None, 0, 0, None
+        enc, out, count, tokens, first = encoder(vocabulary, PIECES), None, 0, 0, None
         end = struct.pack("<I", end_id)
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
