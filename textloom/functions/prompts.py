@@ -111,7 +111,8 @@ def compiled(text: Column, seconds: Column | None = None, anchor: Column | None
     cut = shots(clean)
     lens = specs(clean, LENS)
     condensed = F.transform(cut, condense)
-    info = F.struct(subject(cut).alias("subject"), lens.alias("lens"), specs(clean, LIGHTING).alias("lighting"), condensed.alias("shots"), F.transform(condensed, lambda s: camera(s, lens)).alias("cameras"))
+    # the locked lens is put in by `assemble`: inside the lambda the whole text would be searched again for every shot
+    info = F.struct(subject(cut).alias("subject"), lens.alias("lens"), specs(clean, LIGHTING).alias("lighting"), condensed.alias("shots"), F.transform(condensed, lambda s: camera(s, F.lit(None))).alias("cameras"))
     return _assemble(info, F.lit(None).cast("int") if seconds is None else seconds, F.lit(None).cast("string") if anchor is None else anchor)
 
 
@@ -123,6 +124,7 @@ def assemble(info: dict, seconds: int | None, anchor: str | None) -> str:
     identity = ", ".join([who, *(v for v in (lens, light) if v is not None and v.lower() not in who.lower())])
     paste = ["", "# 2. Paste-Ready Video Model Prompts (No XML tags — repeat identity per clip)"]
     for n, (shot, cam) in enumerate(zip(info["shots"], info["cameras"], strict=True), 1):
+        cam = lens if cam is None else cam
         first = anchor or "initial_keyframe"
         brief.append(f'  <shot index="{n}"' + (f' duration="{seconds}s">' if seconds is not None else ">"))
         brief += [f"    [Camera: {cam}]"] if cam is not None else []

@@ -339,24 +339,54 @@ def workflow_manifest(spark, sf_dir):
     return _graph(spark, sf_dir).select("event_id", workflow.manifest(F.col("content")).alias("manifest"))
 
 
-def _asks(spark, sf_dir) -> DataFrame:
+def _asks(spark, sf_dir, words: Column | None = None) -> DataFrame:
+    """Turns with injected phrases around `words`, by default the whole text."""
     t = F.col("turn")
     head = pick(["Please generate a video of ", "I want to see: show me a video of ", "Create a video where - ", ""], t + F.col("conv_id"))
     mid = pick([" very slowly, shot on 85mm Cooke at golden hour. Then it is just really quite calm; neon lighting", "\nShot 2: a drone wide angle view, f/1.4 bokeh", " cut to a cooked studio meal", ""], t)
     end = pick([", please.", " thank you.", "."], F.col("conv_id"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(head, F.regexp_replace(F.substring("text", 1, 80), r"[^A-Za-z ,]", ""), mid, end).alias("ask"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(head, F.coalesce("text", F.lit("")) if words is None else words, mid, end).alias("ask"))
+
+
+def _short_asks(spark, sf_dir) -> DataFrame:
+    """Turns cut to the letters, blanks and commas of 80 characters, as the SQL of three queries has them; see the `_whole` queries."""
+    return _asks(spark, sf_dir, F.regexp_replace(F.substring("text", 1, 80), r"[^A-Za-z ,]", ""))
+
+
+def _stripped(asks: DataFrame) -> DataFrame:
+    return asks.select("conv_id", "turn", prompts.strip_fillers(F.col("ask")).alias("clean"))
+
+
+def _condensed(asks: DataFrame) -> DataFrame:
+    return asks.select("conv_id", "turn", prompts.condense(F.col("ask")).alias("condensed"))
+
+
+def _shots(asks: DataFrame) -> DataFrame:
+    return asks.select("conv_id", "turn", F.posexplode(prompts.shots(F.col("ask"))).alias("pos", "shot")).select("conv_id", "turn", F.col("pos").cast("bigint").alias("pos"), "shot")
 
 
 def prompt_strip_filler(spark, sf_dir):
-    return _asks(spark, sf_dir).select("conv_id", "turn", prompts.strip_fillers(F.col("ask")).alias("clean"))
+    return _stripped(_short_asks(spark, sf_dir))
+
+
+def prompt_strip_filler_whole(spark, sf_dir):
+    return _stripped(_asks(spark, sf_dir))
 
 
 def prompt_condense(spark, sf_dir):
-    return _asks(spark, sf_dir).select("conv_id", "turn", prompts.condense(F.col("ask")).alias("condensed"))
+    return _condensed(_short_asks(spark, sf_dir))
+
+
+def prompt_condense_whole(spark, sf_dir):
+    return _condensed(_asks(spark, sf_dir))
 
 
 def prompt_shots(spark, sf_dir):
-    return _asks(spark, sf_dir).select("conv_id", "turn", F.posexplode(prompts.shots(F.col("ask"))).alias("pos", "shot")).select("conv_id", "turn", F.col("pos").cast("bigint").alias("pos"), "shot")
+    return _shots(_short_asks(spark, sf_dir))
+
+
+def prompt_shots_whole(spark, sf_dir):
+    return _shots(_asks(spark, sf_dir))
 
 
 def prompt_specs(spark, sf_dir):
@@ -478,7 +508,7 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     git_status_parse, redact_documents, redact_counts, redact_turns, token_estimate, token_profiles, scan_summary, summary_by_repo, dir_rollup, tree_nodes, tree_lines, tree_render, tree_flat,
     tree_visible, tree_filter, selection_toggle, selection_toggle_all, selection_invert, tri_state, budget_prune, budget_fit, budget_affected, format_xml_blocks, format_md_blocks, md_fence,
     json_escape, format_tool_call, pack_document, pack_markdown, pack_tool_call, pack_budget, lock_gosum, lock_pnpm, lock_cargo, lock_npm, lock_yarn, lock_manifest, workflow_histogram,
-    workflow_settings, workflow_manifest, prompt_strip_filler, prompt_condense, prompt_shots, prompt_specs, prompt_compile, frame_sharpness, sharpest_frame, pgm_stream, outline_rust,
+    workflow_settings, workflow_manifest, prompt_strip_filler, prompt_condense, prompt_shots, prompt_specs, prompt_compile, prompt_strip_filler_whole, prompt_condense_whole, prompt_shots_whole, frame_sharpness, sharpest_frame, pgm_stream, outline_rust,
     outline_python, outline_generic, highlight_lines, fuzzy_filter, fuzzy_best, number_formats, size_literals, context_gauge, line_index, tail_paths, binary_filter, stats_line, outlined_preview,
 ]
 

@@ -219,3 +219,6 @@ SQL["pack_budget"] = f"""WITH RECURSIVE ids0 AS ({IDS.removeprefix("ids AS (").r
 SQL["fuzzy_best"] = f"""{FILES}, h AS (SELECT source, path, parts, -length(path) / 100.0 + CASE WHEN contains(lower(path), 'doc') THEN 2 ELSE 0 END + CASE WHEN contains('/' || lower(path), '/doc') THEN 1 ELSE 0 END + CASE WHEN contains(lower(path), 'rs') THEN 2 ELSE 0 END + CASE WHEN contains('/' || lower(path), '/rs') THEN 1 ELSE 0 END AS score
     FROM named WHERE regexp_matches(lower(path), 'd.*o.*c') AND regexp_matches(lower(path), 'r.*s')), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY round(score, 6) DESC, parts) AS k FROM h)
     SELECT source AS repo_id, path, CAST(round(score, 4) AS DOUBLE) AS score FROM r WHERE k = 1"""
+#: The whole texts of the turns, with their punctuation.
+WHOLE_ASKS = ASKS.replace("regexp_replace(left(text, 80), '[^A-Za-z ,]', '', 'g')", "coalesce(text, '')")
+SQL |= {f"{name}_whole": SQL[name].replace(ASKS, WHOLE_ASKS) for name in ("prompt_strip_filler", "prompt_condense", "prompt_shots")}
