@@ -242,14 +242,21 @@ def format_md_blocks(spark, sf_dir):
 
 def md_fence(spark, sf_dir):
     d = F.col("doc_id")
-    body = F.concat(F.substring("text", 1, 20), F.repeat(F.lit("`"), (d % 6).cast("int")), F.lit(" x "), F.repeat(F.lit("`"), (d % 4).cast("int")))
+    body = F.concat("text", F.repeat(F.lit("`"), (d % 6).cast("int")), F.lit(" x "), F.repeat(F.lit("`"), (d % 4).cast("int")))
     return ids(spark, sf_dir).select("doc_id", text.fence(body).alias("fence"))
 
 
+def _escaped(body: Column) -> Column:
+    return text.json_escape(F.concat(body, pick(['"q"\\', "\t\r\n", "\x01\x1f", "\b\f", "é/<>"], F.col("doc_id"))))
+
+
 def json_escape(spark, sf_dir):
-    d = F.col("doc_id")
-    body = F.concat(F.substring("text", 1, 200), pick(['"q"\\', "\t\r\n", "\x01\x1f", "\b\f", "é/<>"], d))
-    return ids(spark, sf_dir).select("doc_id", text.json_escape(body).alias("escaped"))
+    """200 characters of each document, as its SQL has them; see json_escape_whole."""
+    return ids(spark, sf_dir).select("doc_id", _escaped(F.substring("text", 1, 200)).alias("escaped"))
+
+
+def json_escape_whole(spark, sf_dir):
+    return ids(spark, sf_dir).select("doc_id", _escaped(F.col("text")).alias("escaped")).select("doc_id", F.md5("escaped").alias("escaped_md5"), F.length("escaped").cast("bigint").alias("n_chars"))
 
 
 def format_tool_call(spark, sf_dir):
@@ -507,7 +514,7 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     scan_documents, path_predicates, skip_filter, size_filter, glob_filter, depth_filter, hidden_filter, language_hint, compression_tier, path_order, changed_semi_join, skipped_anti_join,
     git_status_parse, redact_documents, redact_counts, redact_turns, token_estimate, token_profiles, scan_summary, summary_by_repo, dir_rollup, tree_nodes, tree_lines, tree_render, tree_flat,
     tree_visible, tree_filter, selection_toggle, selection_toggle_all, selection_invert, tri_state, budget_prune, budget_fit, budget_affected, format_xml_blocks, format_md_blocks, md_fence,
-    json_escape, format_tool_call, pack_document, pack_markdown, pack_tool_call, pack_budget, lock_gosum, lock_pnpm, lock_cargo, lock_npm, lock_yarn, lock_manifest, workflow_histogram,
+    json_escape, json_escape_whole, format_tool_call, pack_document, pack_markdown, pack_tool_call, pack_budget, lock_gosum, lock_pnpm, lock_cargo, lock_npm, lock_yarn, lock_manifest, workflow_histogram,
     workflow_settings, workflow_manifest, prompt_strip_filler, prompt_condense, prompt_shots, prompt_specs, prompt_compile, prompt_strip_filler_whole, prompt_condense_whole, prompt_shots_whole, frame_sharpness, sharpest_frame, pgm_stream, outline_rust,
     outline_python, outline_generic, highlight_lines, fuzzy_filter, fuzzy_best, number_formats, size_literals, context_gauge, line_index, tail_paths, binary_filter, stats_line, outlined_preview,
 ]

@@ -222,3 +222,4 @@ SQL["fuzzy_best"] = f"""{FILES}, h AS (SELECT source, path, parts, -length(path)
 #: The whole texts of the turns, with their punctuation.
 WHOLE_ASKS = ASKS.replace("regexp_replace(left(text, 80), '[^A-Za-z ,]', '', 'g')", "coalesce(text, '')")
 SQL |= {f"{name}_whole": SQL[name].replace(ASKS, WHOLE_ASKS) for name in ("prompt_strip_filler", "prompt_condense", "prompt_shots")}
+SQL["json_escape_whole"] = SQL["json_escape"].replace("left(text, 200)", "text").replace(f"{escape('body')} AS escaped", f"md5({escape('body')}) AS escaped_md5, length({escape('body')}) AS n_chars")
