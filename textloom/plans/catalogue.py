@@ -220,17 +220,46 @@ def budget_prune(spark, sf_dir):
 
 
 def _outlined(spark, sf_dir) -> DataFrame:
+    """Both phases with 60 characters in place of an outline, as the SQL of two queries has it; see the `_code` queries."""
     return budget.fit_budget(file_view(spark, sf_dir), BUDGET, F.when(F.endswith("path", F.lit(".rs")) | F.endswith("path", F.lit(".py")), F.substring("content", 1, 60)))
 
 
+def code_body() -> Column:
+    """The whole text as the body of a function where the path's language has outlines; braces would end the body and become brackets."""
+    hint, d, whole = paths.language_hint(file_path()), F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))
+    flat = F.concat(F.translate(whole, "{}", "()"), F.lit("\n}\n"))
+    return (
+        F.when(hint == "python", F.concat(F.lit("LIMIT = "), d, F.lit("\n\ndef body():\n    "), F.replace(whole, F.lit("\n"), F.lit("\n    ")), F.lit("\n")))
+        .when(hint == "rust", F.concat(F.lit("pub struct D"), d, F.lit(";\n\npub fn body() {\n"), flat))
+        .when(hint.isin(*outline.OUTLINED), F.concat(F.lit("// "), d, F.lit("\n\nfunc body() {\n"), flat))
+        .otherwise(whole)
+    )
+
+
+def _fitted_code(spark, sf_dir) -> DataFrame:
+    return budget.fit_budget(file_view(spark, sf_dir, code_body()), BUDGET, outline.outline(F.col("content"), F.col("path")))
+
+
+def _fit_columns(fitted: DataFrame) -> DataFrame:
+    return fitted.select("repo_id", "path", F.md5("content_fit").alias("content_md5"), "tokens_fit", "outlined", "kept")
+
+
 def budget_fit(spark, sf_dir):
-    return _outlined(spark, sf_dir).select("repo_id", "path", F.md5("content_fit").alias("content_md5"), "tokens_fit", "outlined", "kept")
+    return _fit_columns(_outlined(spark, sf_dir))
+
+
+def budget_fit_code(spark, sf_dir):
+    return _fit_columns(_fitted_code(spark, sf_dir))
 
 
 def budget_affected(spark, sf_dir):
     return budget.affected(_outlined(spark, sf_dir))
 
 
+def budget_affected_code(spark, sf_dir):
+    return budget.affected(_fitted_code(spark, sf_dir))
+
+
 def format_xml_blocks(spark, sf_dir):
     own = file_view(spark, sf_dir).withColumn("is_outlined", F.endswith("path", F.lit(".rs")))
     return shape.blocks(own).select("repo_id", "path", F.md5("block").alias("block_md5"))
@@ -275,12 +304,23 @@ def pack_tool_call(spark, sf_dir):
     return shape.documents(file_view(spark, sf_dir), "tool-call").select("repo_id", F.md5("document").alias("document_md5"))
 
 
-def pack_budget(spark, sf_dir):
-    """The flagship: path and size rules, redaction, estimate, budget, XML blocks, one text per repository."""
-    options = PackOptions(max_file_size=20_000, redact_secrets=True, budget=BUDGET)
+def _packed(spark, sf_dir, options: PackOptions) -> DataFrame:
     return plan.pack(file_view(spark, sf_dir, _secret()), options).select("repo_id", F.md5("document").alias("document_md5"), F.length("document").cast("bigint").alias("n_chars"))
 
 
+def pack_budget(spark, sf_dir):
+    """The flagship: path and size rules, redaction, estimate, budget, XML blocks, one text per repository.
+
+    Its size limit of 20 kB is that of its SQL; see pack_budget_whole.
+    """
+    return _packed(spark, sf_dir, PackOptions(max_file_size=20_000, redact_secrets=True, budget=BUDGET))
+
+
+def pack_budget_whole(spark, sf_dir):
+    """The flagship at the default size limit."""
+    return _packed(spark, sf_dir, PackOptions(redact_secrets=True, budget=BUDGET))
+
+
 def _deps(rows: DataFrame, name: str, content: Column) -> DataFrame:
     read = rows.withColumn("d", F.explode(lockfiles.dependencies(F.lit(f"a/{name}"), content)))
     return read.select("p_partkey", F.col("d.name").alias("name"), F.col("d.version").alias("version"))
@@ -513,8 +553,8 @@ def outlined_preview(spark, sf_dir):
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     scan_documents, path_predicates, skip_filter, size_filter, glob_filter, depth_filter, hidden_filter, language_hint, compression_tier, path_order, changed_semi_join, skipped_anti_join,
     git_status_parse, redact_documents, redact_counts, redact_turns, token_estimate, token_profiles, scan_summary, summary_by_repo, dir_rollup, tree_nodes, tree_lines, tree_render, tree_flat,
-    tree_visible, tree_filter, selection_toggle, selection_toggle_all, selection_invert, tri_state, budget_prune, budget_fit, budget_affected, format_xml_blocks, format_md_blocks, md_fence,
-    json_escape, json_escape_whole, format_tool_call, pack_document, pack_markdown, pack_tool_call, pack_budget, lock_gosum, lock_pnpm, lock_cargo, lock_npm, lock_yarn, lock_manifest, workflow_histogram,
+    tree_visible, tree_filter, selection_toggle, selection_toggle_all, selection_invert, tri_state, budget_prune, budget_fit, budget_affected, budget_fit_code, budget_affected_code, format_xml_blocks, format_md_blocks, md_fence,
+    json_escape, json_escape_whole, format_tool_call, pack_document, pack_markdown, pack_tool_call, pack_budget, pack_budget_whole, lock_gosum, lock_pnpm, lock_cargo, lock_npm, lock_yarn, lock_manifest, workflow_histogram,
     workflow_settings, workflow_manifest, prompt_strip_filler, prompt_condense, prompt_shots, prompt_specs, prompt_compile, prompt_strip_filler_whole, prompt_condense_whole, prompt_shots_whole, frame_sharpness, sharpest_frame, pgm_stream, outline_rust,
     outline_python, outline_generic, highlight_lines, fuzzy_filter, fuzzy_best, number_formats, size_literals, context_gauge, line_index, tail_paths, binary_filter, stats_line, outlined_preview,
 ]

@@ -5,6 +5,7 @@ Only fixed lists and the synthetic inputs are shared, so that both sides read th
 
 from __future__ import annotations
 
+from ..functions.outline import OUTLINED
 from ..functions.paths import BINARY_EXTENSIONS, LANGUAGES, LOCKFILES
 from ..functions.prompts import FILLERS, LENS, LIGHTING, STOP_WORDS
 from ..schema import PROFILES
@@ -223,3 +224,16 @@ SQL["fuzzy_best"] = f"""{FILES}, h AS (SELECT source, path, parts, -length(path)
 WHOLE_ASKS = ASKS.replace("regexp_replace(left(text, 80), '[^A-Za-z ,]', '', 'g')", "coalesce(text, '')")
 SQL |= {f"{name}_whole": SQL[name].replace(ASKS, WHOLE_ASKS) for name in ("prompt_strip_filler", "prompt_condense", "prompt_shots")}
 SQL["json_escape_whole"] = SQL["json_escape"].replace("left(text, 200)", "text").replace(f"{escape('body')} AS escaped", f"md5({escape('body')}) AS escaped_md5, length({escape('body')}) AS n_chars")
+SQL["pack_budget_whole"] = SQL["pack_budget"].replace("size <= 20000", "size <= 1048576")
+#: Whole texts as function bodies, and the outline that is left of them.
+CODE = f"""src0 AS ({IDS.removeprefix("ids AS (").removesuffix(")")}), src AS (SELECT *, regexp_extract(string_split(path, '/')[-1], '^.+\\.([^.]*)$', 1) AS ext FROM src0),
+    src1 AS (SELECT * EXCLUDE (ext), {HINT} AS hint FROM src), ids AS (SELECT doc_id, source, lang, path,
+    CASE WHEN hint = 'python' THEN 'LIMIT = ' || doc_id || chr(10) || chr(10) || 'def body():' || chr(10) || '    ' || replace(text, chr(10), chr(10) || '    ') || chr(10)
+        WHEN hint = 'rust' THEN 'pub struct D' || doc_id || ';' || chr(10) || chr(10) || 'pub fn body() {{' || chr(10) || translate(text, '{{}}', '()') || chr(10) || '}}' || chr(10)
+        WHEN hint IN ({", ".join(map(quoted, OUTLINED))}) THEN '// ' || doc_id || chr(10) || chr(10) || 'func body() {{' || chr(10) || translate(text, '{{}}', '()') || chr(10) || '}}' || chr(10) ELSE text END AS text,
+    CASE WHEN hint = 'python' THEN 'LIMIT = ' || doc_id || chr(10) || chr(10) || 'def body():' || chr(10) || '    ...' || chr(10)
+        WHEN hint = 'rust' THEN 'pub struct D' || doc_id || ';' || chr(10) || chr(10) || 'pub fn body() {{ /* ... */ }}' || chr(10)
+        WHEN hint IN ({", ".join(map(quoted, OUTLINED))}) THEN '// ' || doc_id || chr(10) || chr(10) || 'func body() {{ /* ... */ }}' || chr(10) END AS lined FROM src1)"""
+CODED = f"WITH RECURSIVE {CODE}, {NAMED}, {RULES}, {fitted('named', 'lined')}"
+SQL["budget_fit_code"] = f"{CODED} SELECT source AS repo_id, path, md5(content_fit) AS content_md5, tokens_fit, outlined, kept FROM p3"
+SQL["budget_affected_code"] = f"{CODED} SELECT source AS repo_id, CAST(sum(CAST(outlined AS INT) + CAST(NOT kept AS INT)) AS BIGINT) AS affected FROM p3 GROUP BY source"
