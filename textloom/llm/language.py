@@ -79,8 +79,8 @@ class LanguageModel:
         order = np.argsort(-single, kind="stable")
         chosen, best, share = [int(order[0])], float(single[order[0]]), np.ones(1)
         cost = PENALTY * np.log(counts.sum() + 1)
-        others = [int(k) for k in order[1:4]]  # a language far behind alone can't be the larger share
-        while others and len(chosen) < 3:
+        others = [int(k) for k in order[1:]]
+        while others:
             tried = [(*self.mixture(at, counts, [*chosen, k]), k) for k in others]
             value, new, k = max(tried, key=lambda x: (x[0], -x[2]))
             if value - best <= cost:
