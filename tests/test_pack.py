@@ -1,5 +1,6 @@
 """Source trees, packs, budgets and streams."""
 
+import random
 import subprocess
 
 import pytest
@@ -105,6 +106,50 @@ def test_tree_text(spark):
     assert got == ".\n├── Cargo.toml\n├── docs\n│   └── a\n│       └── b.md\n└── src\n    ├── lib.rs\n    └── main.rs\n"
 
 
+def test_drawing_is_the_relation(spark):
+    """The walk over sorted paths draws what the joins on prefixes draw."""
+    rng = random.Random(3)
+    for _ in range(3):
+        files = {"/".join(rng.choice("abc") for _ in range(rng.randint(1, 4))): "" for _ in range(25)}
+        own = relation(spark, files)
+        assert tree.drawing(sorted(p.split("/") for p in files)) == tree.render(own).first()["tree"]
+    assert tree.drawing([]) == ".\n"
+
+
+def test_visible_rows(spark):
+    """Directories of the first `expand_depth` levels are open: depth 0 shows the top, depth 2 three components."""
+    n = tree.nodes(relation(spark, {"a/b/c.rs": "", "a/d.rs": "", "e.rs": "", "a/b/x/y.rs": ""}))
+    shown = lambda **kw: {"/".join(r["node"]) for r in tree.visible(n, **kw).collect()}
+    assert shown(expand_depth=0) == {"a", "e.rs"} and shown(expand_depth=1) == {"a", "a/b", "a/d.rs", "e.rs"}
+    assert shown(expand_depth=2) == {"a", "a/b", "a/b/c.rs", "a/b/x", "a/d.rs", "e.rs"}
+    assert shown(collapsed=n.filter(F.array_join("node", "/") == "a/b"), expand_depth=2) == {"a", "a/b", "a/d.rs", "e.rs"}
+
+
+def test_affected_counts_a_file_once(spark):
+    own = relation(spark, {"tests/t.rs": engine(50)})
+    fitted = budget.fit_budget(own, 3, outline.outline(F.col("content"), F.col("path")))
+    assert fitted.filter("outlined and not kept").count() == 1 and budget.affected(fitted).first()["affected"] == 1
+
+
+def test_real_encoder_counts(spark):
+    """An encoder passed in decides counts and the budget."""
+    words = lambda: lambda t: len(t.split())
+    own = relation(spark, {"a.rs": "one two three four", "b.rs": "x" * 4000})
+    kept = lambda options: {r["path"]: r["token_count"] for r in pack.packed_files(own, options).collect()}
+    assert kept(PackOptions(budget=5, encoder=words)) == {"a.rs": 4, "b.rs": 1}
+    assert kept(PackOptions(budget=4, encoder=words)) == {"b.rs": 1} and kept(PackOptions(count_tokens=True, encoder=words, token_profile="claude")) == {"a.rs": 4, "b.rs": 1}
+    assert set(kept(PackOptions(budget=5))) == {"a.rs"}
+
+
+def test_budget_scans_once(spark, sf_dir):
+    """The final plan of a budgeted pack: one scan of documents, no content in a sort or window."""
+    from textloom.plans import catalogue
+
+    text = catalogue.pack_budget_code(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("documents.parquet") <= 1 and "Window [" not in text and "Sort [" not in text
+    assert text.count("[_outline(") == 1 and text.count("[draw(") == 1
+
+
 def test_node_totals(spark):
     n = {"/".join(r["node"]): r for r in tree.nodes(relation(spark, {"a/x": "1" * 41, "a/y": "22", "z": "333"})).collect()}
     assert (n["a/x"]["tokens"], n["a"]["files"], n["a"]["bytes"], n["a"]["tokens"]) == (11, 2, 43, 12) and n["z"]["is_file"] and not n["a"]["is_file"]

@@ -105,8 +105,12 @@ def _outline(source: pd.Series, language: pd.Series) -> pd.Series:
     return pd.Series([outline_text(s, lang) for s, lang in zip(source, language, strict=True)])
 
 
+#: Filters on the result must not be moved below it, for that would read every source twice.
+_once = _outline.asNondeterministic()
+
+
 def outline(content: Column, path: Column) -> Column:
     """Outline by the path's language; only sources that have one reach Python."""
     lang = language_hint(path)
     wanted = lang.isin(*OUTLINED)
-    return F.when(wanted, _outline(F.when(wanted, content), lang)).otherwise(content)
+    return F.when(wanted, _once(F.when(wanted, content), lang)).otherwise(content)

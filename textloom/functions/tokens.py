@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -22,15 +22,16 @@ def scaled(count: Column, factor: float | Column) -> Column:
 
 
 def counted(text: Column, name: str = "cl100k", encoder: Callable[[], Callable[[str], int]] | None = None) -> Column:
-    """Tokens of a text under a profile. `encoder` returns a counting function; it is called once per Python worker."""
+    """Tokens of a text under a profile. `encoder` returns a counting function; it is called once per task, not per batch."""
     factor = profile(name)[2]
     if encoder is None:
         return scaled(estimate(text), factor)
 
     @F.pandas_udf("bigint")
-    def count(batches: "pd.Series") -> "pd.Series":
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         length = encoder()
-        return batches.map(length, na_action="ignore").astype("Int64")
+        for batch in batches:
+            yield batch.map(length, na_action="ignore").astype("Int64")
 
     return scaled(count(text), factor)
 

@@ -1,54 +1,87 @@
-"""Fitting a repository into a token budget with two running sums.
+"""Fitting a repository into a token budget.
 
 Files are ordered by tier, then tokens, size and path, all three descending. First outlines replace
 contents: a file is outlined if that saves tokens and the total less the savings of the files
-before is still over the budget. Then files are dropped in the (new) order by the same rule. Both
-are windows per repository; nothing is iterated.
+before is still over the budget. Then files are dropped in the (new) order by the same rule. As
+savings and sizes only add up, each phase ends at one key per repository: everything before it is
+outlined (or dropped), nothing behind it. These cuts are found on stored keys, without contents (see
+`order`), and a last scan compares each file with the cuts of its repository. Only files that will
+be outlined, or may be in a repository over its budget, reach the outline function.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths, tokens
+from ..staging import SMALL, staged
+from .order import last_spent, ranged
 
 
-def _before(value: Column, repo: str, *order: Column) -> Column:
-    """Running sum over the rows before this one."""
-    return F.coalesce(F.sum(value).over(Window.partitionBy(repo).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+def _key(tok: Column, size: Column) -> Column:
+    """Largest first: lowest tier, then most tokens, bytes, and last path."""
+    return F.struct((-F.col("tier")).alias("rank"), tok.alias("tok"), size.alias("size"), F.col("path_parts").alias("path_parts"))
 
 
-def _order(tok: Column, size: Column) -> list[Column]:
-    return [F.col("tier").asc(), tok.desc(), size.desc(), F.col("path_parts").desc()]
+def _lookup(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if table.limit(SMALL + 1).count() <= SMALL else table
 
 
-def fit_budget(files: DataFrame, budget: int, outline: Column | None = None, factor: float = 1.0, repo: str = "repo_id") -> DataFrame:
-    """Adds content_fit, tokens_fit, outlined and kept to a FILE relation; rows over the budget have kept false.
+def fit_budget(files: DataFrame, budget: int, outline: Column | None = None, factor: float = 1.0, repo: str = "repo_id", count: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Adds tier, content_fit, tokens_fit, outlined and kept to a FILE relation; rows over the budget have kept false.
 
-    `outline` is the outlined content, null where there is none. Null contents count as empty.
-    A repository within its budget stays as it is.
+    `outline` is the outlined content, null where there is none; it reads the column `content`. `count` counts a text's tokens, by default
+    the estimate times `factor`; a row's own token_count is taken where it has one. Null contents count as empty. A repository
+    within its budget stays as it is. Rows that repeat a path, tokens and size are decided alike. An empty relation gives an empty result.
     """
-    whole = Window.partitionBy(repo)
-    count = lambda c: tokens.scaled(tokens.estimate(c), factor)
-    content = F.coalesce(F.col("content"), F.lit(""))
-    own = files.withColumn("tier", paths.compression_tier(F.col("path"))).withColumn("tok_0", count(content))
-    total = own.withColumn("total_0", F.sum("tok_0").over(whole))
+    size_of = lambda c: F.octet_length(c).cast("bigint")
+    count = count or (lambda c: tokens.scaled(tokens.estimate(c), factor))
+    whole = files.withColumn("content", F.coalesce(F.col("content"), F.lit(""))).withColumn("tier", paths.compression_tier(F.col("path")))
+    own = whole.withColumn("tok_0", F.coalesce(F.col("token_count"), count(F.when(F.col("token_count").isNull(), F.col("content")))) if "token_count" in files.columns else count(F.col("content")))
+    own = own.withColumn("key_0", _key(F.col("tok_0"), size_of("content")))
+    first = ranged(own.select(repo, "key_0"), repo, F.col("key_0").desc(), "budget-keys")
+    totals = staged(first.groupBy(repo).agg(F.sum("key_0.tok").alias("total_0")).filter(F.col("total_0") > budget), "over-budget")
+
+    def outlined_in(rows: DataFrame, wanted: Column) -> DataFrame:
+        """outline_text and saving (0: none) of the wanted rows; the others' contents don't reach the outline."""
+        asked = rows.withColumn("whole", F.col("content")).withColumn("content", F.when(wanted, F.col("content")))
+        asked = asked.withColumn("outline_text", F.when(wanted, outline)).withColumn("content", F.col("whole")).drop("whole")
+        asked = asked.withColumn("tok_o", count(F.col("outline_text")))
+        smaller = (size_of("outline_text") < size_of("content")) & (F.col("tok_o") < F.col("tok_0"))
+        return asked.withColumn("saving", F.when(F.coalesce(smaller, F.lit(False)), F.col("tok_0") - F.col("tok_o")).otherwise(F.lit(0)).cast("bigint"))
+
+    need = lambda total: totals.select(repo, (total - budget).alias("need"))
+    cut_1 = None
+    if outline is not None and not totals.isEmpty():
+        over = outlined_in(own.join(_lookup(totals.select(repo)), repo), F.lit(True))
+        savings = ranged(over.select(repo, "tier", "path_parts", "key_0", "tok_0", "saving", size_of("outline_text").alias("size_o")), repo, F.col("key_0").desc(), "outline-keys")
+        cut_1 = staged(last_spent(savings, repo, "key_0", "saving", need(F.col("total_0"))).withColumnRenamed("cut", "cut_1"), "outline-cuts")
+        taken = (F.col("saving") > 0) & F.coalesce(F.col("key_0") >= F.col("cut_1"), F.lit(False))
+        after = savings.drop("range_no").join(_lookup(cut_1), repo, "left").withColumn("taken", taken)
+        after = after.withColumn("tok_1", F.col("tok_0") - F.when(F.col("taken"), F.col("saving")).otherwise(F.lit(0)))
+        after = after.select(repo, _key(F.col("tok_1"), F.when(F.col("taken"), F.col("size_o")).otherwise(F.col("key_0.size"))).alias("key_1"))
+        second = ranged(after, repo, F.col("key_1").desc(), "fitted-keys")
+    else:
+        second = first.join(_lookup(totals.select(repo)), repo).withColumnRenamed("key_0", "key_1")
+    second = second.withColumn("tok_1", F.col("key_1.tok"))
+    left = second.groupBy(repo).agg((F.sum("tok_1") - budget).alias("need"))
+    cut_2 = last_spent(second, repo, "key_1", "tok_1", left).withColumnRenamed("cut", "cut_2")
+    cuts = totals.select(repo).join(cut_2, repo, "left")
+    cuts = staged(cuts.join(cut_1, repo, "left") if cut_1 is not None else cuts.withColumn("cut_1", F.lit(None).cast(own.schema["key_0"].dataType)), "cuts")
+    decided = own.join(_lookup(cuts), repo, "left")
     if outline is not None:
-        # the outline is asked for only where the repository is over its budget
-        over = total.withColumn("outline_text", F.when(F.col("total_0") > budget, outline)).withColumn("tok_o", count(F.col("outline_text")))
-        smaller = (F.octet_length("outline_text") < F.octet_length(content)) & (F.col("tok_o") < F.col("tok_0"))
-        saving = F.when(F.coalesce(smaller, F.lit(False)), F.col("tok_0") - F.col("tok_o")).otherwise(0)
-        spent = over.withColumn("saving", saving).withColumn("saved", _before(F.col("saving"), repo, *_order(F.col("tok_0"), F.octet_length(content))))
-        outlined = (F.col("saving") > 0) & (F.col("total_0") - F.col("saved") > budget)
-        fitted = spent.withColumn("outlined", outlined).withColumn("content_fit", F.when(F.col("outlined"), F.col("outline_text")).otherwise(content)).withColumn("tokens_fit", F.col("tok_0") - F.when(F.col("outlined"), F.col("saving")).otherwise(0))
+        reached = F.coalesce(F.col("key_0") >= F.col("cut_1"), F.lit(False))
+        fitted = outlined_in(decided.withColumn("reached", reached), F.col("reached")).withColumn("outlined", F.col("saving") > 0)
+        fitted = fitted.withColumn("content_fit", F.when(F.col("outlined"), F.col("outline_text")).otherwise(F.col("content"))).withColumn("tokens_fit", F.col("tok_0") - F.col("saving"))
     else:
-        fitted = total.withColumn("outlined", F.lit(False)).withColumn("content_fit", content).withColumn("tokens_fit", F.col("tok_0"))
-    second = fitted.withColumn("total_1", F.sum("tokens_fit").over(whole)).withColumn("dropped_before", _before(F.col("tokens_fit"), repo, *_order(F.col("tokens_fit"), F.octet_length("content_fit"))))
-    kept = F.col("total_1") - F.col("dropped_before") <= budget
-    return second.withColumn("kept", kept).select(*files.columns, "tier", "content_fit", "tokens_fit", "outlined", "kept")
+        fitted = decided.withColumn("outlined", F.lit(False)).withColumn("content_fit", F.col("content")).withColumn("tokens_fit", F.col("tok_0"))
+    dropped = F.coalesce(_key(F.col("tokens_fit"), size_of("content_fit")) >= F.col("cut_2"), F.lit(False))
+    return fitted.withColumn("kept", ~dropped).select(*files.columns, "tier", "content_fit", "tokens_fit", "outlined", "kept")
 
 
 def affected(fitted: DataFrame, repo: str = "repo_id") -> DataFrame:
-    """(repo, affected): files that were outlined or dropped; one that was both counts twice, once for each phase."""
-    return fitted.groupBy(repo).agg(F.sum(F.col("outlined").cast("bigint") + (~F.col("kept")).cast("bigint")).alias("affected"))
+    """(repo, affected): files that were outlined or dropped; one that was both counts once."""
+    return fitted.groupBy(repo).agg(F.sum((F.col("outlined") | ~F.col("kept")).cast("bigint")).alias("affected"))

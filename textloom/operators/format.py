@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
-from .tree import render
+from . import order
+from .tree import draw
 
 
 def xml_block(path: Column, content: Column, outlined: Column) -> Column:
@@ -20,18 +21,23 @@ def markdown_block(path: Column, content: Column) -> Column:
     return F.concat(F.lit("## File: "), path, F.lit("\n\n"), f, paths.language_hint(path), F.lit("\n"), text.with_newline(content), f, F.lit("\n"))
 
 
+#: What stands before a call's number.
+CALL = '  {\n    "role": "tool",\n    "tool_call_id": "call_read_file_'
+
+
+def tool_rest(path: Column, content: Column) -> Column:
+    """A tool message behind its number."""
+    return F.concat(F.lit('",\n    "name": "read_file",\n    "path": "'), text.json_escape(path), F.lit('",\n    "content": "'), text.json_escape(content), F.lit('"\n  }'))
+
+
 def tool_block(path: Column, content: Column, number: Column) -> Column:
     """A tool message as JSON, without what separates it from the next."""
-    return F.concat(
-        F.lit('  {\n    "role": "tool",\n    "tool_call_id": "call_read_file_'), number.cast("string"),
-        F.lit('",\n    "name": "read_file",\n    "path": "'), text.json_escape(path),
-        F.lit('",\n    "content": "'), text.json_escape(content), F.lit('"\n  }'),
-    )
+    return F.concat(F.lit(CALL), number.cast("string"), tool_rest(path, content))
 
 
 def numbered(files: DataFrame, repo: str = "repo_id") -> DataFrame:
-    """Adds number: 1-based place in path order."""
-    return files.withColumn("number", F.row_number().over(Window.partitionBy(repo).orderBy("path_parts")))
+    """Adds number: 1-based place in path order. Only paths are ordered; contents are joined to their numbers by path."""
+    return files.join(order.numbered(files, repo, "path_parts"), [repo, "path_parts"])
 
 
 def blocks(files: DataFrame, kind: str = "xml", repo: str = "repo_id") -> DataFrame:
@@ -45,24 +51,34 @@ def blocks(files: DataFrame, kind: str = "xml", repo: str = "repo_id") -> DataFr
     return files.select(repo, "path", "path_parts", block.alias("block"))
 
 
-def documents(files: DataFrame, kind: str = "xml", repo: str = "repo_id") -> DataFrame:
+def documents(files: DataFrame, kind: str = "xml", repo: str = "repo_id", repos: DataFrame | None = None) -> DataFrame:
     """(repo, document): one text per repository, blocks in path order behind the drawn tree.
 
-    A text is one row, so a repository must fit a row (2 GB); beyond that use `blocks`.
+    One aggregation gathers paths and blocks; the tree is drawn from the same rows. A text is one
+    row, so a repository must fit a row (2 GB); beyond that use `blocks`. Repositories listed in
+    `repos` that have no file get the empty pack; others have no row.
     """
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("path_parts", "block"))), lambda x: x["block"])
-    separator = ",\n" if kind == "tool-call" else "\n"
-    body = blocks(files, kind, repo).groupBy(repo).agg(F.array_join(ordered, separator).alias("body"))
+    path, content = F.col("path"), F.col("content")
+    if kind == "tool-call":
+        block = tool_rest(path, content)
+    else:
+        block = xml_block(path, content, F.coalesce(F.col("is_outlined"), F.lit(False))) if kind == "xml" else markdown_block(path, content)
+    rows = F.array_sort(F.collect_list(F.struct("path_parts", "path", block.alias("block"))))
+    gathered = files.groupBy(repo).agg(rows.alias("rows"))
     if kind == "tool-call":
-        return body.select(repo, F.concat(F.lit("[\n"), "body", F.lit("\n]\n")).alias("document"))
-    drawn = render(files, repo)
-    if kind == "xml":
-        head = F.concat(F.lit("<repository_structure>\n"), F.col("tree"), F.lit("</repository_structure>\n\n"))
+        calls = F.transform("rows", lambda x, i: F.concat(F.lit(CALL), (i + 1).cast("string"), x["block"]))  # a number is a place in path order
+        packs = gathered.select(repo, F.concat(F.lit("[\n"), F.array_join(calls, ",\n"), F.lit("\n]\n")).alias("document"))
     else:
-        head = F.concat(F.lit("# Repository Structure\n\n```\n"), F.col("tree"), F.lit("```\n\n# Repository Files\n\n"))
-    return body.join(drawn, repo).select(repo, F.concat(head, "body").alias("document"))
+        before, after = ("<repository_structure>\n", "</repository_structure>\n\n") if kind == "xml" else ("# Repository Structure\n\n```\n", "```\n\n# Repository Files\n\n")
+        named = F.transform(F.filter("rows", lambda x: ~x["path"].isin("", ".")), lambda x: x["path_parts"])
+        drawn = gathered.select(repo, draw(named).alias("tree"), F.array_join(F.transform("rows", lambda x: x["block"]), "\n").alias("body"))
+        packs = drawn.select(repo, F.concat(F.lit(before), "tree", F.lit(after), "body").alias("document"))
+    if repos is None:
+        return packs
+    return repos.select(repo).distinct().join(packs, repo, "left").select(repo, F.coalesce("document", F.lit(EMPTY[kind])).alias("document"))
 
 
+#: Packs without a file.
 EMPTY = {"xml": "<repository_structure>\n.\n</repository_structure>\n", "markdown": "# Repository Structure\n\n```\n.\n```\n\n# Repository Files\n", "tool-call": "[]\n"}
 
 

@@ -6,7 +6,7 @@ the whole scope unless every file of it is already selected.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -18,9 +18,9 @@ def under(parts: Column, node: list[str]) -> Column:
 def toggle(files: DataFrame, scope: Column, repo: str = "repo_id") -> DataFrame:
     """`selected` after toggling the files in scope; others keep theirs."""
     inside = F.coalesce(scope, F.lit(False))
-    marked = files.withColumn("in_scope", inside)
-    full = F.bool_and(F.when(F.col("in_scope"), F.col("selected"))).over(Window.partitionBy(repo))
-    return marked.withColumn("selected", F.when(F.col("in_scope"), ~F.coalesce(full, F.lit(False))).otherwise(F.col("selected"))).drop("in_scope")
+    full = files.filter(inside).groupBy(repo).agg(F.bool_and("selected").alias("scope_full"))
+    flipped = F.when(inside, ~F.coalesce(F.col("scope_full"), F.lit(False))).otherwise(F.col("selected"))
+    return files.join(full, repo, "left").withColumn("selected", flipped).select(files.columns)
 
 
 def toggle_all(files: DataFrame, repo: str = "repo_id") -> DataFrame:

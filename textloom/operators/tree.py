@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Sequence
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def prefixes(parts: Column) -> Column:
@@ -59,8 +63,12 @@ def flat(n: DataFrame, repo: str = "repo_id") -> DataFrame:
 
 
 def visible(n: DataFrame, collapsed: DataFrame | None = None, expand_depth: int = 2, repo: str = "repo_id") -> DataFrame:
-    """Nodes whose ancestors are all expanded: those of depth below `expand_depth`, less the `collapsed` (repo, node) ones."""
-    shown = n.filter(F.col("depth") <= expand_depth)
+    """Nodes whose ancestors are all expanded.
+
+    Directories of the first `expand_depth` levels are expanded, less the `collapsed` (repo, node)
+    ones; so nodes of up to `expand_depth` + 1 components can show.
+    """
+    shown = n.filter(F.col("depth") <= expand_depth + 1)
     if collapsed is None:
         return shown
     closed = collapsed.select(repo, F.col("node").alias("closed"))
@@ -91,6 +99,33 @@ def tree_lines(files: DataFrame, repo: str = "repo_id") -> DataFrame:
     return marks.select(repo, "node", F.concat(F.array_join(bars, ""), branch, F.element_at("node", -1)).alias("line"))
 
 
+def drawing(paths: Iterable[Sequence[str]]) -> str:
+    """The drawn tree of sorted paths, root line first, in one backward walk.
+
+    A path shares its first components with the next path's; the node behind these has a later
+    sibling, and all deeper ones are the last of theirs.
+    """
+    lines: list[str] = []
+    ends: list[bool] = []  # of the path below: whether its node at each depth is the last of its siblings
+    known = list(dict.fromkeys(tuple(p) for p in paths))
+    for at in range(len(known) - 1, -1, -1):
+        path, below = known[at], known[at + 1] if at + 1 < len(known) else ()
+        same = next((k for k, (a, b) in enumerate(zip(path, below, strict=False)) if a != b), min(len(path), len(below)))
+        ends = ends[:same] + [not below] * (len(path) > same) + [True] * (len(path) - same - 1)
+        above = known[at - 1] if at else ()
+        drawn = next((k for k, (a, b) in enumerate(zip(path, above, strict=False)) if a != b), min(len(path), len(above)))
+        bars = ["    " if end else "│   " for end in ends]
+        for depth in range(len(path) - 1, drawn - 1, -1):  # deepest first: lines are turned over in the end
+            lines.append("".join(bars[:depth]) + ("└── " if ends[depth] else "├── ") + path[depth])
+    return "\n".join([".", *reversed(lines), ""])
+
+
+@F.pandas_udf(T.StringType())
+def draw(paths: pd.Series) -> pd.Series:
+    """The drawn tree of an array of sorted paths (arrays of components)."""
+    return paths.map(drawing).astype(object)
+
+
 def render(files: DataFrame, repo: str = "repo_id") -> DataFrame:
     """(repo, tree): the whole drawing as one text. A tree has a line per node, so its text grows with its repository only."""
     lines = tree_lines(files, repo)

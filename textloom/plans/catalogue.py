@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import frames, highlight, lockfiles, outline, paths, prompts, redact, text, tokens, workflow
 from ..operators import budget, files, selection, tree
 from ..operators import format as shape
-from ..schema import PackOptions, profiles
+from ..schema import PROFILES, PackOptions
 from . import pack as plan
 
 EXTENSIONS = [".rs", ".py", ".md", ".toml", ".json", ".svg", ".min.js", ".pem", ".go", ".txt", "_test.rs", ".png", ".yaml", ".ts", ".js.map", ".c", ".java", ".Dockerfile", ".spec.ts", ".SVG", "", ".tar.gz"]
@@ -143,8 +143,9 @@ def token_estimate(spark, sf_dir):
 
 def token_profiles(spark, sf_dir):
     counted = ids(spark, sf_dir).select("source", tokens.estimate(F.col("text")).alias("n"))
-    joined = counted.join(F.broadcast(profiles(spark)))  # eight fixed rows
-    return joined.groupBy("source", "profile", "context_window").agg(F.sum(tokens.scaled(F.col("n"), F.col("factor"))).alias("tokens")).withColumn("fits", F.col("tokens") <= F.col("context_window"))
+    eight = F.array(*[F.struct(F.lit(p[0]).alias("profile"), F.lit(p[2]).alias("factor"), F.lit(p[3]).cast("bigint").alias("context_window")) for p in PROFILES])
+    joined = counted.groupBy("source", "n").agg(F.count("*").alias("files")).select("source", "n", "files", F.explode(eight).alias("p")).select("source", "n", "files", "p.*")
+    return joined.groupBy("source", "profile", "context_window").agg(F.sum(F.col("files") * tokens.scaled(F.col("n"), F.col("factor"))).alias("tokens")).withColumn("fits", F.col("tokens") <= F.col("context_window"))
 
 
 def scan_summary(spark, sf_dir):
@@ -219,11 +220,6 @@ def budget_prune(spark, sf_dir):
     return budget.fit_budget(file_view(spark, sf_dir), BUDGET).select("repo_id", "path", F.col("tier").cast("bigint").alias("tier"), "tokens_fit", "kept")
 
 
-def _outlined(spark, sf_dir) -> DataFrame:
-    """Both phases with 60 characters in place of an outline, as the SQL of two queries has it; see the `_code` queries."""
-    return budget.fit_budget(file_view(spark, sf_dir), BUDGET, F.when(F.endswith("path", F.lit(".rs")) | F.endswith("path", F.lit(".py")), F.substring("content", 1, 60)))
-
-
 def code_body() -> Column:
     """The whole text as the body of a function where the path's language has outlines; braces would end the body and become brackets."""
     hint, d, whole = paths.language_hint(file_path()), F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))
@@ -245,18 +241,10 @@ def _fit_columns(fitted: DataFrame) -> DataFrame:
 
 
 def budget_fit(spark, sf_dir):
-    return _fit_columns(_outlined(spark, sf_dir))
-
-
-def budget_fit_code(spark, sf_dir):
     return _fit_columns(_fitted_code(spark, sf_dir))
 
 
 def budget_affected(spark, sf_dir):
-    return budget.affected(_outlined(spark, sf_dir))
-
-
-def budget_affected_code(spark, sf_dir):
     return budget.affected(_fitted_code(spark, sf_dir))
 
 
@@ -280,11 +268,6 @@ def _escaped(body: Column) -> Column:
 
 
 def json_escape(spark, sf_dir):
-    """200 characters of each document, as its SQL has them; see json_escape_whole."""
-    return ids(spark, sf_dir).select("doc_id", _escaped(F.substring("text", 1, 200)).alias("escaped"))
-
-
-def json_escape_whole(spark, sf_dir):
     return ids(spark, sf_dir).select("doc_id", _escaped(F.col("text")).alias("escaped")).select("doc_id", F.md5("escaped").alias("escaped_md5"), F.length("escaped").cast("bigint").alias("n_chars"))
 
 
@@ -309,16 +292,21 @@ def _packed(spark, sf_dir, options: PackOptions) -> DataFrame:
 
 
 def pack_budget(spark, sf_dir):
-    """The flagship: path and size rules, redaction, estimate, budget, XML blocks, one text per repository.
+    """The flagship: path and size rules, redaction, estimate, budget, XML blocks, one text per repository."""
+    return _packed(spark, sf_dir, PackOptions(redact_secrets=True, budget=BUDGET))
 
-    Its size limit of 20 kB is that of its SQL; see pack_budget_whole.
-    """
-    return _packed(spark, sf_dir, PackOptions(max_file_size=20_000, redact_secrets=True, budget=BUDGET))
 
+def pack_budget_code(spark, sf_dir):
+    """As the flagship over function bodies made of the whole texts, so that outlines decide which files fit."""
+    own = files.as_files(table(spark, sf_dir, "documents").withColumn("body", code_body()), F.col("source"), file_path(), F.col("body"))
+    return plan.pack(own, PackOptions(budget=BUDGET)).select("repo_id", F.md5("document").alias("document_md5"), F.length("document").cast("bigint").alias("n_chars"))
 
-def pack_budget_whole(spark, sf_dir):
-    """The flagship at the default size limit."""
-    return _packed(spark, sf_dir, PackOptions(redact_secrets=True, budget=BUDGET))
+
+def pack_empty(spark, sf_dir):
+    """Repositories without a file of the asked kind get the empty pack."""
+    own = file_view(spark, sf_dir)
+    shown = lambda kind: shape.documents(own.filter(F.endswith("path", F.lit(".zig"))), kind, repos=own.select("repo_id")).select("repo_id", F.lit(kind).alias("kind"), F.md5("document").alias("document_md5"))
+    return shown("xml").unionByName(shown("markdown")).unionByName(shown("tool-call"))
 
 
 def _deps(rows: DataFrame, name: str, content: Column) -> DataFrame:
@@ -386,18 +374,13 @@ def workflow_manifest(spark, sf_dir):
     return _graph(spark, sf_dir).select("event_id", workflow.manifest(F.col("content")).alias("manifest"))
 
 
-def _asks(spark, sf_dir, words: Column | None = None) -> DataFrame:
-    """Turns with injected phrases around `words`, by default the whole text."""
+def _asks(spark, sf_dir) -> DataFrame:
+    """Whole turns with injected phrases around them."""
     t = F.col("turn")
     head = pick(["Please generate a video of ", "I want to see: show me a video of ", "Create a video where - ", ""], t + F.col("conv_id"))
     mid = pick([" very slowly, shot on 85mm Cooke at golden hour. Then it is just really quite calm; neon lighting", "\nShot 2: a drone wide angle view, f/1.4 bokeh", " cut to a cooked studio meal", ""], t)
     end = pick([", please.", " thank you.", "."], F.col("conv_id"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(head, F.coalesce("text", F.lit("")) if words is None else words, mid, end).alias("ask"))
-
-
-def _short_asks(spark, sf_dir) -> DataFrame:
-    """Turns cut to the letters, blanks and commas of 80 characters, as the SQL of three queries has them; see the `_whole` queries."""
-    return _asks(spark, sf_dir, F.regexp_replace(F.substring("text", 1, 80), r"[^A-Za-z ,]", ""))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(head, F.coalesce("text", F.lit("")), mid, end).alias("ask"))
 
 
 def _stripped(asks: DataFrame) -> DataFrame:
@@ -413,26 +396,14 @@ def _shots(asks: DataFrame) -> DataFrame:
 
 
 def prompt_strip_filler(spark, sf_dir):
-    return _stripped(_short_asks(spark, sf_dir))
-
-
-def prompt_strip_filler_whole(spark, sf_dir):
     return _stripped(_asks(spark, sf_dir))
 
 
 def prompt_condense(spark, sf_dir):
-    return _condensed(_short_asks(spark, sf_dir))
-
-
-def prompt_condense_whole(spark, sf_dir):
     return _condensed(_asks(spark, sf_dir))
 
 
 def prompt_shots(spark, sf_dir):
-    return _shots(_short_asks(spark, sf_dir))
-
-
-def prompt_shots_whole(spark, sf_dir):
     return _shots(_asks(spark, sf_dir))
 
 
@@ -522,7 +493,7 @@ def size_literals(spark, sf_dir):
 
 def context_gauge(spark, sf_dir):
     g = text.gauge((F.col("o_totalprice") / 2).cast("bigint"), F.lit(128_000))
-    return table(spark, sf_dir, "orders").select("o_orderkey", g.alias("g")).select("o_orderkey", F.round("g.ratio", 6).alias("ratio"), "g.bar", "g.colour", "g.over")
+    return table(spark, sf_dir, "orders").select("o_orderkey", g.alias("g")).select("o_orderkey", "g.ratio", "g.bar", "g.colour", "g.over")
 
 
 def line_index(spark, sf_dir):
@@ -553,9 +524,9 @@ def outlined_preview(spark, sf_dir):
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     scan_documents, path_predicates, skip_filter, size_filter, glob_filter, depth_filter, hidden_filter, language_hint, compression_tier, path_order, changed_semi_join, skipped_anti_join,
     git_status_parse, redact_documents, redact_counts, redact_turns, token_estimate, token_profiles, scan_summary, summary_by_repo, dir_rollup, tree_nodes, tree_lines, tree_render, tree_flat,
-    tree_visible, tree_filter, selection_toggle, selection_toggle_all, selection_invert, tri_state, budget_prune, budget_fit, budget_affected, budget_fit_code, budget_affected_code, format_xml_blocks, format_md_blocks, md_fence,
-    json_escape, json_escape_whole, format_tool_call, pack_document, pack_markdown, pack_tool_call, pack_budget, pack_budget_whole, lock_gosum, lock_pnpm, lock_cargo, lock_npm, lock_yarn, lock_manifest, workflow_histogram,
-    workflow_settings, workflow_manifest, prompt_strip_filler, prompt_condense, prompt_shots, prompt_specs, prompt_compile, prompt_strip_filler_whole, prompt_condense_whole, prompt_shots_whole, frame_sharpness, sharpest_frame, pgm_stream, outline_rust,
+    tree_visible, tree_filter, selection_toggle, selection_toggle_all, selection_invert, tri_state, budget_prune, budget_fit, budget_affected, format_xml_blocks, format_md_blocks, md_fence,
+    json_escape, format_tool_call, pack_document, pack_markdown, pack_tool_call, pack_budget, pack_budget_code, pack_empty, lock_gosum, lock_pnpm, lock_cargo, lock_npm, lock_yarn, lock_manifest, workflow_histogram,
+    workflow_settings, workflow_manifest, prompt_strip_filler, prompt_condense, prompt_shots, prompt_specs, prompt_compile, frame_sharpness, sharpest_frame, pgm_stream, outline_rust,
     outline_python, outline_generic, highlight_lines, fuzzy_filter, fuzzy_best, number_formats, size_literals, context_gauge, line_index, tail_paths, binary_filter, stats_line, outlined_preview,
 ]
 

@@ -90,7 +90,6 @@ def fitted(source: str, outline: str | None) -> str:
     p3 AS (SELECT *, sum(tokens_fit) OVER (PARTITION BY source) - {BEFORE.format(v="tokens_fit", tok="tokens_fit", size="strlen(content_fit)")} <= {BUDGET} AS kept FROM p2)"""
 
 
-HEAD = "CASE WHEN path LIKE '%.rs' OR path LIKE '%.py' THEN left(text, 60) END"
 CODES = one_of(["M ", " M", "MM", "A ", "AM", " D", "D ", "R ", "??", "!!", "AD", "  "])
 STATUS = f"""st AS (SELECT {CODES}[event_id % 12 + 1] AS xy, CASE WHEN event_id % 7 = 0 THEN 'new/' || event_id || '.rs' WHEN event_id % 11 = 0 THEN 'sp ace/' || event_id || '.rs' ELSE event_type || '/' || event_id || '.rs' END AS path FROM events)"""
 PART = "SELECT p_partkey, {0} AS name, {1} AS version FROM part"
@@ -101,7 +100,7 @@ def deps(*pairs: tuple[str, str]) -> str:
 
 
 MIDS = one_of([" very slowly, shot on 85mm Cooke at golden hour. Then it is just really quite calm; neon lighting", "\nShot 2: a drone wide angle view, f/1.4 bokeh", " cut to a cooked studio meal", ""])
-ASKS = f"""asks AS (SELECT conv_id, turn, ['Please generate a video of ', 'I want to see: show me a video of ', 'Create a video where - ', ''][(turn + conv_id) % 4 + 1] || regexp_replace(left(text, 80), '[^A-Za-z ,]', '', 'g') || {MIDS}[turn % 4 + 1] || [', please.', ' thank you.', '.'][conv_id % 3 + 1] AS ask FROM conversations)"""
+ASKS = f"""asks AS (SELECT conv_id, turn, ['Please generate a video of ', 'I want to see: show me a video of ', 'Create a video where - ', ''][(turn + conv_id) % 4 + 1] || coalesce(text, '') || {MIDS}[turn % 4 + 1] || [', please.', ' thank you.', '.'][conv_id % 3 + 1] AS ask FROM conversations)"""
 TRIM = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 STRIP = TRIM.format("regexp_replace(regexp_replace(" + TRIM.format("ask") + ", '(?i)^(?:(?:" + "|".join(FILLERS) + r")[\s,:-]*)+', ''), '(?i)(, please\.| please\.|, thank you\.| thank you\.)$', '')")
 CUT = r"string_split(regexp_replace(regexp_replace(regexp_replace(ask, ' [cC]ut to: | [cC]ut to |(?:[Ss]hot|[Ss]cene) (?:1[0-9]|20|[1-9]):', chr(10), 'g'), '\.(\s|$)', chr(10) || '\1', 'g'), '[\n;]', chr(10), 'g'), chr(10))"
@@ -162,7 +161,7 @@ SQL: dict[str, str] = {
         f AS (SELECT source, node, depth, row_number() OVER (PARTITION BY source ORDER BY key) - 1 AS idx FROM k)
         SELECT a.source AS repo_id, array_to_string(a.node, '/') AS node, a.idx, a.idx + count(b.node) AS subtree_end, max(p.idx) AS parent FROM f a JOIN f b ON a.source = b.source AND b.node[1:a.depth] = a.node
         LEFT JOIN f p ON p.source = a.source AND a.depth > 1 AND p.node = a.node[1:a.depth-1] GROUP BY a.source, a.node, a.idx""",
-    "tree_visible": f"{FILES}, {PREFIXES}, {NODES} SELECT source AS repo_id, array_to_string(node, '/') AS node FROM nodes WHERE depth <= 2 AND NOT (depth = 2 AND node[1] = 'en')",
+    "tree_visible": f"{FILES}, {PREFIXES}, {NODES} SELECT source AS repo_id, array_to_string(node, '/') AS node FROM nodes WHERE depth <= 3 AND NOT (depth > 1 AND node[1] = 'en')",
     "tree_filter": f"{FILES}, {PREFIXES} SELECT DISTINCT source AS repo_id, array_to_string(node, '/') AS node FROM px WHERE regexp_matches(lower(path), 'e.*n') AND regexp_matches(lower(path), '\\..*p.*y')",
     "selection_toggle": f"""{FILES}, {SELECTED} SELECT source AS repo_id, path, CASE WHEN parts[1] = 'en' THEN NOT coalesce(bool_and(selected) FILTER (WHERE parts[1] = 'en') OVER (PARTITION BY source), false) ELSE selected END AS selected FROM sel""",
     "selection_toggle_all": f"{FILES}, {SELECTED} SELECT source AS repo_id, path, NOT bool_and(selected) OVER (PARTITION BY source) AS selected FROM sel",
@@ -171,12 +170,10 @@ SQL: dict[str, str] = {
         t AS (SELECT source, node, count(*) AS files, count(*) FILTER (WHERE selected) AS sel_files, coalesce(CAST(sum(tok) FILTER (WHERE selected) AS BIGINT), 0) AS sel_tokens, coalesce(CAST(sum(size) FILTER (WHERE selected) AS BIGINT), 0) AS sel_bytes FROM sx GROUP BY source, node)
         SELECT source AS repo_id, array_to_string(node, '/') AS node, sel_files, sel_tokens, sel_bytes, CASE WHEN sel_files = 0 THEN 'none' WHEN sel_files = files THEN 'all' ELSE 'partial' END AS state FROM t""",
     "budget_prune": f"{FILES}, {fitted('named', None)} SELECT source AS repo_id, path, CAST(tier AS BIGINT) AS tier, tokens_fit, kept FROM p3",
-    "budget_fit": f"{FILES}, {fitted('named', HEAD)} SELECT source AS repo_id, path, md5(content_fit) AS content_md5, tokens_fit, outlined, kept FROM p3",
-    "budget_affected": f"{FILES}, {fitted('named', HEAD)} SELECT source AS repo_id, CAST(sum(CAST(outlined AS INT) + CAST(NOT kept AS INT)) AS BIGINT) AS affected FROM p3 GROUP BY source",
     "format_xml_blocks": f"{FILES} SELECT source AS repo_id, path, md5('<file path=\"' || path || CASE WHEN path LIKE '%.rs' THEN '\" outline=\"true\">' ELSE '\">' END || chr(10) || {LINED} || '</file>' || chr(10)) AS block_md5 FROM named",
     "format_md_blocks": f"{FILES} SELECT source AS repo_id, path, md5({MARKDOWN}) AS block_md5 FROM named",
-    "md_fence": f"WITH {IDS}, b AS (SELECT doc_id, left(text, 20) || repeat('`', doc_id % 6) || ' x ' || repeat('`', doc_id % 4) AS body FROM ids) SELECT doc_id, {FENCE.format('body')} AS fence FROM b",
-    "json_escape": f"WITH {IDS}, b AS (SELECT doc_id, left(text, 200) || {one_of(['\"q\"\\', chr(9) + chr(13) + chr(10), chr(1) + chr(31), chr(8) + chr(12), 'é/<>'])}[doc_id % 5 + 1] AS body FROM ids) SELECT doc_id, {escape('body')} AS escaped FROM b",
+    "md_fence": f"WITH {IDS}, b AS (SELECT doc_id, text || repeat('`', doc_id % 6) || ' x ' || repeat('`', doc_id % 4) AS body FROM ids) SELECT doc_id, {FENCE.format('body')} AS fence FROM b",
+    "json_escape": f"WITH {IDS}, b AS (SELECT doc_id, text || {one_of(['\"q\"\\', chr(9) + chr(13) + chr(10), chr(1) + chr(31), chr(8) + chr(12), 'é/<>'])}[doc_id % 5 + 1] AS body FROM ids) SELECT doc_id, md5({escape('body')}) AS escaped_md5, length({escape('body')}) AS n_chars FROM b",
     "format_tool_call": f"{FILES}, {NUMBERED} SELECT source AS repo_id, path, md5({TOOL}) AS block_md5 FROM numbered",
     "pack_document": f"""{FILES}, {LINES}, docs AS (SELECT source, '<repository_structure>' || chr(10) || max(tree) || '</repository_structure>' || chr(10) || chr(10) || string_agg({XML}, chr(10) ORDER BY parts) AS document FROM named JOIN trees USING (source) GROUP BY source)
         SELECT source AS repo_id, md5(document) AS document_md5, length(document) AS n_chars FROM docs""",
@@ -204,7 +201,7 @@ SQL: dict[str, str] = {
         CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN format('{{:.1f}} KB', n / 1024.0::DOUBLE) WHEN n < 1073741824 THEN format('{{:.1f}} MB', n / 1048576.0::DOUBLE) ELSE format('{{:.2f}} GB', n / 1073741824.0::DOUBLE) END AS short,
         CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN format('{{:.1f}} KB', n / 1024.0::DOUBLE) WHEN n < 1073741824 THEN format('{{:.2f}} MB', n / 1048576.0::DOUBLE) ELSE format('{{:.2f}} GB', n / 1073741824.0::DOUBLE) END AS long, length(CAST(n AS VARCHAR)) AS digits FROM {N}""",
     "size_literals": """SELECT p_partkey, CAST(floor(CAST(p_size || '.' || (p_size % 10) AS DOUBLE) * [1, 1, 1024, 1024, 1048576, 1073741824, NULL][p_partkey % 7 + 1]) AS BIGINT) AS n_bytes FROM part""",
-    "context_gauge": """WITH r AS (SELECT o_orderkey, CAST(trunc(o_totalprice / 2) AS BIGINT) / 128000.0::DOUBLE AS ratio FROM orders) SELECT o_orderkey, round(ratio, 6) AS ratio, repeat('█', least(12, CAST(round(least(1.0, ratio) * 12) AS INT))) || repeat('░', 12 - least(12, CAST(round(least(1.0, ratio) * 12) AS INT))) AS bar,
+    "context_gauge": """WITH r AS (SELECT o_orderkey, CAST(trunc(o_totalprice / 2) AS BIGINT) / 128000.0::DOUBLE AS ratio FROM orders) SELECT o_orderkey, ratio, repeat('█', least(12, CAST(round(least(1.0, ratio) * 12) AS INT))) || repeat('░', 12 - least(12, CAST(round(least(1.0, ratio) * 12) AS INT))) AS bar,
         CASE WHEN ratio >= 1 THEN 'red' WHEN ratio >= 0.9 THEN 'light_red' WHEN ratio >= 0.7 THEN 'yellow' ELSE 'green' END AS colour, ratio > 1 AS over FROM r""",
     "line_index": f"WITH {IDS}, l AS (SELECT doc_id, unnest(string_split(text || chr(10) || 'last', chr(10))) AS line FROM ids) SELECT doc_id, count(*) AS n_lines, max(length(line)) AS longest FROM l GROUP BY doc_id",
     "tail_paths": f"WITH {IDS} SELECT doc_id, CASE WHEN length(path) <= 12 THEN path ELSE '…' || right(path, 11) END AS shown FROM ids",
@@ -213,18 +210,13 @@ SQL: dict[str, str] = {
     "outlined_preview": f"{FILES}, g AS (SELECT source, list(path ORDER BY parts) AS a FROM named WHERE path LIKE '%.rs' GROUP BY source) SELECT source AS repo_id, array_to_string(a[1:5], ', ') || CASE WHEN len(a) > 5 THEN ' (+' || (len(a) - 5) || ' more)' ELSE '' END AS preview FROM g",
 }
 SQL["pack_budget"] = f"""WITH RECURSIVE ids0 AS ({IDS.removeprefix("ids AS (").removesuffix(")")}), ids AS (SELECT doc_id, source, lang, path, text || CASE doc_id % 5 WHEN 0 THEN ' key={SK} ' WHEN 1 THEN chr(10) || '({GH})' || chr(10) || 'x{GH}' WHEN 2 THEN ' {AK} {AK}Z' WHEN 3 THEN chr(10) || {quoted(PEM)} || chr(10) || '{SK[:12]} ' ELSE '' END AS text FROM ids0),
-    {NAMED}, {RULES}, ok AS (SELECT doc_id, source, path, parts, low, ext, {CLEAN.replace("RAW", "text")} AS text FROM rules WHERE NOT {SKIP} AND NOT is_hidden AND size <= 20000), sized AS (SELECT *, strlen(text) AS size, CAST(ceil(strlen(text) / 4.0) AS BIGINT) AS tok FROM ok),
+    {NAMED}, {RULES}, ok AS (SELECT doc_id, source, path, parts, low, ext, {CLEAN.replace("RAW", "text")} AS text FROM rules WHERE NOT {SKIP} AND NOT is_hidden AND size <= 1048576), sized AS (SELECT *, strlen(text) AS size, CAST(ceil(strlen(text) / 4.0) AS BIGINT) AS tok FROM ok),
     {fitted("sized", None)}, kept AS (SELECT source, path, parts, size, tok, text FROM p3 WHERE kept), {LINES.replace("FROM named", "FROM kept")},
     docs AS (SELECT source, '<repository_structure>' || chr(10) || max(tree) || '</repository_structure>' || chr(10) || chr(10) || string_agg({XML}, chr(10) ORDER BY parts) AS document FROM kept JOIN trees USING (source) GROUP BY source)
     SELECT source AS repo_id, md5(document) AS document_md5, length(document) AS n_chars FROM docs"""
 SQL["fuzzy_best"] = f"""{FILES}, h AS (SELECT source, path, parts, -length(path) / 100.0 + CASE WHEN contains(lower(path), 'doc') THEN 2 ELSE 0 END + CASE WHEN contains('/' || lower(path), '/doc') THEN 1 ELSE 0 END + CASE WHEN contains(lower(path), 'rs') THEN 2 ELSE 0 END + CASE WHEN contains('/' || lower(path), '/rs') THEN 1 ELSE 0 END AS score
     FROM named WHERE regexp_matches(lower(path), 'd.*o.*c') AND regexp_matches(lower(path), 'r.*s')), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY round(score, 6) DESC, parts) AS k FROM h)
     SELECT source AS repo_id, path, CAST(round(score, 4) AS DOUBLE) AS score FROM r WHERE k = 1"""
-#: The whole texts of the turns, with their punctuation.
-WHOLE_ASKS = ASKS.replace("regexp_replace(left(text, 80), '[^A-Za-z ,]', '', 'g')", "coalesce(text, '')")
-SQL |= {f"{name}_whole": SQL[name].replace(ASKS, WHOLE_ASKS) for name in ("prompt_strip_filler", "prompt_condense", "prompt_shots")}
-SQL["json_escape_whole"] = SQL["json_escape"].replace("left(text, 200)", "text").replace(f"{escape('body')} AS escaped", f"md5({escape('body')}) AS escaped_md5, length({escape('body')}) AS n_chars")
-SQL["pack_budget_whole"] = SQL["pack_budget"].replace("size <= 20000", "size <= 1048576")
 #: Whole texts as function bodies, and the outline that is left of them.
 CODE = f"""src0 AS ({IDS.removeprefix("ids AS (").removesuffix(")")}), src AS (SELECT *, regexp_extract(string_split(path, '/')[-1], '^.+\\.([^.]*)$', 1) AS ext FROM src0),
     src1 AS (SELECT * EXCLUDE (ext), {HINT} AS hint FROM src), ids AS (SELECT doc_id, source, lang, path,
@@ -235,5 +227,16 @@ CODE = f"""src0 AS ({IDS.removeprefix("ids AS (").removesuffix(")")}), src AS (S
         WHEN hint = 'rust' THEN 'pub struct D' || doc_id || ';' || chr(10) || chr(10) || 'pub fn body() {{ /* ... */ }}' || chr(10)
         WHEN hint IN ({", ".join(map(quoted, OUTLINED))}) THEN '// ' || doc_id || chr(10) || chr(10) || 'func body() {{ /* ... */ }}' || chr(10) END AS lined FROM src1)"""
 CODED = f"WITH RECURSIVE {CODE}, {NAMED}, {RULES}, {fitted('named', 'lined')}"
-SQL["budget_fit_code"] = f"{CODED} SELECT source AS repo_id, path, md5(content_fit) AS content_md5, tokens_fit, outlined, kept FROM p3"
-SQL["budget_affected_code"] = f"{CODED} SELECT source AS repo_id, CAST(sum(CAST(outlined AS INT) + CAST(NOT kept AS INT)) AS BIGINT) AS affected FROM p3 GROUP BY source"
+SQL["budget_fit"] = f"{CODED} SELECT source AS repo_id, path, md5(content_fit) AS content_md5, tokens_fit, outlined, kept FROM p3"
+SQL["budget_affected"] = f"{CODED} SELECT source AS repo_id, count(*) FILTER (WHERE outlined OR NOT kept) AS affected FROM p3 GROUP BY source"
+OUTLINED_XML = XML.replace("'\">'", "CASE WHEN outlined THEN '\" outline=\"true\">' ELSE '\">' END")
+SQL["pack_budget_code"] = f"""WITH RECURSIVE {CODE}, {NAMED}, {RULES}, ok AS (SELECT * FROM rules WHERE NOT {SKIP} AND NOT is_hidden AND size <= 1048576), {fitted("ok", "lined")},
+    kept AS (SELECT source, path, parts, outlined, tokens_fit AS tok, strlen(content_fit) AS size, content_fit AS text FROM p3 WHERE kept), {LINES.replace("FROM named", "FROM kept")},
+    docs AS (SELECT source, '<repository_structure>' || chr(10) || max(tree) || '</repository_structure>' || chr(10) || chr(10) || string_agg({OUTLINED_XML}, chr(10) ORDER BY parts) AS document FROM kept JOIN trees USING (source) GROUP BY source)
+    SELECT source AS repo_id, md5(document) AS document_md5, length(document) AS n_chars FROM docs"""
+BARE_PACK = "CASE kind WHEN 'xml' THEN '<repository_structure>' || chr(10) || '.' || chr(10) || '</repository_structure>' || chr(10) WHEN 'markdown' THEN '# Repository Structure' || chr(10) || chr(10) || '```' || chr(10) || '.' || chr(10) || '```' || chr(10) || chr(10) || '# Repository Files' || chr(10) ELSE '[]' || chr(10) END"
+SQL["pack_empty"] = f"""WITH RECURSIVE {IDS}, every AS (SELECT DISTINCT source FROM ids), {NAMED.replace("FROM ids)", "FROM ids WHERE path LIKE '%.zig')")}, {LINES}, {NUMBERED},
+    packs AS (SELECT source, 'xml' AS kind, '<repository_structure>' || chr(10) || max(tree) || '</repository_structure>' || chr(10) || chr(10) || string_agg({XML}, chr(10) ORDER BY parts) AS document FROM named JOIN trees USING (source) GROUP BY source
+        UNION ALL SELECT source, 'markdown', '# Repository Structure' || chr(10) || chr(10) || '```' || chr(10) || max(tree) || '```' || chr(10) || chr(10) || '# Repository Files' || chr(10) || chr(10) || string_agg({MARKDOWN}, chr(10) ORDER BY parts) FROM named JOIN trees USING (source) GROUP BY source
+        UNION ALL SELECT source, 'tool-call', '[' || chr(10) || string_agg({TOOL}, ',' || chr(10) ORDER BY parts) || chr(10) || ']' || chr(10) FROM numbered GROUP BY source)
+    SELECT source AS repo_id, kind, md5(coalesce(document, {BARE_PACK})) AS document_md5 FROM (SELECT source, kind FROM every, (VALUES ('xml'), ('markdown'), ('tool-call')) k(kind)) LEFT JOIN packs USING (source, kind)"""

@@ -9,7 +9,7 @@ from ..functions import lockfiles, outline, paths, redact, tokens, workflow
 from ..operators import budget as fit
 from ..operators import files as ops
 from ..operators import format as shape
-from ..schema import PackOptions, format_name, profile
+from ..schema import PackOptions, format_name
 from ..sources.repo_tree import git_status, read_tree
 
 
@@ -50,11 +50,13 @@ def packed_files(files: DataFrame, options: PackOptions | None = None, changed:
     options = options or PackOptions()
     own = ops.changed_only(files, changed) if changed is not None else files
     own = transformed(own.filter(ops.path_filter(options)).filter(ops.size_filter(options)), options)
-    factor = profile(options.token_profile)[2]
-    if options.count_tokens or options.budget is not None:
-        own = own.withColumn("token_count", tokens.scaled(tokens.estimate(F.col("content")), factor))
+    count = lambda c: tokens.counted(c, options.token_profile, options.encoder)
+    if options.count_tokens and options.budget is None:
+        own = own.withColumn("token_count", count(F.col("content")))
     if options.budget is not None:
-        fitted = fit.fit_budget(own, options.budget, outline.outline(F.col("content"), F.col("path")), factor).filter("kept")
+        # the estimate costs nothing twice; a real encoder's counts are taken along
+        own = own.withColumn("token_count", F.lit(None).cast("bigint") if options.encoder is None else count(F.col("content")))
+        fitted = fit.fit_budget(own, options.budget, outline.outline(F.col("content"), F.col("path")), count=count).filter("kept")
         own = fitted.select(
             *[c for c in own.columns if c not in ("content", "size_bytes", "token_count", "is_outlined")],
             F.octet_length("content_fit").cast("bigint").alias("size_bytes"), F.col("content_fit").alias("content"), F.col("tokens_fit").alias("token_count"), (F.col("is_outlined") | F.col("outlined")).alias("is_outlined"),
@@ -62,10 +64,10 @@ def packed_files(files: DataFrame, options: PackOptions | None = None, changed:
     return own
 
 
-def pack(files: DataFrame, options: PackOptions | None = None, changed: DataFrame | None = None) -> DataFrame:
-    """(repo_id, document): one text per repository in the asked format."""
+def pack(files: DataFrame, options: PackOptions | None = None, changed: DataFrame | None = None, repos: DataFrame | None = None) -> DataFrame:
+    """(repo_id, document): one text per repository in the asked format; those of `repos` without a file get the empty pack."""
     options = options or PackOptions()
-    return shape.documents(packed_files(files, options, changed), format_name(options.format))
+    return shape.documents(packed_files(files, options, changed), format_name(options.format), repos=repos)
 
 
 def tree_files(spark: SparkSession, root: str, options: PackOptions | None = None, ignore_file: str = ".packignore", gitignore: bool = True) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -78,3 +79,5 @@ class PackOptions:
     count_tokens: bool = False
     token_profile: str = "cl100k"
     budget: int | None = None
+    #: Makes a counting function in a Python worker (see tokens.counted); None counts by the estimate.
+    encoder: Callable[[], Callable[[str], int]] | None = None
