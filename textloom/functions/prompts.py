@@ -46,6 +46,10 @@ LIGHTING = (
     "volumetric|chiaroscuro|rim light|blue hour|neon-lit|god rays|overcast|backlit|moonlit|studio|moody|neon"
 ).split("|")
 
+#: A shot's camera words, in this order.
+CAMERA_OR_LENS = list(dict.fromkeys([*CAMERA, *LENS]))
+ASCII_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+
 FILLER = r"(?i)^(?:(?:" + "|".join(FILLERS) + r")[\s,:-]*)+"
 SUFFIX = r"(?i)(?:, please\.|(?<!,) please\.|, thank you\.|(?<!,) thank you\.)$"
 MARKERS = r" [cC]ut to: | [cC]ut to |(?:[Ss]hot|[Ss]cene) (?:1[0-9]|20|[1-9]):"
@@ -97,34 +101,35 @@ def subject(all_shots: Column) -> Column:
     return F.when(F.size(clauses) == 0, "primary subject").otherwise(F.array_join(clauses, ", "))
 
 
-def camera(shot: Column, lens: Column) -> Column:
-    """Every camera and lens word of the shot, in list order; else the locked lens."""
-    low = F.translate(shot, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    known = list(dict.fromkeys([*CAMERA, *LENS]))
-    named = F.filter(F.array(*[F.when(F.regexp_like(low, F.lit(_bounded(s))), F.lit(s)) for s in known]), lambda s: s.isNotNull())
-    return F.when(F.size(named) > 0, F.array_join(named, ", ")).otherwise(lens)
+def seen(text: str, known: list[str]) -> list[str]:
+    """Known details that the text names on word boundaries, in list order."""
+    low = text.translate(ASCII_LOWER)
+    return [k for k in known if k in low and re.search(_bounded(k), low)]
+
+
+def locked(text: str, known: list[str]) -> str | None:
+    """As `specs`, of one text: a detail that a found one contains is left out."""
+    found = seen(text, known)
+    return ", ".join(k for n, k in enumerate(found) if not any(re.search(_bounded(k), o) for o in found[:n])) or None
 
 
 def compiled(text: Column, seconds: Column | None = None, anchor: Column | None = None) -> Column:
     """The two-section prompt: an XML brief to plan by, and tag-free prompts that repeat the subject in each."""
     clean = strip_fillers(text)
     cut = shots(clean)
-    lens = specs(clean, LENS)
-    condensed = F.transform(cut, condense)
-    # the locked lens is put in by `assemble`: inside the lambda the whole text would be searched again for every shot
-    info = F.struct(subject(cut).alias("subject"), lens.alias("lens"), specs(clean, LIGHTING).alias("lighting"), condensed.alias("shots"), F.transform(condensed, lambda s: camera(s, F.lit(None))).alias("cameras"))
+    info = F.struct(clean.alias("clean"), subject(cut).alias("subject"), F.transform(cut, condense).alias("shots"))
     return _assemble(info, F.lit(None).cast("int") if seconds is None else seconds, F.lit(None).cast("string") if anchor is None else anchor)
 
 
 def assemble(info: dict, seconds: int | None, anchor: str | None) -> str:
-    who, lens, light = info["subject"], info["lens"], info["lighting"]
+    who, lens, light = info["subject"], locked(info["clean"], LENS), locked(info["clean"], LIGHTING)
     brief = ["# 1. Prompt-Writer Brief (XML for LLM planning)", "<video_brief>", "  <character_lock>", f"    subject: {who}"]
     brief += [f"    {name}: {value}" for name, value in (("lens", lens), ("lighting", light)) if value is not None]
     brief.append("  </character_lock>")
     identity = ", ".join([who, *(v for v in (lens, light) if v is not None and v.lower() not in who.lower())])
     paste = ["", "# 2. Paste-Ready Video Model Prompts (No XML tags — repeat identity per clip)"]
-    for n, (shot, cam) in enumerate(zip(info["shots"], info["cameras"], strict=True), 1):
-        cam = lens if cam is None else cam
+    for n, shot in enumerate(info["shots"], 1):
+        cam = ", ".join(seen(shot, CAMERA_OR_LENS)) or lens
         first = anchor or "initial_keyframe"
         brief.append(f'  <shot index="{n}"' + (f' duration="{seconds}s">' if seconds is not None else ">"))
         brief += [f"    [Camera: {cam}]"] if cam is not None else []

@@ -445,6 +445,11 @@ PYTHON = "import os\n\n@d\ndef f{n}(a,\n      b):\n    \"\"\"doc\"\"\"\n    retu
 GO = "package p\n\nfunc F{n}(a int) int {{\n\tif a > {n} {{\n\t\treturn a\n\t}}\n\treturn {n}\n}}\n\ntype T struct {{\n\tx int\n}}\n"
 
 
+SCRIPT = "import x;\n\nexport async function f{n}(a) {{\n  if (a) {{ return {n}; }}\n}}\n\nclass K {{\n  constructor(a) {{\n    this.a = {n};\n  }}\n}}\n\nconst g = (b) => {{\n  return b;\n}};\n"
+TYPED = "struct P {{\n    int x;\n}}\n\npublic int f{n}(int a) {{\n    while (a) {{ a = a - {n}; }}\n    return a;\n}}\n// end {n}\n"
+BRACED = {"go": GO, **dict.fromkeys(("ts", "js", "tsx", "jsx"), SCRIPT), **dict.fromkeys(("c", "cpp", "java", "kt", "swift", "cs"), TYPED)}
+
+
 def _code(template: str) -> Column:
     return F.regexp_replace(F.lit(template.replace("{{", "{").replace("}}", "}").replace("{n}", "NUMBER")), F.lit("NUMBER"), F.col("p_partkey").cast("string"))
 
@@ -462,7 +467,10 @@ def outline_python(spark, sf_dir):
 
 
 def outline_generic(spark, sf_dir):
-    return _outline(spark, sf_dir, GO, "a/main.go")
+    """A source of each brace language in turn."""
+    k = F.col("p_partkey")
+    source = F.get(F.array(*[_code(t) for t in BRACED.values()]), (k % len(BRACED)).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", outline.outline(source, F.concat(F.lit("a/main."), pick(list(BRACED), k))).alias("outline"))
 
 
 def highlight_lines(spark, sf_dir):

@@ -5,9 +5,11 @@ Only fixed lists and the synthetic inputs are shared, so that both sides read th
 
 from __future__ import annotations
 
+import re
+
 from ..functions.outline import OUTLINED
 from ..functions.paths import BINARY_EXTENSIONS, LANGUAGES, LOCKFILES
-from ..functions.prompts import FILLERS, LENS, LIGHTING, STOP_WORDS
+from ..functions.prompts import CAMERA, FILLERS, LENS, LIGHTING, STOP_WORDS
 from ..schema import PROFILES
 from .catalogue import AK, BUDGET, EXTENSIONS, GH, PEM, SK
 
@@ -109,8 +111,6 @@ BARE = "list_filter(list_transform(" + CUT + ", lambda s: " + TRIM.format(r"rege
 
 def spec_sql(known: list[str]) -> str:
     """Longest-first list; a found detail that contains a later one on word boundaries hides it."""
-    import re
-
     has = lambda spec, text: f"regexp_matches({text}, {quoted('(^|[^a-z0-9])' + re.escape(spec) + '([^a-z0-9]|$)')})"
     cells = []
     for k, spec in enumerate(known):
@@ -190,7 +190,7 @@ SQL: dict[str, str] = {
     "workflow_manifest": """SELECT event_id, '# ComfyUI Workflow Manifest (2 nodes, 2 unique types)' || chr(10) || '## Nodes' || chr(10) || '- KSampler x1' || chr(10) || '- ' || event_type || ' x1' || chr(10) || '## Prompts' || chr(10)
         || '- "a prompt ' || k || '"' || chr(10) || '## Sampler & Latent Config' || chr(10) || '- cfg: 7' || chr(10) || '- seed: ' || event_id || chr(10) || '- steps: ' || k || chr(10) AS manifest FROM (SELECT *, json_extract_string(props, '$.k') AS k FROM events)""",
     "prompt_strip_filler": f"WITH {ASKS} SELECT conv_id, turn, {STRIP} AS clean FROM asks",
-    "prompt_condense": f"WITH {ASKS} SELECT conv_id, turn, array_to_string(list_filter(regexp_split_to_array({TRIM.format('ask')}, '\\s+'), lambda w: NOT list_contains({one_of(STOP_WORDS)}, lower(regexp_replace(w, '^[^A-Za-z0-9]+|[^A-Za-z0-9]+$', '', 'g')))), ' ') AS condensed FROM asks",
+    "prompt_condense": f"WITH {ASKS} SELECT conv_id, turn, array_to_string(list_filter(regexp_split_to_array({TRIM.format('ask')}, '\\s+'), lambda w: NOT list_contains({one_of(STOP_WORDS)}, lower(regexp_replace(w, '^[^\\pL\\pN]+|[^\\pL\\pN]+$', '', 'g')))), ' ') AS condensed FROM asks",
     "prompt_shots": f"WITH {ASKS}, s AS (SELECT conv_id, turn, CASE WHEN len({BARE}) = 0 THEN [ask] ELSE {BARE} END AS b FROM asks) SELECT conv_id, turn, unnest(range(0, len(b))) AS pos, unnest(b) AS shot FROM s",
     "prompt_specs": f"WITH {ASKS} SELECT conv_id, turn, {spec_sql(LENS)} AS lens, {spec_sql(LIGHTING)} AS lighting FROM asks",
     "frame_sharpness": f"WITH {SHARP} SELECT vec_id, round(sharpness, 4) AS sharpness FROM sharp",
@@ -240,3 +240,40 @@ SQL["pack_empty"] = f"""WITH RECURSIVE {IDS}, every AS (SELECT DISTINCT source F
         UNION ALL SELECT source, 'markdown', '# Repository Structure' || chr(10) || chr(10) || '```' || chr(10) || max(tree) || '```' || chr(10) || chr(10) || '# Repository Files' || chr(10) || chr(10) || string_agg({MARKDOWN}, chr(10) ORDER BY parts) FROM named JOIN trees USING (source) GROUP BY source
         UNION ALL SELECT source, 'tool-call', '[' || chr(10) || string_agg({TOOL}, ',' || chr(10) ORDER BY parts) || chr(10) || ']' || chr(10) FROM numbered GROUP BY source)
     SELECT source AS repo_id, kind, md5(coalesce(document, {BARE_PACK})) AS document_md5 FROM (SELECT source, kind FROM every, (VALUES ('xml'), ('markdown'), ('tool-call')) k(kind)) LEFT JOIN packs USING (source, kind)"""
+#: What is left of the code templates, NUMBER standing for p_partkey.
+LEFT = {
+    "rust": "use a;\npub struct S {\n    x: u8,\n}\n\nimpl S {\n    pub fn fNUMBER(&self) -> u8 { /* ... */ }\n}\n",
+    "python": "import os\n\n@d\ndef fNUMBER(a,\n      b):\n    ...\nclass C:\n    x = NUMBER\n    def m(self): return 1\n    y = 2\n    def z(self):\n        ...\n",
+    "go": "package p\n\nfunc FNUMBER(a int) int { /* ... */ }\n\ntype T struct {\n\tx int\n}\n",
+    "script": "import x;\n\nexport async function fNUMBER(a) { /* ... */ }\n\nclass K {\n  constructor(a) { /* ... */ }\n}\n\nconst g = (b) => { /* ... */ }\n",
+    "typed": "struct P {\n    int x;\n}\n\npublic int fNUMBER(int a) { /* ... */ }\n// end NUMBER\n",
+}
+with_number = lambda text: f"replace({quoted(text)}, 'NUMBER', CAST(p_partkey AS VARCHAR))"
+SQL["outline_rust"] = f"SELECT p_partkey, {with_number(LEFT['rust'])} AS outline FROM part"
+SQL["outline_python"] = f"SELECT p_partkey, {with_number(LEFT['python'])} AS outline FROM part"
+SQL["outline_generic"] = f"SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN {with_number(LEFT['go'])} WHEN p_partkey % 11 <= 4 THEN {with_number(LEFT['script'])} ELSE {with_number(LEFT['typed'])} END AS outline FROM part"
+LIGHTS = [
+    "keyword:use|punct: |name:a|punct:;", "keyword:pub|punct: |keyword:struct|punct: |type:S|punct: {", "blank:    |name:x|punct:: |type:u8|punct:,", "punct:}", "", "keyword:impl|punct: |type:S|punct: {",
+    "blank:    |keyword:pub|punct: |keyword:fn|punct: |name:fNUMBER|punct:(&|keyword:self|punct:) -> |type:u8|punct: {",
+    "blank:        |keyword:if|punct: |keyword:self|punct:.|name:x|punct: > |number:NUMBER|punct: { |number:1|punct: } |keyword:else|punct: { |number:2|punct: }", "blank:    |punct:}", "punct:}",
+]
+SQL["highlight_lines"] = f"SELECT p_partkey, CAST(pos AS BIGINT) AS pos, replace(CASE WHEN p_partkey IN (32, 64) THEN replace(spans, 'name:f', 'type:f') ELSE spans END, 'NUMBER', CAST(p_partkey AS VARCHAR)) AS spans FROM part, (VALUES {', '.join(f'({k}, {quoted(x)})' for k, x in enumerate(LIGHTS))}) l(pos, spans)"
+
+#: The whole compiler, step by step: cleaned text, shots, locked details, then the two sections line by line.
+CONDENSED = "array_to_string(list_filter(regexp_split_to_array({0}, '\\s+'), lambda w: NOT list_contains(" + one_of(STOP_WORDS) + ", lower(regexp_replace(w, '^[^\\pL\\pN]+|[^\\pL\\pN]+$', '', 'g')))), ' ')"
+WORDS_SEEN = list(dict.fromkeys([*CAMERA, *LENS]))
+CAMERA_SQL = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(s), {quoted('(^|[^a-z0-9])' + re.escape(w) + '([^a-z0-9]|$)')}) THEN {quoted(w)} END" for w in WORDS_SEEN) + "], lambda c: c IS NOT NULL), ', ')"
+NL = "chr(10)"
+SQL["prompt_compile"] = f"""WITH {ASKS}, a AS (SELECT conv_id, turn, {STRIP} AS ask FROM asks),
+    b AS (SELECT *, CASE WHEN ask = '' THEN ['cinematic establishing shot'] WHEN len({BARE}) = 0 THEN [ask] ELSE {BARE} END AS cut, nullif({spec_sql(LENS)}, '-') AS lens, nullif({spec_sql(LIGHTING)}, '-') AS light FROM a),
+    c AS (SELECT *, list_transform(cut, lambda x: {CONDENSED.format(TRIM.format("x"))}) AS shots FROM b),
+    d AS (SELECT *, list_filter(list_transform(regexp_split_to_array(shots[1], '[,;]')[1:2], lambda x: {TRIM.format("x")}), lambda x: x <> '') AS clauses, unnest(shots) AS s, unnest(range(1, len(shots) + 1)) AS n FROM c),
+    e AS (SELECT *, CASE WHEN len(clauses) = 0 THEN 'primary subject' ELSE array_to_string(clauses, ', ') END AS who, coalesce(nullif({CAMERA_SQL}, ''), lens) AS cam FROM d),
+    f AS (SELECT *, who || CASE WHEN lens IS NOT NULL AND NOT contains(lower(who), lower(lens)) THEN ', ' || lens ELSE '' END || CASE WHEN light IS NOT NULL AND NOT contains(lower(who), lower(light)) THEN ', ' || light ELSE '' END AS identity,
+        CASE WHEN starts_with(s, who) THEN regexp_replace(substr(s, length(who) + 1), '^[ \t\n\r\f\v,;]+', '') ELSE s END AS tail FROM e),
+    g AS (SELECT conv_id, turn, max(who) AS who, max(lens) AS lens, max(light) AS light,
+        string_agg('  <shot index="' || n || '" duration="5s">' || {NL} || CASE WHEN cam IS NOT NULL THEN '    [Camera: ' || cam || ']' || {NL} ELSE '' END || '    [Motion: ' || CASE WHEN s = '' THEN 'natural subject motion' ELSE s END || ']' || {NL}
+            || '    [Continuity: anchor=' || CASE WHEN n = 1 THEN 'anchor.png' ELSE 'sharpest_tail_frame' END || ', lock=character_lock]' || {NL} || '  </shot>' || {NL}, '' ORDER BY n) AS brief,
+        string_agg('Shot ' || n || ': ' || identity || CASE WHEN tail <> '' THEN ', ' || tail ELSE '' END || ' (5s) [Conditioning Image: anchor.png]', {NL} ORDER BY n) AS paste FROM f GROUP BY conv_id, turn)
+    SELECT conv_id, turn, '# 1. Prompt-Writer Brief (XML for LLM planning)' || {NL} || '<video_brief>' || {NL} || '  <character_lock>' || {NL} || '    subject: ' || who || {NL} || coalesce('    lens: ' || lens || {NL}, '') || coalesce('    lighting: ' || light || {NL}, '')
+        || '  </character_lock>' || {NL} || brief || '</video_brief>' || {NL} || {NL} || '# 2. Paste-Ready Video Model Prompts (No XML tags — repeat identity per clip)' || {NL} || paste AS compiled FROM g"""
