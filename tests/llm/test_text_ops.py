@@ -1,6 +1,7 @@
 """op1, op4, op5: text operators against brute force and hand-made cases."""
 
 import hashlib
+import time
 
 import brute
 from cases import HARD
@@ -103,6 +104,28 @@ def test_pii_checksums_and_context(docs_of):
     assert pii.personal_data(docs_of({})).count() == 0
 
 
+def test_pii_context_decides(docs_of):
+    """A word on either side lifts a proposal over the threshold; another match of the kind ends the context."""
+    hexed, key = "04dbebab91ab85687d33eeaaf9ac699e1188f962", f"{97 - 1850578006084 % 97:02d}"
+    texts = {
+        1: f'token = "{hexed}"', 2: f"commit {hexed} is fine", 3: f"{hexed} (api key)", 4: "AKIA" + "ABCD1234" * 2, 5: "tel 030 1234567", 6: "nr 030 1234567", 7: "030 1234567 phone", 8: "DNI 12345678Z", 9: "DNI 12345678A", 10: "12345678Z",
+        11: f"1 85 05 78 006 084 {key}", 12: f"1 85 05 78 006 084 {(int(key) + 1) % 97:02d}", 13: "mail a@b.co", 14: "x a@b.co", 15: "ssn 123-45-6789, 123-45-6788",
+    }
+    got = {r["doc_id"]: [(s["kind"], s["score"]) for s in r["spans"]] for r in pii.personal_data(docs_of(texts)).collect()}
+    assert got == {1: [("secret", 0.7)], 2: [], 3: [("secret", 0.7)], 4: [("secret", 0.6)], 5: [("tel", 0.6)], 6: [], 7: [("tel", 0.6)], 8: [("dni", 0.7)], 9: [], 10: [], 11: [("nir", 0.5)], 12: [], 13: [("email", 1.0)], 14: [("email", 0.6)], 15: [("ssn", 0.6)]}
+
+
+def test_pii_many_matches(docs_of):
+    """Places stay right over several levels of blocks, in time that grows with the text."""
+    for n in (0, 1, 63, 64, 65, 4097):
+        text = "é".join(f" u{k}@x.io 1.2.3.{k % 300}" for k in range(n))
+        found = pii.personal_data(docs_of({1: text})).first()["spans"]
+        assert [(s["kind"], s["start"], s["end"]) for s in found] == brute.base_spans(text)
+    began = time.monotonic()
+    assert len(pii.personal_data(docs_of({1: "a@b.co " * 200_000})).first()["spans"]) == 200_000
+    assert time.monotonic() - began < 60
+
+
 def page(body):
     return f"<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t='</p><p>no';</script></head><body>{body}</body></html>"
 

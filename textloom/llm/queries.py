@@ -42,8 +42,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns; then how many spans of each other kind, and every span's score in hundredths."""
     spans = pii.personal_data(table(spark, sf_dir, "documents"))
-    base = ("email", "ip", "card", "phone")
 
     def listed(x):
         return F.array_join(F.transform(x, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -51,9 +51,9 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     def count(kind):
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    counts = [count(k) for k in base]
-    only = F.filter("spans", lambda s: s["kind"].isin(*base))
-    return spans.select("doc_id", *counts, F.sha2(listed(only), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    only = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE_KINDS))
+    scores = F.array_join(F.transform("spans", lambda s: F.round(s["score"] * 100).cast("int").cast("string")), ",")
+    return spans.select("doc_id", *map(count, pii.BASE_KINDS), F.sha2(listed(only), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), *map(count, pii.KINDS[len(pii.BASE_KINDS) :]), scores.alias("scores"))
 
 
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,47 +1,5 @@
-"""Intermediate tables in the folder that all executors share.
+"""Intermediate tables; the engine's own module of staging, under the name that this subpackage uses."""
 
-A stage that is costly, or whose rows must not change when a lost executor's tasks run again, is
-written here as Parquet and read back: that cuts the lineage at files which outlive any executor.
-"""
+from ..staging import KEY, SMALL, _made, clear, new_path, shared_dir, staged
 
-from __future__ import annotations
-
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-KEY = "spark.checkpoint.dir"
-_made: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The session's `spark.checkpoint.dir`; a temporary folder only where it is unset (tests)."""
-    found = spark.conf.get(KEY, None) or spark.sparkContext.getConf().get(KEY)
-    if not found:
-        found = tempfile.mkdtemp(prefix="textloom-")
-        spark.conf.set(KEY, found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    path = f"{shared_dir(spark)}/textloom-{tag}-{uuid.uuid4().hex}"
-    _made.append(path)
-    return path
-
-
-def staged(df: DataFrame, tag: str) -> DataFrame:
-    """Write `df` to the shared folder once and return the written table."""
-    path = new_path(df.sparkSession, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def clear(spark: SparkSession) -> int:
-    """Delete what this process has written here; for long sessions, once results derived from it are stored."""
-    conf = spark._jsc.hadoopConfiguration()
-    for name in (gone := list(_made)):
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(conf).delete(path, True)
-        _made.remove(name)
-    return len(gone)
+__all__ = ["KEY", "SMALL", "_made", "clear", "new_path", "shared_dir", "staged"]
