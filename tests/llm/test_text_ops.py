@@ -17,7 +17,7 @@ def test_decontaminate_query(spark, sf_dir, sample):
     want = brute.decontaminate(sample, items)
     got = queries.op1_decontaminate(spark, sf_dir).collect()
     assert len(got) == len(sample)
-    assert all(tuple(r)[1:] == want[r["doc_id"]] for r in got) and any(r["contaminated"] for r in got)
+    assert all(tuple(r)[1:6] == want[r["doc_id"]] and 0 <= r["n_cut"] <= r["n_hit"] for r in got) and any(r["contaminated"] for r in got)
 
 
 ITEMS = [(1, "One two three FOUR five six seven eight nine ten eleven twelve thirteen fourteen"), (2, "short item"), (3, None), (4, ""), (5, "--"), (None, "short item"), (2, "other part"), (10, "same text here with several words")]
@@ -28,14 +28,15 @@ def test_decontaminate_hard(spark, hard, docs_of):
     more = docs_of([(50, "x one-two three four five six seven eight nine ten eleven twelve thirteen y"), (51, "a SHORT  item, other part " + "z " * 100), (52, "two three four five six seven eight nine ten eleven twelve thirteen"), (None, "short item")], clash=True)
     rows = [*HARD, *((r["doc_id"], r["text"]) for r in more.collect())]
     want = brute.decontaminate(enumerate(t for _, t in rows), [i for i in ITEMS if i[0] is not None])
+    expected = sorted(((d, *want[k]) for k, (d, _) in enumerate(rows)), key=str)
+    both = hard.unionByName(more)
+    for block in (10**6, 5, 2):  # repeated and missing doc_ids have their own rows, with any number of blocks
+        got = decontaminate.contamination(both, bench, block_words=block).collect()
+        assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], len(r["items"]), decontaminate.digest(r["items"]), r["contaminated"]) for r in got), key=str) == expected
+    clean = sorted(((d, t) for k, (d, t) in enumerate(rows) if not want[k][4]), key=str)
     for block in (10**6, 5):
-        got = decontaminate.contamination(hard.unionByName(more), bench, block_words=block)
-        shape = sorted((r["n_words"], r["n_hit"], len(r["items"]), decontaminate.digest(r["items"]), r["contaminated"]) for r in got.filter("doc_id is not null").dropDuplicates(["doc_id"]).collect())
-        seen = {}
-        for k, (d, _) in enumerate(rows):
-            if d is not None:
-                seen[d] = want[k]
-        assert shape == sorted(seen.values())
+        left = decontaminate.decontaminated(both, bench, block_words=block)
+        assert left.columns == both.columns and sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str) == clean
     left = [r["doc_id"] for r in decontaminate.decontaminated(hard.unionByName(more), bench).collect()]
     assert 50 not in left and 51 in left and 52 in left and 1 in left and 4 not in left
 
@@ -50,9 +51,26 @@ def test_decontaminate_empty(spark, hard, empty):
 def test_spans_are_cut(spark, docs_of):
     bench = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(20)))], "item_id long, text string")
     body = "Keep this, " + " ".join(f"W{k}" for k in range(20)) + "! And " + "that " * 500
-    got = decontaminate.decontaminated(docs_of({1: body, 2: "clean", 3: None}), bench, longest=13, share=0.5).collect()
-    assert {r["doc_id"]: r["text"] for r in got} == {1: "Keep this, ! And " + "that " * 500, 2: "clean", 3: None}
-    assert [r["doc_id"] for r in decontaminate.decontaminated(docs_of({1: body[:60], 2: "clean"}), bench, longest=13, share=0.01).collect()] == [2]
+    for block in (10**6, 13):
+        cut = lambda rows, share: decontaminate.decontaminated(docs_of(rows), bench, longest=13, share=share, block_words=block)  # noqa: B023, E731
+        assert {r["doc_id"]: r["text"] for r in cut({1: body, 2: "clean", 3: None}, 0.5).collect()} == {1: "Keep this, ! And " + "that " * 500, 2: "clean", 3: None}
+        assert [r["doc_id"] for r in cut({1: body[:60], 2: "clean"}, 0.01).collect()] == [2]
+
+
+def test_long_items_are_cut_into_blocks(spark):
+    item = [b"a%d" % (k % 50) for k in range(400)]
+    bench = spark.createDataFrame([(1, " ".join(w.decode() for w in item)), (2, "line\nfeed")], "item_id long, text string")
+    blocks = list(decontaminate.item_blocks(bench, 60))
+    assert max(sum(map(len, b.values())) for b in blocks) <= 60 + 12
+    windows = {tuple(p[k : k + 13]) for b in blocks for (i, _), p in b.items() if i == "1" for k in range(len(p) - 12)}
+    assert windows == {tuple(item[k : k + 13]) for k in range(388)}
+
+
+def test_repeated_words_are_linear():
+    began = time.monotonic()
+    sam = SuffixAutomaton({("1", 1): [b"w"] * 100_000, ("2", 2): [b"w"] * 3}, 13)
+    spans, items = decontaminate.find_hits([b"w"] * 100_000, sam)
+    assert spans == [(0, 100_000)] and len(items) == 2 and time.monotonic() - began < 10
 
 
 @settings(max_examples=150, deadline=None)

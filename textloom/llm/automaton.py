@@ -58,30 +58,35 @@ class SuffixAutomaton:
         return new
 
     def _mark(self, ends: list[list[int]]) -> None:
-        """held: state of a whole window -> items; short: state -> (length, item) of items that end there whole."""
+        """held: state of a whole window -> items; short: state -> (length, item) of items that end there whole.
+
+        wide: a state's ancestor whose strings include the suffix of `width` words; marked: the
+        nearest one, itself included, that a short item ends in. Both are filled in order of
+        length, parents first, so a scan never climbs: a text of one word repeated costs no more.
+        """
+        link, length, width = self.link, self.length, self.width
         self.held: dict[int, set[int]] = {}
         self.short: dict[int, list[tuple[int, int]]] = {}
         for k, states in enumerate(ends):
-            if not states:
-                continue
-            if len(states) < self.width:
-                # the state that holds the whole item is the item's last one
-                self.short.setdefault(states[-1], []).append((len(states), k))
-                continue
-            for state in states[self.width - 1 :]:
-                self.held.setdefault(self._at_width(state), set()).add(k)
-
-    def _at_width(self, state: int) -> int:
-        """The ancestor whose strings include the suffix of `width` words."""
-        while self.length[self.link[state]] >= self.width:
-            state = self.link[state]
-        return state
+            if states and len(states) < width:
+                self.short.setdefault(states[-1], []).append((len(states), k))  # the last state holds the whole item
+        self.wide, self.marked = list(range(len(link))), [0] * len(link)
+        for state in sorted(range(1, len(link)), key=length.__getitem__):
+            up = link[state]
+            if length[up] >= width:
+                self.wide[state] = self.wide[up]
+            self.marked[state] = state if state in self.short else self.marked[up]
+        for k, states in enumerate(ends):
+            if len(states) >= width:
+                for state in states[width - 1 :]:
+                    self.held.setdefault(self.wide[state], set()).add(k)
 
     def scan(self, ids: list[int]) -> tuple[list[tuple[int, int]], set[int]]:
         """Hit spans (start, end) in word positions, and items with a window in `ids`."""
-        nxt, link, length, width, held, short = self.next, self.link, self.length, self.width, self.held, self.short
+        nxt, link, length, width = self.next, self.link, self.length, self.width
         spans: list[tuple[int, int]] = []
         items: set[int] = set()
+        seen: set[int] = set()
         state = run = 0
         for i, c in enumerate(ids):
             while state and c not in nxt[state]:
@@ -91,14 +96,18 @@ class SuffixAutomaton:
                 state = nxt[state][c]
                 run += 1
             if run >= width:
-                spans.append((i + 1 - width, i + 1))
-                items |= held.get(self._at_width(state), ())
-            if short and run:
-                s = state
-                while s > 0:
-                    for n, k in short.get(s, ()):
-                        if n <= run:
-                            spans.append((i + 1 - n, i + 1))
-                            items.add(k)
-                    s = link[s]
+                if spans and spans[-1][1] == i and spans[-1][0] <= i + 1 - width:
+                    spans[-1] = (spans[-1][0], i + 1)
+                else:
+                    spans.append((i + 1 - width, i + 1))
+                if (wide := self.wide[state]) not in seen:
+                    seen.add(wide)
+                    items |= self.held.get(wide, set())
+            at = self.marked[state] if run else 0
+            while at:  # each has a short item of another length, so there are fewer than `width`
+                for n, k in self.short[at]:
+                    if n <= run:
+                        spans.append((i + 1 - n, i + 1))
+                        items.add(k)
+                at = self.marked[link[at]]
         return spans, items

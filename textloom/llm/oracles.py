@@ -9,10 +9,12 @@ SQL = {
         sizes AS (SELECT DISTINCT n FROM wins),
         spans AS (SELECT doc_id, n, k, array_to_string(ws[k:k + n - 1], ' ') AS g FROM w, sizes, unnest(range(1, len(ws) - n + 2)) t(k)),
         hits AS (SELECT doc_id, k, n, item_id FROM spans JOIN wins USING (g, n)),
-        covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hits, unnest(range(k, k + n)) t(p) GROUP BY doc_id),
+        hit AS (SELECT DISTINCT doc_id, p FROM hits, unnest(range(k, k + n)) t(p)),
+        runs AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS run FROM hit) GROUP BY doc_id, run),
+        covered AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_hit, CAST(coalesce(sum(n) FILTER (WHERE n > 13), 0) AS BIGINT) AS n_cut FROM runs GROUP BY doc_id),
         items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
         SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(listed, '')) AS items_sha256,
-            coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated FROM w LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+            coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated, coalesce(n_cut, 0) AS n_cut FROM w LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
     """,
     "op8_exact_dedup": """
         WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents),

@@ -26,8 +26,11 @@ def vocabulary(name: str) -> str:
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns; n_cut: words in hit spans over the length limit of one window, which a cut would take out."""
     hits = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return hits.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+    long = F.filter("spans", lambda x: x["end"] - x["start"] > decontaminate.WINDOW)
+    n_cut = F.aggregate(long, F.lit(0), lambda a, x: a + x["end"] - x["start"]).cast("long")
+    return hits.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", n_cut.alias("n_cut"))
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
