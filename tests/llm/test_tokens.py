@@ -1,6 +1,7 @@
 """op2, op7 and the pipeline: exact round trips and whole results."""
 
 import io
+from collections import Counter
 
 import brute
 import numpy as np
@@ -111,41 +112,53 @@ def test_packing_hard(hard, empty):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.dictionaries(st.integers(1, 64), st.integers(1, 200), min_size=1, max_size=20))
-def test_plan_places_everything(counts):
-    bins, seen = {}, dict.fromkeys(counts, 0)
-    for length, a, b, first, offset in packing.plan_lengths(counts, 64):
-        assert a == seen[length]
-        seen[length] = b
-        for k in range(b - a):
-            assert bins.get(first + k, 0) == offset
-            bins[first + k] = offset + length
-    assert seen == counts and all(v <= 64 for v in bins.values())
+@given(st.lists(st.integers(1, 64), max_size=300))
+def test_place_fits_everything(lengths):
+    bins = {}
+    for s, own, offset in zip(lengths, *packing.place(lengths, 64), strict=True):
+        assert bins.get(own, 0) == offset
+        bins[own] = offset + s
+    assert all(v <= 64 for v in bins.values()) and sorted(bins) == list(range(len(bins)))
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.dictionaries(st.integers(1, 20), st.integers(1, 30), min_size=1, max_size=12))
+@given(st.dictionaries(st.integers(1, 20), st.integers(1, 150), min_size=1, max_size=8))
 def test_sum_of_squares_rule(counts):
-    """Piece by piece: each goes to the open gap after which the sum of squared counts is smallest; none open, a new bin."""
-    gaps = []
-    for length in sorted(counts, reverse=True):
-        for _ in range(counts[length]):
-            def squares(g):
-                rest = sorted(gaps)
-                rest.remove(g)
-                rest += [g - length] * (g > length)
-                return sum(rest.count(x) ** 2 for x in set(rest))
-
-            fits = sorted({g for g in gaps if g >= length})
-            best = min(fits, key=lambda g: (squares(g), g)) if fits else 20
-            if fits:
-                gaps.remove(best)
-            gaps += [best - length] * (best > length)
-    filled = {}
-    for length, a, b, first, offset in packing.plan_lengths(counts, 20):
-        for k in range(b - a):
-            filled[first + k] = offset + length
-    assert sorted(20 - v for v in filled.values() if v < 20) == sorted(gaps)
+    """Piece by piece, however often a length occurs: each goes to the open gap after which the sum of squared counts is smallest; none open, a new bin."""
+    lengths = [n for n in sorted(counts, reverse=True) for _ in range(counts[n])]
+    gaps = Counter()
+    for length, offset in zip(lengths, packing.place(lengths, 20)[1], strict=True):
+        def squares(g):
+            rest = gaps.copy()
+            rest[g] -= 1
+            if g > length:
+                rest[g - length] += 1
+            return sum(v * v for v in rest.values())  # noqa: B023
+
+        fits = sorted(g for g in gaps if g >= length and gaps[g])
+        best = min(fits, key=lambda g: (squares(g), g)) if fits else 20
+        assert offset == 20 - best
+        if fits:
+            gaps[best] -= 1
+        if best > length:
+            gaps[best - length] += 1
+
+
+def test_shards_are_whole(spark):
+    """Shards of a few pieces each still place every row once, in few more sequences than the bound."""
+    rng = np.random.default_rng(4)
+    rows = [(k % 900 if k % 7 else None, k, 0, 0, int(n), 5) for k, n in enumerate(np.concatenate((rng.integers(1, 400, 3000), np.full(40, 4096), np.full(500, 7))))]
+    table = spark.createDataFrame(rows, "doc_id long, copy_key long, piece int, start long, length long, ids_crc32 long")
+    for shard in (10**6, 500):
+        got = packing.placed(table, shard=shard).collect()
+        assert sorted((r["copy_key"], r["length"], r["doc_id"]) for r in got if r["doc_id"] is not None) == sorted((r[1], r[4], r[0]) for r in rows if r[0] is not None) and len(got) == len(rows)
+        parts = {}
+        for r in got:
+            parts.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        for own in parts.values():
+            own.sort()
+            assert [a for a, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))] and sum(n for _, n in own) <= 4096
+        assert len(parts) <= -(-sum(r[4] for r in rows) // 4096) + 8
 
 
 def test_pipeline(spark, sf_dir, sample, docs_of):
