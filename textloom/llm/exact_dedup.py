@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import staged
+from .survivors import without
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -126,7 +127,14 @@ def exact_duplicates(docs: DataFrame, text_col: str = "text", block_bytes: int =
     )
 
 
-def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """`docs` without the rows whose text another row with a larger doc_id has; all columns stay."""
-    gone = staged(exact_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct(), "exact-gone")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+def drop_exact_duplicates(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """`docs` with one row of each group of equal texts; all columns stay.
+
+    The row with the largest doc_id stays, one without a doc_id only in a group without any; of rows that repeat it, one.
+    """
+    ids = text_identities(docs, text_col)
+    groups = staged(ids.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id")), "groups")
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    judged = staged(ids.join(groups, ["level", "name"]).select("doc_id", F.col("text_sha256").alias("text_key"), "copies", stays.alias("stays")).filter("not stays or copies > 1"), "exact-judged")
+    again = judged.filter("stays").withColumn("copy", F.explode(F.array_repeat(F.lit(0), 2)))  # told apart from those that stand once
+    return without(docs, judged.filter(~F.col("stays")), again, F.sha2(fold_ascii(F.coalesce(F.col(text_col), F.lit(""))).cast("binary"), 256), text_col)
