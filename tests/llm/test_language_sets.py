@@ -28,3 +28,46 @@ def test_every_language_can_join():
 
 def test_penalty_ends_the_set():
     assert {x for x, _ in model().predict((WORDS["a"] + " ") * 40 + WORDS["m"][:2])[2]} == {"a"}
+
+
+def test_bound_changes_nothing(sample):
+    """With and without the bound, EM chooses the same sets, on real texts and on mixtures of them."""
+    m = real_model(sample)
+    texts = [t for _, t in sample if t]
+    texts = texts[:80] + [a[:400] + " " + b[:300] for a, b in zip(texts, reversed(texts), strict=True)][:80] + [a[:60] for a in texts[:40]]
+    for text in texts:
+        a, b = m.predict(text), m.predict(text, bounded=False)
+        assert a[0] == b[0] and abs(a[1] - b[1]) < 1e-9 and [x for x, _ in a[2]] == [x for x, _ in b[2]]
+    at, n = language.ngram_counts(texts[100])
+    first = int(np.argmax(n @ m.logp[at]))
+    for k in range(len(m.langs)):
+        if k != first:
+            assert m.mixture(at, n, [first, k])[0] - float(n @ m.logp[at, first]) <= m.gains_at_most(at, n, first)[k] + 1e-6
+
+
+def real_model(sample):
+    """Four languages made of rotated halves of the sample's letters and the sample itself."""
+    texts = [t.lower() for _, t in sample if t]
+    turned = [t.translate({97 + k: 97 + (k + s) % 26 for k in range(26)}) for s in (0, 0, 5, 11) for t in texts[s : 60 + s]]
+    table = np.full((language.BUCKETS, 4), 0.5)
+    for k, text in enumerate(turned):
+        at, n = language.ngram_counts(text)
+        table[at, k * 4 // len(turned)] += n
+    return language.LanguageModel(("a", "b", "c", "d"), np.log(table / table.sum(axis=0)).astype(np.float32))
+
+
+def test_em_is_the_plain_one():
+    """Shares and likelihood of a set equal those of EM written out token by token."""
+    m = model()
+    at, n = language.ngram_counts((WORDS["a"] + " ") * 7 + (WORDS["g"] + " ") * 3)
+    tokens = [b for b, c in zip(at.tolist(), n.tolist(), strict=True) for _ in range(c)]
+    members, share = [0, 2, 3], [1 / 3] * 3
+    for _ in range(language.ROUNDS):
+        sums = [0.0] * 3
+        for t in tokens:
+            p = [share[j] * np.exp(float(m.logp[t, k])) for j, k in enumerate(members)]
+            sums = [a + x / sum(p) for a, x in zip(sums, p, strict=True)]
+        share = [x / len(tokens) for x in sums]
+    like = sum(np.log(sum(s * np.exp(float(m.logp[t, k])) for s, k in zip(share, members, strict=True))) for t in tokens)
+    got = m.mixture(at, n, members)
+    assert np.allclose(got[1], share, atol=1e-6) and abs(got[0] - like) < 1e-3

@@ -41,6 +41,9 @@ def test_language_mixture(spark, hard, empty):
     assert got[1] == got[2] == got[3] == got[10] == "und" and got[4] != "und" and got[7] != "und"
     left = language.with_language(hard, m)
     assert left.columns == hard.columns and left.count() == len(HARD) - 5
+    named = {r["doc_id"]: r["lang"] for r in left.collect()}
+    assert all(named[d] == got[d] for d in named if d is not None)  # the prediction takes the place of the label
+    assert language.with_language(hard, m, keep=("xx",)).count() == 0
     assert language.languages(empty, m).count() == 0
     nothing = language.fit(empty, language.learnable())
     assert nothing.langs == () and nothing.predict("text")[0] == "und"

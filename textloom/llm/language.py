@@ -23,6 +23,8 @@ SAMPLE = 3000
 ROUNDS = 10
 #: Log-likelihood that another language must add, per log of the n-gram count: overlapping n-grams overstate gains.
 PENALTY = 12.0
+#: Share at which a second language's gain is probed.
+PROBE = 0.05
 UNKNOWN = "und"
 
 _alpha: list[np.ndarray] = []
@@ -70,8 +72,24 @@ class LanguageModel:
             share = (counts / total) @ joint / n
         return float(counts @ np.log(p @ share)), share
 
-    def predict(self, text: str | None) -> tuple[str, float, list[tuple[str, float]]]:
-        """(language, score, shares of the chosen set)."""
+    def gains_at_most(self, at: np.ndarray, counts: np.ndarray, first: int) -> np.ndarray:
+        """Upper bounds on what each other language can add to the log-likelihood of `first` alone.
+
+        The log-likelihood is concave in the other's share s, so it lies under its tangents at 0 and at
+        PROBE. Where it falls at PROBE, its top is no higher than where these two cross; else the
+        tangent at 0 bounds it. No other language can pass what the bound rules out, so EM isn't run for it.
+        """
+        p = np.exp(self.logp[at], dtype=np.float64)
+        ratio = p / p[:, first, None] - 1
+        rise = counts @ ratio  # slope at 0
+        mixed = 1 + PROBE * ratio
+        value, slope = counts @ np.log(mixed), counts @ (ratio / mixed)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            crossing = np.clip((value - PROBE * slope) / (rise - slope), 0, PROBE)
+        return np.where(rise <= 0, 0.0, np.where(slope < 0, rise * crossing, rise))
+
+    def predict(self, text: str | None, bounded: bool = True) -> tuple[str, float, list[tuple[str, float]]]:
+        """(language, score, shares of the chosen set); the bound saves time only."""
         at, counts = ngram_counts(text)
         if not len(at) or not self.langs:
             return UNKNOWN, 0.0, []
@@ -80,13 +98,19 @@ class LanguageModel:
         chosen, best, share = [int(order[0])], float(single[order[0]]), np.ones(1)
         cost = PENALTY * np.log(counts.sum() + 1)
         others = [int(k) for k in order[1:]]
-        while others:
-            tried = [(*self.mixture(at, counts, [*chosen, k]), k) for k in others]
+        if bounded and others:  # the first step alone: its answer is nearly always that no language joins
+            most = self.gains_at_most(at, counts, chosen[0])
+            hopeful = [k for k in others if most[k] > cost * (1 - 1e-9)]
+        else:
+            hopeful = others
+        while hopeful:
+            tried = [(*self.mixture(at, counts, [*chosen, k]), k) for k in hopeful]
             value, new, k = max(tried, key=lambda x: (x[0], -x[2]))
             if value - best <= cost:
                 break
             chosen, best, share = [*chosen, k], value, new
             others.remove(k)
+            hopeful = others
         top = int(np.argmax(share))
         second = float(single[order[1]]) if len(order) > 1 else -np.inf
         margin = (float(single[order[0]]) - second) / np.sqrt(counts.sum())
@@ -97,7 +121,7 @@ class LanguageModel:
 def fit(docs: DataFrame, usable: Column, sample: int = SAMPLE) -> LanguageModel:
     """Fit on about `sample` usable labelled rows of each language, picked by a hash of doc_id.
 
-    n-grams are counted on the executors; the driver receives at most BUCKETS counts a language.
+    Rows without text, language or doc_id teach nothing; rows that repeat a doc_id are taken or left together. n-grams are counted on the executors; the driver receives at most BUCKETS counts a language.
     """
     rows = docs.select("doc_id", "text", "lang").filter(usable & F.col("lang").isNotNull())
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
@@ -129,7 +153,11 @@ def fit(docs: DataFrame, usable: Column, sample: int = SAMPLE) -> LanguageModel:
 
 
 def languages(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score, shares), a row per input row; `und` and 0 for texts without letters."""
+    """(doc_id, lang_pred, score, shares), a row per input row, repeated or without doc_id alike; `und` and 0 for texts without letters.
+
+    Only doc_id and the text are read. Languages that explain a text equally well: the first in alphabetical order.
+    An empty table gives an empty result; a model without languages calls every text `und`.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kinds = [pa.string(), pa.float64(), pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))]
 
@@ -144,14 +172,18 @@ def languages(docs: DataFrame, model: LanguageModel, text_col: str = "text") ->
 
 
 def with_language(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] | None = None) -> DataFrame:
-    """`docs` without rows whose language is unknown or, given `keep`, not listed there; all columns stay."""
+    """`docs` with the predicted language in `lang`, without rows whose language is unknown or, given `keep`, not listed there.
+
+    All columns stay in place. Rows are judged one by one, repeated or without doc_id alike.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
+    at, to = docs.columns.index("text"), docs.columns.index("lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs = [shared.value.predict(t.as_py())[0] for t in batch.column(at)]
-            yield batch.filter(pa.array([x != UNKNOWN and (keep is None or x in keep) for x in langs], pa.bool_()))
+            named = batch.set_column(to, batch.schema.field(to), pa.array(langs, batch.schema.field(to).type))
+            yield named.filter(pa.array([x != UNKNOWN and (keep is None or x in keep) for x in langs], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
