@@ -9,16 +9,20 @@ zstandard's own content checksum; the seek table repeats a checksum per frame (l
 XXH64 of the decompressed bytes). The document index, itself compressed, lists doc_id, frame, byte
 offset in the frame and token count. A reader fetches the tail, then only the frames it needs.
 
-Writing: documents are range-partitioned by doc_id, each task encodes its range and writes one file
-through the file system of the shared folder (local, HDFS or an object store, by its URI), under a
-temporary name that is moved into place, so a task that runs again leaves one whole file. The
-driver sees one manifest row per file and turns the files' token counts into offsets.
+Writing: ranges of doc_id are cut by quantiles, as many as the bytes of text ask for. Texts are encoded
+where they are read; two (or four) bytes an id travel once to the range's task, which sorts them and
+writes files of bounded size through the file system of the shared folder (local, HDFS or an object
+store, by its URI). Every attempt writes under names of its own and the driver lists only files that a
+finished task reports, so a task that runs again does no harm; what others have left is deleted.
+The driver sees one manifest row per file, turns token counts into offsets and stores the manifest.
 """
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,25 +43,36 @@ INDEX_SKIPPABLE, INDEX_MAGIC = 0x184D2A50, 0x544B4958
 FRAME_BYTES = 1 << 18
 #: Pieces that an encoder keeps here, and as many of the generation before: no other stage shares its workers.
 PIECES = 400_000
+#: Bytes of text of a range, at which a task sorts and writes its ids, and the most ranges that quantiles are taken for.
+RANGE_BYTES, MOST_RANGES = 1 << 25, 10_000
+#: Bytes of ids after which a file is closed and the next one begun.
+FILE_BYTES = 1 << 28
+MANIFEST = "manifest.jsonl"
+WIDTHS = {2: "<u2", 4: "<u4"}
 INDEX = np.dtype([("doc_id", "<i8"), ("frame", "<u4"), ("at", "<u8"), ("n_tokens", "<u8")])
 
 
 class TokenFileWriter:
-    """Streams documents into a sink with `write(bytes)`; memory is one frame and the index."""
+    """Streams documents into a sink with `write(bytes)`; memory is one frame and 28 bytes a document."""
 
     def __init__(self, sink, width: int = 4, frame_bytes: int = FRAME_BYTES, level: int = 3):
         self.sink, self.width, self.limit = sink, width, frame_bytes
         self.pack = zstandard.ZstdCompressor(level=level, write_checksum=True, write_content_size=True)
-        self.frames: list[tuple[int, int, int]] = []
-        self.index: list[tuple[int, int, int, int]] = []
+        self.frames = array("L")
+        self.index = tuple(array(c) for c in "qqqq")
         self.part: list[bytes] = []
-        self.held = 0
-
-    def add(self, doc_id: int, ids: np.ndarray) -> None:
-        raw = ids.astype("<u2" if self.width == 2 else "<u4").tobytes()
-        self.index.append((doc_id, len(self.frames), self.held, len(ids)))
+        self.held = self.written = self.n_tokens = 0
+
+    def add(self, doc_id: int, ids: np.ndarray | bytes) -> None:
+        """ids: numbers, or their bytes at this file's width."""
+        raw = ids if isinstance(ids, bytes) else ids.astype(WIDTHS[self.width]).tobytes()
+        n = len(raw) // self.width
+        for column, value in zip(self.index, (doc_id, len(self.frames) // 3, self.held, n), strict=True):
+            column.append(value)
         self.part.append(raw)
         self.held += len(raw)
+        self.written += len(raw)
+        self.n_tokens += n
         if self.held >= self.limit:
             self._close_frame()
 
@@ -65,16 +80,19 @@ class TokenFileWriter:
         raw = b"".join(self.part)
         data = self.pack.compress(raw)
         self.sink.write(data)
-        self.frames.append((len(data), len(raw), xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF))
+        self.frames.extend((len(data), len(raw), xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF))
         self.part, self.held = [], 0
 
     def finish(self) -> None:
         if self.part:
             self._close_frame()
-        index = self.pack.compress(np.array(self.index, dtype=INDEX).tobytes())
+        rows = np.empty(len(self.index[0]), dtype=INDEX)
+        for name, column in zip(INDEX.names, self.index, strict=True):
+            rows[name] = np.frombuffer(column, dtype=np.int64) if len(column) else []
+        index = self.pack.compress(rows.tobytes())
         self.sink.write(struct.pack("<II", INDEX_SKIPPABLE, len(index) + 8) + struct.pack("<II", INDEX_MAGIC, self.width) + index)
-        table = b"".join(struct.pack("<III", *f) for f in self.frames)
-        self.sink.write(struct.pack("<II", SKIPPABLE, len(table) + 9) + table + struct.pack("<IBI", len(self.frames), CHECKSUMS, SEEK_MAGIC))
+        table, n = np.array(self.frames, dtype="<u4").tobytes(), len(self.frames) // 3
+        self.sink.write(struct.pack("<II", SKIPPABLE, len(table) + 9) + table + struct.pack("<IBI", n, CHECKSUMS, SEEK_MAGIC))
 
 
 class TokenFileReader:
@@ -114,7 +132,7 @@ class TokenFileReader:
     def entry(self, row: int) -> np.ndarray:
         """Ids of the document in this row of the index."""
         _, k, at, n = self.index[row].tolist()
-        return np.frombuffer(self.frame(k), dtype="<u2" if self.width == 2 else "<u4", count=n, offset=at).astype(np.uint32)
+        return np.frombuffer(self.frame(k), dtype=WIDTHS[self.width], count=n, offset=at).astype(np.uint32)
 
     def document(self, doc_id: int) -> np.ndarray:
         """Ids of the first document of this id; only its frame is decompressed."""
@@ -131,6 +149,18 @@ class TokenFiles:
     root: str
     files: list[tuple[str, int, int, int]]
 
+    def store(self) -> None:
+        system, folder = _open(self.root)
+        system.create_dir(folder, recursive=True)
+        with system.open_output_stream(f"{folder}/{MANIFEST}") as out:
+            out.write("".join(json.dumps(f) + "\n" for f in self.files).encode())
+
+    @staticmethod
+    def load(root: str) -> TokenFiles:
+        system, folder = _open(root)
+        with system.open_input_file(f"{folder}/{MANIFEST}") as source:
+            return TokenFiles(root, [tuple(json.loads(line)) for line in source.read().decode().splitlines()])
+
 
 def _open(uri: str):
     from pyarrow import fs
@@ -138,48 +168,105 @@ def _open(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
 
 
-def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, root: str, files: int | None = None, text_col: str = "text") -> TokenFiles:
+def range_bounds(docs: DataFrame, text_col: str, range_bytes: int = RANGE_BYTES) -> list[int]:
+    """Smallest doc_ids of all ranges but the first. Quantiles of doc_id, so ranges hold about as many rows each; any bounds give right files."""
+    size = F.octet_length(F.col(text_col)).cast("long")
+    n_bytes, n_rows = docs.agg(F.coalesce(F.sum(size), F.lit(0)), F.count("doc_id")).first()
+    n = min(MOST_RANGES, 1 + (n_bytes + 16 * n_rows) // range_bytes)
+    if n < 2:
+        return []
+    cut = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], max(10_000, 20 * n))).first()[0] or []
+    return sorted(set(cut))
+
+
+def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, root: str, files: int | None = None, text_col: str = "text", range_bytes: int = RANGE_BYTES, file_bytes: int = FILE_BYTES) -> TokenFiles:
     """Encode every text and write the ids, the end id after each, in doc_id order under `root`.
 
     A null text is an empty one. Rows with a null doc_id are left out, for there is no place for
-    them in the order. Rows that repeat a doc_id stand next to each other, sorted by text. An empty
-    table gives no files.
+    them in the order. Rows that repeat a doc_id stand next to each other, sorted by their ids' bytes. An
+    empty table gives no files. `files`: at least so many ranges; a file is closed at `file_bytes` of ids.
     """
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("doc_id is not null")
-    n = files or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = own.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    if files is not None:
+        range_bytes = max(1, own.agg(F.coalesce(F.sum(F.octet_length("text").cast("long") + 16), F.lit(0))).first()[0] // files)
+    bounds = range_bounds(own, "text", range_bytes)
+    shared = spark.sparkContext.broadcast(np.array(bounds, dtype=np.int64))
+    schema = pa.schema([("range_no", pa.int32()), ("doc_id", pa.int64()), ("width", pa.int8()), ("ids", pa.binary())])
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(vocabulary, PIECES)
+        width = 2 if max(enc.tok.get_vocab_size(), end_id + 1) <= 65536 else 4
+        end, rows, held = np.array([end_id], dtype=WIDTHS[width]).tobytes(), [], 0
+
+        def made() -> pa.RecordBatch:
+            doc_ids = np.array([d for d, _ in rows], dtype=np.int64)
+            ranges = np.searchsorted(shared.value, doc_ids, side="right").astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(ranges), pa.array(doc_ids), pa.array(np.full(len(rows), width, np.int8)), pa.array([raw for _, raw in rows], pa.binary())], schema=schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                raw = np.frombuffer(enc.encode([text.as_py()])[0], dtype="<u4").astype(WIDTHS[width]).tobytes() + end
+                rows.append((doc_id, raw))
+                held += len(raw)
+                if held > 1 << 24:
+                    yield made()
+                    rows, held = [], 0
+        if rows:
+            yield made()
+
+    ranged = own.mapInArrow(encode, "range_no int, doc_id long, width byte, ids binary").repartitionById(len(bounds) + 1, F.col("range_no")).sortWithinPartitions("range_no", "doc_id", "ids")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
 
-        enc, out, count, tokens, first = encoder(vocabulary, PIECES), None, 0, 0, None
-        end = struct.pack("<I", end_id)
+        system, folder = _open(root)
+        scheme = root.split("://")[0] + "://" if "://" in root else ""
+        out = sink = name = None
+        done: list[tuple[str, int, int, int, int]] = []
+
+        def close() -> None:
+            out.finish()
+            sink.close()
+            done.append((scheme + name, first, len(done), len(out.index[0]), out.n_tokens))
+
+        first = 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc_id, width, ids in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
                 if out is None:
-                    system, folder = _open(root)
                     system.create_dir(folder, recursive=True)
-                    name = f"{folder}/.writing-{uuid.uuid4().hex}"
+                    name = f"{folder}/ids-{uuid.uuid4().hex}.tok"
                     sink, first = system.open_output_stream(name), doc_id
-                    out = TokenFileWriter(sink, 2 if max(enc.tok.get_vocab_size(), end_id + 1) <= 65536 else 4)
-                ids = np.frombuffer(enc.encode([text.as_py()])[0] + end, dtype="<u4")
-                out.add(doc_id, ids)
-                count, tokens = count + 1, tokens + len(ids)
+                    out = TokenFileWriter(sink, width)
+                out.add(doc_id, ids.as_py())
+                if out.written >= file_bytes:
+                    close()
+                    out = None
         if out is not None:
-            out.finish()
-            sink.close()
-            final = f"{folder}/ids-{first + 2**63:020d}.tok"
-            system.move(name, final)
-            scheme = root.split("://")[0] + "://" if "://" in root else ""
-            yield pa.RecordBatch.from_pydict({"path": [scheme + final], "first": [first], "n_docs": [count], "n_tokens": [tokens]})
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*done, strict=True) if done else [[]] * 5, (pa.string(), *[pa.int64()] * 4), strict=True)], names=["path", "first", "seq", "n_docs", "n_tokens"])
 
-    rows = sorted(ranged.mapInArrow(run, "path string, first long, n_docs long, n_tokens long").collect(), key=lambda r: r["first"])
+    # a doc_id is in one range only, so files of a range follow each other and ranges never mix
+    rows = sorted(ranged.select("range_no", "doc_id", "width", "ids").mapInArrow(write, "path string, first long, seq long, n_docs long, n_tokens long").collect(), key=lambda r: (r["first"], r["seq"]))
     found, start = [], 0
     for r in rows:
         found.append((r["path"], r["n_docs"], r["n_tokens"], start))
         start += r["n_tokens"]
-    return TokenFiles(root, found)
+    written = TokenFiles(root, found)
+    written.store()
+    _tidy(written)
+    return written
+
+
+def _tidy(written: TokenFiles) -> None:
+    """Delete files that attempts have left which didn't finish or weren't the first to."""
+    from pyarrow import fs
+
+    system, folder = _open(written.root)
+    known = {p.rsplit("/", 1)[-1] for p, *_ in written.files} | {MANIFEST}
+    for info in system.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
+        if info.type == fs.FileType.File and info.base_name not in known:
+            system.delete_file(info.path)
 
 
 def read_token_files(spark: SparkSession, written: TokenFiles, with_ids: bool = False) -> DataFrame:
@@ -211,7 +298,7 @@ def read_token_files(spark: SparkSession, written: TokenFiles, with_ids: bool =
                         kinds = [pa.int64()] * 4 + [pa.list_(pa.int32())] * with_ids
                         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), kinds, strict=True)], names=list(rows))
 
-    return listing.repartition(max(1, len(written.files)), "path").mapInArrow(run, ddl)
+    return listing.repartition(max(1, len(written.files))).mapInArrow(run, ddl)
 
 
 def token_output(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:
