@@ -169,19 +169,19 @@ MORE = [
 
 def test_other_layouts():
     for source, want in MORE:
-        assert html_text.main_text(source, []).replace("link.", "link .") == want, source
+        assert html_text.main_text(source).replace("link.", "link .") == want, source
 
 
 def test_salted_hosts(spark, monkeypatch):
     df = spark.createDataFrame([(k, f"http://h{k % 2}.x/", CASES[0][0]) for k in range(6)] + [(9, None, None)], "page_id long, url string, html string")
     want = {tuple(r) for r in html_text.main_texts(df).collect()}
-    monkeypatch.setattr(html_text, "BROADCAST_HOSTS", 0)
+    monkeypatch.setattr(html_text, "BROADCAST_BYTES", 0)
     assert {tuple(r) for r in html_text.main_texts(df).collect()} == want and len(want) == 7
 
 
 def test_main_text_cases():
     for source, want in CASES:
-        assert html_text.main_text(source, []) == want, source
+        assert html_text.main_text(source) == want, source
 
 
 def test_consensus(spark):
@@ -195,6 +195,102 @@ def test_consensus(spark):
     assert html_text.main_texts(df.limit(0)).count() == 0
 
 
+LINKS = "<h1>Links of the week</h1><p>Some lines about what was read.</p><ul><li><a href=1>The first paper</a></li><li><a href=2>The second paper</a></li></ul>"
+
+
+def test_links_and_weak_words_in_the_article():
+    """What only may be a menu or a notice stays where it stands in the article."""
+    assert html_text.main_text(page(f"<div class='content'>{LINKS}</div>")).endswith("The first paper\nThe second paper")
+    assert html_text.main_text(page(f"<div>{LINKS}</div>")).endswith("The first paper\nThe second paper")
+    assert html_text.main_text(page(f"<div class='content'><p>{FILLER}</p><div class='search-results'><p>A found line.</p></div><div class='tags'><a href=1>one</a> <a href=2>two</a></div></div>")) == f"{FILLER.strip()}\nA found line."
+    assert html_text.main_text(page(f"<div class=post><h1>Title</h1><p>intro</p><div class=body><p>{FILLER * 9}</p></div></div>")).startswith("Title\nintro\n")
+
+
+def test_hosts_decide(spark):
+    """On a host with pages enough, what repeats over them goes and what doesn't stays; copies of a page count once."""
+    def body(k):
+        menu = "<ul><li><a href=/>Home</a></li><li><a href=/n>News</a></li></ul>"
+        own = f"<ul><li><a href=/{k}>Paper {k}</a></li></ul>"
+        slot = f"<div class='promo'><p>Offer number {k} of the shop is only here.</p></div>" if k != 4 else "<div class='feedback'><p>What readers of this one page sent in.</p></div>"
+        return page(f"<div class='c{k}'>{menu}<h1>Head {k}</h1><p>{FILLER * 3} {k}</p>{own}{slot}</div>{menu}")
+
+    want = {k: f"Head {k}\n{(FILLER * 3).strip()} {k}\nPaper {k}" + ("\nWhat readers of this one page sent in." if k == 4 else "") for k in range(6)}
+    rows = [(k, f"http://h.example/{k}", body(k)) for k in range(6)] + [(100 + k, f"http://h.example/copy{k}", body(5)) for k in range(20)]
+    got = {r["page_id"]: r["text"] for r in html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {k: got[k] for k in range(6)} == want and all(got[100 + k] == want[5] for k in range(20))
+
+
+def plain_extractor(source):
+    """An extractor of its own for well-formed pages: the standard library's parser, a set of tags and class words to skip."""
+    from html.parser import HTMLParser
+
+    skip_tags, skip_words = {"nav", "footer", "aside", "form", "script", "style", "head"}, {"ad", "sidebar", "comments", "cookie", "share"}
+    blocks = {"p", "div", "h1", "h2", "li", "ul", "td", "tr", "table", "article", "section", "blockquote", "br-"}
+
+    class Reader(HTMLParser):
+        out, words, skipping, stack = [""], None, 0, ()
+
+        def handle_starttag(self, tag, attrs):
+            if tag in ("br", "img", "input", "meta", "hr"):
+                self.out[-1] += " "
+                return
+            bad = tag in skip_tags or bool(skip_words & set((dict(attrs).get("class") or "").split()))
+            self.stack = (*self.stack, bad)
+            if tag in blocks:
+                self.out.append("")
+
+        def handle_endtag(self, tag):
+            self.stack = self.stack[:-1]
+            if tag in blocks:
+                self.out.append("")
+
+        def handle_data(self, data):
+            if not any(self.stack):
+                self.out[-1] += data
+
+    reader = Reader()
+    reader.out = [""]
+    reader.feed(source)
+    return "\n".join(b for b in (" ".join(x.split()) for x in reader.out) if b)
+
+
+LAYOUTS = [
+    "<nav><ul><li><a href=1>Home</a></li></ul></nav><div class='wrap'><div class='post'><h1>{t}</h1><p>{a}</p><p>{b}</p></div><div class='sidebar'><p>{c}</p></div></div><footer>f</footer>",
+    "<div class='cookie'>We use {c}</div><main><section><h2>{t}</h2><p>{a} <b>{c}</b></p><blockquote>{b}</blockquote></section></main><div class='comments'><p>{c}</p></div>",
+    "<div id='outer'><div class='ad'>{c}</div><table><tr><td><p>{a}</p><ul><li>{t}</li><li>{b}</li></ul></td></tr></table></div>",
+    "<article><h1>{t}</h1><div class='share'>{c}</div><p>{a}</p><section><p>{b}</p></section><form>{c}</form></article><aside>{c}</aside>",
+    "<div class='content'><h1>{t}</h1><p>{a}<br>{b}</p><ul><li><a href='2'>{t}</a></li></ul></div>",
+]
+
+
+def test_layouts_against_another_extractor(spark, sample):
+    texts = [" ".join(t.split())[:400].replace("<", " ").replace("&", "and") for _, t in sample if t and len(t) > 500][:25]
+    rows, want = [], {}
+    for h, layout in enumerate(LAYOUTS):
+        for k in range(5):
+            t, a, b, c = (texts[(h * 5 + k + j) % len(texts)] for j in range(4))
+            source = page(layout.format(t=t[:40], a=a, b=b[:300], c=c[:30]))
+            rows.append((h * 10 + k, f"https://host{h}.example/{k}", source))
+            want[h * 10 + k] = plain_extractor(source)
+    got = {r["page_id"]: r["text"] for r in html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
+def test_deep_and_long_pages():
+    began = time.monotonic()
+    assert html_text.main_text("<div>" * 100_000 + "<p>deep text</p>") == "deep text"
+    assert html_text.main_text("<div><b>" * 50_000 + "<p>x</b></i></p>" * 1000 + "end").endswith("end")
+    assert html_text.main_text("<article>" + "<p>a line</p>" * 100_000 + "</article>").count("\n") == 99_999
+    assert html_text.main_text("<ul>" + "<li><a href=1>x</a>" * 50_000 + "</ul><p>text</p>") == "text"
+    assert time.monotonic() - began < 30
+
+
+def test_pages_without_or_with_one_id(spark):
+    rows = [(None, None, "<p>a</p>"), (None, "http://x.y/", None), (7, "http://x.y/", "<p>b</p>"), (7, "http://x.y/", "<p>b</p>"), (7, "", "")]
+    got = sorted(r["text"] for r in html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert got == ["", "", "a", "b", "b"]
+
+
 def test_main_text_query(spark, sf_dir):
     import html
     import re
@@ -209,4 +305,4 @@ def test_main_text_query(spark, sf_dir):
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<div class='a'>", "</div>", "<b>", "<br>", "<", ">", "&am", "&lt;", "<!--", "-->", "<script>", "</script>", "<td>", "x", " ", "<li>", "\"", "<a href='", "é"]), max_size=25))
 def test_reader_never_fails(parts):
-    html_text.main_text("".join(parts), ["#root>div"])
+    html_text.main_text("".join(parts), html_text.Host(("div.a", "html>body"), plenty=True))

@@ -1,9 +1,10 @@
-"""A small forgiving HTML reader: elements with tag, class path and text, in page order."""
+"""A small forgiving HTML reader: elements with tag, class path and text, in page order, in time that grows with the page."""
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 # Fixed lists of HTML.
@@ -22,13 +23,15 @@ ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 DIGITS = re.compile(r"\d+")
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
-# Words of class, id and role that mark what isn't the article.
+# Words of class, id and role that mark what isn't the article, wherever they stand ...
 CHAFF = frozenset(
-    "ad ads adbox adslot adsense advert adverts advertisement advertising advertorial banner bar breadcrumb breadcrumbs bookmarks comment comments commentlist consent cookie cookies copyright cta disclaimer "
-    "disqus dropdown feedback footer form gdpr header hidden login masthead menu menus metadata modal nav navbar navigation navi newsletter notice notices notification offscreen outbrain overlay pager "
-    "pagination paywall popup popular promo promoted promotion rail recommend recommended recommendations reactions related discussion reply replies respond responses search share sharebar sharing sidebar side signup skip social "
-    "sponsor sponsored sponsors subscribe subscription taboola tags teaser toc toolbar tooltip topbar tracking trending warning widget widgets".split()
+    "ad ads adbox adslot adsense advert adverts advertisement advertising advertorial banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright cta disclaimer "
+    "disqus footer gdpr login masthead menu menus modal nav navbar navigation navi newsletter notice notices notification offscreen outbrain overlay pager "
+    "pagination paywall popup promoted promotion recommend recommended recommendations related share sharebar sharing sidebar signup skip social "
+    "sponsor sponsored sponsors subscribe subscription taboola teaser toolbar tooltip topbar".split()
 )
+#: ... and words that only propose it: the host's pages decide (see html_text.judge).
+WEAK = frozenset("bar bookmarks discussion dropdown feedback form header hidden metadata popular promo rail reactions replies reply respond responses search side tags toc tracking trending warning widget widgets".split())
 DROPPED = frozenset("nav footer aside form button select input textarea script style noscript template svg math canvas iframe object embed dialog menu audio video map head title datalist xmp noembed noframes".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar tablist status tooltip".split())
 #: Compounds written as one word, such as topnav or cookiebar.
@@ -38,64 +41,100 @@ GOOD = frozenset("article post entry story content".split())
 ALWAYS = frozenset("comment comments ad ads advert sidebar footer nav menu related share cookie teaser reply discussion".split())
 #: ... unless it only says what the page has besides, as in "content with-sidebar".
 BESIDES = frozenset("has with no without".split())
-#: Blocks of these that are nothing but a short link, outside a marked article, are menu entries.
+#: Blocks of these that are nothing but links, outside a marked article, may be menu entries.
 LINKED = frozenset("li td dd dt div ul ol".split())
 
 
 @dataclass(slots=True)
 class Element:
     tag: str
-    path: str
+    path: int  # place in Page.names
     parent: int
     chaff: bool
-    good: bool
+    good: bool  # an article or main element
+    weak: bool  # a word proposes that this is no part of the article
+    inside: bool  # in an article or main element, or in one named like an article
     depth: int
     first: int = 0  # blocks from here ...
     last: int = 0  # ... to here belong to the element
     children: list[int] = field(default_factory=list)
 
 
+@dataclass(slots=True)
+class Block:
+    text: str
+    chaff: bool
+    links: bool  # nothing but links, in a list or the like, outside a marked article
+    linked: int  # characters inside links
+    path: int
+
+
 @dataclass(slots=True)
 class Page:
-    """Elements in page order; blocks: (text, owning element, in chaff, in a link mostly)."""
+    """Elements in page order and their blocks; names: (parent path, tag and classes) of each path, so a path costs one entry."""
 
     elements: list[Element]
-    blocks: list[tuple[str, bool]]
+    blocks: list[Block]
+    names: list[tuple[int, str]]
+    places: dict[tuple[int, str], int]
+
+    def path_text(self, path: int) -> str:
+        out = []
+        while path > 0:
+            path, name = self.names[path]
+            out.append(name)
+        return ">".join(reversed(out))
+
+    def find(self, text: str) -> int:
+        """The path that is written like this; -1 if the page hasn't got it."""
+        at = 0
+        for name in text.split(">") if text else ():
+            at = self.places.get((at, name), -1)
+            if at < 0:
+                break
+        return at
 
 
 def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(raw)} if raw.strip(" /\n\t") else {}
 
 
-def _kind(tag: str, attrs: dict[str, str], inside: bool) -> tuple[bool, bool]:
-    """(chaff, good): by tag, role, visibility and words of class and id. inside: within an article or main element."""
+def _kind(tag: str, attrs: dict[str, str], inside: bool) -> tuple[bool, bool, bool, bool]:
+    """(chaff, good, weak, named like an article): by tag, role, visibility and words of class and id. inside: within an article or main element."""
     if tag in DROPPED or tag == "header" and not inside:
-        return True, False
+        return True, False, False, False
     if not attrs or tag in ("body", "html"):
-        return False, tag in ("article", "main")
+        return False, tag in ("article", "main"), False, False
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in ROLES:
-        return True, False
+        return True, False, False, False
     style = attrs.get("style", "").replace(" ", "").lower()
     if "display:none" in style or "visibility:hidden" in style:
-        return True, False
+        return True, False, False, False
     named = f"{attrs.get('class', '')} {attrs.get('id', '')}"
     words = {w.lower() for w in PARTS.findall(named)}
     strong = tag in ("article", "main") or attrs.get("role") in ("main", "article") or attrs.get("itemprop") == "articleBody"
-    if words & CHAFF or any(COMPOUND.search(w) for w in words):
-        wanted = strong or bool(words & GOOD)
-        if not wanted or words & ALWAYS and not words & BESIDES:
-            return True, False
-    return False, strong
+    wanted = strong or bool(words & GOOD)
+    sure = bool(words & CHAFF) or any(COMPOUND.search(w) for w in words)
+    if (sure or words & WEAK) and (not wanted or words & ALWAYS and not words & BESIDES):
+        return sure, False, not sure, False
+    return False, strong, False, wanted
+
+
+def _general(name: str) -> str:
+    """A class as it is on the host's other pages: what stands before the first digit."""
+    return DIGITS.split(name, maxsplit=1)[0].rstrip("-_").replace(">", "")
 
 
 def parse(source: str) -> Page:
     """Read a page. Blocks end at block elements; white space in a block is one space; references are decoded."""
-    elements = [Element("#root", "", -1, False, False, 0)]
-    blocks: list[tuple[str, bool]] = []
-    stack = [0]
+    elements = [Element("#root", 0, -1, False, False, False, False, 0)]
+    blocks: list[Block] = []
+    names: list[tuple[int, str]] = [(-1, "")]
+    places: dict[tuple[int, str], int] = {}
+    stack, open_tags = [0], Counter()
     text: list[str] = []
     at, n, lower = 0, len(source), None
-    link, linked = 0, 0  # open links; characters of the block inside links
+    link, linked, good_open = 0, 0, 0  # open links; characters of the block inside links; open article and main elements
 
     def flush() -> None:
         nonlocal linked
@@ -104,18 +143,20 @@ def parse(source: str) -> Page:
             text.clear()
             if body:
                 own = elements[stack[-1]]
-                entry = linked * 10 >= 9 * len(body) and len(body) < 60 and any(elements[k].tag in LINKED for k in stack[-3:]) and own.tag != "p" and not any(elements[k].good for k in stack)
-                blocks.append((body, own.chaff or entry))
+                entry = linked * 10 >= 9 * len(body) and own.tag != "p" and not own.inside and any(elements[k].tag in LINKED for k in stack[-3:])
+                blocks.append(Block(body, own.chaff, entry and not own.chaff, min(linked, len(body)), own.path))
         linked = 0
 
     def close(upto: int) -> None:
         """Close elements from the top of the stack down to this place in it."""
-        nonlocal link
+        nonlocal link, good_open
         while len(stack) > upto:
             e = elements[stack[-1]]
-            if e.tag in BLOCK or e.chaff != elements[e.parent].chaff:
+            if e.tag in BLOCK or e.chaff != elements[e.parent].chaff or e.weak:
                 flush()
             link -= e.tag == "a"
+            good_open -= e.good
+            open_tags[e.tag] -= 1
             e.last = len(blocks)
             stack.pop()
 
@@ -161,8 +202,9 @@ def parse(source: str) -> Page:
         if m[1]:
             if tag == "br":
                 text.append(" ")
-            elif tag == "p" and not any(elements[k].tag == "p" for k in stack):
-                flush()
+            elif not open_tags[tag]:
+                if tag == "p":
+                    flush()
             else:
                 for k in range(len(stack) - 1, 0, -1):
                     if elements[stack[k]].tag == tag:
@@ -173,14 +215,14 @@ def parse(source: str) -> Page:
                     if elements[stack[k]].tag in SCOPES and tag not in ("body", "html", "table", "td", "th", "tr", "tbody", "button", "caption", elements[stack[k]].tag):
                         break
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and open_tags["p"]:
             for k in range(len(stack) - 1, 0, -1):
                 if elements[stack[k]].tag == "p":
                     close(k)
                     break
                 if elements[stack[k]].tag in SCOPES:
                     break
-        if tag in SIBLINGS:
+        if tag in SIBLINGS and any(open_tags[t] for t in SIBLINGS[tag]):
             for k in range(len(stack) - 1, 0, -1):
                 own = elements[stack[k]].tag
                 if own in LIMITS[tag]:
@@ -199,13 +241,17 @@ def parse(source: str) -> Page:
         parent = stack[-1]
         above = elements[parent]
         attrs = _attributes(m[3])
-        inside = any(elements[k].good for k in stack)
-        chaff, good = _kind(tag, attrs, inside)
-        if tag in BLOCK or (chaff and not above.chaff):
+        chaff, good, weak, named = _kind(tag, attrs, good_open > 0)
+        if tag in BLOCK or weak or (chaff and not above.chaff):
             flush()
-        name = ".".join([tag, *sorted({DIGITS.sub("", c) for c in attrs.get("class", "").split()} - {""})])
-        path = f"{above.path}>{name}" if tag in BLOCK else above.path
-        e = Element(tag, path, parent, above.chaff or chaff, good and not above.chaff, above.depth + 1, len(blocks), len(blocks))
+        path = above.path
+        if tag in BLOCK:
+            key = path, ".".join([tag, *sorted({_general(c) for c in attrs.get("class", "").split()} - {""})])
+            path = places.setdefault(key, len(names))
+            if path == len(names):
+                names.append(key)
+        good = good and not above.chaff
+        e = Element(tag, path, parent, above.chaff or chaff, good, weak and not above.chaff, above.inside or good or named, above.depth + 1, len(blocks), len(blocks))
         elements.append(e)
         above.children.append(len(elements) - 1)
         if tag in RAW:
@@ -219,10 +265,12 @@ def parse(source: str) -> Page:
                 close_at = source.find(">", end)
                 at = n if close_at < 0 else close_at + 1
             continue
-        if not m[3].rstrip().endswith("/") or tag in BLOCK:
-            stack.append(len(elements) - 1)
-            link += tag == "a"
+        # a slash at a tag's end closes nothing but what is void anyway
+        stack.append(len(elements) - 1)
+        open_tags[tag] += 1
+        link += tag == "a"
+        good_open += good
     close(1)
     flush()
     elements[0].last = len(blocks)
-    return Page(elements, blocks)
+    return Page(elements, blocks, names, places)
