@@ -1,6 +1,8 @@
 """op3, op6, op9: learned operators on held-out rows and on hard input."""
 
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 from cases import HARD
@@ -105,6 +107,93 @@ def test_kernel_is_positive():
     assert np.allclose(k, k.T) and np.linalg.eigvalsh(k).min() > -1e-9 and k[0, 1] > k[0, 2]
 
 
+def test_folded_weights_are_the_kernel():
+    """A word's folded score equals the SVM's decision from its kernel values with the landmarks."""
+    marks = [toxicity.cleaned(w) for w in ("grobnik", "onerti", "vratuul", "the")]
+    beta = np.array([1.5, -0.4, 2.0, -1.0])
+    table = np.zeros(toxicity.SLOTS)
+    symbols, starts, sizes = toxicity.flat(marks)
+    owner = np.searchsorted(starts, np.arange(len(symbols)), side="right") - 1
+    for at, codes, weight in toxicity.features(symbols):
+        np.add.at(table, codes, weight * (beta / toxicity.norms(sizes))[owner[at]])
+    words = ["grobnik", "grob.nik", "xgrobnikx", "onerti", "vratul", "zzz", "thethe"]
+    got = toxicity.ToxicityModel(table, -0.1).words(words)
+    want = toxicity.kernel([toxicity.cleaned(w) for w in words], marks) @ beta - 0.1
+    assert np.allclose(got, np.maximum(toxicity.FLOOR, want))
+
+
+def test_kernel_counts_subsequences():
+    """Against the definition: common sequences of four symbols within SPAN, weighted by the symbols they span."""
+    from itertools import combinations
+
+    def weights(s):
+        out = {}
+        for at in combinations(range(len(s)), 4):
+            if at[3] - at[0] < toxicity.SPAN:
+                key = bytes(s[k] for k in at)
+                out[key] = out.get(key, 0) + toxicity.DECAY ** (at[3] - at[0] + 1)
+        return out
+
+    words = [toxicity.cleaned(w) for w in ("grobnik", "grabnik", "groobnik", "the", "onerti")]
+    k, sizes = toxicity.kernel(words, words), np.array([len(w) for w in words])
+    for i, a in enumerate(words):
+        for j, b in enumerate(words):
+            x, y = weights(a), weights(b)
+            assert np.isclose(k[i, j], sum(v * y.get(key, 0) for key, v in x.items()) / (toxicity.norms(sizes)[i] * toxicity.norms(sizes)[j]))
+
+
+def test_toxicity_held_out(spark):
+    """Recall and clean documents on labelled rows that the fit hasn't seen."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    m = toxicity.fit(docs, labels, toxicity.learnable())
+    seen = toxicity.toxicity(docs.join(labels.select("doc_id"), "doc_id"), m).join(labels, "doc_id").collect()
+    held = [(r["score"] >= toxicity.THRESHOLD, r["toxic"]) for r in seen if zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1]
+    assert np.mean([p for p, y in held if y]) > 0.88 and np.mean([p for p, y in held if not y]) < 0.012
+
+
+def plain_log_ratio(docs, good):
+    """Importance written out: counts by bucket of words and word pairs over all and over the target rows."""
+    mask = (1 << 64) - 1
+
+    def buckets(text):
+        ones = []
+        for w in re.findall(rb"[0-9a-z\x80-\xff]+|[!-/:-@\[-`{-~]+", (text or "").encode().lower()):
+            h = sum((b + 1) * pow(0x100000001B3, (i & 63) + 1, 1 << 64) for i, b in enumerate(w)) & mask
+            ones.append(((h ^ h >> 29) * 0xBF58476D1CE4E5B9) & mask)
+        pairs = []
+        for a, b in zip(ones, ones[1:], strict=False):
+            h = (a * 0x9E3779B97F4A7C15 & mask) ^ b >> 3
+            pairs.append(((h ^ h >> 31) * 0x94D049BB133111EB) & mask)
+        return [(h >> 17) % importance.BUCKETS for h in ones + pairs]
+
+    raw, target = Counter(), Counter()
+    for d, t in docs:
+        raw.update(buckets(t))
+        if d in good:
+            target.update(buckets(t))
+    p = lambda c, b: (c[b] + 1) / (sum(c.values()) + importance.BUCKETS)
+    return {d: sum(np.log(p(target, b)) - np.log(p(raw, b)) for b in buckets(t)) for d, t in docs}
+
+
+def test_importance_is_the_plain_one(spark, docs_of, sample):
+    """Weights against counts written out; the draw takes the k largest keys, whose noise is Gumbel and follows doc_id alone."""
+    rows = [(d, t) for d, t in sample if t is not None and len(t) < 3000][:60] + [(9001, None), (9002, ""), (9003, "A-b a!! b")]
+    good = {d for d, _ in rows[::4]}
+    labels = spark.createDataFrame([(d, int(d in good)) for d, _ in rows], "doc_id long, quality int")
+    got = importance.resampled(docs_of(rows), labels, share=0.3).collect()
+    want = plain_log_ratio(rows, good)
+    assert all(abs(r["log_weight"] - want[r["doc_id"]]) < 1e-6 for r in got)
+    keys = sorted((r["gumbel_key"] for r in got), reverse=True)
+    k = round(0.3 * len(rows))
+    assert all(r["kept"] == (r["gumbel_key"] >= keys[k - 1]) for r in got) and sum(r["kept"] for r in got) == k
+    other = importance.resampled(docs_of([(d, "x y") for d, _ in rows]), labels, share=0.3).collect()
+    noise = {r["doc_id"]: r["gumbel_key"] - r["log_weight"] for r in got}
+    assert all(abs(noise[r["doc_id"]] - (r["gumbel_key"] - r["log_weight"])) < 1e-9 for r in other)
+    many = importance.resampled(docs_of([(d, None) for d in range(4000)]), labels, share=0.5).toPandas()["gumbel_key"]
+    assert abs(many.mean() - 0.5772) < 0.08 and abs(many.std() - np.pi / np.sqrt(6)) < 0.08
+
+
 def test_importance(spark, sf_dir):
     got = queries.op6_importance(spark, sf_dir)
     rows = {r["doc_id"]: r for r in got.collect()}
@@ -133,3 +222,6 @@ def test_kth_largest(spark):
     df = spark.createDataFrame([(float(v),) for v in values], "x double")
     for k in (1, 2, 30, 41, 200, len(values)):
         assert importance.kth_largest(df, "x", k) == sorted(values, reverse=True)[k - 1]
+    for values in ([1.0, 1.0, float(np.nextafter(1, 2))], [0.0, 5e-324, -5e-324], [7.0] * 5, [1e300, -1e300, float(np.nextafter(1e300, 0))]):
+        df = spark.createDataFrame([(v,) for v in values], "x double")
+        assert [importance.kth_largest(df, "x", k + 1) for k in range(len(values))] == sorted(values, reverse=True)

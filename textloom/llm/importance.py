@@ -9,6 +9,7 @@ exactly by counting keys in ever narrower ranges, not by sorting the corpus.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -107,12 +108,13 @@ def kth_largest(rows: DataFrame, key: str, k: int) -> float:
     low, high = rows.agg(F.min(key), F.max(key)).first()
     above = 0  # rows over the range in question
     while low < high:
+        inside = rows.filter(F.col(key).between(low, high))
         width = (high - low) / RANGES
-        if width == 0 or low + width == low:
-            break
-        place = F.least(F.floor((F.col(key) - low) / width), F.lit(RANGES - 1))
-        inside = rows.filter(F.col(key).between(low, high)).groupBy(place.alias("place")).agg(F.count("*").alias("n"), F.min(key).alias("a"), F.max(key).alias("b")).collect()
-        for r in sorted(inside, key=lambda r: -r["place"]):
+        # a range of a few neighbouring numbers is told apart by value: it has no more than RANGES of them
+        fine = width == 0 or width <= math.ulp(max(abs(low), abs(high)))
+        place = F.col(key) if fine else F.least(F.floor((F.col(key) - low) / width), F.lit(RANGES - 1))
+        counted = inside.groupBy(place.alias("place")).agg(F.count("*").alias("n"), F.min(key).alias("a"), F.max(key).alias("b")).collect()
+        for r in sorted(counted, key=lambda r: -r["place"]):
             if above + r["n"] >= k:
                 low, high = r["a"], r["b"]
                 break

@@ -28,16 +28,17 @@ from pyspark.sql import functions as F
 
 from .scratch import staged
 
-#: Labelled documents of each class that are read for fitting, lowest hash of doc_id first; longer ones than SENTENCES characters are passed over.
+#: Labelled documents of each class that are read for fitting, lowest hash of doc_id first; each is read whole.
 SAMPLE = 3000
-SENTENCES = 40_000
-#: Words of these that the SVM is fitted on, most frequent first.
+#: Distinct words of these that the SVM is fitted on, those in most texts first: the bound on what the driver holds.
 WORDS = 40_000
-LANDMARKS = 160
+LANDMARKS = 320
 #: Landmarks are less alike than this (cosine of their kernel).
 ALIKE_MOST = 0.8
 DECAY = 0.8
 RIDGE = 0.2
+#: Standard deviations that a word's count in toxic texts is lowered by: rare words count little, frequent ones nearly whole.
+CHANCE = 1.4
 SPAN = 6
 ALPHABET = 64
 EDGE_MARK = ALPHABET - 1
@@ -126,17 +127,20 @@ def norms(sizes: np.ndarray) -> np.ndarray:
     return MASS[np.clip(sizes, 4, LONG)]
 
 
-def _table(strings: list[bytes], column: np.ndarray, width: int) -> np.ndarray:
-    """Weights of the features with a column, strings by columns."""
-    symbols, starts, sizes = flat(strings)
+def _cells(strings: list[bytes], column: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, column, weight) of every subsequence whose slot has a column, by string."""
+    symbols, starts, _ = flat(strings)
     owner = np.searchsorted(starts, np.arange(len(symbols)), side="right") - 1
-    cells, weights = [], []
+    rows, cols, weights = [], [], []
     for at, slots, w in features(symbols):
         col = column[slots]
         known = col >= 0
-        cells.append(owner[at[known]] * width + col[known])
+        rows.append(owner[at[known]])
+        cols.append(col[known])
         weights.append(np.full(int(known.sum()), w))
-    return np.bincount(np.concatenate(cells), np.concatenate(weights), minlength=len(sizes) * width).reshape(len(sizes), width)
+    row = np.concatenate(rows)
+    by = np.argsort(row, kind="stable")
+    return row[by], np.concatenate(cols)[by], np.concatenate(weights)[by]
 
 
 def kernel(strings: list[bytes], landmarks: list[bytes]) -> np.ndarray:
@@ -145,12 +149,18 @@ def kernel(strings: list[bytes], landmarks: list[bytes]) -> np.ndarray:
     column = np.full(SLOTS, -1, dtype=np.int64)
     column[known] = np.arange(len(known))
     size = lambda x: np.array([len(s) for s in x], dtype=np.int64)
-    right = _table(landmarks, column, len(known)).T / norms(size(landmarks))
+    right = np.zeros((len(known), len(landmarks)))
+    row, col, weight = _cells(landmarks, column)
+    np.add.at(right, (col, row), weight)
+    right /= norms(size(landmarks))
     out = np.zeros((len(strings), len(landmarks)))
-    rows = max(1, 4_000_000 // max(1, len(known)))  # some 30 MB at a time
-    for a in range(0, len(strings), rows):
-        part = strings[a : a + rows]
-        out[a : a + rows] = (_table(part, column, len(known)) @ right) / norms(size(part))[:, None]
+    for a in range(0, len(strings), 500):
+        part = strings[a : a + 500]
+        row, col, weight = _cells(part, column)
+        if len(row):
+            first = np.flatnonzero(np.diff(row, prepend=-1))
+            out[a + row[first]] = np.add.reduceat(right[col] * weight[:, None], first, axis=0)
+        out[a : a + len(part)] /= norms(size(part))[:, None]
     return out
 
 
@@ -168,16 +178,21 @@ def spread(strings: list[bytes], most: int) -> list[int]:
     return out
 
 
-def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
-    """Linear SVM (last coefficient: intercept) by Newton steps on the squared hinge loss."""
-    x = np.hstack((x, np.ones((len(x), 1))))
-    w = np.zeros(x.shape[1])
-    keep = ridge * np.eye(x.shape[1])
+def squared_hinge(x: np.ndarray, place: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
+    """Linear SVM (last coefficient: intercept) by Newton steps on the squared hinge loss, over the rows x[place], a block at a time."""
+    n = x.shape[1] + 1
+    w, keep = np.zeros(n), ridge * np.eye(n)
     keep[-1, -1] = 1e-6
     for _ in range(rounds):
-        on = y * (x @ w) < 1
-        xs = x[on] * weight[on, None]
-        new = np.linalg.solve(keep + xs.T @ x[on], xs.T @ y[on])
+        left, right = keep.copy(), np.zeros(n)
+        for a in range(0, len(place), 8192):
+            part = np.hstack((x[place[a : a + 8192]].astype(np.float64), np.ones((len(place[a : a + 8192]), 1))))
+            sign = y[a : a + 8192]
+            on = sign * (part @ w) < 1
+            scaled = part[on] * weight[a : a + 8192][on, None]
+            left += scaled.T @ part[on]
+            right += scaled.T @ sign[on]
+        new = np.linalg.solve(left, right)
         if np.allclose(new, w, atol=1e-6):
             break
         w = new
@@ -256,6 +271,9 @@ _scorers: dict[int, Scorer] = {}
 def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> ToxicityModel:
     """Fit on at most SAMPLE documents of each class; `usable` is a condition on doc_id.
 
+    Labels without a doc_id or a value teach nothing; of several labels of a doc_id the highest counts, and every row
+    of `docs` that has the id is read. Ties in the hash go by doc_id, ties in word counts by the word.
+
     Words are counted and texts scored on the executors; the driver receives at most WORDS words and
     two numbers a document. The logistic function is fitted on scores of texts that the words' SVM
     hasn't seen: each half of the sample is scored by a model of the other half. Without both classes the model scores everything alike, below the threshold.
@@ -267,7 +285,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> ToxicityModel:
         return fit_texts([], [])
     chosen = spark.createDataFrame([(r["doc_id"], r["toxic"]) for r in picked], "doc_id long, toxic int")  # at most 2 * SAMPLE rows
     group = 2 * F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(2)).cast("int") + F.col("toxic")
-    texts = docs.select("doc_id", "text").filter(F.length("text") <= SENTENCES).join(F.broadcast(chosen), "doc_id").select(group.alias("g"), "text")
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(group.alias("g"), "text")
     sample = staged(texts, "toxicity-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,9 +309,10 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> ToxicityModel:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorers = [Scorer(m) for m in shared.value]
         for batch in batches:
-            for g, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                first, second = scorers[g // 2].tops([text.as_py()])[0]
-                yield pa.RecordBatch.from_arrays([pa.array([g % 2], pa.int32()), pa.array([first], pa.float64()), pa.array([second], pa.float64())], names=["toxic", "first", "second"])
+            groups = batch.column(0).to_pylist()
+            found = [scorers[g // 2].tops([text.as_py()])[0] for g, text in zip(groups, batch.column(1), strict=True)]
+            first, second = ([t[k] for t in found] for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array([g % 2 for g in groups], pa.int32()), pa.array(first, pa.float64()), pa.array(second, pa.float64())], names=["toxic", "first", "second"])
 
     tops = sample.mapInArrow(score, "toxic int, first double, second double").orderBy("toxic", "first", "second").collect()
     model.logistic = logistic(np.array([(r["first"], r["second"]) for r in tops]), np.array([r["toxic"] for r in tops], dtype=np.float64))
@@ -352,14 +371,17 @@ def fit_words(known: list[bytes], counts: np.ndarray, total: np.ndarray) -> Toxi
     k_mm = kernel(marks, marks)
     value, vector = np.linalg.eigh((k_mm + k_mm.T) / 2)
     whiten = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
-    phi = (kernel(words, marks) @ whiten).astype(np.float32)
-    # occurrences in toxic sentences are toxic only as far as clean sentences don't have the word as often
+    phi = np.empty((len(words), len(marks)), dtype=np.float32)
+    for a in range(0, len(words), 4000):
+        phi[a : a + 4000] = kernel(words[a : a + 4000], marks) @ whiten
+    # a word in toxic sentences is toxic as far as chance doesn't explain its count there, and clean sentences don't have it as often
     share = n / total
-    foul, clean = np.maximum(0, share[:, 1] - 2 * share[:, 0]), share[:, 0] + 1 / total.sum()
-    foul[n[:, 1] < 4] = 0
+    foul = np.maximum(0, (n[:, 1] - CHANCE * np.sqrt(n[:, 1])) / total[1] - 2 * share[:, 0])
+    clean = share[:, 0] + 1 / total.sum()
     bad = np.flatnonzero(foul)
-    x, y, weight = np.vstack((phi[bad], phi)), np.concatenate((np.ones(len(bad)), -np.ones(len(words)))), np.concatenate((foul[bad], clean))
-    w = squared_hinge(x, y, weight * 1000, ridge=RIDGE)
+    place = np.concatenate((bad, np.arange(len(words))))
+    y, weight = np.concatenate((np.ones(len(bad)), -np.ones(len(words)))), np.concatenate((foul[bad], clean))
+    w = squared_hinge(phi, place, y, weight * 1000, ridge=RIDGE)
     beta = whiten @ w[:-1]
     table = np.zeros(SLOTS)
     symbols, starts, sizes = flat(marks)
@@ -389,7 +411,10 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 
 
 def toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
-    """(doc_id, score), a row per input row; texts without words (null, empty) get the score of no toxic word."""
+    """(doc_id, score), a row per input row, repeated or without doc_id alike; texts without words (null, empty) get the score of no toxic word.
+
+    Only doc_id and the text are read, so other columns may have any name. Equal texts have equal scores. An empty table gives an empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
