@@ -1,7 +1,9 @@
 """Corpus pipeline: language ID, exact dedup, near-dedup, decontamination, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
-again as the next stage's docs. All but the last return the columns of `documents`.
+again as the next stage's docs. All but the last return the columns of `documents`. Rows are judged one
+by one, so a missing or repeated doc_id neither saves a row nor takes another along. An empty table
+gives an empty result; columns besides doc_id, text and lang pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,22 +20,22 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language (null texts, no letters) go."""
+    """The predicted language takes the place of `lang`; documents without one (null texts, no letters) go."""
     return language.with_language(docs, language.fit(docs, language.learnable()))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the largest doc_id stays."""
+    """Of equal texts (A-Z lower-cased; null equals empty) the row with the largest doc_id stays, of rows that repeat it one."""
     return exact_dedup.drop_exact_duplicates(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the smallest doc_id stays."""
+    """Of each group of near-duplicates the row with the smallest doc_id stays, of rows that repeat it one."""
     return simhash.drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go."""
+    """Contaminated documents go: at least one word in twenty is hit. The others keep their texts."""
     return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
