@@ -33,6 +33,14 @@ def test_real_texts(enc, sample):
     assert enc.encode(texts) == enc._whole(texts) == enc.encode(texts)
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_narrow_ids_and_small_caches(path, sample):
+    """Two bytes an id, and generations that end in the midst of a text, change nothing."""
+    narrow, wide = Encoder(path, cache=50, width=2), Encoder(path)
+    for _, t in sample[:60]:
+        assert (np.frombuffer(narrow.encode([t or ""])[0], "<u2") == np.frombuffer(wide._whole([t or ""])[0], "<u4")).all()
+
+
 def test_file_format():
     sink = io.BytesIO()
     out = token_file.TokenFileWriter(sink, width=2, frame_bytes=64)

@@ -34,18 +34,18 @@ def byte_letters() -> list[str]:
 
 
 class Encoder:
-    """`encode(texts)` gives each text's ids as little-endian uint32 bytes, as Tokenizer.encode does.
+    """`encode(texts)` gives each text's ids as little-endian bytes of `width`, as Tokenizer.encode does.
 
     A new piece that is letters, perhaps with punctuation behind them, goes straight to the
     library's BPE model, letters and punctuation apart, as the vocabulary's own pattern parts them.
     Other pieces go through the whole tokenizer.
     """
 
-    def __init__(self, path: str, cache: int = CACHE):
+    def __init__(self, path: str, cache: int = CACHE, width: int = 4):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.limit = cache
+        self.limit, self.width, self.code = cache, width, {2: "H", 4: "I"}[width]
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.model = self.tok.model
@@ -55,7 +55,7 @@ class Encoder:
         self.tails: dict[str, bytes] = {"": b""}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, dtype=f"<u{self.width}").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _letters_of(self, core: str) -> str | None:
         """A run of letters as the model reads it; None if the tokenizer might part or change it otherwise."""
@@ -74,21 +74,25 @@ class Encoder:
         """Ids of one piece, white space in front included."""
         core = piece.rstrip(TAILS)
         tail = piece[len(core) :]
-        head = b""
+        if tail and len(piece) <= LONGEST and (bare := core[self.keeps_space and core[:1] in (" ", "\n") :]).isascii() and bare.isalpha():
+            return self.cache[self._key(core)] + self._tail(tail)  # tails vary: the bare word is the better thing to keep
+        head, lead = b"", ""
         if self.keeps_space:
             if core[:1] == " ":
                 core, lead = core[1:], self.letters[32]
-            else:
-                lead = ""
-                if core[:1] == "\n":
-                    core, head = core[1:], self._tail("\n")
-        else:
-            lead = ""
+            elif core[:1] == "\n":
+                core, head = core[1:], self._tail("\n")
         shown = self._letters_of(core) if core.isalpha() and len(core) <= LONGEST else None
         if shown is None or len(tail) > LONGEST:
             return self._whole([piece])[0]
         ids = [t.id for t in self.model.tokenize(lead + shown)]
-        return head + struct.pack(f"<{len(ids)}I", *ids) + (self._tail(tail) if tail else b"")
+        return head + struct.pack(f"<{len(ids)}{self.code}", *ids) + (self._tail(tail) if tail else b"")
+
+    def _key(self, piece: str) -> str:
+        """The key that Pieces keeps a piece under: a space in front is left out, and a piece without one is marked."""
+        if not self.keeps_space or piece[:1] == "\n":
+            return piece
+        return piece[1:] if piece[:1] == " " else "\0" + piece
 
     def _tail(self, tail: str) -> bytes:
         if tail not in self.tails:
@@ -133,11 +137,18 @@ class Pieces(dict):
         return ids
 
 
-_encoders: dict[tuple[str, int], Encoder] = {}
+_encoders: dict[tuple[str, int, int], Encoder] = {}
 
 
-def encoder(path: str, cache: int = CACHE) -> Encoder:
+def encoder(path: str, cache: int = CACHE, width: int = 4) -> Encoder:
     """This worker process's encoder for a vocabulary file."""
-    if (path, cache) not in _encoders:
-        _encoders[path, cache] = Encoder(path, cache)
-    return _encoders[path, cache]
+    if (path, cache, width) not in _encoders:
+        _encoders[path, cache, width] = Encoder(path, cache, width)
+    return _encoders[path, cache, width]
+
+
+def id_width(path: str, *others: int) -> int:
+    """Bytes that hold each id of a vocabulary, and the other ids given."""
+    from tokenizers import Tokenizer
+
+    return 2 if max(Tokenizer.from_file(path).get_vocab_size(), *(i + 1 for i in others)) <= 65536 else 4

@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .encode import encoder
+from .encode import encoder, id_width
 from .scratch import new_path
 
 # Fixed values of the seekable format: magic numbers and the flag for checksums.
@@ -191,22 +191,21 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, root: str,
     if files is not None:
         range_bytes = max(1, own.agg(F.coalesce(F.sum(F.octet_length("text").cast("long") + 16), F.lit(0))).first()[0] // files)
     bounds = range_bounds(own, "text", range_bytes)
-    shared = spark.sparkContext.broadcast(np.array(bounds, dtype=np.int64))
-    schema = pa.schema([("range_no", pa.int32()), ("doc_id", pa.int64()), ("width", pa.int8()), ("ids", pa.binary())])
+    shared, width = spark.sparkContext.broadcast(np.array(bounds, dtype=np.int64)), id_width(vocabulary, end_id)
+    schema = pa.schema([("range_no", pa.int32()), ("doc_id", pa.int64()), ("ids", pa.binary())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary, PIECES)
-        width = 2 if max(enc.tok.get_vocab_size(), end_id + 1) <= 65536 else 4
+        enc = encoder(vocabulary, PIECES, width)
         end, rows, held = np.array([end_id], dtype=WIDTHS[width]).tobytes(), [], 0
 
         def made() -> pa.RecordBatch:
             doc_ids = np.array([d for d, _ in rows], dtype=np.int64)
             ranges = np.searchsorted(shared.value, doc_ids, side="right").astype(np.int32)
-            return pa.RecordBatch.from_arrays([pa.array(ranges), pa.array(doc_ids), pa.array(np.full(len(rows), width, np.int8)), pa.array([raw for _, raw in rows], pa.binary())], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array(ranges), pa.array(doc_ids), pa.array([raw for _, raw in rows], pa.binary())], schema=schema)
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = np.frombuffer(enc.encode([text.as_py()])[0], dtype="<u4").astype(WIDTHS[width]).tobytes() + end
+                raw = enc.encode([text.as_py()])[0] + end
                 rows.append((doc_id, raw))
                 held += len(raw)
                 if held > 1 << 24:
@@ -215,7 +214,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, root: str,
         if rows:
             yield made()
 
-    ranged = own.mapInArrow(encode, "range_no int, doc_id long, width byte, ids binary").repartitionById(len(bounds) + 1, F.col("range_no")).sortWithinPartitions("range_no", "doc_id", "ids")
+    ranged = own.mapInArrow(encode, "range_no int, doc_id long, ids binary").repartitionById(len(bounds) + 1, F.col("range_no")).sortWithinPartitions("range_no", "doc_id", "ids")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
@@ -232,7 +231,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, root: str,
 
         first = 0
         for batch in batches:
-            for doc_id, width, ids in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+            for doc_id, ids in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
                 if out is None:
                     system.create_dir(folder, recursive=True)
                     name = f"{folder}/ids-{uuid.uuid4().hex}.tok"
@@ -247,7 +246,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, root: str,
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*done, strict=True) if done else [[]] * 5, (pa.string(), *[pa.int64()] * 4), strict=True)], names=["path", "first", "seq", "n_docs", "n_tokens"])
 
     # a doc_id is in one range only, so files of a range follow each other and ranges never mix
-    rows = sorted(ranged.select("range_no", "doc_id", "width", "ids").mapInArrow(write, "path string, first long, seq long, n_docs long, n_tokens long").collect(), key=lambda r: (r["first"], r["seq"]))
+    rows = sorted(ranged.mapInArrow(write, "path string, first long, seq long, n_docs long, n_tokens long").collect(), key=lambda r: (r["first"], r["seq"]))
     found, start = [], 0
     for r in rows:
         found.append((r["path"], r["n_docs"], r["n_tokens"], start))
