@@ -152,21 +152,21 @@ def kernel(strings: list[bytes], landmarks: list[bytes]) -> np.ndarray:
     right = np.zeros((len(known), len(landmarks)))
     row, col, weight = _cells(landmarks, column)
     np.add.at(right, (col, row), weight)
-    right /= norms(size(landmarks))
+    right = (right / norms(size(landmarks))).astype(np.float32)
     out = np.zeros((len(strings), len(landmarks)))
-    for a in range(0, len(strings), 500):
-        part = strings[a : a + 500]
+    for a in range(0, len(strings), 128):
+        part = strings[a : a + 128]
         row, col, weight = _cells(part, column)
         if len(row):
             first = np.flatnonzero(np.diff(row, prepend=-1))
-            out[a + row[first]] = np.add.reduceat(right[col] * weight[:, None], first, axis=0)
+            out[a + row[first]] = np.add.reduceat(right[col] * weight[:, None].astype(np.float32), first, axis=0)
         out[a : a + len(part)] /= norms(size(part))[:, None]
     return out
 
 
 def spread(strings: list[bytes], most: int) -> list[int]:
     """Places of up to `most` strings, in order, leaving out those too like one taken before."""
-    like = kernel(strings, strings)
+    like = np.hstack([kernel(strings, strings[a : a + 80]) for a in range(0, len(strings), 80)]) if strings else np.empty((0, 0))
     own = np.sqrt(np.maximum(np.diag(like), 1e-9))
     like = like / own[:, None] / own
     out: list[int] = []
