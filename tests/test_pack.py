@@ -150,6 +150,20 @@ def test_budget_scans_once(spark, sf_dir):
     assert text.count("[_outline(") == 1 and text.count("[draw(") == 1
 
 
+def test_sql_names(spark):
+    from textloom.registry import register
+
+    names = register(spark)
+    row = spark.sql("""SELECT token_estimate('12345') AS e, token_count(repeat('x', 400), 'claude') AS c, is_lockfile('a/yarn.lock') AS l, file_name('a/b') AS f, path_depth('a/b') AS d, expand_tabs('\tx') AS t,
+        outline_text('fn f() {\n 1\n}\n', 'rust') AS o, highlight_line('let x', 'rust')[0].kind AS h, lock_dependencies('yarn.lock', 'a@1:\n  version 2\n')[0].name AS n""").first()
+    assert tuple(row) == (2, 108, True, "b", 2, "    x", "fn f() { /* ... */ }\n", "keyword", "a") and {"pgm_frames", "repo_tree"} <= set(names)
+
+
+def test_chosen_files_are_in_path_order(spark):
+    own = relation(spark, {"b": "", "a/x": "", "a-b/y": "", "c": ""}).withColumn("selected", F.col("path") != "c")
+    assert [r["path"] for r in selection.chosen(own).collect()] == ["a/x", "a-b/y", "b"]
+
+
 def test_node_totals(spark):
     n = {"/".join(r["node"]): r for r in tree.nodes(relation(spark, {"a/x": "1" * 41, "a/y": "22", "z": "333"})).collect()}
     assert (n["a/x"]["tokens"], n["a"]["files"], n["a"]["bytes"], n["a"]["tokens"]) == (11, 2, 43, 12) and n["z"]["is_file"] and not n["a"]["is_file"]
@@ -245,6 +259,7 @@ def test_cli(spark, repo, capsys, tmp_path):
     out = tmp_path / "pack.xml"
     assert cli.main([str(repo), "-o", str(out), "-t", "--max-file-size", "1KB", "-I", "*.rs"]) == 0
     assert out.read_text().count("<file path=") == 2 and "2 files (" in capsys.readouterr().err
+    assert cli.main([str(repo), "-o", str(out), "-q", "--no-packignore", "-I", "ignored_dir/*"]) == 0 and "ignored_dir/a.rs" in out.read_text()
     assert cli.main([str(repo), "-I", "*.none"]) == 0 and "no files" in capsys.readouterr().err
     assert cli.main(["--video-prompt", "show me a video of a fox"]) == 0 and "subject: a fox" in capsys.readouterr().out
 

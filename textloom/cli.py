@@ -25,9 +25,12 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-t", "--tokens", action="store_true")
     p.add_argument("-p", "--token-profile", default="cl100k", type=profile_name)
     p.add_argument("--max-file-size", type=parse_size, default=1 << 20)
-    p.add_argument("--max-depth", type=int)
+    p.add_argument("-d", "--max-depth", type=int)
     p.add_argument("--no-gitignore", action="store_true")
+    p.add_argument("--no-packignore", action="store_true", help="don't read .packignore files")
     p.add_argument("--include-hidden", action="store_true")
+    p.add_argument("--threads", type=int, help="cores of a session that this call starts; default: all")
+    p.add_argument("-v", "--verbose", action="store_true", help="show the session's messages and the options")
     p.add_argument("-e", "--exclude", action="append", default=[])
     p.add_argument("-I", "--include", action="append", default=[])
     p.add_argument("--outline", action="store_true")
@@ -54,15 +57,18 @@ def main(argv: list[str] | None = None) -> int:
         if args.video_prompt is None:
             print(f"{args.video_anchor} (frame #{idx}, sharpness={score:.2f})")
             return 0
-    spark = session("textloom-cli")
+    spark = session("textloom-cli", master=f"local[{args.threads or '*'}]" if args.threads else None)
+    spark.sparkContext.setLogLevel("INFO" if args.verbose else "ERROR")
     if args.video_prompt is not None:
         row = spark.createDataFrame([(args.video_prompt, args.shot_duration, args.video_anchor)], "text string, seconds int, anchor string")
         text = row.select(prompts.compiled(F.col("text"), F.col("seconds"), F.col("anchor"))).first()[0] + "\n"
         stats = None
     else:
         options = options_of(args)
+        if args.verbose:
+            print(options, file=sys.stderr)
         changed = changed_files(spark, args.path, args.staged) if args.modified or args.staged else None
-        kept = packed_files(tree_files(spark, args.path, options, gitignore=not args.no_gitignore), options, changed).cache()
+        kept = packed_files(tree_files(spark, args.path, options, ignore_file="" if args.no_packignore else ".packignore", gitignore=not args.no_gitignore), options, changed).cache()
         found = shape.documents(kept, args.format).select("document").head()
         if found is None:
             print("no files left to pack", file=sys.stderr)

@@ -151,9 +151,12 @@ def is_workflow(content: Column) -> Column:
 
 
 def histogram(workflows: DataFrame, content: str = "content") -> DataFrame:
-    """(node_type, n): node types over all workflows by parsing, API form: each top-level value's class_type."""
-    parsed = workflows.select(F.explode(F.map_values(F.from_json(F.col(content), "map<string,struct<class_type:string>>"))).alias("node"))
-    return parsed.groupBy(F.col("node.class_type").alias("node_type")).agg(F.count("*").alias("n")).filter("node_type is not null")
+    """(node_type, n): node types over all workflows by parsing. API form: each top-level value's class_type; UI form: the type of each of `nodes`, but for link types."""
+    api = F.transform(F.map_values(F.from_json(F.col(content), "map<string,struct<class_type:string>>")), lambda v: v["class_type"])
+    ui = F.filter(F.transform(F.from_json(F.col(content), "nodes array<struct<type:string>>")["nodes"], lambda v: v["type"]), lambda t: ~t.isin(*LINK_TYPES))
+    empty = F.array().cast("array<string>")
+    parsed = workflows.select(F.explode(F.concat(F.coalesce(api, empty), F.coalesce(ui, empty))).alias("node_type"))
+    return parsed.filter("node_type is not null").groupBy("node_type").agg(F.count("*").alias("n"))
 
 
 def number_setting(content: Column, key: str) -> Column:

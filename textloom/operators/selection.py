@@ -27,6 +27,11 @@ def toggle_all(files: DataFrame, repo: str = "repo_id") -> DataFrame:
     return toggle(files, F.lit(True), repo)
 
 
+def chosen(files: DataFrame, repo: str = "repo_id") -> DataFrame:
+    """The selected files in the order in which a scan lists them: by path, component by component."""
+    return files.filter("selected").drop("selected").orderBy(repo, "path_parts")
+
+
 def invert(files: DataFrame, scope: Column | None = None) -> DataFrame:
     """`selected` turned over in scope."""
     inside = F.lit(True) if scope is None else F.coalesce(scope, F.lit(False))

@@ -343,6 +343,19 @@ def lock_npm(spark, sf_dir):
     return _deps(rows, "package-lock.json", body)
 
 
+def lock_npm_v1(spark, sf_dir):
+    """The older form, which is read line by line."""
+    rows, k, v = _part(spark, sf_dir)
+    body = F.concat(F.lit('{\n  "name": "me",\n  "lockfileVersion": 1,\n  "dependencies": {\n    "a'), k, F.lit('": {\n      "version": "1.'), v, F.lit('.0",\n      "requires": {\n        "x": "1"\n      }\n    },\n    "@s/b": {\n      "version": "2.'), v, F.lit('.0"\n    }\n  }\n}\n'))
+    return _deps(rows, "package-lock.json", body)
+
+
+def lock_poetry(spark, sf_dir):
+    rows, k, v = _part(spark, sf_dir)
+    body = F.concat(F.lit('[[package]]\nname = "p'), k, F.lit('"\nversion = "3.'), v, F.lit('.0"\noptional = false\n\n[package.dependencies]\nq = ">=1"\n\n[[package]]\nname = "q"\nversion = "1.'), v, F.lit('"\n'))
+    return _deps(rows, "poetry.lock", body)
+
+
 def lock_yarn(spark, sf_dir):
     rows, k, v = _part(spark, sf_dir)
     body = F.concat(F.lit('# yarn\n\n"@s/y'), k, F.lit('@^1.0.0", "@s/y@^1.2.0":\n  version "1.'), v, F.lit('.3"\n  dependencies:\n    version "8"\n\nz@2:\n  version: 2.'), v, F.lit(".0\n"))
@@ -366,6 +379,12 @@ def workflow_histogram(spark, sf_dir):
     return workflow.histogram(_graph(spark, sf_dir))
 
 
+def workflow_histogram_ui(spark, sf_dir):
+    """UI form: nodes with links; link types among the types don't count."""
+    body = F.concat(F.lit('{"nodes": [{"id": 1, "type": "'), F.col("event_type"), F.lit('", "widgets_values": [1]}, {"id": 2, "type": "IMAGE"}, {"id": 3, "type": "VAEDecode"}], "links": []}'))
+    return workflow.histogram(table(spark, sf_dir, "events").select(body.alias("content")))
+
+
 def workflow_settings(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(workflow.number_setting(F.col("props"), "k").alias("k")).agg(F.count("*").alias("n"))
 
@@ -509,6 +528,12 @@ def line_index(spark, sf_dir):
     return rows.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.max(F.length("line")).cast("bigint").alias("longest"))
 
 
+def preview_text(spark, sf_dir):
+    """What a preview shows of each document: tabs as four spaces, the first 2000 bytes at most, cut at a whole character."""
+    shown = text.preview(text.expand_tabs(F.concat(F.lit("\t"), F.col("text"))), 2000)
+    return ids(spark, sf_dir).select("doc_id", shown.alias("p")).select("doc_id", F.md5("p.shown").alias("shown_md5"), "p.truncated")
+
+
 def tail_paths(spark, sf_dir):
     return ids(spark, sf_dir).select("doc_id", text.tail_fit(F.col("path"), 12).alias("shown"))
 
@@ -533,9 +558,9 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     scan_documents, path_predicates, skip_filter, size_filter, glob_filter, depth_filter, hidden_filter, language_hint, compression_tier, path_order, changed_semi_join, skipped_anti_join,
     git_status_parse, redact_documents, redact_counts, redact_turns, token_estimate, token_profiles, scan_summary, summary_by_repo, dir_rollup, tree_nodes, tree_lines, tree_render, tree_flat,
     tree_visible, tree_filter, selection_toggle, selection_toggle_all, selection_invert, tri_state, budget_prune, budget_fit, budget_affected, format_xml_blocks, format_md_blocks, md_fence,
-    json_escape, format_tool_call, pack_document, pack_markdown, pack_tool_call, pack_budget, pack_budget_code, pack_empty, lock_gosum, lock_pnpm, lock_cargo, lock_npm, lock_yarn, lock_manifest, workflow_histogram,
+    json_escape, format_tool_call, pack_document, pack_markdown, pack_tool_call, pack_budget, pack_budget_code, pack_empty, lock_gosum, lock_pnpm, lock_cargo, lock_npm, lock_npm_v1, lock_poetry, lock_yarn, lock_manifest, workflow_histogram, workflow_histogram_ui,
     workflow_settings, workflow_manifest, prompt_strip_filler, prompt_condense, prompt_shots, prompt_specs, prompt_compile, frame_sharpness, sharpest_frame, pgm_stream, outline_rust,
-    outline_python, outline_generic, highlight_lines, fuzzy_filter, fuzzy_best, number_formats, size_literals, context_gauge, line_index, tail_paths, binary_filter, stats_line, outlined_preview,
+    outline_python, outline_generic, highlight_lines, fuzzy_filter, fuzzy_best, number_formats, size_literals, context_gauge, line_index, preview_text, tail_paths, binary_filter, stats_line, outlined_preview,
 ]
 
 

@@ -183,9 +183,12 @@ SQL: dict[str, str] = {
     "lock_pnpm": deps(("'@s/p' || p_partkey", "'1.' || p_size || '.0'"), ("'q' || p_partkey", "'2.0.0'"), ("'r'", "'3.' || p_size || '.1'")),
     "lock_cargo": deps(("'c' || p_partkey", "'0.' || p_size || '.1'"), ("'b'", "'1.0.0'")),
     "lock_npm": deps(("'a' || p_partkey", "'1.' || p_size || '.0'"), ("'@s/b'", "'2.' || p_size || '.0'")),
+    "lock_npm_v1": deps(("'a' || p_partkey", "'1.' || p_size || '.0'"), ("'@s/b'", "'2.' || p_size || '.0'")),
+    "lock_poetry": deps(("'p' || p_partkey", "'3.' || p_size || '.0'"), ("'q'", "'1.' || p_size")),
     "lock_yarn": deps(("'@s/y' || p_partkey", "'1.' || p_size || '.3'"), ("'z'", "'2.' || p_size || '.0'")),
     "lock_manifest": "SELECT p_partkey, 'a/a @ v1' || chr(10) || 'a/a @ v2' || chr(10) || 'm/m' || p_partkey || ' @ v1.' || p_size || chr(10) || 'z/last @ v9' || chr(10) AS manifest FROM part",
     "workflow_histogram": "SELECT event_type AS node_type, count(*) AS n FROM events GROUP BY event_type UNION ALL SELECT 'KSampler', count(*) FROM events",
+    "workflow_histogram_ui": "SELECT event_type AS node_type, count(*) AS n FROM events GROUP BY event_type UNION ALL SELECT 'VAEDecode', count(*) FROM events",
     "workflow_settings": "SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1",
     "workflow_manifest": """SELECT event_id, '# ComfyUI Workflow Manifest (2 nodes, 2 unique types)' || chr(10) || '## Nodes' || chr(10) || '- KSampler x1' || chr(10) || '- ' || event_type || ' x1' || chr(10) || '## Prompts' || chr(10)
         || '- "a prompt ' || k || '"' || chr(10) || '## Sampler & Latent Config' || chr(10) || '- cfg: 7' || chr(10) || '- seed: ' || event_id || chr(10) || '- steps: ' || k || chr(10) AS manifest FROM (SELECT *, json_extract_string(props, '$.k') AS k FROM events)""",
@@ -204,6 +207,9 @@ SQL: dict[str, str] = {
     "context_gauge": """WITH r AS (SELECT o_orderkey, CAST(trunc(o_totalprice / 2) AS BIGINT) / 128000.0::DOUBLE AS ratio FROM orders) SELECT o_orderkey, ratio, repeat('█', least(12, CAST(round(least(1.0, ratio) * 12) AS INT))) || repeat('░', 12 - least(12, CAST(round(least(1.0, ratio) * 12) AS INT))) AS bar,
         CASE WHEN ratio >= 1 THEN 'red' WHEN ratio >= 0.9 THEN 'light_red' WHEN ratio >= 0.7 THEN 'yellow' ELSE 'green' END AS colour, ratio > 1 AS over FROM r""",
     "line_index": f"WITH {IDS}, l AS (SELECT doc_id, unnest(string_split(text || chr(10) || 'last', chr(10))) AS line FROM ids) SELECT doc_id, count(*) AS n_lines, max(length(line)) AS longest FROM l GROUP BY doc_id",
+    "preview_text": f"""WITH {IDS}, t AS (SELECT doc_id, replace(chr(9) || text, chr(9), '    ') AS body FROM ids), c AS (SELECT doc_id, body, strlen(body) > 2000 AS truncated, left(body, 2000) AS head FROM t),
+        k AS (SELECT *, list_max(list_filter(range(400, 2001), lambda n: strlen(left(head, n)) <= 2000)) AS n FROM c)
+        SELECT doc_id, md5(CASE WHEN truncated THEN left(head, n) ELSE body END) AS shown_md5, truncated FROM k""",
     "tail_paths": f"WITH {IDS} SELECT doc_id, CASE WHEN length(path) <= 12 THEN path ELSE '…' || right(path, 11) END AS shown FROM ids",
     "binary_filter": "SELECT doc_id FROM documents WHERE doc_id % 3 <> 0",
     "stats_line": f"""{FILES}, s AS (SELECT source, count(*) AS n, sum(size) AS b, sum(tok) AS t FROM named GROUP BY source) SELECT source AS repo_id, n || ' files (' || CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN format('{{:.1f}} KB', b / 1024.0::DOUBLE) ELSE format('{{:.2f}} MB', b / 1048576.0::DOUBLE) END || ', ' || t || ' tokens)' AS line FROM s""",

@@ -49,30 +49,39 @@ def scored_tail(path: str, seconds: float) -> list[float]:
     return [sharpness(pixels, w, h) for _, w, h, pixels in pgm_frames(out.stdout)]
 
 
-def anchor(path: str, still: str | None = None, least: float = SHARP) -> tuple[str, int, float]:
-    """(still, frame index, sharpness): writes `<stem>.anchor.png` beside the video unless named otherwise.
+def tails(path: str) -> Iterator[tuple[float, list[float]]]:
+    """(seconds, sharpness of each frame) of ever wider windows at the end, decoded as they are asked for; none is wider than the video."""
+    whole = duration(path)
+    usable = whole if whole and whole > 0.05 else float("inf")
+    for seconds in dict.fromkeys(min(s, usable) for s in (TAIL, WIDER)):
+        yield seconds, scored_tail(path, seconds)
+
+
+def sharpest_tail(path: str, least: float = SHARP) -> tuple[int, float, float]:
+    """(frame index, sharpness, seconds from the end) of the best frame; a wider window counts if the best so far is soft and it holds one as sharp."""
+    found = None
+    for seconds, scores in tails(path):
+        top = max(scores, default=-1.0)
+        if scores and (found is None or top >= found[1]):
+            at = scores.index(top)
+            found = at, top, max(0.04, seconds * (len(scores) - at) / len(scores))
+        if found and found[1] >= least:
+            break
+    if found is None:
+        raise ValueError(f"no frames in the tail of {path}")
+    return found
+
 
-    A tail without a frame of `least` sharpness is looked at over the wider window, which counts if
-    it holds a frame as sharp. If seeking gives no still, the first frame is taken.
-    """
+def anchor(path: str, still: str | None = None, least: float = SHARP) -> tuple[str, int, float]:
+    """(still, frame index, sharpness): writes `<stem>.anchor.png` beside the video unless named otherwise; the first frame where seeking gives none."""
     if not os.path.exists(path):
         raise FileNotFoundError(path)
-    whole = duration(path)
-    window = lambda s: min(s, whole) if whole and whole > 0.05 else s
-    seconds, scores = window(TAIL), scored_tail(path, window(TAIL))
-    if (not scores or max(scores) < least) and (window(WIDER) > seconds or not scores):
-        wider = scored_tail(path, window(WIDER))
-        if wider and (not scores or max(wider) >= max(scores)):
-            seconds, scores = window(WIDER), wider
-    if not scores:
-        raise ValueError(f"no frames in the tail of {path}")
-    best = scores.index(max(scores))
-    back = max(0.04, seconds * (len(scores) - best) / len(scores))
-    still = still or os.path.join(os.path.dirname(path), os.path.splitext(os.path.basename(path))[0] + ".anchor.png")
-    for seek in (("-sseof", f"-{back:.3f}"), ()):
-        done = _run("ffmpeg", "-y", "-v", "error", *seek, "-i", path, "-frames:v", "1", still)
+    index, score, back = sharpest_tail(path, least)
+    still = still or os.path.splitext(path)[0] + ".anchor.png"
+    grab = lambda *seek: _run("ffmpeg", "-y", "-v", "error", *seek, "-i", path, "-frames:v", "1", still)
+    for done in (grab(*seek) for seek in (("-sseof", f"-{back:.3f}"), ())):
         if not done.returncode and os.path.exists(still):
-            return still, best, scores[best]
+            return still, index, score
     raise ValueError(f"no still written for {path}: {done.stderr.decode(errors='replace').strip()}")
 
 
