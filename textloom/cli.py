@@ -15,6 +15,7 @@ from .plans.pack import changed_files, packed_files, tree_files
 from .schema import PackOptions, format_name, profile_name
 from .session import session
 from .sources.video import anchor
+from .staging import clear
 
 
 def parser() -> argparse.ArgumentParser:
@@ -82,6 +83,7 @@ def main(argv: list[str] | None = None) -> int:
         sys.stdout.write(text)
     if stats and not args.quiet:
         print(stats, file=sys.stderr)
+    clear(spark)
     return 0
 
 

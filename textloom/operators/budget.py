@@ -42,7 +42,7 @@ def fit_budget(files: DataFrame, budget: int, outline: Column | None = None, fac
     whole = files.withColumn("content", F.coalesce(F.col("content"), F.lit(""))).withColumn("tier", paths.compression_tier(F.col("path")))
     own = whole.withColumn("tok_0", F.coalesce(F.col("token_count"), count(F.when(F.col("token_count").isNull(), F.col("content")))) if "token_count" in files.columns else count(F.col("content")))
     own = own.withColumn("key_0", _key(F.col("tok_0"), size_of("content")))
-    first = ranged(own.select(repo, "key_0"), repo, F.col("key_0").desc(), "budget-keys")
+    first = staged(own.select(repo, "key_0"), "budget-keys")
     totals = staged(first.groupBy(repo).agg(F.sum("key_0.tok").alias("total_0")).filter(F.col("total_0") > budget), "over-budget")
 
     def outlined_in(rows: DataFrame, wanted: Column) -> DataFrame:
@@ -65,7 +65,7 @@ def fit_budget(files: DataFrame, budget: int, outline: Column | None = None, fac
         after = after.select(repo, _key(F.col("tok_1"), F.when(F.col("taken"), F.col("size_o")).otherwise(F.col("key_0.size"))).alias("key_1"))
         second = ranged(after, repo, F.col("key_1").desc(), "fitted-keys")
     else:
-        second = first.join(_lookup(totals.select(repo)), repo).withColumnRenamed("key_0", "key_1")
+        second = ranged(first.join(_lookup(totals.select(repo)), repo).withColumnRenamed("key_0", "key_1"), repo, F.col("key_1").desc(), "budget-keys", stored=True)
     second = second.withColumn("tok_1", F.col("key_1.tok"))
     left = second.groupBy(repo).agg((F.sum("tok_1") - budget).alias("need"))
     cut_2 = last_spent(second, repo, "key_1", "tok_1", left).withColumnRenamed("cut", "cut_2")

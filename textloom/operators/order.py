@@ -16,9 +16,12 @@ from ..staging import staged
 RANGE = "range_no"
 
 
-def ranged(keys: DataFrame, repo: str, key: Column, tag: str) -> DataFrame:
-    """`keys` stored in order of (repo, key), with the number of the range that a row is in. Equal keys share a range."""
-    return staged(keys.repartitionByRange(repo, key).withColumn(RANGE, F.spark_partition_id()), tag)
+def ranged(keys: DataFrame, repo: str, key: Column, tag: str, stored: bool = False) -> DataFrame:
+    """`keys` stored in order of (repo, key), with the number of the range that a row is in. Equal keys share a range.
+
+    They are stored as they come first, unless they are `stored`: ranges are sampled, and what the keys are made from should be read once.
+    """
+    return staged((keys if stored else staged(keys, tag)).repartitionByRange(repo, key).withColumn(RANGE, F.spark_partition_id()), f"{tag}-ranged")
 
 
 def _bases(stored: DataFrame, repo: str, value: Column) -> DataFrame:

@@ -15,6 +15,7 @@ from ..functions import frames, highlight, lockfiles, outline, paths, prompts, r
 from ..operators import budget, files, selection, tree
 from ..operators import format as shape
 from ..schema import PROFILES, PackOptions
+from ..staging import spread
 from . import pack as plan
 
 EXTENSIONS = [".rs", ".py", ".md", ".toml", ".json", ".svg", ".min.js", ".pem", ".go", ".txt", "_test.rs", ".png", ".yaml", ".ts", ".js.map", ".c", ".java", ".Dockerfile", ".spec.ts", ".SVG", "", ".tar.gz"]
@@ -432,7 +433,7 @@ def prompt_specs(spark, sf_dir):
 
 
 def prompt_compile(spark, sf_dir):
-    return _asks(spark, sf_dir).select("conv_id", "turn", prompts.compiled(F.col("ask"), F.lit(5), F.lit("anchor.png")).alias("compiled"))
+    return spread(_asks(spark, sf_dir)).select("conv_id", "turn", prompts.compiled(F.col("ask"), F.lit(5), F.lit("anchor.png")).alias("compiled"))
 
 
 def _frames(spark, sf_dir) -> DataFrame:

@@ -11,6 +11,7 @@ from ..operators import files as ops
 from ..operators import format as shape
 from ..schema import PackOptions, format_name
 from ..sources.repo_tree import git_status, read_tree
+from ..staging import spread
 
 
 def _renamed(path: Column, extension: str) -> Column:
@@ -49,7 +50,8 @@ def packed_files(files: DataFrame, options: PackOptions | None = None, changed:
     """The files of a pack, from a FILE relation with text content."""
     options = options or PackOptions()
     own = ops.changed_only(files, changed) if changed is not None else files
-    own = transformed(own.filter(ops.path_filter(options)).filter(ops.size_filter(options)), options)
+    own = own.filter(ops.path_filter(options)).filter(ops.size_filter(options))
+    own = transformed(spread(own) if options.budget is not None else own, options)
     count = lambda c: tokens.counted(c, options.token_profile, options.encoder)
     if options.count_tokens and options.budget is None:
         own = own.withColumn("token_count", count(F.col("content")))

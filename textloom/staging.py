@@ -41,7 +41,25 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def clear(spark: SparkSession, keep: set[str] | frozenset[str] = frozenset()) -> int:
+def spread(df: DataFrame) -> DataFrame:
+    """A plain scan that Spark reads in fewer tasks than there are cores, dealt over all cores; anything else as it is.
+
+    Files of a single row group can't be split, and costly work on their rows would keep one core busy.
+    Large tables have more splits than cores and are never moved.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if df.isStreaming or any(word in plan for word in ("Join", "Aggregate", "Sort", "Window", "Repartition", "Distinct", "LocalRelation", "LogicalRDD")):
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+
+
+def held() -> frozenset[str]:
+    """What this process has written here and not deleted."""
+    return frozenset(_made)
+
+
+def clear(spark: SparkSession, keep: frozenset[str] = frozenset()) -> int:
     """Delete what this process has written here, but for `keep`; once results derived from it are stored."""
     conf = spark._jsc.hadoopConfiguration()
     gone = [name for name in _made if name not in keep]
