@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .automaton import SuffixAutomaton
-from .scratch import staged
+from .scratch import spread, staged
 
 #: ASCII that is no digit and no letter becomes a space, A-Z become a-z; other bytes stay.
 TABLE = bytes(c if c >= 128 or chr(c).isdigit() or chr(c).islower() else c + 32 if chr(c).isupper() else 32 for c in range(256))
@@ -131,7 +131,7 @@ def _keyed_hits(docs: DataFrame, benchmark: DataFrame, window: int, block_words:
     blocks = item_blocks(benchmark, block_words, window)
     first, second = next(blocks, {}), next(blocks, None)
     if second is None:
-        return _pass(docs.select(F.col("doc_id").cast("long").alias("row_key"), F.col(text_col).alias("text")), SuffixAutomaton(first, window)), None
+        return _pass(spread(docs.select(F.col("doc_id").cast("long").alias("row_key"), F.col(text_col).alias("text"))), SuffixAutomaton(first, window)), None
     rows = staged(docs.withColumn(KEY, F.monotonically_increasing_id()), "keyed")
     return _several(rows.select(F.col(KEY).alias("row_key"), F.col(text_col).alias("text")), chain([first, second], blocks), window), rows
 
@@ -216,7 +216,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, longest: int | None =
                     texts.append(new if longest is not None else None)
                 yield kept(batch, texts, keep)
 
-        return docs.mapInArrow(run, docs.schema)
+        return spread(docs).mapInArrow(run, docs.schema)
 
     rows = staged(docs.withColumn(KEY, F.monotonically_increasing_id()), "keyed")
     hits = _several(rows.select(F.col(KEY).alias("row_key"), "text"), chain([first, second], blocks), window)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .html_tree import Page, parse
-from .scratch import staged
+from .scratch import spread, staged
 
 #: Least share of a host's pages that vote for a path, show a proposed element's path, or repeat a block of links.
 LEAST, SLOT, REPEATED = 0.02, 0.5, 0.2
@@ -176,7 +176,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
     a row each. An empty table gives an empty result. Other columns are not read.
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", "^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.lit(""))
-    own = pages.select("page_id", "url", "html", host.alias("host"))
+    own = spread(pages.select("page_id", "url", "html", host.alias("host")))
     agreed = staged(host_paths(own), "host-paths")
     n_bytes = agreed.agg(F.sum(F.octet_length("host") + 16 + 8 * (F.size(F.coalesce("slots", F.array())) + F.size(F.coalesce("repeated", F.array()))) + F.octet_length(F.array_join(F.coalesce("paths", F.array()), ">>>>")))).first()[0]
     if (n_bytes or 0) <= BROADCAST_BYTES:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import staged
+from .scratch import spread, staged
 
 BUCKETS = 10_000
 #: Target rows the target model is fitted on, lowest hash of doc_id first.
@@ -100,7 +100,7 @@ def log_ratio(docs: DataFrame, target_ids: list[int], text_col: str = "text") ->
             n = pa.array([len(g) for g in grams], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), n, pa.array([float(ratio.value[g].sum()) for g in grams], pa.float64())], names=["doc_id", "n_grams", "log_weight"])
 
-    return own.mapInArrow(run, "doc_id long, n_grams long, log_weight double")
+    return spread(own).mapInArrow(run, "doc_id long, n_grams long, log_weight double")
 
 
 def kth_largest(rows: DataFrame, key: str, k: int) -> float:

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import spread
+
 BITS = 15
 BUCKETS = 2 << BITS
 #: Expected number of labelled rows, of each language, that the model is fitted on.
@@ -168,7 +170,7 @@ def languages(docs: DataFrame, model: LanguageModel, text_col: str = "text") ->
             shares = [[{"lang": a, "share": b} for a, b in s] for s in shares]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, k) for x, k in zip((lang, score, shares), kinds, strict=True))], names=["doc_id", "lang_pred", "score", "shares"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, shares array<struct<lang:string,share:double>>")
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(run, "doc_id long, lang_pred string, score double, shares array<struct<lang:string,share:double>>")
 
 
 def with_language(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] | None = None) -> DataFrame:
@@ -185,7 +187,7 @@ def with_language(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] |
             named = batch.set_column(to, batch.schema.field(to), pa.array(langs, batch.schema.field(to).type))
             yield named.filter(pa.array([x != UNKNOWN and (keep is None or x in keep) for x in langs], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return spread(docs).mapInArrow(run, docs.schema)
 
 
 def learnable(folds: int = 4, held_out: int = 2) -> Column:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .encode import encoder
-from .scratch import staged
+from .scratch import spread, staged
 
 SIZE = 4096
 #: Pieces of a shard, on average.
@@ -90,7 +90,7 @@ def encoded_pieces(docs: DataFrame, vocabulary: str, end_id: int = 1, size: int
         if cols[0]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, schema, strict=True)], schema=schema)
 
-    return own.mapInArrow(run, "doc_id long, copy_key long, piece int, start long, length long, ids binary")
+    return spread(own).mapInArrow(run, "doc_id long, copy_key long, piece int, start long, length long, ids binary")
 
 
 def placed(pieces: DataFrame, size: int = SIZE, shard: int = SHARD) -> DataFrame:

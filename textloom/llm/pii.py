@@ -20,6 +20,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import spread
+
 # Fixed patterns of the contract, made linear.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
@@ -165,7 +167,7 @@ def _with_spans(docs: DataFrame, text_col: str) -> DataFrame:
     some = F.regexp_like(text, F.lit("[0-9]"))
     gates = {"email": (EMAIL, F.contains(text, F.lit("@"))), "ip": (IP, some), "card": (CARD, some), "phone": (PHONE, F.contains(text, F.lit("+")) & some), "iban": (IBAN, some), "ssn": (SSN, some & F.contains(text, F.lit("-")))}
     gates |= {"nir": (NIR, some), "dni": (DNI, F.regexp_like(text, F.lit("[0-9]{8}-?[A-Z]"))), "tel": (TEL, F.contains(text, F.lit("0"))), "secret": (SECRET, F.regexp_like(text, F.lit("[0-9a-fA-F]{32}|AKIA|gh[pousr]_|github_pat_|sk-")))}
-    base = docs.select("doc_id", F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    base = spread(docs.select("doc_id", text_col)).select("doc_id", F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return base.select("doc_id", "text", F.concat(*[_spans(text, k, *gates[k]) for k in KINDS]).alias("spans"))
 
 

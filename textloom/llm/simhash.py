@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import staged
+from .scratch import spread, staged
 from .survivors import text_key, without
 
 RADIUS = 3
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", with_key: bool = False
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), *batch.columns[2:]], names=["doc_id", "fp", "text_key"][: len(batch.columns)])
 
     key = [text_key(F.col(text_col)).alias("text_key")] * with_key
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text"), *key).mapInArrow(run, "doc_id long, fp long" + ", text_key string" * with_key)
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text"), *key)).mapInArrow(run, "doc_id long, fp long" + ", text_key string" * with_key)
 
 
 def local_components(fps: np.ndarray, radius: int) -> np.ndarray:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .encode import encoder, id_width
-from .scratch import new_path
+from .scratch import new_path, spread
 
 # Fixed values of the seekable format: magic numbers and the flag for checksums.
 SKIPPABLE, SEEK_MAGIC, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -214,7 +214,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, root: str,
         if rows:
             yield made()
 
-    ranged = own.mapInArrow(encode, "range_no int, doc_id long, ids binary").repartitionById(len(bounds) + 1, F.col("range_no")).sortWithinPartitions("range_no", "doc_id", "ids")
+    ranged = spread(own).mapInArrow(encode, "range_no int, doc_id long, ids binary").repartitionById(len(bounds) + 1, F.col("range_no")).sortWithinPartitions("range_no", "doc_id", "ids")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import staged
+from .scratch import spread, staged
 
 #: Labelled documents of each class that are read for fitting, lowest hash of doc_id first; each is read whole.
 SAMPLE = 3000
@@ -164,7 +164,7 @@ def kernel(strings: list[bytes], landmarks: list[bytes]) -> np.ndarray:
     return out
 
 
-def spread(strings: list[bytes], most: int) -> list[int]:
+def unlike(strings: list[bytes], most: int) -> list[int]:
     """Places of up to `most` strings, in order, leaving out those too like one taken before."""
     like = np.hstack([kernel(strings, strings[a : a + 80]) for a in range(0, len(strings), 80)]) if strings else np.empty((0, 0))
     own = np.sqrt(np.maximum(np.diag(like), 1e-9))
@@ -363,10 +363,10 @@ def fit_words(known: list[bytes], counts: np.ndarray, total: np.ndarray) -> Toxi
     # landmarks: the most telling words of toxic sentences, and frequent clean ones
     pool = np.argsort(-odds * np.sqrt(n.sum(axis=1)), kind="stable")[: 3 * LANDMARKS]
     pool = pool[odds[pool] > 0.5]
-    telling = [int(pool[k]) for k in spread([words[k] for k in pool], LANDMARKS // 2)]
+    telling = [int(pool[k]) for k in unlike([words[k] for k in pool], LANDMARKS // 2)]
     taken = set(telling)
     common = [k for k in range(len(words)) if odds[k] < 0.5 and k not in taken][: 2 * LANDMARKS]
-    common = [common[k] for k in spread([words[k] for k in common], LANDMARKS - len(telling))]
+    common = [common[k] for k in unlike([words[k] for k in common], LANDMARKS - len(telling))]
     marks = [words[k] for k in [*telling, *common]]
     k_mm = kernel(marks, marks)
     value, vector = np.linalg.eigh((k_mm + k_mm.T) / 2)
@@ -427,7 +427,7 @@ def toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> D
                 out += [scorer.model.score(*t) for t in scorer.tops(batch.column(1).slice(a, 500).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(run, "doc_id long, score double")
 
 
 def learnable(folds: int = 3, held_out: int = 1) -> Column:
