@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm import decontaminate, exact_dedup, language, packing, simhash
 from textloom.llm.queries import table, vocabulary
-from textloom.llm.scratch import staged
+from textloom.llm.scratch import clear, held, staged
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -51,7 +51,10 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages; what a stage has written on its way is deleted once its result is stored."""
+    docs, before = table(spark, sf_dir, "documents"), held()
     for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), f"stage-{name}")
+        result, own = stage(spark, docs, sf_dir), held()
+        docs = staged(result, f"stage-{name}")
+        clear(spark, keep=before | (held() - own))
     return docs
