@@ -39,8 +39,8 @@ def pnpm(content: Column) -> Column:
     rows = F.filter(F.transform(X.lines(content), _trim), lambda s: F.endswith(s, F.lit(":")) & F.contains(s, F.lit("@")) & ~F.startswith(s, F.lit("#")))
 
     def key(s: Column) -> Column:
-        bare = F.regexp_replace(_trim(F.regexp_replace(s, ":+$", "")), "^'+|'+$", "")
-        bare = F.regexp_replace(F.regexp_replace(bare, '^"+|"+$', ""), "^/", "")
+        bare = F.regexp_replace(_trim(F.regexp_replace(s, "(?<!:):+$", "")), "^'+|(?<!')'+$", "")
+        bare = F.regexp_replace(F.regexp_replace(bare, '^"+|(?<!")"+$', ""), "^/", "")
         return _trim(F.regexp_replace(bare, r"\(.*$", ""))
 
     pair = r"(?s)^(.+)@([^@]*)$"

@@ -50,11 +50,15 @@ LIGHTING = (
 CAMERA_OR_LENS = list(dict.fromkeys([*CAMERA, *LENS]))
 ASCII_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
-FILLER = r"(?i)^(?:(?:" + "|".join(FILLERS) + r")[\s,:-]*)+"
+# Possessive groups run as loops: however often a phrase is repeated, the matcher's stack doesn't grow. The first phrase in list order counts.
+FILLER = r"(?i)^(?:(?:" + "|".join(FILLERS) + r")[\p{IsWhite_Space},:-]*+)++"
 SUFFIX = r"(?i)(?:, please\.|(?<!,) please\.|, thank you\.|(?<!,) thank you\.)$"
 MARKERS = r" [cC]ut to: | [cC]ut to |(?:[Ss]hot|[Ss]cene) (?:1[0-9]|20|[1-9]):"
 BREAKS = r"[\n;]|\.(?=\s|\z)"
-BLANK = r"(?U)^\s+|\s+$"
+# What is cut off at the end is tried from the start of a run only, so long runs inside a text cost no more than their length.
+BLANK = r"(?U)^\s+|(?<!\s)\s+$"
+DOTS = r"(?<!\.)\.+$"
+SIGN = r"[^\p{Alnum}\p{L}\p{N}]"
 
 
 def _trim(s: Column) -> Column:
@@ -68,14 +72,14 @@ def strip_fillers(text: Column) -> Column:
 
 def condense(shot: Column) -> Column:
     """Without stop words (punctuation around them ignored); white space becomes single spaces."""
-    words = F.filter(F.split(_trim(shot), r"(?U)\s+"), lambda w: ~F.translate(F.regexp_replace(w, r"^[^\p{Alnum}\p{L}\p{N}]+|[^\p{Alnum}\p{L}\p{N}]+$", ""), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").isin(*STOP_WORDS))
+    words = F.filter(F.split(_trim(shot), r"(?U)\s+"), lambda w: ~F.translate(F.regexp_replace(w, rf"^{SIGN}+|(?<!{SIGN}){SIGN}+$", ""), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").isin(*STOP_WORDS))
     return F.array_join(words, " ")
 
 
 def shots(cleaned: Column) -> Column:
     """Array of shots: cut at line feeds, semicolons, sentence ends and explicit markers, never inside decimals."""
     cut = F.split(F.regexp_replace(cleaned, MARKERS, "\n"), BREAKS, -1)
-    bare = F.filter(F.transform(cut, lambda s: _trim(F.regexp_replace(_trim(s), r"\.+$", ""))), lambda s: s != "")
+    bare = F.filter(F.transform(cut, lambda s: _trim(F.regexp_replace(_trim(s), DOTS, ""))), lambda s: s != "")
     return F.when(cleaned == "", F.array(F.lit("cinematic establishing shot"))).when(F.size(bare) == 0, F.array(cleaned)).otherwise(bare)
 
 

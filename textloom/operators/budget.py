@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths, tokens
 from ..staging import SMALL, staged
-from .order import last_spent, ranged
+from .order import last_spent, ranged, same_keys
 
 
 def _key(tok: Column, size: Column) -> Column:
@@ -35,7 +35,8 @@ def fit_budget(files: DataFrame, budget: int, outline: Column | None = None, fac
 
     `outline` is the outlined content, null where there is none; it reads the column `content`. `count` counts a text's tokens, by default
     the estimate times `factor`; a row's own token_count is taken where it has one. Null contents count as empty. A repository
-    within its budget stays as it is. Rows that repeat a path, tokens and size are decided alike. An empty relation gives an empty result.
+    within its budget stays as it is. Rows that repeat a path, tokens and size are decided alike. Rows without a repository are
+    one repository. An empty relation gives an empty result.
     """
     size_of = lambda c: F.octet_length(c).cast("bigint")
     count = count or (lambda c: tokens.scaled(tokens.estimate(c), factor))
@@ -56,22 +57,22 @@ def fit_budget(files: DataFrame, budget: int, outline: Column | None = None, fac
     need = lambda total: totals.select(repo, (total - budget).alias("need"))
     cut_1 = None
     if outline is not None and not totals.isEmpty():
-        over = outlined_in(own.join(_lookup(totals.select(repo)), repo), F.lit(True))
+        over = outlined_in(same_keys(own, _lookup(totals.select(repo)), [repo]), F.lit(True))
         savings = ranged(over.select(repo, "tier", "path_parts", "key_0", "tok_0", "saving", size_of("outline_text").alias("size_o")), repo, F.col("key_0").desc(), "outline-keys")
         cut_1 = staged(last_spent(savings, repo, "key_0", "saving", need(F.col("total_0"))).withColumnRenamed("cut", "cut_1"), "outline-cuts")
         taken = (F.col("saving") > 0) & F.coalesce(F.col("key_0") >= F.col("cut_1"), F.lit(False))
-        after = savings.drop("range_no").join(_lookup(cut_1), repo, "left").withColumn("taken", taken)
+        after = same_keys(savings.drop("range_no"), _lookup(cut_1), [repo], "left").withColumn("taken", taken)
         after = after.withColumn("tok_1", F.col("tok_0") - F.when(F.col("taken"), F.col("saving")).otherwise(F.lit(0)))
         after = after.select(repo, _key(F.col("tok_1"), F.when(F.col("taken"), F.col("size_o")).otherwise(F.col("key_0.size"))).alias("key_1"))
         second = ranged(after, repo, F.col("key_1").desc(), "fitted-keys")
     else:
-        second = ranged(first.join(_lookup(totals.select(repo)), repo).withColumnRenamed("key_0", "key_1"), repo, F.col("key_1").desc(), "budget-keys", stored=True)
+        second = ranged(same_keys(first, _lookup(totals.select(repo)), [repo]).withColumnRenamed("key_0", "key_1"), repo, F.col("key_1").desc(), "budget-keys", stored=True)
     second = second.withColumn("tok_1", F.col("key_1.tok"))
     left = second.groupBy(repo).agg((F.sum("tok_1") - budget).alias("need"))
     cut_2 = last_spent(second, repo, "key_1", "tok_1", left).withColumnRenamed("cut", "cut_2")
-    cuts = totals.select(repo).join(cut_2, repo, "left")
-    cuts = staged(cuts.join(cut_1, repo, "left") if cut_1 is not None else cuts.withColumn("cut_1", F.lit(None).cast(own.schema["key_0"].dataType)), "cuts")
-    decided = own.join(_lookup(cuts), repo, "left")
+    cuts = same_keys(totals.select(repo), cut_2, [repo], "left")
+    cuts = staged(same_keys(cuts, cut_1, [repo], "left") if cut_1 is not None else cuts.withColumn("cut_1", F.lit(None).cast(own.schema["key_0"].dataType)), "cuts")
+    decided = same_keys(own, _lookup(cuts), [repo], "left")
     if outline is not None:
         reached = F.coalesce(F.col("key_0") >= F.col("cut_1"), F.lit(False))
         fitted = outlined_in(decided.withColumn("reached", reached), F.col("reached")).withColumn("outlined", F.col("saving") > 0)

@@ -35,35 +35,40 @@ def tool_block(path: Column, content: Column, number: Column) -> Column:
     return F.concat(F.lit(CALL), number.cast("string"), tool_rest(path, content))
 
 
+#: Rows that repeat a path stand in this order.
+DIGEST = "__digest"
+
+
 def numbered(files: DataFrame, repo: str = "repo_id") -> DataFrame:
-    """Adds number: 1-based place in path order. Only paths are ordered; contents are joined to their numbers by path."""
-    return files.join(order.numbered(files, repo, "path_parts"), [repo, "path_parts"])
+    """Adds number: the 1-based place of each row in path order; rows that repeat a path follow one another by their contents' digests."""
+    content = F.md5(F.coalesce(F.col("content"), F.lit(""))) if "content" in files.columns else F.lit("")
+    return order.numbered(files.withColumn(DIGEST, content), repo, ["path_parts", DIGEST], "numbered").drop(DIGEST)
+
+
+def block_of(kind: str) -> Column:
+    """A file's block; for tool calls the part behind the number."""
+    path, content = F.col("path"), F.col("content")
+    if kind == "tool-call":
+        return tool_rest(path, content)
+    return xml_block(path, content, F.coalesce(F.col("is_outlined"), F.lit(False))) if kind == "xml" else markdown_block(path, content)
 
 
 def blocks(files: DataFrame, kind: str = "xml", repo: str = "repo_id") -> DataFrame:
-    """(repo, path, path_parts, block): the scalable form; a repository too large for one text can be written block by block."""
-    outlined = F.coalesce(F.col("is_outlined"), F.lit(False))
+    """(repo, path, path_parts, block), a row per file; `operators.parts` writes repositories too large for one text."""
     if kind == "tool-call":
-        files = numbered(files, repo)
-        block = tool_block(F.col("path"), F.col("content"), F.col("number"))
-    else:
-        block = xml_block(F.col("path"), F.col("content"), outlined) if kind == "xml" else markdown_block(F.col("path"), F.col("content"))
-    return files.select(repo, "path", "path_parts", block.alias("block"))
+        return numbered(files, repo).select(repo, "path", "path_parts", tool_block(F.col("path"), F.col("content"), F.col("number")).alias("block"))
+    return files.select(repo, "path", "path_parts", block_of(kind).alias("block"))
 
 
 def documents(files: DataFrame, kind: str = "xml", repo: str = "repo_id", repos: DataFrame | None = None) -> DataFrame:
     """(repo, document): one text per repository, blocks in path order behind the drawn tree.
 
     One aggregation gathers paths and blocks; the tree is drawn from the same rows. A text is one
-    row, so a repository must fit a row (2 GB); beyond that use `blocks`. Repositories listed in
+    row, so a repository must fit a row (2 GB); beyond that use `operators.parts`. Repositories listed in
     `repos` that have no file get the empty pack; others have no row.
     """
-    path, content = F.col("path"), F.col("content")
-    if kind == "tool-call":
-        block = tool_rest(path, content)
-    else:
-        block = xml_block(path, content, F.coalesce(F.col("is_outlined"), F.lit(False))) if kind == "xml" else markdown_block(path, content)
-    rows = F.array_sort(F.collect_list(F.struct("path_parts", "path", block.alias("block"))))
+    digest = F.md5(F.coalesce(F.col("content"), F.lit(""))).alias("digest")
+    rows = F.array_sort(F.collect_list(F.struct("path_parts", digest, "path", block_of(kind).alias("block"))))
     gathered = files.groupBy(repo).agg(rows.alias("rows"))
     if kind == "tool-call":
         calls = F.transform("rows", lambda x, i: F.concat(F.lit(CALL), (i + 1).cast("string"), x["block"]))  # a number is a place in path order
@@ -75,7 +80,7 @@ def documents(files: DataFrame, kind: str = "xml", repo: str = "repo_id", repos:
         packs = drawn.select(repo, F.concat(F.lit(before), "tree", F.lit(after), "body").alias("document"))
     if repos is None:
         return packs
-    return repos.select(repo).distinct().join(packs, repo, "left").select(repo, F.coalesce("document", F.lit(EMPTY[kind])).alias("document"))
+    return order.same_keys(repos.select(repo).distinct(), packs, [repo], "left").select(repo, F.coalesce("document", F.lit(EMPTY[kind])).alias("document"))
 
 
 #: Packs without a file.

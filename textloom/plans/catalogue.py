@@ -94,7 +94,7 @@ def compression_tier(spark, sf_dir):
 
 
 def path_order(spark, sf_dir):
-    return shape.numbered(file_view(spark, sf_dir)).select("repo_id", "path", F.col("number").cast("bigint").alias("number"))
+    return shape.numbered(file_view(spark, sf_dir).select("repo_id", "path", "path_parts")).select("repo_id", "path", F.col("number").cast("bigint").alias("number"))
 
 
 def changed_semi_join(spark, sf_dir):
@@ -503,7 +503,7 @@ def fuzzy_filter(spark, sf_dir):
 
 
 def fuzzy_best(spark, sf_dir):
-    return selection.best_match(file_view(spark, sf_dir), "doc rs").select("repo_id", "path", F.round("score", 4).alias("score"))
+    return selection.best_match(file_view(spark, sf_dir), "doc rs").select("repo_id", "path", "score")
 
 
 def number_formats(spark, sf_dir):

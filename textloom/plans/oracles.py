@@ -220,9 +220,18 @@ SQL["pack_budget"] = f"""WITH RECURSIVE ids0 AS ({IDS.removeprefix("ids AS (").r
     {fitted("sized", None)}, kept AS (SELECT source, path, parts, size, tok, text FROM p3 WHERE kept), {LINES.replace("FROM named", "FROM kept")},
     docs AS (SELECT source, '<repository_structure>' || chr(10) || max(tree) || '</repository_structure>' || chr(10) || chr(10) || string_agg({XML}, chr(10) ORDER BY parts) AS document FROM kept JOIN trees USING (source) GROUP BY source)
     SELECT source AS repo_id, md5(document) AS document_md5, length(document) AS n_chars FROM docs"""
-SQL["fuzzy_best"] = f"""{FILES}, h AS (SELECT source, path, parts, -length(path) / 100.0 + CASE WHEN contains(lower(path), 'doc') THEN 2 ELSE 0 END + CASE WHEN contains('/' || lower(path), '/doc') THEN 1 ELSE 0 END + CASE WHEN contains(lower(path), 'rs') THEN 2 ELSE 0 END + CASE WHEN contains('/' || lower(path), '/rs') THEN 1 ELSE 0 END AS score
-    FROM named WHERE regexp_matches(lower(path), 'd.*o.*c') AND regexp_matches(lower(path), 'r.*s')), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY round(score, 6) DESC, parts) AS k FROM h)
-    SELECT source AS repo_id, path, CAST(round(score, 4) AS DOUBLE) AS score FROM r WHERE k = 1"""
+def alignment(term: str) -> str:
+    """CTEs of the best alignment of a term in `chars` (source, path, i, c, bonus): a join of the places of each letter with those of the letter before."""
+    out = [f"{term}_0 AS (SELECT path, i, 16 + bonus AS s FROM chars WHERE c = '{term[0]}')"]
+    for k in range(1, len(term)):
+        out.append(f"{term}_{k} AS (SELECT b.path, b.i, max(a.s + CASE WHEN b.i = a.i + 1 THEN 6 ELSE -4 - (b.i - a.i - 2) END) + 16 + any_value(b.bonus) AS s FROM {term}_{k - 1} a JOIN chars b ON a.path = b.path AND a.i < b.i WHERE b.c = '{term[k]}' GROUP BY b.path, b.i)")
+    return ", ".join([*out, f"{term}_best AS (SELECT path, max(s) AS s FROM {term}_{len(term) - 1} GROUP BY path)"])
+
+
+SQL["fuzzy_best"] = f"""{FILES}, ps AS (SELECT DISTINCT path FROM named), chars AS (SELECT path, i, lower(path[i]) AS c, CASE WHEN i = 1 OR regexp_matches(path[i - 1], '[/_. -]') THEN 10 WHEN regexp_matches(path[i - 1:i], '[a-z][A-Z]') THEN 8 ELSE 0 END AS bonus FROM (SELECT path, unnest(range(1, length(path) + 1)) AS i FROM ps)),
+    {alignment("doc")}, {alignment("rs")}, h AS (SELECT source, path, parts, CAST(doc_best.s + rs_best.s AS INTEGER) AS score FROM named JOIN doc_best USING (path) JOIN rs_best USING (path))
+    SELECT source AS repo_id, path, score FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, parts) AS k FROM h) WHERE k = 1"""
+
 #: Whole texts as function bodies, and the outline that is left of them.
 CODE = f"""src0 AS ({IDS.removeprefix("ids AS (").removesuffix(")")}), src AS (SELECT *, regexp_extract(string_split(path, '/')[-1], '^.+\\.([^.]*)$', 1) AS ext FROM src0),
     src1 AS (SELECT * EXCLUDE (ext), {HINT} AS hint FROM src), ids AS (SELECT doc_id, source, lang, path,
