@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_text, importance, language, packing, pii, simhash, token_file, toxicity
+from . import clustering, decontaminate, dictionary, exact_dedup, html_text, importance, language, mixing, packing, pii, simhash, token_file, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,9 +86,21 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.clustered(table(spark, sf_dir, "embeddings"))
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dictionary.drawn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query per operator, over whole tables."""
-    return {f.__name__: f for f in (op1_decontaminate, op2_token_files, op3_toxicity, op4_personal_data, op5_main_text, op6_importance, op7_pack, op8_exact_dedup, op9_language, op10_simhash)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_token_files, op3_toxicity, op4_personal_data, op5_main_text, op6_importance, op7_pack, op8_exact_dedup, op9_language, op10_simhash, op11_clusters, op12_resample, op13_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
