@@ -10,7 +10,7 @@ from textloom.llm.oracles import SQL
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_equals_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for table in ("documents", "benchmark"):
+    for table in ("documents", "benchmark", "embeddings"):
         con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
     want = con.sql(SQL[name])
     mine = queries.queries()[name](spark, sf_dir)
