@@ -32,7 +32,7 @@ from .scratch import spread, staged
 
 BUCKETS = 10_000
 #: Bytes of the texts of a chunk; a longer text is a chunk of its own.
-CHUNK_BYTES = 24_000_000
+CHUNK_BYTES = 14_000_000
 #: Percent of the documents of at least LEAST words that are drawn.
 PERCENT, LEAST = 25, 20
 SEED = 7
@@ -107,8 +107,11 @@ def in_order(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """
     bits = max(1, len(values)).bit_length()
     if int(values.max(initial=0)).bit_length() + bits < 63:
-        both = np.sort(values << bits | np.arange(len(values)))
-        order, values = both & ((1 << bits) - 1), both >> bits
+        values = values << bits
+        values += np.arange(len(values))
+        values.sort()
+        order = values & ((1 << bits) - 1)
+        values >>= bits
     else:
         order = np.argsort(values, kind="stable")
         values = values[order]
@@ -128,11 +131,14 @@ def chunk_pieces(chunk: int, keys: list[int | None], texts: list[bytes], parts:
     place = np.empty(len(order), dtype=np.int64)
     place[order] = np.arange(len(order))
     ids = place[coded.indices.to_numpy(zero_copy_only=False)] if len(order) else np.empty(0, np.int64)
-    doc = np.repeat(np.arange(len(texts)), sizes)
+    del words, coded
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
     pair = np.flatnonzero(doc[1:] == doc[:-1])
+    doc = np.concatenate((doc, doc[pair]))
     width = len(order) + 1
-    codes = np.concatenate((ids * width, ids[pair] * width + ids[pair + 1] + 1))  # left word, right word plus one (none: 0)
-    order, codes, first = in_order(codes)
+    order, codes, first = in_order(np.concatenate((ids * width, ids[pair] * width + ids[pair + 1] + 1)))  # left word, right word plus one (none: 0)
+    doc = doc[order]
+    del ids, pair, order
     counts = np.diff(np.append(first, len(codes)))
     left, right = np.divmod(codes[first], width)
     right -= 1
@@ -151,7 +157,8 @@ def chunk_pieces(chunk: int, keys: list[int | None], texts: list[bytes], parts:
             yield kind, chunk, p, zstandard.compress(memoryview(lines.buffers()[2])[begin:stop], LEVEL), packed(counts[a:b])
     if kind == RAW:
         # ids, whether there is one, words and distinct features by document; then its feature numbers as steps from one to the next
-        cells = np.sort(np.concatenate((doc, doc[pair]))[order] * max(1, len(first)) + np.repeat(local, np.diff(np.append(first, len(codes)))))
+        cells = doc.astype(np.int64) * max(1, len(first)) + np.repeat(local, np.diff(np.append(first, len(codes))))
+        cells.sort()
         begin = np.flatnonzero(np.append(True, cells[1:] != cells[:-1])[: len(cells)])
         n = np.diff(np.append(begin, len(cells)))
         whose, feature = np.divmod(cells[begin], max(1, len(first)))
