@@ -32,12 +32,14 @@ from .scratch import spread, staged
 
 BUCKETS = 10_000
 #: Bytes of the texts of a chunk; a longer text is a chunk of its own.
-CHUNK_BYTES = 14_000_000
+CHUNK_BYTES = 12_000_000
 #: Percent of the documents of at least LEAST words that are drawn.
 PERCENT, LEAST = 25, 20
 SEED = 7
+#: Strings that are hashed at a time.
+SLICE = 50_000
 #: Compression of the strings.
-LEVEL = 3
+LEVEL = 6
 #: Kinds of a chunk's rows: features of raw text, features of target text, counts of documents.
 RAW, TARGET, DOCUMENTS = 0, 1, 2
 
@@ -89,6 +91,7 @@ def split_words(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
     begins[first] = inside[first]  # a text begins anew, whatever stands before it
     at, held = np.flatnonzero(begins), np.cumsum(inside, dtype=np.int32 if len(raw) < 1 << 31 else np.int64)
     offsets = np.append(held[at] - 1, held[-1:])
+    del held, begins
     words = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets.astype("<i8")), pa.py_buffer(raw[inside])]) if len(at) else pa.array([], pa.large_binary())
     return words, np.diff(np.searchsorted(at, np.append(0, ends)))
 
@@ -101,16 +104,16 @@ def _dealt(words: list[bytes], left: np.ndarray, right: np.ndarray, parts: int)
 
 
 def in_order(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the values in ascending order, the values so ordered, and where each distinct one begins.
+    """Places of the values in ascending order, the values so ordered (in their own memory), and where each distinct one begins.
 
     Value and place fit one number unless both are large; sorting these is several times faster than sorting places.
     """
     bits = max(1, len(values)).bit_length()
     if int(values.max(initial=0)).bit_length() + bits < 63:
-        values = values << bits
-        values += np.arange(len(values))
+        values <<= bits
+        values += np.arange(len(values), dtype=np.int32 if bits < 32 else np.int64)
         values.sort()
-        order = values & ((1 << bits) - 1)
+        order = (values & ((1 << bits) - 1)).astype(np.int32 if bits < 32 else np.int64)
         values >>= bits
     else:
         order = np.argsort(values, kind="stable")
@@ -136,17 +139,26 @@ def chunk_pieces(chunk: int, keys: list[int | None], texts: list[bytes], parts:
     pair = np.flatnonzero(doc[1:] == doc[:-1])
     doc = np.concatenate((doc, doc[pair]))
     width = len(order) + 1
-    order, codes, first = in_order(np.concatenate((ids * width, ids[pair] * width + ids[pair + 1] + 1)))  # left word, right word plus one (none: 0)
+    codes = np.empty(len(doc), dtype=np.int64)  # left word, right word plus one (none: 0)
+    np.multiply(ids, width, out=codes[: len(ids)])
+    codes[len(ids) :] = codes[pair]
+    codes[len(ids) :] += ids[pair + 1]
+    codes[len(ids) :] += 1
+    del ids, pair
+    order, codes, first = in_order(codes)
     doc = doc[order]
-    del ids, pair, order
+    del order
     counts = np.diff(np.append(first, len(codes)))
     left, right = np.divmod(codes[first], width)
     right -= 1
+    del codes
     part = _dealt(names.to_pylist(), left, right, parts)
     by_part = np.argsort(part.astype(np.uint16) if parts < 1 << 16 else part, kind="stable")
-    local = np.empty(len(first), dtype=np.int64)
-    local[by_part] = np.arange(len(first))
+    local = np.empty(len(first), dtype=np.int32)
+    local[by_part] = np.arange(len(first), dtype=np.int32)
+    number = np.repeat(local, counts) if kind == RAW else local
     counts = counts[by_part]
+    del local
     end = pa.scalar(b"\n", pa.large_binary())
     for p, (a, b) in enumerate(pairwise(np.searchsorted(part[by_part], np.arange(parts + 1)).tolist())):
         if b > a:
@@ -157,17 +169,23 @@ def chunk_pieces(chunk: int, keys: list[int | None], texts: list[bytes], parts:
             yield kind, chunk, p, zstandard.compress(memoryview(lines.buffers()[2])[begin:stop], LEVEL), packed(counts[a:b])
     if kind == RAW:
         # ids, whether there is one, words and distinct features by document; then its feature numbers as steps from one to the next
-        cells = doc.astype(np.int64) * max(1, len(first)) + np.repeat(local, np.diff(np.append(first, len(codes))))
+        del left, right, part, by_part
+        cells = doc.astype(np.int64)
+        cells *= max(1, len(first))
+        cells += number
+        del doc, number
         cells.sort()
         begin = np.flatnonzero(np.append(True, cells[1:] != cells[:-1])[: len(cells)])
         n = np.diff(np.append(begin, len(cells)))
         whose, feature = np.divmod(cells[begin], max(1, len(first)))
+        del cells, begin
         held = np.bincount(whose, minlength=len(texts))
         steps = np.diff(feature, prepend=0)
         starts = (np.cumsum(held) - held)[held > 0]
         steps[starts] = feature[starts]
         head = np.concatenate(([k or 0 for k in keys], [k is not None for k in keys], sizes, held)).astype(np.int64)
         yield DOCUMENTS, chunk, -1 - chunk, packed(np.concatenate(([len(texts)], head, steps))), packed(n)
+    pa.default_memory_pool().release_unused()
 
 
 def pieces(docs: DataFrame, parts: int, kind: int, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -203,14 +221,17 @@ def count_part(group: pa.Table) -> pa.Table:
     rows = group.to_pylist()
     if rows[0]["kind"] == DOCUMENTS:
         return group
-    bodies = [np.frombuffer(zstandard.decompress(r["body"]), np.uint8) for r in rows]
-    sizes = [int((b == 10).sum()) for b in bodies]
-    data = np.concatenate(bodies)
+    data = np.frombuffer(b"".join([zstandard.decompress(r["body"]) for r in rows]), np.uint8)
+    sizes = [len(unpacked(r["counts"])) for r in rows]
     stops = np.flatnonzero(data == 10)
     offsets = np.append(0, stops - np.arange(len(stops)))
     every = pa.Array.from_buffers(pa.large_binary(), len(stops), [None, pa.py_buffer(offsets.astype("<i8")), pa.py_buffer(data[data != 10])]).dictionary_encode()
-    hashed = np.fromiter(map(zlib.crc32, every.dictionary.to_pylist()), dtype=np.int64, count=len(every.dictionary)) % BUCKETS
+    del data, stops, offsets
+    hashed = np.empty(len(every.dictionary), dtype=np.uint16)
+    for a in range(0, len(hashed), SLICE):
+        hashed[a : a + SLICE] = [zlib.crc32(s) % BUCKETS for s in every.dictionary.slice(a, SLICE).to_pylist()]
     own = hashed[every.indices.to_numpy(zero_copy_only=False)]
+    del every
     sums = np.zeros((2, BUCKETS), dtype=np.int64)
     out: list[tuple] = []
     for r, mine in zip(rows, np.split(own, np.cumsum(sizes)[:-1]), strict=True):
@@ -218,6 +239,7 @@ def count_part(group: pa.Table) -> pa.Table:
         if r["kind"] == RAW:
             out.append((RAW, r["chunk"], r["part"], packed(mine), b""))
     out.append((TARGET, -1 - rows[0]["part"], rows[0]["part"], packed(sums.ravel()), b""))
+    pa.default_memory_pool().release_unused()
     return _table(out, PIECE)
 
 
