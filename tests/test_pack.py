@@ -13,7 +13,8 @@ from textloom.operators import budget, files, selection, tree
 from textloom.operators import format as shape
 from textloom.plans import pack
 from textloom.schema import FILE, PackOptions
-from textloom.sources.ignore import Rules, pattern_regex
+from textloom.sources.ignore import OWN, Rule, Rules, pattern_of
+from textloom.sources.listing import Walk, start, walk
 from textloom.sources.repo_tree import read_tree
 
 
@@ -82,23 +83,22 @@ def test_git_lines(spark):
 
 
 def test_ignore_rules():
-    rules = Rules(tuple(("", *pattern_regex(p)) for p in ["*.log", "!keep.log", "/top", "dir/", "a/**/z", "b/*.c"]))
+    rules = Rules(tuple(Rule(OWN, "", *pattern_of(p)) for p in ["*.log", "!keep.log", "/top", "dir/", "a/**/z", "b/*.c"]))
     hit = [("x/y.log", False), ("top", False), ("q/dir", True), ("a/z", False), ("a/m/n/z", False), ("b/k.c", False)]
     miss = [("keep.log", False), ("q/top", False), ("q/dir", False), ("b/k/l.c", False), ("c", False)]
     assert all(rules.ignored(*x) for x in hit) and not any(rules.ignored(*x) for x in miss)
-    assert pattern_regex("# c") is None and pattern_regex("") is None
+    assert pattern_of("# c") is None and pattern_of("") is None
 
 
 def test_ignore_files_from_above(tmp_path):
-    from textloom.sources.repo_tree import walk
-
     for path, body in {".git/info/exclude": "secret*\n", ".gitignore": "*.log\n/sub/top\n", "sub/.gitignore": "!keep.log\nlocal\n", "sub/a.log": "", "sub/keep.log": "", "sub/top": "", "sub/deep/local": "", "sub/secret1": "", "sub/x.py": ""}.items():
         f = tmp_path / path
         f.parent.mkdir(parents=True, exist_ok=True)
         f.write_text(body)
-    assert sorted(p for p, _ in walk(str(tmp_path / "sub"))) == ["keep.log", "x.py"]
-    assert sorted(p for p, _ in walk(str(tmp_path / "sub"), gitignore=False)) == ["a.log", "deep/local", "keep.log", "secret1", "top", "x.py"]
-    assert sorted(p for p, _ in walk(str(tmp_path))) == ["sub/keep.log", "sub/x.py"]
+    plain = Walk(gitignore=False)
+    assert sorted(p for p, _ in walk([start(str(tmp_path / "sub"), Walk())], Walk())) == ["keep.log", "x.py"]
+    assert sorted(p for p, _ in walk([start(str(tmp_path / "sub"), plain)], plain)) == ["a.log", "deep/local", "keep.log", "secret1", "top", "x.py"]
+    assert sorted(p for p, _ in walk([start(str(tmp_path), Walk())], Walk())) == ["sub/keep.log", "sub/x.py"]
 
 
 def test_tree_text(spark):
@@ -261,9 +261,30 @@ def test_cli(spark, repo, capsys, tmp_path):
     assert out.read_text().count("<file path=") == 2 and "2 files (" in capsys.readouterr().err
     assert cli.main([str(repo), "-o", str(out), "-q", "--no-packignore", "-I", "ignored_dir/*"]) == 0 and "ignored_dir/a.rs" in out.read_text()
     assert cli.main([str(repo), "-I", "*.none"]) == 0 and "no files" in capsys.readouterr().err
+    assert cli.main([str(repo), "--parts", str(tmp_path / "parts"), "-I", "*.rs"]) == 0 and "2 files (" in capsys.readouterr().err
+    assert b"".join(f.read_bytes() for f in sorted((tmp_path / "parts" / "parts").rglob("*.txt"))).count(b"<file path=") == 2
+    assert cli.main([str(repo), "--parts", str(tmp_path / "none"), "-I", "*.none"]) == 0 and "no files" in capsys.readouterr().err
     assert cli.main(["--video-prompt", "show me a video of a fox"]) == 0 and "subject: a fox" in capsys.readouterr().out
 
 
+def test_cli_counts_on_the_way(spark, repo, monkeypatch, tmp_path, capsys):
+    """Files are read once: their counts come with the text."""
+    from textloom import cli
+    from textloom.sources import listing
+
+    opened = tmp_path / "opened"
+    opened.mkdir()
+
+    def noted(path):
+        with open(opened / path.replace("/", "|"), "a") as f:
+            f.write("x")
+        return listing._read(path)
+
+    monkeypatch.setattr(pack, "with_contents", lambda meta: listing.with_contents(meta, noted))
+    assert cli.main([str(repo), "-o", str(tmp_path / "p.xml"), "-I", "*.rs"]) == 0 and "2 files (" in capsys.readouterr().err
+    assert {f.name.rsplit("|", 1)[1]: f.read_text() for f in opened.iterdir()} == {"main.rs": "x", "b.rs": "x"}
+
+
 def test_plans_stay_narrow(spark, sf_dir):
     """Rules prune columns and don't shuffle; the change set is broadcast."""
     from textloom.plans import catalogue

@@ -5,12 +5,13 @@ from __future__ import annotations
 import argparse
 import sys
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from .functions import prompts
 from .functions.text import parse_budget, parse_size
 from .operators import format as shape
-from .operators import files as ops
+from .operators.parts import write_parts
 from .plans.pack import changed_files, packed_files, tree_files
 from .schema import PackOptions, format_name, profile_name
 from .session import session
@@ -23,6 +24,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("path", nargs="?", default=".")
     p.add_argument("-f", "--format", default="xml", type=format_name)
     p.add_argument("-o", "--output")
+    p.add_argument("--parts", help="a new folder for part files and their manifest, for packs of any size")
     p.add_argument("-t", "--tokens", action="store_true")
     p.add_argument("-p", "--token-profile", default="cl100k", type=profile_name)
     p.add_argument("--max-file-size", type=parse_size, default=1 << 20)
@@ -69,14 +71,23 @@ def main(argv: list[str] | None = None) -> int:
         if args.verbose:
             print(options, file=sys.stderr)
         changed = changed_files(spark, args.path, args.staged) if args.modified or args.staged else None
-        kept = packed_files(tree_files(spark, args.path, options, ignore_file="" if args.no_packignore else ".packignore", gitignore=not args.no_gitignore), options, changed).cache()
-        found = shape.documents(kept, args.format).select("document").head()
+        kept = packed_files(tree_files(spark, args.path, options, ignore_file="" if args.no_packignore else ".packignore", gitignore=not args.no_gitignore, changed=changed), options)
+        # the files are counted on their way into the text
+        seen = Observation("pack")
+        kept = kept.observe(seen, F.count(F.lit(1)).alias("file_count"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("total_bytes"), F.sum("token_count").alias("total_tokens"))
+        if args.parts:
+            found = write_parts(kept, args.parts, args.format).head()
+        else:
+            found = shape.documents(kept, args.format).select("document").head()
         if found is None:
             print("no files left to pack", file=sys.stderr)
             return 0
-        text = found[0]
-        stats = ops.summary(kept).select(shape.stats_line(F.col("file_count"), F.col("total_bytes"), F.col("total_tokens"))).first()[0]
-    if args.output:
+        text = None if args.parts else found[0]
+        counted = spark.createDataFrame([tuple(seen.get[c] for c in ("file_count", "total_bytes", "total_tokens"))], "n long, size long, tokens long")
+        stats = counted.select(shape.stats_line(F.col("n"), F.col("size"), F.col("tokens"))).first()[0]
+    if text is None:
+        pass
+    elif args.output:
         with open(args.output, "w", encoding="utf-8") as out:
             out.write(text)
     else:

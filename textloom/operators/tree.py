@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .order import before, ranged, same_keys
+
 
 def prefixes(parts: Column) -> Column:
     """All prefixes of a path, the whole one included."""
@@ -49,17 +51,22 @@ def tri_state(n: DataFrame) -> DataFrame:
 
 
 def flat(n: DataFrame, repo: str = "repo_id") -> DataFrame:
-    """Pre-order with directories before files: adds idx (from 0), subtree_end and parent (null at the top)."""
-    key = F.transform(F.col("node"), lambda name, i: F.struct((F.col("is_file") & (i == F.size("node") - 1)).alias("file"), name.alias("name")))
-    keyed = n.withColumn("key", key).withColumn("idx", F.row_number().over(Window.partitionBy(repo).orderBy("key")) - 1)
-    # a node's subtree has as many nodes as there are paths below it: count them by exploding prefixes again
+    """Pre-order with directories before files: adds idx (from 0), subtree_end and parent (null at the top).
+
+    A node's place is the sum of what stands before it and each of its ancestors among their siblings, and
+    one for each ancestor. Siblings are summed up in ranges, so neither a repository nor a directory is sorted by one task.
+    """
+    own = n.withColumn("up", F.slice("node", 1, F.col("depth") - 1))
+    # a node's subtree has as many nodes as there are paths below it: count them by exploding prefixes
     below = n.select(repo, F.explode(prefixes(F.col("node"))).alias("node")).groupBy(repo, "node").agg(F.count("*").alias("under"))
-    up = keyed.select(repo, F.col("node").alias("up"), F.col("idx").alias("parent"))
-    return (
-        keyed.join(below, [repo, "node"]).withColumn("subtree_end", F.col("idx") + F.col("under"))
-        .withColumn("up", F.when(F.col("depth") > 1, F.slice("node", 1, F.col("depth") - 1)))
-        .join(up, [repo, "up"], "left").drop("key", "up", "under")
-    )
+    sized = same_keys(own.select(repo, "up", "node", "is_file"), below, [repo, "node"])
+    order = [F.col("is_file"), F.element_at("node", -1)]
+    stored = ranged(sized.withColumn("home", F.struct(repo, "up")), "home", F.struct(F.col("is_file").alias("a"), F.element_at("node", -1).alias("b")), "siblings")
+    placed = before(stored, "home", order, F.col("under")).select(repo, F.col("node").alias("at"), "before", "under")
+    steps = same_keys(n.select(repo, "node", F.explode(prefixes(F.col("node"))).alias("at")), placed, [repo, "at"])
+    idx = steps.groupBy(repo, "node").agg((F.sum("before") + F.count("*") - 1).alias("idx"), F.max(F.when(F.col("at") == F.col("node"), F.col("under"))).alias("under"))
+    found = same_keys(own, idx, [repo, "node"]).withColumn("subtree_end", F.col("idx") + F.col("under"))
+    return same_keys(found.drop("under"), idx.select(repo, F.col("node").alias("up"), F.col("idx").alias("parent")), [repo, "up"], "left").drop("up")
 
 
 def visible(n: DataFrame, collapsed: DataFrame | None = None, expand_depth: int = 2, repo: str = "repo_id") -> DataFrame:
@@ -90,10 +97,10 @@ def tree_lines(files: DataFrame, repo: str = "repo_id") -> DataFrame:
     pair of unrelated nodes ever meets.
     """
     own = files.filter(~F.col("path").isin("", ".")).select(repo, F.explode(prefixes(F.col("path_parts"))).alias("node")).distinct()
-    parent = F.slice("node", 1, F.size("node") - 1)
-    last = own.withColumn("up", parent).withColumn("is_last", F.lead("node").over(Window.partitionBy(repo, "up").orderBy("node")).isNull())
+    sided = own.withColumn("up", F.slice("node", 1, F.size("node") - 1))
+    last = same_keys(sided, sided.groupBy(repo, "up").agg(F.max("node").alias("end")), [repo, "up"]).withColumn("is_last", F.col("node") == F.col("end"))
     above = last.select(repo, "node", F.explode(prefixes(F.col("node"))).alias("at"))
-    marks = above.join(last.select(repo, F.col("node").alias("at"), "is_last"), [repo, "at"]).groupBy(repo, "node").agg(F.array_sort(F.collect_list(F.struct(F.size("at").alias("d"), "is_last"))).alias("marks"))
+    marks = same_keys(above, last.select(repo, F.col("node").alias("at"), "is_last"), [repo, "at"]).groupBy(repo, "node").agg(F.array_sort(F.collect_list(F.struct(F.size("at").alias("d"), "is_last"))).alias("marks"))
     bars = F.transform(F.slice("marks", 1, F.size("marks") - 1), lambda m: F.when(m["is_last"], "    ").otherwise("│   "))
     branch = F.when(F.element_at("marks", -1)["is_last"], "└── ").otherwise("├── ")
     return marks.select(repo, "node", F.concat(F.array_join(bars, ""), branch, F.element_at("node", -1)).alias("line"))
@@ -131,4 +138,4 @@ def render(files: DataFrame, repo: str = "repo_id") -> DataFrame:
     lines = tree_lines(files, repo)
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("node", "line"))), lambda x: x["line"])
     drawn = lines.groupBy(repo).agg(F.concat(F.lit(".\n"), F.array_join(ordered, "\n"), F.lit("\n")).alias("tree"))
-    return files.select(repo).distinct().join(drawn, repo, "left").select(repo, F.coalesce("tree", F.lit(".\n")).alias("tree"))
+    return same_keys(files.select(repo).distinct(), drawn, [repo], "left").select(repo, F.coalesce("tree", F.lit(".\n")).alias("tree"))

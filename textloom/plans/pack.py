@@ -10,7 +10,8 @@ from ..operators import budget as fit
 from ..operators import files as ops
 from ..operators import format as shape
 from ..schema import PackOptions, format_name
-from ..sources.repo_tree import git_status, read_tree
+from ..sources.listing import Walk, list_tree, with_contents
+from ..sources.repo_tree import git_status
 from ..staging import spread
 
 
@@ -72,10 +73,15 @@ def pack(files: DataFrame, options: PackOptions | None = None, changed: DataFram
     return shape.documents(packed_files(files, options, changed), format_name(options.format), repos=repos)
 
 
-def tree_files(spark: SparkSession, root: str, options: PackOptions | None = None, ignore_file: str = ".packignore", gitignore: bool = True) -> DataFrame:
-    """FILE relation of a source tree: binary and non-UTF-8 files left out, paths and sizes filtered before reading."""
+def tree_files(spark: SparkSession, root: str, options: PackOptions | None = None, ignore_file: str = ".packignore", gitignore: bool = True, changed: DataFrame | None = None) -> DataFrame:
+    """FILE relation of a source tree, binary and non-UTF-8 files left out.
+
+    The tree is listed first; only files that the path rules, the size limit and the change set leave are opened.
+    """
     options = options or PackOptions()
-    rows = read_tree(spark, root, hidden=options.include_hidden, maxdepth=options.max_depth, ignorefile=ignore_file, gitignore=gitignore)
+    meta = list_tree(spark, root, Walk(options.max_depth, options.include_hidden, gitignore, (ignore_file,) if ignore_file else ()))
+    meta = ops.changed_only(meta, changed) if changed is not None else meta
+    rows = with_contents(meta.filter(ops.path_filter(options)).filter(ops.size_filter(options)))
     rows = rows.filter(ops.text_filter(F.col("content")))
     return rows.select("repo_id", "path", "path_parts", "size_bytes", F.col("content").cast("string").alias("content"), F.lit(None).cast("bigint").alias("token_count"), F.lit(False).alias("is_outlined"))
 

@@ -5,11 +5,24 @@ from __future__ import annotations
 import os
 import re
 from dataclasses import dataclass
+from functools import lru_cache
+from typing import NamedTuple
 
+#: Kinds of ignore files; where several kinds have a rule for a path, the larger one decides, wherever its file stands.
+USER, EXCLUDE, GIT, PLAIN, OWN = range(5)
 
-def pattern_regex(pattern: str) -> tuple[re.Pattern[str], bool, bool] | None:
-    """(regex on a path below the file's folder, negated, folders only) of one line; None for blank and comment lines."""
-    line = pattern.rstrip("\r\n")
+
+class Pattern(NamedTuple):
+    """One line: a regular expression on paths below the file's folder, whether it takes back, whether it means folders only."""
+
+    regex: str
+    negated: bool
+    folders: bool
+
+
+def pattern_of(line: str) -> Pattern | None:
+    """None for blank and comment lines."""
+    line = line.rstrip("\r\n")
     while line.endswith(" ") and not line.endswith("\\ "):
         line = line[:-1]
     if not line or line.startswith("#"):
@@ -40,7 +53,7 @@ def pattern_regex(pattern: str) -> tuple[re.Pattern[str], bool, bool] | None:
         elif c == "[" and (end := line.find("]", at + 2)) > 0:
             body = line[at + 1 : end]
             body = "^" + body[1:] if body.startswith("!") else body
-            out.append("[" + body.replace("\\", "\\\\") + "]")
+            out.append("[" + body.replace("\\", "\\\\").replace("[", "\\[").replace("&&", "&\\&") + "]")
             at = end
         elif c == "\\" and at + 1 < len(line):
             at += 1
@@ -48,32 +61,48 @@ def pattern_regex(pattern: str) -> tuple[re.Pattern[str], bool, bool] | None:
         else:
             out.append(re.escape(c))
         at += 1
-    return re.compile(("" if anchored else "(?:.*/)?") + "".join(out) + r"\Z", re.S), negated, folders
+    return Pattern(("" if anchored else "(?:.*/)?") + "".join(out), negated, folders)
+
+
+@lru_cache(maxsize=65536)
+def compiled(regex: str) -> re.Pattern[str]:
+    return re.compile(regex, re.S)
+
+
+class Rule(NamedTuple):
+    """A pattern with the kind of its file and the folder below which it holds (with a slash; empty: all)."""
+
+    kind: int
+    folder: str
+    regex: str
+    negated: bool
+    folders: bool
 
 
 @dataclass(frozen=True)
 class Rules:
-    """Rules of a folder and those above: (folder's path with a slash, regex, negated, folders only), later ones win."""
+    """Rules of a folder and those above, in order: of equally ranked ones the last that fits decides."""
 
-    rules: tuple[tuple[str, re.Pattern[str], bool, bool], ...] = ()
+    rules: tuple[Rule, ...] = ()
 
-    def read(self, path: str, folder: str) -> "Rules":
+    def read(self, path: str, folder: str, kind: int) -> "Rules":
         """With a file's patterns, which hold below `folder`."""
         if not os.path.isfile(path):
             return self
         with open(path, encoding="utf-8", errors="replace") as lines:
-            found = tuple((f"{folder}/" if folder else "", *made) for line in lines if (made := pattern_regex(line)))
+            found = tuple(Rule(kind, f"{folder}/" if folder else "", *made) for line in lines if (made := pattern_of(line)))
         return Rules(self.rules + found)
 
-    def below(self, folder: str, top: str, names: tuple[str, ...]) -> "Rules":
-        """With the ignore files that stand in this folder; of several names later ones win."""
+    def below(self, folder: str, top: str, names: dict[str, int]) -> "Rules":
+        """With the ignore files (name to kind) that stand in this folder."""
         rules = self
-        for name in names:
-            rules = rules.read(os.path.join(top, folder, name), folder)
+        for name, kind in names.items():
+            rules = rules.read(os.path.join(top, folder, name), folder, kind)
         return rules
 
     def ignored(self, path: str, is_folder: bool) -> bool:
-        for folder, regex, negated, folders in reversed(self.rules):
-            if path.startswith(folder) and (is_folder or not folders) and regex.match(path[len(folder) :]):
-                return not negated
-        return False
+        best: Rule | None = None
+        for rule in reversed(self.rules):
+            if (best is None or rule.kind > best.kind) and path.startswith(rule.folder) and (is_folder or not rule.folders) and compiled(rule.regex).fullmatch(path, len(rule.folder)):
+                best = rule
+        return best is not None and not best.negated

@@ -1,10 +1,10 @@
 """Source trees as a Spark data source: `spark.read.format("repo_tree").load(root)`.
 
-The driver lists the tree (pruning ignored and hidden folders); executors then read batches of
-files. Where `spark.sql.python.filterPushdown.enabled` is set, path and size filters of a query are
-applied while listing, before any file is read. The root must be on storage that all executors
-mount. Options: maxdepth, hidden, gitignore, ignorefile (a further
-ignore file's name), batch (files per partition), maxsize (bytes).
+The driver looks at folders only until there are enough to go round; each partition walks its own
+below these and reads what it finds. Where `spark.sql.python.filterPushdown.enabled` is set, path and size
+filters of a query are applied before any file is read. `sources.listing` deals out folders level by
+level and reads contents last, so it suits trees of any shape. The root must be on storage that all executors
+mount. Options: maxdepth, hidden, gitignore, ignorefile (further ignore files' names), folders (to part the tree into, at least), maxsize (bytes).
 """
 
 from __future__ import annotations
@@ -16,64 +16,22 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, StringEndsWith, StringStartsWith
 
-from .ignore import Rules
+from .listing import Folder, Walk, expand, start, walk
 
 SCHEMA = "repo_id string, path string, path_parts array<string>, abs_path string, size_bytes bigint, content binary"
 NUMERIC = {GreaterThan: lambda a, b: a > b, GreaterThanOrEqual: lambda a, b: a >= b, LessThan: lambda a, b: a < b, LessThanOrEqual: lambda a, b: a <= b, EqualTo: lambda a, b: a == b}
 TEXTUAL = {EqualTo: lambda a, b: a == b, StringStartsWith: str.startswith, StringEndsWith: str.endswith, In: lambda a, b: a in b}
 
 
-class Batch(InputPartition):
-    def __init__(self, files: list[tuple[str, int]]):
+class Branch(InputPartition):
+    """A folder with all below it, or files of the folders above."""
+
+    def __init__(self, folder: Folder | None, files: list[tuple[str, int]]):
         super().__init__(None)
+        self.folder = folder
         self.files = files
 
 
-def walk(root: str, max_depth: int | None = None, hidden: bool = False, gitignore: bool = True, ignore_names: tuple[str, ...] = ()) -> Iterator[tuple[str, int]]:
-    """(relative path, size) of regular files, folders pruned as soon as a rule ignores them. Unreadable folders are skipped.
-
-    Git's rules count inside a work tree only: the user's, the tree's own excludes, and ignore files
-    from its top down to each folder, later ones winning.
-    """
-    root = os.path.realpath(root)
-    top = root
-    while gitignore and not os.path.exists(os.path.join(top, ".git")) and os.path.dirname(top) != top:
-        top = os.path.dirname(top)
-    tracked = gitignore and os.path.exists(os.path.join(top, ".git"))
-    top = top if tracked else root
-    names = ((".gitignore",) if tracked else ()) + ((".ignore",) if gitignore else ()) + ignore_names
-    rules = Rules()
-    if tracked:
-        home = os.environ.get("XDG_CONFIG_HOME") or os.path.expanduser("~/.config")
-        rules = rules.read(os.path.join(home, "git", "ignore"), "").read(os.path.join(top, ".git", "info", "exclude"), "")
-    base = "" if top == root else os.path.relpath(root, top)
-    above = base.split("/") if base else []
-    for k in range(len(above)):
-        rules = rules.below("/".join(above[:k]), top, names)
-    todo: list[tuple[str, int, Rules]] = [("", 0, rules)]
-    while todo:
-        folder, depth, rules = todo.pop()
-        rules = rules.below("/".join(x for x in (base, folder) if x), top, names)
-        try:
-            entries = sorted(os.scandir(os.path.join(root, folder)), key=lambda e: e.name)
-        except OSError:
-            continue
-        for e in entries:
-            path = f"{folder}/{e.name}" if folder else e.name
-            if not hidden and e.name.startswith(".") or max_depth is not None and depth + 1 > max_depth:
-                continue
-            is_folder = e.is_dir(follow_symlinks=False)
-            if rules.ignored(f"{base}/{path}" if base else path, is_folder):
-                continue
-            if is_folder:
-                todo.append((path, depth + 1, rules))
-            elif e.is_file(follow_symlinks=False):
-                try:
-                    yield path, e.stat().st_size
-                except OSError:
-                    continue
-
-
 class RepoTreeReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.options = options
@@ -86,21 +44,27 @@ class RepoTreeReader(DataSourceReader):
         most = self.options.get("maxsize")
         return (most is None or size <= int(most)) and all(t(size if c == "size_bytes" else path) for c, t in self.tests)
 
-    def partitions(self) -> list[Batch]:
+    def _walk(self) -> Walk:
+        flag = lambda k, d: self.options.get(k, d).lower() == "true"
+        depth = self.options.get("maxdepth")
+        return Walk(int(depth) if depth else None, flag("hidden", "false"), flag("gitignore", "true"), tuple(x for x in self.options.get("ignorefile", "").split(",") if x))
+
+    def partitions(self) -> list[Branch]:
         if os.path.isfile(self.root):
-            found = [(os.path.basename(self.root), os.path.getsize(self.root))]
-        else:
-            flag = lambda k, d: self.options.get(k, d).lower() == "true"
-            depth = self.options.get("maxdepth")
-            extra = tuple(x for x in self.options.get("ignorefile", "").split(",") if x)
-            found = list(walk(self.root, int(depth) if depth else None, flag("hidden", "false"), flag("gitignore", "true"), extra))
-        found = [f for f in found if self._wanted(*f)]
-        n = int(self.options.get("batch", "512"))
-        return [Batch(found[a : a + n]) for a in range(0, len(found), n)] or [Batch([])]
-
-    def read(self, partition: Batch) -> Iterator[tuple]:
-        top = os.path.dirname(self.root) if os.path.isfile(self.root) else self.root
-        for path, size in partition.files:
+            return [Branch(None, [(os.path.basename(self.root), os.path.getsize(self.root))])]
+        options, wanted = self._walk(), int(self.options.get("folders", "64"))
+        level, above = [start(self.root, options)], []
+        while level and len(level) < wanted:
+            found = [x for folder in level for x in expand(folder, options)]
+            level = [x for x in found if isinstance(x, Folder)]
+            above.append(Branch(None, [x for x in found if not isinstance(x, Folder)]))
+        return [*above, *[Branch(folder, []) for folder in level]] or [Branch(None, [])]
+
+    def read(self, partition: Branch) -> Iterator[tuple]:
+        top = os.path.dirname(self.root) if os.path.isfile(self.root) else os.path.realpath(self.root)
+        for path, size in walk([partition.folder], self._walk()) if partition.folder else partition.files:
+            if not self._wanted(path, size):
+                continue
             full = os.path.join(top, path)
             try:
                 with open(full, "rb") as f:
@@ -114,7 +78,7 @@ class PushingReader(RepoTreeReader):
     """For sessions that allow filter push-down to Python sources; Spark refuses such a reader elsewhere."""
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
-        """Comparisons of size_bytes and of path are applied while listing."""
+        """Comparisons of size_bytes and of path are applied before files are read."""
         for f in filters:
             known = {("size_bytes",): NUMERIC, ("path",): TEXTUAL}.get(f.attribute if hasattr(f, "attribute") else ())
             if known and (test := known.get(type(f))):
