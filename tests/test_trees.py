@@ -152,3 +152,42 @@ def test_no_window_over_a_repository(spark, sf_dir):
         plan = query(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
         windows = [line for line in plan.splitlines() if "Window [" in line]
         assert all("range_no" in line for line in windows), windows
+
+
+LINES = ["*.rs", "!a*", "/b", "c/", "a/**/b.rs", "**/c/a", "b/**", "!*.py", "[ab].rs", "?.py", "# no", "", "a b", "c.rs", "\\!x", "!b/a.rs", "a\\ b"]
+
+
+def test_rules_as_a_relation(spark, tmp_path):
+    """Random trees with ignore files at any depth: the same files as the walk."""
+    from textloom.operators import ignore_rules
+
+    rng = random.Random(4)
+    for k in range(6):
+        root = tmp_path / f"t{k}"
+        files = {}
+        for _ in range(60):
+            folder = "/".join(rng.choice("abc") + rng.choice(["", "", ".d"]) for _ in range(rng.randint(0, 3)))
+            name = rng.choice([rng.choice(["a", "b", "c", "a b", "!x"]) + rng.choice([".rs", ".py", "", ".RS"])] * 3 + [".ignore", ".packignore"])
+            path = f"{folder}/{name}" if folder else name
+            if not (root / path).exists() and not any((root / p).is_file() for p in [os.path.dirname(path)] if p):
+                try:
+                    planted(root, {path: "\n".join(rng.sample(LINES, 3)) if name.endswith("ignore") else "x"})
+                    files[path] = (root / path).read_text()
+                except OSError:
+                    continue
+        options = Walk(hidden=True, ignore_names=(".packignore",))
+        want = sorted(p for p, _ in walk([start(str(root), options)], options))
+        for repo in ("r", None):
+            every = relation(spark, files, repo)
+            rules = ignore_rules.rules_of(every)
+            assert sorted(r["path"] for r in ignore_rules.kept_by_rules(every, rules).collect()) == want, (k, files)
+
+
+def test_rules_of_nothing(spark):
+    from textloom.operators import ignore_rules
+
+    files = relation(spark, {"a.rs": "", "b/c.rs": ""})
+    none = ignore_rules.rules_of(files)
+    assert none.count() == 0 and ignore_rules.kept_by_rules(files, none).count() == 2
+    assert ignore_rules.kept_by_rules(files.limit(0), ignore_rules.rules_of(relation(spark, {".ignore": "*"}))).count() == 0
+    assert ignore_rules.kept_by_rules(files.union(files), ignore_rules.rules_of(relation(spark, {".ignore": "*\n!a.rs"}))).count() == 2

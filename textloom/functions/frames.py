@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,6 +62,74 @@ class PgmFrames:
         yield from pgm_frames(bytes(stream) if stream is not None else b"")
 
 
+#: A header that isn't over yet may go on in the next chunk; one that is longer than this is malformed.
+LONGEST_HEADER = 1 << 16
+
+
+class OpenFrames:
+    """Reads one stream that comes in chunks. Between chunks it holds the frame that is open, and no more."""
+
+    def __init__(self) -> None:
+        self.left = bytearray()
+        self.count = 0
+        self.ended = False
+        self.wanted = 0  # bytes that the open frame needs, once its header is read
+
+    def feed(self, chunk: bytes | None, last: bool = False) -> Iterator[tuple[int, int, int, bytes]]:
+        """The frames that this chunk completes; `last` says that no chunk follows."""
+        if self.ended:
+            return
+        self.left += chunk or b""
+        at = 0
+        while len(self.left) - at >= self.wanted:
+            self.wanted = 0
+            m = HEADER.match(self.left, at)
+            # a header at the very end may be cut off: in its last number, or before the byte behind it
+            if m is None:
+                self.ended = last or len(self.left) - at > LONGEST_HEADER
+                break
+            width, height, most = map(int, m.groups())
+            if not width or not height or not 0 < most < 256:
+                self.ended = True
+                break
+            end = m.end() + width * height
+            if end > len(self.left):
+                self.ended, self.wanted = last, end - at
+                break
+            yield self.count, width, height, bytes(self.left[m.end() : end])
+            at, self.count = end, self.count + 1
+        del self.left[:at]
+        if self.ended:
+            self.left.clear()
+
+
+@F.udtf(returnType=T.StructType().add("clip_id", "string").add("frame_idx", "integer").add("width", "integer").add("height", "integer").add("pixels", "binary"))
+class PgmChunks:
+    """Table function over rows (clip_id, chunk): TABLE(...) PARTITION BY clip_id ORDER BY the chunks' numbers. Frames may go on from chunk to chunk."""
+
+    def __init__(self) -> None:
+        self.clip: str | None = None
+        self.open = OpenFrames()
+
+    def eval(self, row: Row):
+        self.clip = None if row["clip_id"] is None else str(row["clip_id"])
+        for frame in self.open.feed(bytes(row["chunk"]) if row["chunk"] is not None else None):
+            yield self.clip, *frame
+
+    def terminate(self):
+        for frame in self.open.feed(None, last=True):
+            yield self.clip, *frame
+
+
+def chunked_frames(chunks: DataFrame, clip: str = "clip_id", number: str = "chunk_no", chunk: str = "chunk") -> DataFrame:
+    """(clip_id, frame_idx, width, height, pixels) of streams that lie in rows (clip, number, chunk).
+
+    A clip is read by one task, chunk by chunk, and only its open frame is held; a stream needn't fit a row. Chunks may be null or empty.
+    """
+    rows = chunks.select(F.col(clip).cast("string").alias("clip_id"), F.col(number).alias("chunk_no"), F.col(chunk).alias("chunk"))
+    return PgmChunks(rows.asTable().partitionBy("clip_id").orderBy("chunk_no"))
+
+
 def quantised(values: Column, low: float = -1.0, high: float = 1.0) -> Column:
     """An array of floats as grey levels 0..255."""
     return F.transform(values, lambda v: F.least(F.lit(255), F.greatest(F.lit(0), F.floor((v.cast("double") - low) / (high - low) * 255).cast("int"))))
