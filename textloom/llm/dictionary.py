@@ -44,8 +44,8 @@ LEVEL = 6
 RAW, TARGET, DOCUMENTS = 0, 1, 2
 
 PIECE = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("part", pa.int64()), ("body", pa.binary()), ("counts", pa.binary())])
-#: A document with its buckets, or (row: false) what a part counts of a bucket.
-COUNTED = pa.schema([("is_row", pa.bool_()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_features", pa.int64()), ("buckets", pa.binary()), ("counts", pa.binary()), ("bucket", pa.int64()), ("s", pa.int64()), ("t", pa.int64())])
+#: A document with its buckets, or (is_row: false) all that a part counts by bucket.
+COUNTED = pa.schema([("is_row", pa.bool_()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_features", pa.int64()), ("buckets", pa.binary()), ("counts", pa.binary())])
 WEIGHED = pa.schema([(c, pa.int64()) for c in ("doc_id", "n_words", "n_features", "weight")])
 
 def _ddl(schema: pa.Schema) -> str:
@@ -244,12 +244,10 @@ def count_part(group: pa.Table) -> pa.Table:
 
 
 def count_documents(group: pa.Table) -> pa.Table:
-    """COUNTED rows of one chunk: its documents' feature counts, as counts by bucket. Of what a part has counted: a row per bucket."""
+    """COUNTED rows of one chunk: its documents' feature counts, as counts by bucket. What a part has counted is one row."""
     rows = group.to_pylist()
     if rows[0]["kind"] == TARGET:
-        sums = unpacked(rows[0]["body"]).reshape(2, BUCKETS)
-        held = np.flatnonzero(sums.any(axis=0))
-        return _table([(False, None, None, None, None, None, int(b), int(sums[0, b]), int(sums[1, b])) for b in held], COUNTED)
+        return _table([(False, None, None, None, rows[0]["body"], None)], COUNTED)
     own = [unpacked(r["body"]) for r in sorted((r for r in rows if r["kind"] == RAW), key=lambda r: r["part"])]
     documents = next(r for r in rows if r["kind"] == DOCUMENTS)
     body, n = unpacked(documents["body"]), unpacked(documents["counts"])
@@ -269,18 +267,27 @@ def count_documents(group: pa.Table) -> pa.Table:
     step[begin] = bucket[begin]
     features = words + np.maximum(words - 1, 0)
     spans = list(pairwise([0, *ends]))
-    none = pa.nulls(size, pa.int64())
     return pa.Table.from_arrays(
         [
             pa.array(np.ones(size, dtype=bool)), pa.array(ids, mask=has_id == 0), pa.array(words), pa.array(features),
-            pa.array([planes(step[a:b], 2) for a, b in spans], pa.binary()), pa.array([planes(counts[a:b], 4) for a, b in spans], pa.binary()), none, none, none,
+            pa.array([planes(step[a:b], 2) for a, b in spans], pa.binary()), pa.array([planes(counts[a:b], 4) for a, b in spans], pa.binary()),
         ], schema=COUNTED,
     )
 
 
 def gains(counted: DataFrame) -> np.ndarray:
     """Gain of each bucket, from at most BUCKETS rows that the driver gets; 0 where neither text has the bucket."""
-    found = counted.filter(~F.col("is_row")).groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("t").alias("t")).toArrow().to_pylist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, BUCKETS), dtype=np.int64)
+        for batch in batches:
+            for body in batch.column(0):
+                sums += unpacked(body.as_py()).reshape(2, BUCKETS)
+        held = np.flatnonzero(sums.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(sums[0, held]), pa.array(sums[1, held])], names=["bucket", "s", "t"])
+
+    parts = counted.filter(~F.col("is_row")).select("buckets").mapInArrow(run, "bucket long, s long, t long")
+    found = parts.groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("t").alias("t")).toArrow().to_pylist()
     all_s, all_t = sum(r["s"] for r in found), sum(r["t"] for r in found)
     out = np.zeros(BUCKETS, dtype=np.int64)
     for r in found:
