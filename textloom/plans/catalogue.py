@@ -6,16 +6,18 @@ each path rule has hits.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import frames, highlight, lockfiles, outline, paths, prompts, redact, text, tokens, workflow
-from ..operators import budget, files, selection, tree
+from ..functions import lines as text_lines
+from ..operators import budget, files, ignore_rules, parts, selection, selection_log, tree
 from ..operators import format as shape
 from ..schema import PROFILES, PackOptions
-from ..staging import spread
+from ..staging import SMALL, shared_dir, spread
 from . import pack as plan
 
 EXTENSIONS = [".rs", ".py", ".md", ".toml", ".json", ".svg", ".min.js", ".pem", ".go", ".txt", "_test.rs", ".png", ".yaml", ".ts", ".js.map", ".c", ".java", ".Dockerfile", ".spec.ts", ".SVG", "", ".tar.gz"]
@@ -555,6 +557,99 @@ def outlined_preview(spark, sf_dir):
     return own.select("repo_id", shape.preview(F.col("all")).alias("preview"))
 
 
+#: Ignore files of the top and of each language's folder.
+TOP_RULES = "*.toml\n!doc_*1.toml\n# folders\nd*5/\n"
+FOLDER_RULES = "m*/\n*.rs\n!main.rs\ndoc_2*\n"
+
+
+def ignore_filter(spark, sf_dir):
+    """Every repository has an ignore file at its top and one in each language's folder; their rules are met by equality of folders."""
+    docs = table(spark, sf_dir, "documents").filter("lang IS NOT NULL")
+    lists = docs.select("source", F.lit(".packignore").alias("path"), F.lit(TOP_RULES).alias("body")).distinct().union(docs.select("source", F.concat("lang", F.lit("/.ignore")), F.lit(FOLDER_RULES)).distinct())
+    rules = ignore_rules.rules_of(files.as_files(lists, F.col("source"), F.col("path"), F.col("body")))
+    return ignore_rules.kept_by_rules(file_view(spark, sf_dir), rules).select("repo_id", "path")
+
+
+def selection_replay(spark, sf_dir):
+    """Each supplier is an entry in every repository's log: a toggle of a folder or of all, an inversion, some under a filter."""
+    k = F.col("s_suppkey")
+    node = F.when(k % 3 == 0, F.array(F.lit("en"))).when(k % 3 == 1, F.array(F.lit("de"))).otherwise(F.array(F.lit("tests")))
+    action = F.when(k % 5 == 0, F.lit(selection_log.INVERT)).when(k % 7 == 0, F.lit(selection_log.TOGGLE_ALL)).otherwise(F.lit(selection_log.TOGGLE))
+    own = _selected(spark, sf_dir).select("repo_id", "path", "path_parts", "selected")
+    log = table(spark, sf_dir, "supplier").select(k.alias("step"), action.alias("action"), node.alias("node"), F.when(k % 2 == 0, F.lit("rust")).alias("filter"))
+    every = own.select("repo_id").distinct().join(F.broadcast(log), F.lit(True)) if log.limit(SMALL + 1).count() <= SMALL else own.select("repo_id").distinct().join(log, F.lit(True))
+    return selection_log.replay(own, every, {"rust": F.endswith("path", F.lit(".rs"))}).select("repo_id", "path", "selected")
+
+
+def line_ranges(spark, sf_dir):
+    """Lines 2 to 4 of every document, cut out of its bytes by the line index."""
+    data = F.col("text").cast("binary")
+    rows = ids(spark, sf_dir).select("doc_id", data.alias("data"), text_lines.line_starts(data).alias("starts"))
+    return rows.select("doc_id", F.size("starts").cast("bigint").alias("n_lines"), F.md5(text_lines.line_range(F.col("data"), F.col("starts"), F.lit(2), F.lit(3))).alias("lines_md5"))
+
+
+def pgm_chunks(spark, sf_dir):
+    """The streams of pgm_stream in chunks of 37 bytes, a row each: frames go on from row to row."""
+    hexed = F.array_join(F.transform("levels", lambda v: F.lpad(F.hex(v), 2, "0")), "")
+    stream = F.concat(F.encode(F.lit("P5\n# c\n8 8\n255\n"), "UTF-8"), F.unhex(hexed))
+    two = _frames(spark, sf_dir).select("vec_id", F.concat(stream, stream).alias("stream"))
+    cut = two.select("vec_id", "stream", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("chunk_no")).select("vec_id", "chunk_no", F.substring(F.col("stream"), F.col("chunk_no") * 37 + 1, F.lit(37)).alias("chunk"))
+    read = frames.chunked_frames(cut, "vec_id")
+    return read.select(F.col("clip_id").cast("bigint").alias("vec_id"), "frame_idx", F.round(frames.frame_sharpness(F.col("pixels"), F.col("width"), F.col("height")), 4).alias("sharpness"))
+
+
+def utf8_gate(spark, sf_dir):
+    """Texts with invalid bytes put in: a cut character, a byte that begins none, a surrogate."""
+    d = F.col("doc_id")
+    bad = F.when(d % 5 == 0, F.unhex(F.lit("C3"))).when(d % 5 == 1, F.unhex(F.lit("FF61"))).when(d % 5 == 2, F.unhex(F.lit("EDA080"))).when(d % 5 == 3, F.unhex(F.lit("C3A9")))
+    data = F.concat(F.encode("text", "UTF-8"), F.coalesce(bad, F.unhex(F.lit(""))))
+    return ids(spark, sf_dir).filter(files.text_filter(data)).select("doc_id")
+
+
+def pack_locks(spark, sf_dir):
+    """A pack with summaries: lockfiles pass the skip rules and the raw size limit, those without a reader go, and summaries are measured again."""
+    d, k = F.col("doc_id"), F.col("doc_id").cast("string")
+    base = F.concat(F.lit("p"), (d % 7).cast("string"), F.lit("/q"), k)
+    path = F.concat(base, pick(["/go.sum", "/composer.lock", "/flow.json", "/plain.json", "/a.rs"], d))
+    long = F.repeat(F.concat(F.lit("x/"), k, F.lit(" v2\n")), (d % 300).cast("int"))
+    sums = F.concat(F.lit("m/"), k, F.lit(" v1 h1:"), F.length("text").cast("string"), F.lit("\n"), long, F.when(d % 3 == 0, F.concat(F.repeat(F.lit("y"), 150), F.lit(" v3\n"))).otherwise(""))
+    flow = F.concat(F.lit('{"1": {"class_type": "Load'), k, F.lit('", "inputs": {"text": "prompt '), F.length("text").cast("string"), F.lit('"}}}'))
+    body = F.when(d % 5 == 0, sums).when(d % 5 == 1, F.lit("{}")).when(d % 5 == 2, flow).otherwise(F.coalesce("text", F.lit("")))
+    own = files.as_files(ids(spark, sf_dir), F.col("source"), path, body)
+    return plan.pack(own, PackOptions(summary_locks=True, max_file_size=200)).select("repo_id", F.md5("document").alias("document_md5"), F.length("document").cast("bigint").alias("n_chars"))
+
+
+def pack_parts(spark, sf_dir):
+    """Packs written as part files, read back by the manifest and put together: how long each is and its digest."""
+    out = f"{shared_dir(spark)}/textloom-parts-{uuid.uuid4().hex}"
+    parts.write_parts(file_view(spark, sf_dir), out)
+    pieces = F.transform(F.array_sort(F.collect_list(F.struct("at", "body"))), lambda x: x["body"])
+    whole = F.aggregate(pieces, F.lit(b""), lambda a, b: F.concat(a, b))
+    return parts.read_parts(spark, out).groupBy("repo_id").agg(whole.alias("document")).select("repo_id", F.md5("document").alias("document_md5"), F.octet_length("document").cast("bigint").alias("n_bytes"))
+
+
+NESTED = {
+    "a.rs": ("pub struct D@ {\n    a: u8,\n}\n\npub fn f@(x: u8) -> u8 {\n    // a note\n    if x > @ {\n        for y in 0..x {\n            g(\"{}\", y);\n        }\n    } else {\n        h(|z| { z + 1 });\n    }\n    let s = \"TEXT\";\n    x\n}\n", "pub struct D@ {\n    a: u8,\n}\n\npub fn f@(x: u8) -> u8 { /* ... */ }\n"),
+    "b.go": ("package p\n\nfunc F@(a int) int {\n\tif a > @ {\n\t\tfor {\n\t\t\tg()\n\t\t}\n\t}\n\ts := \"TEXT\"\n\treturn a\n}\n", "package p\n\nfunc F@(a int) int { /* ... */ }\n"),
+    "c.py": ("def f@(a):\n    if a:\n        for b in a:\n            # a note\n            g(b)\n    return \"TEXT\"\n\nX = @\n", "def f@(a):\n    ...\nX = @\n"),
+}
+
+
+def _filled(template: str) -> Column:
+    """@ is the row's number, TEXT its text without quotes, braces and line ends."""
+    flat = F.regexp_replace(F.coalesce("text", F.lit("")), r'["{}\\\r\n]', " ")
+    pieces = [part for k, whole in enumerate(template.split("@")) for part in ([F.col("doc_id").cast("string")] * bool(k) + [F.lit(whole)])]
+    return F.replace(F.concat(*pieces), F.lit("TEXT"), flat)
+
+
+def outline_nested(spark, sf_dir):
+    """Outlines of generated bodies with nested blocks, closures, comments and the document's words as a string."""
+    docs = table(spark, sf_dir, "documents")
+    rows = [docs.select("doc_id", F.lit(name).alias("path"), _filled(body).alias("content")) for name, (body, _) in NESTED.items()]
+    every = rows[0].union(rows[1]).union(rows[2])
+    return every.select("doc_id", "path", F.md5(outline.outline(F.col("content"), F.col("path"))).alias("outline_md5"))
+
+
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     scan_documents, path_predicates, skip_filter, size_filter, glob_filter, depth_filter, hidden_filter, language_hint, compression_tier, path_order, changed_semi_join, skipped_anti_join,
     git_status_parse, redact_documents, redact_counts, redact_turns, token_estimate, token_profiles, scan_summary, summary_by_repo, dir_rollup, tree_nodes, tree_lines, tree_render, tree_flat,
@@ -562,6 +657,7 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     json_escape, format_tool_call, pack_document, pack_markdown, pack_tool_call, pack_budget, pack_budget_code, pack_empty, lock_gosum, lock_pnpm, lock_cargo, lock_npm, lock_npm_v1, lock_poetry, lock_yarn, lock_manifest, workflow_histogram, workflow_histogram_ui,
     workflow_settings, workflow_manifest, prompt_strip_filler, prompt_condense, prompt_shots, prompt_specs, prompt_compile, frame_sharpness, sharpest_frame, pgm_stream, outline_rust,
     outline_python, outline_generic, highlight_lines, fuzzy_filter, fuzzy_best, number_formats, size_literals, context_gauge, line_index, preview_text, tail_paths, binary_filter, stats_line, outlined_preview,
+    ignore_filter, selection_replay, line_ranges, pgm_chunks, utf8_gate, pack_locks, pack_parts, outline_nested,
 ]
 
 

@@ -11,7 +11,7 @@ from ..functions.outline import OUTLINED
 from ..functions.paths import BINARY_EXTENSIONS, LANGUAGES, LOCKFILES
 from ..functions.prompts import CAMERA, FILLERS, LENS, LIGHTING, STOP_WORDS
 from ..schema import PROFILES
-from .catalogue import AK, BUDGET, EXTENSIONS, GH, PEM, SK
+from .catalogue import AK, BUDGET, EXTENSIONS, GH, NESTED, PEM, SK
 
 
 def quoted(s: str) -> str:
@@ -292,3 +292,33 @@ SQL["prompt_compile"] = f"""WITH {ASKS}, a AS (SELECT conv_id, turn, {STRIP} AS
         string_agg('Shot ' || n || ': ' || identity || CASE WHEN tail <> '' THEN ', ' || tail ELSE '' END || ' (5s) [Conditioning Image: anchor.png]', {NL} ORDER BY n) AS paste FROM f GROUP BY conv_id, turn)
     SELECT conv_id, turn, '# 1. Prompt-Writer Brief (XML for LLM planning)' || {NL} || '<video_brief>' || {NL} || '  <character_lock>' || {NL} || '    subject: ' || who || {NL} || coalesce('    lens: ' || lens || {NL}, '') || coalesce('    lighting: ' || light || {NL}, '')
         || '  </character_lock>' || {NL} || brief || '</video_brief>' || {NL} || {NL} || '# 2. Paste-Ready Video Model Prompts (No XML tags — repeat identity per clip)' || {NL} || paste AS compiled FROM g"""
+SQL["ignore_filter"] = f"""{FILES}, nodes AS (SELECT source, path, parts[k] AS base, k < len(parts) AS is_folder, k > 1 AND parts[1] = lang AS inside FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS k FROM named)),
+    judged AS (SELECT source, path, CASE WHEN is_folder AND regexp_full_match(base, 'd[^/]*5') THEN 1 WHEN regexp_full_match(base, 'doc_[^/]*1\\.toml') THEN 0 WHEN base LIKE '%.toml' THEN 1
+        WHEN inside AND starts_with(base, 'doc_2') THEN 1 WHEN inside AND base = 'main.rs' THEN 0 WHEN inside AND base LIKE '%.rs' THEN 1 WHEN inside AND is_folder AND base LIKE 'm%' THEN 1 ELSE 0 END AS gone FROM nodes)
+    SELECT source AS repo_id, path FROM judged GROUP BY source, path HAVING max(gone) = 0"""
+SQL["selection_replay"] = f"""{FILES}, {SELECTED}, every AS (SELECT source, list(path ORDER BY path) AS ps, list(selected ORDER BY path) AS st FROM sel GROUP BY source),
+    entries AS (SELECT row_number() OVER (ORDER BY s_suppkey) AS k, CASE WHEN s_suppkey % 5 = 0 THEN 'invert' WHEN s_suppkey % 7 = 0 THEN 'all' ELSE 'toggle' END AS action, ['en', 'de', 'tests'][s_suppkey % 3 + 1] AS node, s_suppkey % 2 = 0 AS rust FROM supplier),
+    scoped AS (SELECT source, k, action, list_transform(ps, lambda p: (action <> 'toggle' OR starts_with(p, node || '/')) AND (NOT rust OR ends_with(p, '.rs'))) AS sc FROM every, entries),
+    run AS (SELECT source, 0 AS k, st FROM every UNION ALL
+        SELECT r.source, s.k, CASE WHEN s.action = 'invert' THEN list_transform(range(1, len(st) + 1), lambda i: st[i] <> sc[i])
+            ELSE list_transform(range(1, len(st) + 1), lambda i: CASE WHEN sc[i] THEN len(list_filter(range(1, len(st) + 1), lambda j: sc[j] AND NOT st[j])) > 0 ELSE st[i] END) END FROM run r JOIN scoped s ON s.source = r.source AND s.k = r.k + 1)
+    SELECT source AS repo_id, unnest(ps) AS path, unnest(st) AS selected FROM run JOIN every e USING (source) WHERE k = (SELECT count(*) FROM entries)""".replace("unnest(st) AS", "unnest(run.st) AS")
+SQL["line_ranges"] = """WITH c AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)
+    SELECT doc_id, CASE WHEN text = '' THEN 0 WHEN ls[-1] = '' THEN len(ls) - 1 ELSE len(ls) END AS n_lines, md5(array_to_string(ls[2:4], chr(10)) || CASE WHEN len(ls) > 4 THEN chr(10) ELSE '' END) AS lines_md5 FROM c"""
+SQL["pgm_chunks"] = SQL["pgm_stream"]
+SQL["utf8_gate"] = "SELECT doc_id FROM documents WHERE doc_id % 5 >= 3"
+SQL["pack_locks"] = f"""WITH RECURSIVE ids AS (SELECT doc_id, source, lang, 'p' || doc_id % 7 || '/q' || doc_id || ['/go.deps.txt', '/composer.lock', '/flow.workflow.txt', '/plain.json', '/a.rs'][doc_id % 5 + 1] AS path, CASE doc_id % 5
+        WHEN 0 THEN 'm/' || doc_id || ' @ v1' || chr(10) || CASE WHEN doc_id % 300 > 0 THEN 'x/' || doc_id || ' @ v2' || chr(10) ELSE '' END || CASE WHEN doc_id % 3 = 0 THEN repeat('y', 150) || ' @ v3' || chr(10) ELSE '' END
+        WHEN 2 THEN '# ComfyUI Workflow Manifest (1 nodes, 1 unique types)' || chr(10) || '## Nodes' || chr(10) || '- Load' || doc_id || ' x1' || chr(10) || '## Prompts' || chr(10) || '- "prompt ' || length(coalesce(text, '')) || '"' || chr(10) ELSE coalesce(text, '') END AS text FROM documents WHERE doc_id % 5 <> 1),
+    {NAMED}, kept AS (SELECT * FROM named WHERE size <= 200), {LINES.replace("FROM named", "FROM kept")},
+    docs AS (SELECT source, '<repository_structure>' || chr(10) || max(tree) || '</repository_structure>' || chr(10) || chr(10) || string_agg({XML}, chr(10) ORDER BY parts) AS document FROM kept JOIN trees USING (source) GROUP BY source)
+    SELECT source AS repo_id, md5(document) AS document_md5, length(document) AS n_chars FROM docs"""
+SQL["pack_parts"] = f"""{FILES}, {LINES}, docs AS (SELECT source, '<repository_structure>' || chr(10) || max(tree) || '</repository_structure>' || chr(10) || chr(10) || string_agg({XML}, chr(10) ORDER BY parts) AS document FROM named JOIN trees USING (source) GROUP BY source)
+    SELECT source AS repo_id, md5(document) AS document_md5, strlen(document) AS n_bytes FROM docs"""
+
+
+def nested(template: str) -> str:
+    return "replace(replace(" + quoted(template) + ", '@', CAST(doc_id AS VARCHAR)), 'TEXT', regexp_replace(coalesce(text, ''), '[\"{}\\\\\\r\\n]', ' ', 'g'))"
+
+
+SQL["outline_nested"] = " UNION ALL ".join(f"SELECT doc_id, '{name}' AS path, md5({nested(left)}) AS outline_md5 FROM documents" for name, (_, left) in NESTED.items())
