@@ -7,8 +7,8 @@ agreed on, so odd pages profit from their neighbours. A page on which none of th
 falls back on its own best container.
 
 Words of classes and ids, and links that stand alone, only propose what is no part of the article where
-they can mean either. The host's pages decide: a proposed element goes if its path is on half of them,
-a block of links if the same block is on a fifth of them. Copies of a page count once. Where a host
+they can mean either. The host's pages decide: an element that a weak word proposes goes if its path is on half of them, one with
+a sure word within another name ("share-tools", "notice-board") if it is on a tenth and on several, a block of links if the same block is on a fifth of them. Copies of a page count once. Where a host
 has too few pages to tell, an element stays if it stands in the article, and a block of links if text precedes it.
 """
 
@@ -22,11 +22,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .html_tree import Page, parse
+from .html_tree import Element, Page, parse
 from .scratch import spread, staged
 
-#: Least share of a host's pages that vote for a path, show a proposed element's path, or repeat a block of links.
-LEAST, SLOT, REPEATED = 0.02, 0.5, 0.2
+#: Least share of a host's pages that vote for a path, show the path of an element that a weak word or a sure word within a name proposes, or repeat a block of links.
+LEAST, SLOT, LIKELY, REPEATED = 0.02, 0.5, 0.1, 0.2
 #: Different pages that a host must have to decide.
 PLENTY = 3
 #: Bytes of what the hosts agreed on that may be broadcast; with more, pages and hosts are joined, salted.
@@ -50,8 +50,13 @@ class Host:
 ALONE = Host()
 
 
-def _hash(*parts: str) -> int:
-    return xxhash.xxh64_intdigest("\0".join(parts).encode("utf-8", "surrogatepass")) - (1 << 63)
+def _hash(text: str, seed: int = 0) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed) - (1 << 63)
+
+
+def _slot(page: Page, e: Element) -> int:
+    """A proposed element's path, and what proposes it."""
+    return _hash(str(e.weak), page.hashes[e.path])
 
 
 def judge(page: Page, host: Host) -> list[bool]:
@@ -60,7 +65,7 @@ def judge(page: Page, host: Host) -> list[bool]:
     before = False
     for k, b in enumerate(page.blocks):
         if b.links:
-            out[k] = _hash(page.path_text(b.path), b.text) in host.repeated if host.plenty else not before
+            out[k] = _hash(b.text, page.hashes[b.path]) in host.repeated if host.plenty else not before
         before = before or not out[k]
     total, linked = [0], [0]
     for k, b in enumerate(page.blocks):
@@ -69,7 +74,7 @@ def judge(page: Page, host: Host) -> list[bool]:
     for e in page.elements:
         if e.weak and (held := total[e.last] - total[e.first]) and 2 * held <= total[-1]:
             links = 2 * (linked[e.last] - linked[e.first]) >= held
-            if links or (_hash(page.path_text(e.path)) in host.slots if host.plenty else not page.elements[e.parent].inside):
+            if links or (_slot(page, e) in host.slots if host.plenty else not page.elements[e.parent].inside):
                 out[e.first : e.last] = [True] * (e.last - e.first)
     return out
 
@@ -134,12 +139,12 @@ def host_paths(pages: DataFrame) -> DataFrame:
     """(host, paths, slots, repeated, plenty): what the pages of a host agree on.
 
     A row a page first, copies of a page once; then counts by host and key, of which only those
-    over the shares come together by host: at most 1 / LEAST paths, and of the rest what 1 / SLOT or 1 / REPEATED pages can hold.
+    over the shares come together by host: at most 1 / LEAST paths, and of the rest what 1 / SLOT, 1 / LIKELY or 1 / REPEATED pages can hold.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: dict[str, list] = {"host": [], "digest": [], "path": [], "slots": [], "blocks": []}
+            rows: dict[str, list] = {"host": [], "digest": [], "path": [], "slots": [], "likely": [], "blocks": []}
             for host, source in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if source.as_py():
                     page = parse(source.as_py())
@@ -147,24 +152,25 @@ def host_paths(pages: DataFrame) -> DataFrame:
                     rows["host"].append(host)
                     rows["digest"].append(_hash(source.as_py()))
                     rows["path"].append(page.path_text(own.path))
-                    rows["slots"].append(list({_hash(page.path_text(e.path)) for e in page.elements if e.weak}))
-                    rows["blocks"].append(list({_hash(page.path_text(b.path), b.text) for b in page.blocks if b.links}))
-            kinds = [pa.string(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+                    rows["slots"].append(list({_slot(page, e) for e in page.elements if e.weak == 1}))
+                    rows["likely"].append(list({_slot(page, e) for e in page.elements if e.weak == 2}))
+                    rows["blocks"].append(list({_hash(b.text, page.hashes[b.path]) for b in page.blocks if b.links}))
+            kinds = [pa.string(), pa.int64(), pa.string(), *[pa.list_(pa.int64())] * 3]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows.values(), kinds, strict=True)], names=list(rows))
 
-    read = pages.select("host", "html").mapInArrow(run, "host string, digest long, path string, slots array<long>, blocks array<long>")
-    alike = read.groupBy("host", "digest").agg(*[F.first(c).alias(c) for c in ("path", "slots", "blocks")])
+    read = pages.select("host", "html").mapInArrow(run, "host string, digest long, path string, slots array<long>, likely array<long>, blocks array<long>")
+    alike = read.groupBy("host", "digest").agg(*[F.first(c).alias(c) for c in ("path", "slots", "likely", "blocks")])
     one = staged(alike, "host-pages")
     total = staged(one.groupBy("host").agg(F.count("*").alias("total")), "host-totals")
     key = F.struct(F.lit("p").alias("kind"), F.lit(0).cast("long").alias("hash"), F.col("path"))
     named = lambda kind: lambda h: F.struct(F.lit(kind).alias("kind"), h.alias("hash"), F.lit("").alias("path"))
-    proposed = [F.transform("slots", named("s")), F.transform("blocks", named("b"))]
+    proposed = [F.transform("slots", named("s")), F.transform("likely", named("l")), F.transform("blocks", named("b"))]
     counted = one.select("host", F.explode(F.concat(F.array(key), *proposed)).alias("key")).groupBy("host", "key").agg(F.count("*").alias("n"))
-    share = F.when(F.col("key.kind") == "p", LEAST).when(F.col("key.kind") == "s", SLOT).otherwise(REPEATED)
-    agreed = counted.filter("key.path != '' or key.kind != 'p'").join(total, "host").filter(F.col("n") >= F.col("total") * share)
+    share = F.when(F.col("key.kind") == "p", LEAST).when(F.col("key.kind") == "s", SLOT).when(F.col("key.kind") == "l", LIKELY).otherwise(REPEATED)
+    agreed = counted.filter("key.path != '' or key.kind != 'p'").join(total, "host").filter((F.col("n") >= F.col("total") * share) & ((F.col("n") > 1) | (F.col("key.kind") != "l")))
     of = lambda kind, value: F.collect_list(F.when(F.col("key.kind") == kind, value))
     paths = F.transform(F.array_sort(of("p", F.struct((-F.col("n")).alias("n"), F.col("key.path").alias("path")))), lambda x: x["path"])
-    found = agreed.groupBy("host").agg(paths.alias("paths"), of("s", F.col("key.hash")).alias("slots"), of("b", F.col("key.hash")).alias("repeated"))
+    found = agreed.groupBy("host").agg(paths.alias("paths"), F.collect_list(F.when(F.col("key.kind").isin("s", "l"), F.col("key.hash"))).alias("slots"), of("b", F.col("key.hash")).alias("repeated"))
     return total.join(found, "host", "left").select("host", "paths", "slots", "repeated", (F.col("total") >= PLENTY).alias("plenty"))
 
 

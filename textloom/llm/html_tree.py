@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from collections import defaultdict
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
+import xxhash
+
 # Fixed lists of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -16,6 +19,9 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"op
 LIMITS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
 #: An open p is not closed from inside these.
 SCOPES = frozenset("button caption td th table html object marquee template".split())
+#: End tags that reach through these.
+PASSING = frozenset("body html table td th tr tbody button caption".split())
+MASK = (1 << 64) - 1
 
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
@@ -23,14 +29,17 @@ ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 DIGITS = re.compile(r"\d+")
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
-# Words of class, id and role that mark what isn't the article, wherever they stand ...
+# Words of class and id that mark what isn't the article, as a class of their own or beside such words and those of ASIDE; within other
+# names ("notice-board") they only propose it ...
 CHAFF = frozenset(
     "ad ads adbox adslot adsense advert adverts advertisement advertising advertorial banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright cta disclaimer "
     "disqus footer gdpr login masthead menu menus modal nav navbar navigation navi newsletter notice notices notification offscreen outbrain overlay pager "
     "pagination paywall popup promoted promotion recommend recommended recommendations related share sharebar sharing sidebar signup skip social "
     "sponsor sponsored sponsors subscribe subscription taboola teaser toolbar tooltip topbar".split()
 )
-#: ... and words that only propose it: the host's pages decide (see html_text.judge).
+#: ... words that say nothing about what an element holds ...
+ASIDE = frozenset("site page main global local top bottom left right primary secondary container wrapper wrap box bar area list lists item items block blocks section sections panel inner outer link links button buttons icon icons row col column module slot unit form count counts post posts entry article wp js my the".split())
+#: ... and words that propose it wherever they stand: the host's pages decide (see html_text.judge).
 WEAK = frozenset("bar bookmarks discussion dropdown feedback form header hidden metadata popular promo rail reactions replies reply respond responses search side tags toc tracking trending warning widget widgets".split())
 DROPPED = frozenset("nav footer aside form button select input textarea script style noscript template svg math canvas iframe object embed dialog menu audio video map head title datalist xmp noembed noframes".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar tablist status tooltip".split())
@@ -52,7 +61,7 @@ class Element:
     parent: int
     chaff: bool
     good: bool  # an article or main element
-    weak: bool  # a word proposes that this is no part of the article
+    weak: int  # what proposes that this is no part of the article: 0 nothing, 1 a weak word, 2 a sure word within another name
     inside: bool  # in an article or main element, or in one named like an article
     depth: int
     first: int = 0  # blocks from here ...
@@ -71,12 +80,13 @@ class Block:
 
 @dataclass(slots=True)
 class Page:
-    """Elements in page order and their blocks; names: (parent path, tag and classes) of each path, so a path costs one entry."""
+    """Elements in page order and their blocks; names: (parent path, tag and classes) of each path, so a path costs one entry; hashes: of the whole paths."""
 
     elements: list[Element]
     blocks: list[Block]
     names: list[tuple[int, str]]
     places: dict[tuple[int, str], int]
+    hashes: list[int]
 
     def path_text(self, path: int) -> str:
         out = []
@@ -99,25 +109,34 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(raw)} if raw.strip(" /\n\t") else {}
 
 
-def _kind(tag: str, attrs: dict[str, str], inside: bool) -> tuple[bool, bool, bool, bool]:
+def _sure(token: str) -> tuple[bool, bool]:
+    """(only chaff, some chaff) of the words of one class or id."""
+    words = [w.lower() for w in PARTS.findall(token) if not w.isdigit()]
+    hits = [w in CHAFF or bool(COMPOUND.search(w)) for w in words]
+    return any(hits) and all(h or w in ASIDE for h, w in zip(hits, words, strict=True)), any(hits)
+
+
+def _kind(tag: str, attrs: dict[str, str], inside: bool) -> tuple[bool, bool, int, bool]:
     """(chaff, good, weak, named like an article): by tag, role, visibility and words of class and id. inside: within an article or main element."""
     if tag in DROPPED or tag == "header" and not inside:
-        return True, False, False, False
+        return True, False, 0, False
     if not attrs or tag in ("body", "html"):
-        return False, tag in ("article", "main"), False, False
+        return False, tag in ("article", "main"), 0, False
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in ROLES:
-        return True, False, False, False
+        return True, False, 0, False
     style = attrs.get("style", "").replace(" ", "").lower()
     if "display:none" in style or "visibility:hidden" in style:
-        return True, False, False, False
-    named = f"{attrs.get('class', '')} {attrs.get('id', '')}"
-    words = {w.lower() for w in PARTS.findall(named)}
+        return True, False, 0, False
+    tokens = [*attrs.get("class", "").split(), *attrs.get("id", "").split()]
+    words = {w.lower() for t in tokens for w in PARTS.findall(t)}
     strong = tag in ("article", "main") or attrs.get("role") in ("main", "article") or attrs.get("itemprop") == "articleBody"
     wanted = strong or bool(words & GOOD)
-    sure = bool(words & CHAFF) or any(COMPOUND.search(w) for w in words)
-    if (sure or words & WEAK) and (not wanted or words & ALWAYS and not words & BESIDES):
-        return sure, False, not sure, False
-    return False, strong, False, wanted
+    found = [_sure(t) for t in tokens]
+    sure, some = any(f[0] for f in found), any(f[1] for f in found)
+    if (some or words & WEAK) and (not wanted or words & ALWAYS and not words & BESIDES):
+        # within a line, a word proposes nothing: what an inline element holds belongs to its sentence
+        return sure, False, 0 if sure or tag not in BLOCK else 2 if some else 1, False
+    return False, strong, 0, wanted
 
 
 def _general(name: str) -> str:
@@ -127,17 +146,22 @@ def _general(name: str) -> str:
 
 def parse(source: str) -> Page:
     """Read a page. Blocks end at block elements; white space in a block is one space; references are decoded."""
-    elements = [Element("#root", 0, -1, False, False, False, False, 0)]
+    elements = [Element("#root", 0, -1, False, False, 0, False, 0)]
     blocks: list[Block] = []
     names: list[tuple[int, str]] = [(-1, "")]
     places: dict[tuple[int, str], int] = {}
-    stack, open_tags = [0], Counter()
+    hashes = [0]
+    # open elements; the places in it of each tag, of blocks and of scopes, so that nothing is ever searched for
+    stack, where, blocks_at, scopes_at = [0], defaultdict(list), [], []
     text: list[str] = []
     at, n, lower = 0, len(source), None
-    link, linked, good_open = 0, 0, 0  # open links; characters of the block inside links; open article and main elements
+    # open links; characters of the block inside links; open article and main elements; open inline elements that are dropped with all in them
+    link, linked, good_open, muted = 0, 0, 0, 0
 
     def flush() -> None:
         nonlocal linked
+        if muted:  # a dropped part of a line doesn't end the line
+            return
         if text:
             body = " ".join("".join(text).split())
             text.clear()
@@ -149,23 +173,33 @@ def parse(source: str) -> Page:
 
     def close(upto: int) -> None:
         """Close elements from the top of the stack down to this place in it."""
-        nonlocal link, good_open
+        nonlocal link, good_open, muted
         while len(stack) > upto:
             e = elements[stack[-1]]
-            if e.tag in BLOCK or e.chaff != elements[e.parent].chaff or e.weak:
+            if e.tag in BLOCK:
                 flush()
+                blocks_at.pop()
+            elif e.chaff and not elements[e.parent].chaff:
+                muted -= 1
             link -= e.tag == "a"
             good_open -= e.good
-            open_tags[e.tag] -= 1
+            where[e.tag].pop()
+            if e.tag in SCOPES:
+                scopes_at.pop()
             e.last = len(blocks)
             stack.pop()
 
+    def above_all(tags: Iterable[str]) -> int:
+        """The highest place of an open element with one of these tags; 0 if there is none."""
+        return max((where[t][-1] for t in tags if where[t]), default=0)
+
     while at < n:
         lt = source.find("<", at)
         if lt < 0:
-            text.append(html.unescape(source[at:]))
+            if not muted:
+                text.append(html.unescape(source[at:]))
             break
-        if lt > at:
+        if lt > at and not muted:
             piece = source[at:lt]
             text.append(html.unescape(piece) if "&" in piece else piece)
             linked += len(text[-1]) if link else 0
@@ -176,7 +210,8 @@ def parse(source: str) -> Page:
                 at = n if end < 0 else end + 3
             elif source.startswith("<![CDATA[", lt):
                 end = source.find("]]>", lt)
-                text.append(source[lt + 9 : end if end >= 0 else n])
+                if not muted:
+                    text.append(source[lt + 9 : end if end >= 0 else n])
                 at = n if end < 0 else end + 3
             else:
                 end = source.find(">", lt)
@@ -192,7 +227,8 @@ def parse(source: str) -> Page:
                 if mark == "/" and (end := source.find(">", lt)) >= 0:
                     at = end + 1
                     continue
-                text.append("<")
+                if not muted:
+                    text.append("<")
                 at = lt + 1
             else:  # a tag that never ends: what follows isn't text
                 at = n
@@ -202,35 +238,24 @@ def parse(source: str) -> Page:
         if m[1]:
             if tag == "br":
                 text.append(" ")
-            elif not open_tags[tag]:
+            elif not where[tag]:
                 if tag == "p":
                     flush()
             else:
-                for k in range(len(stack) - 1, 0, -1):
-                    if elements[stack[k]].tag == tag:
-                        close(k)
-                        break
-                    if tag not in BLOCK and elements[stack[k]].tag in BLOCK:
-                        break  # an inline end tag doesn't close blocks
-                    if elements[stack[k]].tag in SCOPES and tag not in ("body", "html", "table", "td", "th", "tr", "tbody", "button", "caption", elements[stack[k]].tag):
-                        break
-            continue
-        if tag in CLOSES_P and open_tags["p"]:
-            for k in range(len(stack) - 1, 0, -1):
-                if elements[stack[k]].tag == "p":
+                k = where[tag][-1]
+                inline = tag not in BLOCK and tag not in DROPPED and blocks_at and blocks_at[-1] > k  # an inline end tag doesn't close blocks
+                barred = tag not in PASSING and scopes_at and scopes_at[-1] > k
+                if not inline and not barred:
                     close(k)
-                    break
-                if elements[stack[k]].tag in SCOPES:
-                    break
-        if tag in SIBLINGS and any(open_tags[t] for t in SIBLINGS[tag]):
-            for k in range(len(stack) - 1, 0, -1):
+            continue
+        if tag in CLOSES_P and where["p"] and (not scopes_at or scopes_at[-1] < where["p"][-1]):
+            close(where["p"][-1])
+        if tag in SIBLINGS:
+            while (k := above_all(SIBLINGS[tag])) > above_all(LIMITS[tag]):
                 own = elements[stack[k]].tag
-                if own in LIMITS[tag]:
+                close(k)
+                if tag not in ("tr", "tbody", "thead", "tfoot") or own in ("tr", "tbody", "thead"):
                     break
-                if own in SIBLINGS[tag]:
-                    close(k)
-                    if tag not in ("tr", "tbody", "thead", "tfoot") or own in ("tr", "tbody", "thead"):
-                        break
         if tag == "br":
             text.append(" ")
             continue
@@ -242,7 +267,7 @@ def parse(source: str) -> Page:
         above = elements[parent]
         attrs = _attributes(m[3])
         chaff, good, weak, named = _kind(tag, attrs, good_open > 0)
-        if tag in BLOCK or weak or (chaff and not above.chaff):
+        if tag in BLOCK:
             flush()
         path = above.path
         if tag in BLOCK:
@@ -250,8 +275,9 @@ def parse(source: str) -> Page:
             path = places.setdefault(key, len(names))
             if path == len(names):
                 names.append(key)
+                hashes.append(xxhash.xxh64_intdigest(key[1].encode("utf-8", "surrogatepass"), hashes[key[0]] & MASK))
         good = good and not above.chaff
-        e = Element(tag, path, parent, above.chaff or chaff, good, weak and not above.chaff, above.inside or good or named, above.depth + 1, len(blocks), len(blocks))
+        e = Element(tag, path, parent, above.chaff or chaff, good, 0 if above.chaff else weak, above.inside or good or named, above.depth + 1, len(blocks), len(blocks))
         elements.append(e)
         above.children.append(len(elements) - 1)
         if tag in RAW:
@@ -266,11 +292,17 @@ def parse(source: str) -> Page:
                 at = n if close_at < 0 else close_at + 1
             continue
         # a slash at a tag's end closes nothing but what is void anyway
+        where[tag].append(len(stack))
+        if tag in BLOCK:
+            blocks_at.append(len(stack))
+        elif chaff and not above.chaff:
+            muted += 1
+        if tag in SCOPES:
+            scopes_at.append(len(stack))
         stack.append(len(elements) - 1)
-        open_tags[tag] += 1
         link += tag == "a"
         good_open += good
     close(1)
     flush()
     elements[0].last = len(blocks)
-    return Page(elements, blocks, names, places)
+    return Page(elements, blocks, names, places, hashes)
