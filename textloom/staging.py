@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +18,9 @@ KEY = "spark.checkpoint.dir"
 #: A table of at most so many rows may be broadcast.
 SMALL = 200_000
 _made: list[str] = []
+_scope: ContextVar[list[str] | None] = ContextVar("textloom_scope", default=None)
+#: Nodes of a logical plan whose rows have been dealt out already, or stand in the driver.
+DEALT = frozenset("Join Aggregate Sort Window WindowGroupLimit Repartition RepartitionByExpression RebalancePartitions Distinct Deduplicate LocalRelation LogicalRDD FlatMapGroupsInPandas FlatMapGroupsInArrow FlatMapCoGroupsInPandas FlatMapCoGroupsInArrow GlobalLimit".split())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,9 +37,24 @@ def shared_dir(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, tag: str) -> str:
     path = f"{shared_dir(spark)}/textloom-{tag}-{uuid.uuid4().hex}"
     _made.append(path)
+    if (scope := _scope.get()) is not None:
+        scope.append(path)
     return path
 
 
+@contextmanager
+def scope() -> Iterator[list[str]]:
+    """The paths that this thread makes inside; an outer scope gets them, too, when it ends."""
+    made: list[str] = []
+    outer, token = _scope.get(), _scope.set(made)
+    try:
+        yield made
+    finally:
+        _scope.reset(token)
+        if outer is not None:
+            outer += made
+
+
 def staged(df: DataFrame, tag: str) -> DataFrame:
     """Write `df` to the shared folder once and return the written table."""
     path = new_path(df.sparkSession, tag)
@@ -41,14 +62,19 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _dealt(plan) -> bool:
+    """Whether the rows of a plan come from more than scans; nodes are told by their types, so names of columns don't matter."""
+    children = plan.children()
+    return plan.getClass().getSimpleName() in DEALT or any(_dealt(children.apply(k)) for k in range(children.size()))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A plain scan that Spark reads in fewer tasks than there are cores, dealt over all cores; anything else as it is.
 
     Files of a single row group can't be split, and costly work on their rows would keep one core busy.
     Large tables have more splits than cores and are never moved.
     """
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    if df.isStreaming or any(word in plan for word in ("Join", "Aggregate", "Sort", "Window", "Repartition", "Distinct", "LocalRelation", "LogicalRDD")):
+    if df.isStreaming or _dealt(df._jdf.queryExecution().optimizedPlan()):
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
@@ -59,10 +85,10 @@ def held() -> frozenset[str]:
     return frozenset(_made)
 
 
-def clear(spark: SparkSession, keep: frozenset[str] = frozenset()) -> int:
-    """Delete what this process has written here, but for `keep`; once results derived from it are stored."""
+def clear(spark: SparkSession, keep: frozenset[str] = frozenset(), only: frozenset[str] | None = None) -> int:
+    """Delete what this process has written here (of that, `only` these), but for `keep`; once results derived from it are stored."""
     conf = spark._jsc.hadoopConfiguration()
-    gone = [name for name in _made if name not in keep]
+    gone = [name for name in _made if name not in keep and (only is None or name in only)]
     for name in gone:
         path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
