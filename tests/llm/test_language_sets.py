@@ -71,3 +71,12 @@ def test_em_is_the_plain_one():
     like = sum(np.log(sum(s * np.exp(float(m.logp[t, k])) for s, k in zip(share, members, strict=True))) for t in tokens)
     got = m.mixture(at, n, members)
     assert np.allclose(got[1], share, atol=1e-6) and abs(got[0] - like) < 1e-3
+
+
+def test_too_many_languages_are_an_error(spark):
+    import pytest
+
+    rows = spark.createDataFrame([(k, "some words of a text", f"l{k}") for k in range(9)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="not a column of languages"):
+        language.fit(rows, language.learnable(), most=3)
+    assert len(language.fit(rows, language.learnable()).langs) > 3

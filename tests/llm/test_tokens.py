@@ -85,13 +85,24 @@ def test_token_files_hard(spark, hard, empty, tmp_path):
     got = token_file.read_token_files(spark, written, with_ids=True).collect()
     assert [(r["doc_id"], r["ids"]) for r in sorted(got, key=lambda r: r["start"])] == [(d, i) for (d, _), i in zip(rows, brute.whole_ids(BYTES, [t for _, t in rows], 2), strict=True)]
     assert len(written.files) >= 2 and token_file.TokenFiles.load(str(tmp_path / "t")).files == written.files
-    # ranges and files of any size hold the same ids in the same order; nothing else stays in the folder
-    (tmp_path / "s").mkdir()
-    (tmp_path / "s" / "ids-left-by-a-lost-task.tok").write_bytes(b"x")
+    # ranges and files of any size hold the same ids in the same order; foreign files and those of other runs stay
+    (tmp_path / "s" / "run-of-another").mkdir(parents=True)
+    foreign = [tmp_path / "s" / "mine.txt", tmp_path / "s" / "ids-mine.tok", tmp_path / "s" / "run-of-another" / "ids-0.tok"]
+    for f in foreign:
+        f.write_bytes(b"x")
     small = token_file.write_token_files(hard, BYTES, 2, str(tmp_path / "s"), range_bytes=1000, file_bytes=30_000)
     again = token_file.read_token_files(spark, small, with_ids=True).collect()
     assert [(r["doc_id"], r["ids"]) for r in sorted(again, key=lambda r: r["start"])] == [(r["doc_id"], r["ids"]) for r in sorted(got, key=lambda r: r["start"])]
-    assert len(small.files) > len(written.files) and {p.name for p in (tmp_path / "s").iterdir()} == {p.rsplit("/", 1)[-1] for p, *_ in small.files} | {token_file.MANIFEST}
+    assert len(small.files) > len(written.files) and all(f.exists() for f in foreign)
+    (folder,) = {p.rsplit("/", 2)[-2] for p, *_ in small.files}
+    own = tmp_path / "s" / folder
+    for name in ("ids-left-by-a-lost-task.tok", "notes.txt"):
+        (own / name).write_bytes(b"x")
+    token_file._tidy(small, folder)
+    assert {p.name for p in own.iterdir()} == {p.rsplit("/", 1)[-1] for p, *_ in small.files} | {"notes.txt"}
+    later = token_file.write_token_files(hard, BYTES, 2, str(tmp_path / "s"))
+    assert token_file.TokenFiles.load(str(tmp_path / "s")).files == later.files
+    assert token_file.read_token_files(spark, small).count() == len(again)
     assert token_file.read_token_files(spark, token_file.write_token_files(empty, BYTES, 2, str(tmp_path / "e"))).count() == 0
 
 

@@ -22,6 +22,8 @@ BITS = 15
 BUCKETS = 2 << BITS
 #: Expected number of labelled rows, of each language, that the model is fitted on.
 SAMPLE = 3000
+#: Languages that a model may have; BUCKETS numbers each stand on the driver and in every worker.
+MOST = 256
 ROUNDS = 10
 #: Log-likelihood that another language must add, per log of the n-gram count: overlapping n-grams overstate gains.
 PENALTY = 12.0
@@ -120,13 +122,17 @@ class LanguageModel:
         return self.langs[chosen[top]], score, sorted(((self.langs[k], float(s)) for k, s in zip(chosen, share, strict=True)), key=lambda x: -x[1])
 
 
-def fit(docs: DataFrame, usable: Column, sample: int = SAMPLE) -> LanguageModel:
+def fit(docs: DataFrame, usable: Column, sample: int = SAMPLE, most: int = MOST) -> LanguageModel:
     """Fit on about `sample` usable labelled rows of each language, picked by a hash of doc_id.
 
+    More than `most` different labels are an error, so the model's size has a bound: a number for each of BUCKETS and language.
+
     Rows without text, language or doc_id teach nothing; rows that repeat a doc_id are taken or left together. n-grams are counted on the executors; the driver receives at most BUCKETS counts a language.
     """
     rows = docs.select("doc_id", "text", "lang").filter(usable & F.col("lang").isNotNull())
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(most + 1).collect()}
+    if len(sizes) > most:
+        raise ValueError(f"lang has more than {most} values: not a column of languages, or `most` must be raised")
     if not sizes:
         return LanguageModel((), np.empty((BUCKETS, 0), np.float32))
     limit = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1_000_000, -(-sample * 1_000_000 // n)))])

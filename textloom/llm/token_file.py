@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import json
 import struct
+import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -184,9 +185,11 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, root: str,
 
     A null text is an empty one. Rows with a null doc_id are left out, for there is no place for
     them in the order. Rows that repeat a doc_id stand next to each other, sorted by their ids' bytes. An
-    empty table gives no files. `files`: at least so many ranges; a file is closed at `file_bytes` of ids.
+    empty table gives no files. Files go to a folder of this run's own below `root`; the manifest in `root` names those of the last run, and
+    what else lies there is left alone. `files`: at least so many ranges; a file is closed at `file_bytes` of ids.
     """
     spark = docs.sparkSession
+    run = f"run-{uuid.uuid4().hex}"
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("doc_id is not null")
     if files is not None:
         range_bytes = max(1, own.agg(F.coalesce(F.sum(F.octet_length("text").cast("long") + 16), F.lit(0))).first()[0] // files)
@@ -217,9 +220,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, root: str,
     ranged = spread(own).mapInArrow(encode, "range_no int, doc_id long, ids binary").repartitionById(len(bounds) + 1, F.col("range_no")).sortWithinPartitions("range_no", "doc_id", "ids")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import uuid
-
-        system, folder = _open(root)
+        system, folder = _open(f"{root}/{run}")
         scheme = root.split("://")[0] + "://" if "://" in root else ""
         out = sink = name = None
         done: list[tuple[str, int, int, int, int]] = []
@@ -253,18 +254,18 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, root: str,
         start += r["n_tokens"]
     written = TokenFiles(root, found)
     written.store()
-    _tidy(written)
+    _tidy(written, run)
     return written
 
 
-def _tidy(written: TokenFiles) -> None:
-    """Delete files that attempts have left which didn't finish or weren't the first to."""
+def _tidy(written: TokenFiles, run: str) -> None:
+    """Delete token files of this run that attempts have left which didn't finish or weren't the first to; no other run's and no foreign files."""
     from pyarrow import fs
 
-    system, folder = _open(written.root)
-    known = {p.rsplit("/", 1)[-1] for p, *_ in written.files} | {MANIFEST}
+    system, folder = _open(f"{written.root}/{run}")
+    known = {p.rsplit("/", 1)[-1] for p, *_ in written.files}
     for info in system.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
-        if info.type == fs.FileType.File and info.base_name not in known:
+        if info.type == fs.FileType.File and info.base_name.startswith("ids-") and info.base_name.endswith(".tok") and info.base_name not in known:
             system.delete_file(info.path)
 
 
