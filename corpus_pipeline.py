@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm import decontaminate, exact_dedup, language, packing, simhash
 from textloom.llm.queries import table, vocabulary
-from textloom.llm.scratch import clear, held, staged
+from textloom.llm.scratch import clear, scope, staged
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -52,9 +52,11 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages; what a stage has written on its way is deleted once its result is stored."""
-    docs, before = table(spark, sf_dir, "documents"), held()
+    docs = table(spark, sf_dir, "documents")
+    done: list[str] = []
     for name, stage in STAGES:
-        result, own = stage(spark, docs, sf_dir), held()
-        docs = staged(result, f"stage-{name}")
-        clear(spark, keep=before | (held() - own))
+        with scope() as made:
+            docs = staged(stage(spark, docs, sf_dir), f"stage-{name}")
+        clear(spark, only=frozenset(done + made[:-1]))
+        done = made[-1:]
     return docs
