@@ -240,6 +240,22 @@ def test_budget_is_the_loop(spark, made, limit):
     assert ({r["path"] for r in got if r["outlined"]}, {r["path"] for r in got if not r["kept"]}) == want
 
 
+@pytest.mark.parametrize("outlines", [True, False])
+def test_windows_and_ranges_agree(spark, monkeypatch, outlines):
+    """However large a repository is held to be, and with repeated rows, the same files are outlined and dropped."""
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "a", "b", None]), f"{rng.choice(['tests/', 'docs/', 'm/'])}f{rng.randrange(60):02d}.rs", "x" * rng.randrange(300)) for _ in range(200)]
+    own = spark.createDataFrame([(r, p, p.split("/"), len(c), c, None, False) for r, p, c in rows + rows[:20]], FILE)
+    lined = F.concat(F.lit("y"), F.substring("content", 1, 40)) if outlines else None
+    for limit in (10, 700, 3000, 10**6):
+        fit = lambda: sorted(map(str, budget.fit_budget(own, limit, lined).collect()))
+        want = fit()
+        monkeypatch.setattr(budget, "FEW", 10)
+        monkeypatch.setattr(budget, "SMALL", 1)
+        assert fit() == want
+        monkeypatch.undo()
+
+
 def test_stream(spark, tmp_path):
     from textloom.streaming.rows import pack_stream, transform_stream
 

@@ -30,7 +30,7 @@ def line_range(data: Column, starts: Column, first: Column, count: Column) -> Co
     begin = F.get(starts, (F.greatest(first, F.lit(1)) - 1).cast("int"))
     end = F.coalesce(F.get(starts, (F.greatest(first, F.lit(1)) - 1 + F.greatest(count, F.lit(0))).cast("int")), F.octet_length(data).cast("bigint"))
     cut = F.substring(data, (begin + 1).cast("int"), (end - begin).cast("int"))
-    return F.when(data.isNotNull(), F.coalesce(cut, F.lit(b"")))
+    return F.when(data.isNotNull(), F.coalesce(cut, F.unhex(F.lit(""))))
 
 
 def without_end(line: Column) -> Column:

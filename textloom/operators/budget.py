@@ -4,8 +4,10 @@ Files are ordered by tier, then tokens, size and path, all three descending. Fir
 contents: a file is outlined if that saves tokens and the total less the savings of the files
 before is still over the budget. Then files are dropped in the (new) order by the same rule. As
 savings and sizes only add up, each phase ends at one key per repository: everything before it is
-outlined (or dropped), nothing behind it. These cuts are found on stored keys, without contents (see
-`order`), and a last scan compares each file with the cuts of its repository. Only files that will
+outlined (or dropped), nothing behind it. These cuts are found on stored keys of the repositories that are
+over the budget, without contents, and a last scan compares each file with the cuts of its repository. Keys of a
+repository go through windows in one task while they are known to be few; where a repository has more,
+all go through ranges (see `order`), with the same outcome. Only files that will
 be outlined, or may be in a repository over its budget, reach the outline function.
 """
 
@@ -13,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, tokens
@@ -26,8 +28,38 @@ def _key(tok: Column, size: Column) -> Column:
     return F.struct((-F.col("tier")).alias("rank"), tok.alias("tok"), size.alias("size"), F.col("path_parts").alias("path_parts"))
 
 
-def _lookup(table: DataFrame) -> DataFrame:
-    return F.broadcast(table) if table.limit(SMALL + 1).count() <= SMALL else table
+#: Files of a repository whose keys one task may sort.
+FEW = 200_000
+
+
+def _after(keys: DataFrame, cut_1: Column) -> DataFrame:
+    """`keys` with key_1: what a file's key becomes when those up to the first cut are outlined."""
+    taken = (F.col("saving") > 0) & F.coalesce(F.col("key_0") >= cut_1, F.lit(False))
+    tok_1 = F.col("key_0.tok") - F.when(taken, F.col("saving")).otherwise(F.lit(0))
+    return keys.withColumn("key_1", _key(tok_1, F.when(taken, F.col("size_o")).otherwise(F.col("key_0.size"))))
+
+
+def _cuts_in_windows(keys: DataFrame, totals: DataFrame, budget: int, repo: str) -> DataFrame:
+    """(repo, cut_1, cut_2): both phases over each repository's keys."""
+    whole = Window.partitionBy(repo)
+    before = lambda key, value: F.coalesce(F.sum(value).over(whole.orderBy(F.col(key).desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = same_keys(keys, totals, [repo]).withColumn("spent", before("key_0", F.col("saving")) < F.col("total_0") - budget)
+    first = first.withColumn("cut_1", F.min(F.when(F.col("spent"), F.col("key_0"))).over(whole))
+    second = _after(first, F.col("cut_1"))
+    second = second.withColumn("spent", before("key_1", F.col("key_1.tok")) < F.sum("key_1.tok").over(whole) - budget)
+    return second.groupBy(repo).agg(F.first("cut_1").alias("cut_1"), F.min(F.when(F.col("spent"), F.col("key_1"))).alias("cut_2"))
+
+
+def _cuts_in_ranges(keys: DataFrame, totals: DataFrame, budget: int, repo: str, small: bool) -> DataFrame:
+    """As `_cuts_in_windows`, for repositories of any size."""
+    lookup = F.broadcast if small else lambda t: t
+    stored = ranged(keys, repo, F.col("key_0").desc(), "outline-keys", stored=True)
+    cut_1 = staged(last_spent(stored, repo, "key_0", "saving", totals.select(repo, (F.col("total_0") - budget).alias("need"))).withColumnRenamed("cut", "cut_1"), "outline-cuts")
+    after = _after(same_keys(stored.drop("range_no"), lookup(cut_1), [repo], "left"), F.col("cut_1")).select(repo, "key_1")
+    second = ranged(after, repo, F.col("key_1").desc(), "fitted-keys").withColumn("tok_1", F.col("key_1.tok"))
+    left = second.groupBy(repo).agg((F.sum("tok_1") - budget).alias("need"))
+    cut_2 = last_spent(second, repo, "key_1", "tok_1", left).withColumnRenamed("cut", "cut_2")
+    return same_keys(same_keys(totals.select(repo), cut_1, [repo], "left"), cut_2, [repo], "left")
 
 
 def fit_budget(files: DataFrame, budget: int, outline: Column | None = None, factor: float = 1.0, repo: str = "repo_id", count: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -43,8 +75,10 @@ def fit_budget(files: DataFrame, budget: int, outline: Column | None = None, fac
     whole = files.withColumn("content", F.coalesce(F.col("content"), F.lit(""))).withColumn("tier", paths.compression_tier(F.col("path")))
     own = whole.withColumn("tok_0", F.coalesce(F.col("token_count"), count(F.when(F.col("token_count").isNull(), F.col("content")))) if "token_count" in files.columns else count(F.col("content")))
     own = own.withColumn("key_0", _key(F.col("tok_0"), size_of("content")))
-    first = staged(own.select(repo, "key_0"), "budget-keys")
-    totals = staged(first.groupBy(repo).agg(F.sum("key_0.tok").alias("total_0")).filter(F.col("total_0") > budget), "over-budget")
+    totals = staged(own.groupBy(repo).agg(F.sum("tok_0").alias("total_0"), F.count("*").alias("n_files")).filter(F.col("total_0") > budget), "over-budget")
+    n_repos, most = totals.agg(F.count("*"), F.max("n_files")).first()
+    small = n_repos <= SMALL
+    lookup = F.broadcast if small else lambda t: t
 
     def outlined_in(rows: DataFrame, wanted: Column) -> DataFrame:
         """outline_text and saving (0: none) of the wanted rows; the others' contents don't reach the outline."""
@@ -54,25 +88,15 @@ def fit_budget(files: DataFrame, budget: int, outline: Column | None = None, fac
         smaller = (size_of("outline_text") < size_of("content")) & (F.col("tok_o") < F.col("tok_0"))
         return asked.withColumn("saving", F.when(F.coalesce(smaller, F.lit(False)), F.col("tok_0") - F.col("tok_o")).otherwise(F.lit(0)).cast("bigint"))
 
-    need = lambda total: totals.select(repo, (total - budget).alias("need"))
-    cut_1 = None
-    if outline is not None and not totals.isEmpty():
-        over = outlined_in(same_keys(own, _lookup(totals.select(repo)), [repo]), F.lit(True))
-        savings = ranged(over.select(repo, "tier", "path_parts", "key_0", "tok_0", "saving", size_of("outline_text").alias("size_o")), repo, F.col("key_0").desc(), "outline-keys")
-        cut_1 = staged(last_spent(savings, repo, "key_0", "saving", need(F.col("total_0"))).withColumnRenamed("cut", "cut_1"), "outline-cuts")
-        taken = (F.col("saving") > 0) & F.coalesce(F.col("key_0") >= F.col("cut_1"), F.lit(False))
-        after = same_keys(savings.drop("range_no"), _lookup(cut_1), [repo], "left").withColumn("taken", taken)
-        after = after.withColumn("tok_1", F.col("tok_0") - F.when(F.col("taken"), F.col("saving")).otherwise(F.lit(0)))
-        after = after.select(repo, _key(F.col("tok_1"), F.when(F.col("taken"), F.col("size_o")).otherwise(F.col("key_0.size"))).alias("key_1"))
-        second = ranged(after, repo, F.col("key_1").desc(), "fitted-keys")
+    if n_repos:
+        over = same_keys(own, lookup(totals.select(repo)), [repo])
+        over = outlined_in(over, F.lit(True)).withColumn("size_o", size_of("outline_text")) if outline is not None else over.withColumns({"saving": F.lit(0).cast("bigint"), "size_o": F.lit(None).cast("bigint")})
+        keys = staged(over.select(repo, "tier", "path_parts", "key_0", "saving", "size_o"), "budget-keys")
+        cuts = _cuts_in_windows(keys, totals, budget, repo) if most <= FEW else _cuts_in_ranges(keys, totals, budget, repo, small)
+        decided = same_keys(own, lookup(staged(cuts, "cuts")), [repo], "left")
     else:
-        second = ranged(same_keys(first, _lookup(totals.select(repo)), [repo]).withColumnRenamed("key_0", "key_1"), repo, F.col("key_1").desc(), "budget-keys", stored=True)
-    second = second.withColumn("tok_1", F.col("key_1.tok"))
-    left = second.groupBy(repo).agg((F.sum("tok_1") - budget).alias("need"))
-    cut_2 = last_spent(second, repo, "key_1", "tok_1", left).withColumnRenamed("cut", "cut_2")
-    cuts = same_keys(totals.select(repo), cut_2, [repo], "left")
-    cuts = staged(same_keys(cuts, cut_1, [repo], "left") if cut_1 is not None else cuts.withColumn("cut_1", F.lit(None).cast(own.schema["key_0"].dataType)), "cuts")
-    decided = same_keys(own, _lookup(cuts), [repo], "left")
+        none = F.lit(None).cast(own.schema["key_0"].dataType)
+        decided = own.withColumns({"cut_1": none, "cut_2": none})
     if outline is not None:
         reached = F.coalesce(F.col("key_0") >= F.col("cut_1"), F.lit(False))
         fitted = outlined_in(decided.withColumn("reached", reached), F.col("reached")).withColumn("outlined", F.col("saving") > 0)
