@@ -85,6 +85,82 @@ def test_toxicity_generalises():
     assert all(scores[w] >= toxicity.THRESHOLD for w in hidden[:4]), scores
 
 
+def plain_kernel(one, other):
+    """By definition: common sequences of four symbols within the span, over the strings' masses."""
+    from itertools import combinations
+
+    def weights(s):
+        out = {}
+        for at in combinations(range(len(s)), 4):
+            if at[3] - at[0] < toxicity.SPAN:
+                key = bytes(s[k] for k in at)
+                out[key] = out.get(key, 0) + toxicity.DECAY ** (at[3] - at[0] + 1)
+        return out
+
+    def mass(n):
+        n = min(max(n, 4), toxicity.LONG)
+        return sum(toxicity.DECAY ** (2 * (at[3] + 1)) for k in range(n) for at in combinations(range(min(toxicity.SPAN, n - k)), 4) if at[0] == 0) ** 0.5
+
+    a, b = weights(one), weights(other)
+    return sum(v * b.get(k, 0) for k, v in a.items()) / mass(len(one)) / mass(len(other))
+
+
+def test_toxicity_scores_are_the_plain_ones(spark):
+    """The fit on tables is the fit in one process; its coefficients are the optimum; scores follow from the kernel by definition."""
+    train = toxic_corpus(150, 4)
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, (t, _) in enumerate(train)] + [(900, None, "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(k, y) for k, (_, y) in enumerate(train)] + [(900, 0)], "doc_id long, toxic int")
+    from pyspark.sql import functions as F
+
+    halves = {r["doc_id"]: r["h"] for r in labels.select("doc_id", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(2)).alias("h")).collect()}
+    order = [(t, y, halves[k]) for k, (t, y) in enumerate(train)] + [(None, 0, halves[900])]
+    mine = toxicity.fit(docs, labels, F.lit(True))
+    # the same in this process, with the same halves
+    groups = [2 * h + y for _, y, h in order]
+    words, n = toxicity.word_counts([t for t, _, _ in order], groups, 4)
+    sizes = np.bincount(groups, minlength=4)
+    both, total = n[:2] + n[2:], sizes[:2] + sizes[2:]
+    odds = np.log((both[1] + 0.5) / (total[1] + 1)) - np.log((both[0] + 0.5) / (total[0] + 1))
+    by = sorted(range(len(words)), key=lambda k: (-odds[k] * np.sqrt(both[:, k].sum()), -both[:, k].sum(), words[k]))
+    telling = [words[k] for k in by if odds[k] > 0.5][: 3 * toxicity.LANDMARKS]
+    common = sorted((k for k in range(len(words)) if odds[k] < 0.5), key=lambda k: (-both[:, k].sum(), words[k]))[: 2 * toxicity.LANDMARKS]
+    marks = toxicity.landmarks(telling, [words[k] for k in common])
+    whiten = toxicity.whitening(marks)
+    phi = np.array([[plain_kernel(w, m) for m in marks] for w in words]) @ whiten
+    foul, clean = toxicity.aims(both.T.astype(float), total)
+    assert (foul > 0).any() and (clean > 0).all()
+    (w,) = toxicity.newton(lambda ws: [toxicity.equations(phi, foul, clean, ws[0])], len(marks) + 1, 1)
+    rows = np.hstack((phi, np.ones((len(phi), 1))))
+    decided = rows @ w
+    slope = rows.T @ (-np.maximum(0, 1 - decided) * foul + np.maximum(0, 1 + decided) * clean) + np.append(toxicity.RIDGE * w[:-1], 1e-6 * w[-1])
+    assert np.abs(slope).max() < 1e-6 * (foul.sum() + clean.sum())
+    symbols_to_text = {toxicity.cleaned(x): x for t, _, _ in order for x in (t or "").split()}
+    texts = [symbols_to_text[x] for x in words]
+    assert np.allclose(mine.words(texts), np.maximum(toxicity.FLOOR, decided), atol=2e-3)
+    # a text's score is the logistic of its two highest words
+    a, b, c = mine.logistic
+    want = {}
+    value = dict(zip(texts, mine.words(texts)))
+    for k, (t, _, _) in enumerate(order[:-1]):
+        top = sorted((value.get(x, toxicity.FLOOR) for x in t.split()), reverse=True)[:2]
+        want[k] = 1 / (1 + np.exp(-(a * top[0] + b * top[1] + c)))
+    scores = {r["doc_id"]: r["score"] for r in toxicity.toxicity(docs, mine).collect()}
+    assert all(abs(scores[k] - v) < 1e-9 for k, v in want.items())
+
+
+def test_toxicity_with_one_half_lacking_a_class(spark):
+    from pyspark.sql import functions as F
+
+    train = toxic_corpus(40, 5)
+    halves = {r["id"]: r["h"] for r in spark.range(40).select("id", F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(2)).alias("h")).collect()}
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(train)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, y if halves[k] else 0) for k, (_, y) in enumerate(train)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, F.lit(True))
+    assert np.isfinite(model.weights).all() and np.isfinite(model.logistic).all()
+    blank = spark.createDataFrame([(0, "1 2 3"), (1, "a b")], "doc_id long, text string")
+    assert toxicity.fit(blank, spark.createDataFrame([(0, 0), (1, 1)], "doc_id long, toxic int"), F.lit(True)).score(9.0, 9.0) < toxicity.THRESHOLD
+
+
 def test_toxicity_hard(spark, hard, empty):
     m = toxicity.fit_texts(*map(list, zip(*toxic_corpus(60, 3), strict=True)))
     got = toxicity.toxicity(hard, m).collect()

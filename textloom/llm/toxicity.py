@@ -9,7 +9,9 @@ length can have, which keeps it positive semidefinite.
 
 Words of labelled sentences carry the sentence's label. Landmarks are picked among them; the
 Nystroem map turns a word into its kernel values with the landmarks, whitened; a squared-hinge
-linear SVM separates toxic from clean occurrences. As the decision is linear in the landmarks'
+linear SVM separates toxic from clean occurrences of all words of the sample. Tasks map the words once and
+store that; in each Newton step they sum up their words' normal equations, and the driver, which never holds a
+word but the landmarks, solves for one coefficient a landmark. As the decision is linear in the landmarks'
 kernels, it folds into one weight per feature, and a word's score is a sum over its subsequences:
 whole texts are scored at a cost in proportion to their distinct words. A text's score is a
 logistic function of its two most toxic words.
@@ -18,7 +20,7 @@ logistic function of its two most toxic words.
 from __future__ import annotations
 
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,9 +32,9 @@ from .scratch import spread, staged
 
 #: Labelled documents of each class that are read for fitting, lowest hash of doc_id first; each is read whole.
 SAMPLE = 3000
-#: Distinct words of these that the SVM is fitted on, those in most texts first: the bound on what the driver holds.
-WORDS = 40_000
 LANDMARKS = 320
+#: Words that are mapped at a time.
+BLOCK = 2000
 #: Landmarks are less alike than this (cosine of their kernel).
 ALIKE_MOST = 0.8
 DECAY = 0.8
@@ -178,25 +180,40 @@ def unlike(strings: list[bytes], most: int) -> list[int]:
     return out
 
 
-def squared_hinge(x: np.ndarray, place: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
-    """Linear SVM (last coefficient: intercept) by Newton steps on the squared hinge loss, over the rows x[place], a block at a time."""
-    n = x.shape[1] + 1
-    w, keep = np.zeros(n), ridge * np.eye(n)
+def aims(n: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of words as toxic and as clean, from the numbers of clean and toxic texts that hold them, of so many in all.
+
+    A word in toxic sentences is toxic as far as chance doesn't explain its count there, and clean sentences don't have it as often.
+    """
+    share = n / total
+    foul = np.maximum(0, (n[:, 1] - CHANCE * np.sqrt(n[:, 1])) / total[1] - 2 * share[:, 0])
+    clean = np.where(n.sum(axis=1) > 0, share[:, 0] + 1 / total.sum(), 0)
+    return foul * 1000, clean * 1000
+
+
+def equations(phi: np.ndarray, foul: np.ndarray, clean: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """What these words add to the normal equations of a Newton step from `w` (last coefficient: intercept) on the squared hinge loss: left side, and right side as the last column."""
+    rows = np.hstack((phi.astype(np.float64), np.ones((len(phi), 1))))
+    decided = rows @ w
+    as_foul, as_clean = np.where(decided < 1, foul, 0), np.where(decided > -1, clean, 0)
+    weight = as_foul + as_clean
+    on = weight > 0
+    rows = rows[on]
+    return np.hstack(((rows * weight[on, None]).T @ rows, (rows.T @ (as_foul - as_clean)[on])[:, None]))
+
+
+def newton(sums: Callable[[list[np.ndarray]], list[np.ndarray]], n: int, models: int, ridge: float = RIDGE, rounds: int = 30) -> list[np.ndarray]:
+    """Linear SVMs by Newton steps; `sums` gives the normal equations of all words from the models' coefficients."""
+    keep = ridge * np.eye(n)
     keep[-1, -1] = 1e-6
+    ws = [np.zeros(n) for _ in range(models)]
     for _ in range(rounds):
-        left, right = keep.copy(), np.zeros(n)
-        for a in range(0, len(place), 8192):
-            part = np.hstack((x[place[a : a + 8192]].astype(np.float64), np.ones((len(place[a : a + 8192]), 1))))
-            sign = y[a : a + 8192]
-            on = sign * (part @ w) < 1
-            scaled = part[on] * weight[a : a + 8192][on, None]
-            left += scaled.T @ part[on]
-            right += scaled.T @ sign[on]
-        new = np.linalg.solve(left, right)
-        if np.allclose(new, w, atol=1e-6):
+        new = [np.linalg.solve(keep + both[:, :n], both[:, n]) for both in sums(ws)]
+        done = all(np.allclose(a, b, atol=1e-6) for a, b in zip(new, ws, strict=True))
+        ws = new
+        if done:
             break
-        w = new
-    return w
+    return ws
 
 
 @dataclass
@@ -225,6 +242,10 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(a * first + b * second + c, -30, 30))))
 
 
+#: Scores everything alike, below the threshold.
+UNFITTED = ToxicityModel(np.zeros(SLOTS, dtype=np.float32), FLOOR, (0.0, 0.0, -3.0))
+
+
 class Scorer:
     """Scores texts with a bounded cache of words."""
 
@@ -274,19 +295,25 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> ToxicityModel:
     Labels without a doc_id or a value teach nothing; of several labels of a doc_id the highest counts, and every row
     of `docs` that has the id is read. Ties in the hash go by doc_id, ties in word counts by the word.
 
-    Words are counted and texts scored on the executors; the driver receives at most WORDS words and
-    two numbers a document. The logistic function is fitted on scores of texts that the words' SVM
-    hasn't seen: each half of the sample is scored by a model of the other half. Without both classes the model scores everything alike, below the threshold.
+    Words are counted and mapped, and texts scored, on the executors; the driver receives the landmarks' candidates, the
+    normal equations of each task and two numbers a document. The logistic function is fitted on scores of texts that the words' SVM
+    hasn't seen: each half of the sample is scored by a model of the other half, over the same landmarks. Without both classes the model scores everything alike, below the threshold.
     """
     spark = docs.sparkSession
     by_doc = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & usable).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     picked = [r for y in (0, 1) for r in by_doc.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).collect()]
     if not picked:
-        return fit_texts([], [])
+        return UNFITTED
     chosen = spark.createDataFrame([(r["doc_id"], r["toxic"]) for r in picked], "doc_id long, toxic int")  # at most 2 * SAMPLE rows
     group = 2 * F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(2)).cast("int") + F.col("toxic")
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(group.alias("g"), "text")
     sample = staged(texts, "toxicity-sample")
+    sizes = np.zeros(4, dtype=np.int64)
+    for r in sample.groupBy("g").count().collect():
+        sizes[r["g"]] = r["count"]
+    totals = of_models(sizes, sizes)
+    if not totals[0].min():
+        return UNFITTED
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -296,14 +323,46 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> ToxicityModel:
                 yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), *(pa.array(x, pa.int64()) for x in n)], names=["word", "n0", "n1", "n2", "n3"])
 
     sums = [F.sum(f"n{g}").alias(f"n{g}") for g in range(4)]
-    counted = sample.mapInArrow(count, "word binary, n0 long, n1 long, n2 long, n3 long").groupBy("word").agg(*sums)
-    top = counted.orderBy((F.col("n0") + F.col("n1") + F.col("n2") + F.col("n3")).desc(), "word").limit(WORDS).collect()
-    sizes = np.zeros(4, dtype=np.int64)
-    for r in sample.groupBy("g").count().collect():
-        sizes[r["g"]] = r["count"]
-    model, halves = fit_halves([bytes(r["word"]) for r in top], np.array([[r[f"n{g}"] for r in top] for g in range(4)]).reshape(4, len(top)), sizes)
-    if halves is None:
-        return model
+    counted = staged(sample.mapInArrow(count, "word binary, n0 long, n1 long, n2 long, n3 long").groupBy("word").agg(*sums), "toxicity-words")
+    clean, foul = F.col("n0") + F.col("n2"), F.col("n1") + F.col("n3")
+    odds = F.log((foul + 0.5) / F.lit(float(totals[0][1] + 1))) - F.log((clean + 0.5) / F.lit(float(totals[0][0] + 1)))
+    known = counted.select("word", (clean + foul).alias("n"), odds.alias("odds"))
+    telling = known.filter("odds > 0.5").orderBy((F.col("odds") * F.sqrt("n")).desc(), F.col("n").desc(), "word").limit(3 * LANDMARKS).collect()
+    common = known.filter("odds < 0.5").orderBy(F.col("n").desc(), "word").limit(2 * LANDMARKS).collect()
+    marks = landmarks([bytes(r["word"]) for r in telling], [bytes(r["word"]) for r in common])
+    if not marks:
+        return UNFITTED
+    whiten = whitening(marks)
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, len(batch), BLOCK):
+                part = batch.slice(a, BLOCK)
+                phi = (kernel(part.column(0).to_pylist(), marks) @ whiten).astype("<f4")
+                yield pa.RecordBatch.from_arrays([pa.array([row.tobytes() for row in phi], pa.binary()), *part.columns[1:]], names=["phi", "n0", "n1", "n2", "n3"])
+
+    cores = spark.sparkContext.defaultParallelism
+    rows = staged(counted.repartition(cores, "word").mapInArrow(mapped, "phi binary, n0 long, n1 long, n2 long, n3 long"), "toxicity-map")
+    width = len(marks) + 1
+
+    def summed(ws: list[np.ndarray]) -> list[np.ndarray]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = [np.zeros((width, width + 1)) for _ in ws]
+            for batch in batches:
+                for a in range(0, len(batch), BLOCK):
+                    part = batch.slice(a, BLOCK)
+                    phi = np.frombuffer(b"".join(part.column(0).to_pylist()), "<f4").reshape(-1, width - 1)
+                    n = np.array([c.to_numpy(zero_copy_only=False) for c in part.columns[1:]])
+                    for both, own, total, w in zip(out, of_models(n, sizes), totals, ws, strict=True):
+                        both += equations(phi, *aims(own.T.astype(np.float64), total), w)
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(ws)), pa.int32()), pa.array([b.tobytes() for b in out], pa.binary())], names=["model", "sums"])
+
+        found = [np.zeros((width, width + 1)) for _ in ws]
+        for r in rows.mapInArrow(run, "model int, sums binary").collect():
+            found[r["model"]] += np.frombuffer(r["sums"]).reshape(width, width + 1)
+        return found
+
+    model, *halves = [folded(marks, whiten, w) for w in newton(summed, width, len(totals))]
     shared = spark.sparkContext.broadcast(halves)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,6 +378,15 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> ToxicityModel:
     return model
 
 
+def of_models(groups: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """(clean, toxic) numbers for the model of all texts, and for either half those of the other half; of all, where that has no text of a class.
+
+    groups: numbers by 2 * half + toxic, sizes: texts by the same.
+    """
+    both = groups[:2] + groups[2:]
+    return [both, *(groups[g : g + 2] if sizes[g : g + 2].min() else both for g in (2, 0))]
+
+
 def word_counts(texts: list[str], groups: list[int], n_groups: int) -> tuple[list[bytes], np.ndarray]:
     """Distinct cleaned words, and in how many texts of each group they stand."""
     place: dict[bytes, int] = {}
@@ -334,59 +402,53 @@ def word_counts(texts: list[str], groups: list[int], n_groups: int) -> tuple[lis
     return list(place), np.array([np.frombuffer(c, dtype=np.int32) for c in counts]).reshape(n_groups, len(place))
 
 
-def fit_halves(words: list[bytes], n: np.ndarray, size: np.ndarray) -> tuple[ToxicityModel, list[ToxicityModel] | None]:
-    """Model of all texts, and for either half a model of the other half; n: texts of each group 2 * half + toxic that hold the word."""
-    both = size[:2] + size[2:]
-    if not both.min():
-        return ToxicityModel(np.zeros(SLOTS, dtype=np.float32), FLOOR, (0.0, 0.0, -3.0)), None
-    model = fit_words(words, (n[:2] + n[2:]).T, both)
-    return model, [fit_words(words, n[g : g + 2].T, size[g : g + 2]) if size[g : g + 2].min() else model for g in (2, 0)]
-
-
 def fit_texts(texts: list[str], toxic: list[int]) -> ToxicityModel:
     """Fit on texts and their labels in this process, as `fit` does with tables."""
     groups = [2 * ((k // 2 + y) % 2) + y for k, y in enumerate(toxic)]
+    sizes = np.bincount(groups, minlength=4)
+    totals = of_models(sizes, sizes)
+    if not totals[0].min():
+        return UNFITTED
     words, n = word_counts(texts, groups, 4)
-    model, halves = fit_halves(words, n, np.bincount(groups, minlength=4))
-    if halves is not None:
-        scorers = [Scorer(m) for m in halves]
-        tops = [scorers[g // 2].tops([text])[0] for g, text in zip(groups, texts, strict=True)]
-        model.logistic = logistic(np.array(tops), np.array(toxic, dtype=np.float64))
+    by = sorted(range(len(words)), key=words.__getitem__)
+    words, n = [words[k] for k in by], n[:, by].astype(np.float64)
+    clean, foul = n[0] + n[2], n[1] + n[3]
+    odds = np.log((foul + 0.5) / (totals[0][1] + 1)) - np.log((clean + 0.5) / (totals[0][0] + 1))
+    rank = np.lexsort((-(clean + foul), -odds * np.sqrt(clean + foul)))
+    telling = [words[k] for k in rank if odds[k] > 0.5][: 3 * LANDMARKS]
+    common = [words[k] for k in np.argsort(-(clean + foul), kind="stable") if odds[k] < 0.5][: 2 * LANDMARKS]
+    marks = landmarks(telling, common)
+    if not marks:
+        return UNFITTED
+    whiten = whitening(marks)
+    phi = (kernel(words, marks) @ whiten).astype(np.float32)
+    weights = [aims(own.T, total) for own, total in zip(of_models(n, sizes), totals, strict=True)]
+    ws = newton(lambda ws: [equations(phi, *weight, w) for weight, w in zip(weights, ws, strict=True)], len(marks) + 1, len(totals))
+    model, *halves = [folded(marks, whiten, w) for w in ws]
+    scorers = [Scorer(m) for m in halves]
+    tops = [scorers[g // 2].tops([text])[0] for g, text in zip(groups, texts, strict=True)]
+    model.logistic = logistic(np.array(tops), np.array(toxic, dtype=np.float64))
     return model
 
 
-def fit_words(known: list[bytes], counts: np.ndarray, total: np.ndarray) -> ToxicityModel:
-    """The words' SVM, folded into feature weights; counts: texts of either class that hold the word, of so many in all."""
-    first = sorted(np.flatnonzero(counts.sum(axis=1)).tolist(), key=lambda k: (-int(counts[k].sum()), known[k]))[:WORDS]
-    words, n = [known[k] for k in first], counts[first].astype(np.float64)
-    odds = np.log((n[:, 1] + 0.5) / (total[1] + 1)) - np.log((n[:, 0] + 0.5) / (total[0] + 1))
-    # landmarks: the most telling words of toxic sentences, and frequent clean ones
-    pool = np.argsort(-odds * np.sqrt(n.sum(axis=1)), kind="stable")[: 3 * LANDMARKS]
-    pool = pool[odds[pool] > 0.5]
-    telling = [int(pool[k]) for k in unlike([words[k] for k in pool], LANDMARKS // 2)]
-    taken = set(telling)
-    common = [k for k in range(len(words)) if odds[k] < 0.5 and k not in taken][: 2 * LANDMARKS]
-    common = [common[k] for k in unlike([words[k] for k in common], LANDMARKS - len(telling))]
-    marks = [words[k] for k in [*telling, *common]]
+def landmarks(telling: list[bytes], common: list[bytes]) -> list[bytes]:
+    """Of the most telling words of toxic sentences and of frequent clean ones those that are unlike each other."""
+    own = [telling[k] for k in unlike(telling, LANDMARKS // 2)]
+    return own + [common[k] for k in unlike(common, LANDMARKS - len(own))]
+
+
+def whitening(marks: list[bytes]) -> np.ndarray:
     k_mm = kernel(marks, marks)
     value, vector = np.linalg.eigh((k_mm + k_mm.T) / 2)
-    whiten = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
-    phi = np.empty((len(words), len(marks)), dtype=np.float32)
-    for a in range(0, len(words), 4000):
-        phi[a : a + 4000] = kernel(words[a : a + 4000], marks) @ whiten
-    # a word in toxic sentences is toxic as far as chance doesn't explain its count there, and clean sentences don't have it as often
-    share = n / total
-    foul = np.maximum(0, (n[:, 1] - CHANCE * np.sqrt(n[:, 1])) / total[1] - 2 * share[:, 0])
-    clean = share[:, 0] + 1 / total.sum()
-    bad = np.flatnonzero(foul)
-    place = np.concatenate((bad, np.arange(len(words))))
-    y, weight = np.concatenate((np.ones(len(bad)), -np.ones(len(words)))), np.concatenate((foul[bad], clean))
-    w = squared_hinge(phi, place, y, weight * 1000, ridge=RIDGE)
-    beta = whiten @ w[:-1]
+    return vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
+
+
+def folded(marks: list[bytes], whiten: np.ndarray, w: np.ndarray) -> ToxicityModel:
+    """Coefficients of landmarks as weights of features."""
     table = np.zeros(SLOTS)
     symbols, starts, sizes = flat(marks)
     owner = np.searchsorted(starts, np.arange(len(symbols)), side="right") - 1
-    scale = beta / norms(sizes)
+    scale = (whiten @ w[:-1]) / norms(sizes)
     for at, codes, weight in features(symbols):
         np.add.at(table, codes, weight * scale[owner[at]])
     return ToxicityModel(table.astype(np.float32), float(w[-1]))
