@@ -6,6 +6,7 @@ each path rule has hits.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -628,6 +629,24 @@ def pack_parts(spark, sf_dir):
     return parts.read_parts(spark, out).groupBy("repo_id").agg(whole.alias("document")).select("repo_id", F.md5("document").alias("document_md5"), F.octet_length("document").cast("bigint").alias("n_bytes"))
 
 
+def workflow_both(spark, sf_dir):
+    """Files with both forms: nodes with links, and class types besides; a type that both name counts for either."""
+    k = F.get_json_object("props", "$.k")
+    body = F.concat(F.lit('{"nodes": [{"id": 1, "type": "'), F.col("event_type"), F.lit('"}, {"id": 2, "type": "VAEDecode"}], "links": [], "extra": {"9": {"class_type": "'), F.col("event_type"), F.lit('", "inputs": {"text": "a prompt '), k, F.lit('"}}}}'))
+    return table(spark, sf_dir, "events").select("event_id", workflow.manifest(body).alias("manifest"))
+
+
+def _words_and_signs():
+    """A counting function for the encoder's place: words, and each other sign that isn't white space."""
+    found = re.compile(r"[A-Za-z0-9]+|[^A-Za-z0-9\s]", re.A)
+    return lambda text: len(found.findall(text))
+
+
+def token_encoder(spark, sf_dir):
+    """Counts by an encoder that is passed in, with two profiles' factors."""
+    return ids(spark, sf_dir).select("doc_id", *[tokens.counted(F.col("text"), name, _words_and_signs).alias(name) for name in ("claude", "gemini")])
+
+
 NESTED = {
     "a.rs": ("pub struct D@ {\n    a: u8,\n}\n\npub fn f@(x: u8) -> u8 {\n    // a note\n    if x > @ {\n        for y in 0..x {\n            g(\"{}\", y);\n        }\n    } else {\n        h(|z| { z + 1 });\n    }\n    let s = \"TEXT\";\n    x\n}\n", "pub struct D@ {\n    a: u8,\n}\n\npub fn f@(x: u8) -> u8 { /* ... */ }\n"),
     "b.go": ("package p\n\nfunc F@(a int) int {\n\tif a > @ {\n\t\tfor {\n\t\t\tg()\n\t\t}\n\t}\n\ts := \"TEXT\"\n\treturn a\n}\n", "package p\n\nfunc F@(a int) int { /* ... */ }\n"),
@@ -657,7 +676,7 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     json_escape, format_tool_call, pack_document, pack_markdown, pack_tool_call, pack_budget, pack_budget_code, pack_empty, lock_gosum, lock_pnpm, lock_cargo, lock_npm, lock_npm_v1, lock_poetry, lock_yarn, lock_manifest, workflow_histogram, workflow_histogram_ui,
     workflow_settings, workflow_manifest, prompt_strip_filler, prompt_condense, prompt_shots, prompt_specs, prompt_compile, frame_sharpness, sharpest_frame, pgm_stream, outline_rust,
     outline_python, outline_generic, highlight_lines, fuzzy_filter, fuzzy_best, number_formats, size_literals, context_gauge, line_index, preview_text, tail_paths, binary_filter, stats_line, outlined_preview,
-    ignore_filter, selection_replay, line_ranges, pgm_chunks, utf8_gate, pack_locks, pack_parts, outline_nested,
+    ignore_filter, selection_replay, line_ranges, pgm_chunks, utf8_gate, pack_locks, pack_parts, outline_nested, workflow_both, token_encoder,
 ]
 
 

@@ -322,3 +322,7 @@ def nested(template: str) -> str:
 
 
 SQL["outline_nested"] = " UNION ALL ".join(f"SELECT doc_id, '{name}' AS path, md5({nested(left)}) AS outline_md5 FROM documents" for name, (_, left) in NESTED.items())
+SQL["workflow_both"] = """SELECT event_id, '# ComfyUI Workflow Manifest (3 nodes, 2 unique types)' || chr(10) || '## Nodes' || chr(10) || CASE WHEN event_type < 'VAEDecode' THEN '- ' || event_type || ' x2' || chr(10) || '- VAEDecode x1' ELSE '- VAEDecode x1' || chr(10) || '- ' || event_type || ' x2' END || chr(10)
+    || '## Prompts' || chr(10) || '- "a prompt ' || json_extract_string(props, '$.k') || '"' || chr(10) AS manifest FROM events"""
+SQL["token_encoder"] = """WITH c AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+|[^A-Za-z0-9\\s]')) AS n FROM documents)
+    SELECT doc_id, CAST(round(n * 1.08::DOUBLE) AS BIGINT) AS claude, CAST(round(n * 1.05::DOUBLE) AS BIGINT) AS gemini FROM c"""
