@@ -18,7 +18,7 @@ from ..functions import lines as text_lines
 from ..operators import budget, files, ignore_rules, parts, selection, selection_log, tree
 from ..operators import format as shape
 from ..schema import PROFILES, PackOptions
-from ..staging import SMALL, shared_dir, spread
+from ..staging import shared_dir, spread
 from . import pack as plan
 
 EXTENSIONS = [".rs", ".py", ".md", ".toml", ".json", ".svg", ".min.js", ".pem", ".go", ".txt", "_test.rs", ".png", ".yaml", ".ts", ".js.map", ".c", ".java", ".Dockerfile", ".spec.ts", ".SVG", "", ".tar.gz"]
@@ -572,14 +572,13 @@ def ignore_filter(spark, sf_dir):
 
 
 def selection_replay(spark, sf_dir):
-    """Each supplier is an entry in every repository's log: a toggle of a folder or of all, an inversion, some under a filter."""
+    """Each supplier is an entry in one repository's log: a toggle of a folder or of all, an inversion, some under a filter."""
     k = F.col("s_suppkey")
     node = F.when(k % 3 == 0, F.array(F.lit("en"))).when(k % 3 == 1, F.array(F.lit("de"))).otherwise(F.array(F.lit("tests")))
     action = F.when(k % 5 == 0, F.lit(selection_log.INVERT)).when(k % 7 == 0, F.lit(selection_log.TOGGLE_ALL)).otherwise(F.lit(selection_log.TOGGLE))
     own = _selected(spark, sf_dir).select("repo_id", "path", "path_parts", "selected")
-    log = table(spark, sf_dir, "supplier").select(k.alias("step"), action.alias("action"), node.alias("node"), F.when(k % 2 == 0, F.lit("rust")).alias("filter"))
-    every = own.select("repo_id").distinct().join(F.broadcast(log), F.lit(True)) if log.limit(SMALL + 1).count() <= SMALL else own.select("repo_id").distinct().join(log, F.lit(True))
-    return selection_log.replay(own, every, {"rust": F.endswith("path", F.lit(".rs"))}).select("repo_id", "path", "selected")
+    log = table(spark, sf_dir, "supplier").select(F.concat(F.lit("src"), (F.col("s_nationkey") % 4).cast("string")).alias("repo_id"), k.alias("step"), action.alias("action"), node.alias("node"), F.when(k % 2 == 0, F.lit("rust")).alias("filter"))
+    return selection_log.replay(own, log, {"rust": F.endswith("path", F.lit(".rs"))}).select("repo_id", "path", "selected")
 
 
 def line_ranges(spark, sf_dir):

@@ -297,12 +297,13 @@ SQL["ignore_filter"] = f"""{FILES}, nodes AS (SELECT source, path, parts[k] AS b
         WHEN inside AND starts_with(base, 'doc_2') THEN 1 WHEN inside AND base = 'main.rs' THEN 0 WHEN inside AND base LIKE '%.rs' THEN 1 WHEN inside AND is_folder AND base LIKE 'm%' THEN 1 ELSE 0 END AS gone FROM nodes)
     SELECT source AS repo_id, path FROM judged GROUP BY source, path HAVING max(gone) = 0"""
 SQL["selection_replay"] = f"""{FILES}, {SELECTED}, every AS (SELECT source, list(path ORDER BY path) AS ps, list(selected ORDER BY path) AS st FROM sel GROUP BY source),
-    entries AS (SELECT row_number() OVER (ORDER BY s_suppkey) AS k, CASE WHEN s_suppkey % 5 = 0 THEN 'invert' WHEN s_suppkey % 7 = 0 THEN 'all' ELSE 'toggle' END AS action, ['en', 'de', 'tests'][s_suppkey % 3 + 1] AS node, s_suppkey % 2 = 0 AS rust FROM supplier),
-    scoped AS (SELECT source, k, action, list_transform(ps, lambda p: (action <> 'toggle' OR starts_with(p, node || '/')) AND (NOT rust OR ends_with(p, '.rs'))) AS sc FROM every, entries),
+    entries AS (SELECT 'src' || s_nationkey % 4 AS source, row_number() OVER (PARTITION BY s_nationkey % 4 ORDER BY s_suppkey) AS k, CASE WHEN s_suppkey % 5 = 0 THEN 'invert' WHEN s_suppkey % 7 = 0 THEN 'all' ELSE 'toggle' END AS action, ['en', 'de', 'tests'][s_suppkey % 3 + 1] AS node, s_suppkey % 2 = 0 AS rust FROM supplier),
+    scoped AS (SELECT source, k, action, list_transform(ps, lambda p: (action <> 'toggle' OR starts_with(p, node || '/')) AND (NOT rust OR ends_with(p, '.rs'))) AS sc FROM every JOIN entries USING (source)),
     run AS (SELECT source, 0 AS k, st FROM every UNION ALL
         SELECT r.source, s.k, CASE WHEN s.action = 'invert' THEN list_transform(range(1, len(st) + 1), lambda i: st[i] <> sc[i])
-            ELSE list_transform(range(1, len(st) + 1), lambda i: CASE WHEN sc[i] THEN len(list_filter(range(1, len(st) + 1), lambda j: sc[j] AND NOT st[j])) > 0 ELSE st[i] END) END FROM run r JOIN scoped s ON s.source = r.source AND s.k = r.k + 1)
-    SELECT source AS repo_id, unnest(ps) AS path, unnest(st) AS selected FROM run JOIN every e USING (source) WHERE k = (SELECT count(*) FROM entries)""".replace("unnest(st) AS", "unnest(run.st) AS")
+            ELSE list_transform(range(1, len(st) + 1), lambda i: CASE WHEN sc[i] THEN len(list_filter(range(1, len(st) + 1), lambda j: sc[j] AND NOT st[j])) > 0 ELSE st[i] END) END FROM run r JOIN scoped s ON s.source = r.source AND s.k = r.k + 1),
+    last AS (SELECT source, arg_max(st, k) AS st FROM run GROUP BY source)
+    SELECT source AS repo_id, unnest(ps) AS path, unnest(l.st) AS selected FROM last l JOIN every e USING (source)"""
 SQL["line_ranges"] = """WITH c AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)
     SELECT doc_id, CASE WHEN text = '' THEN 0 WHEN ls[-1] = '' THEN len(ls) - 1 ELSE len(ls) END AS n_lines, md5(array_to_string(ls[2:4], chr(10)) || CASE WHEN len(ls) > 4 THEN chr(10) ELSE '' END) AS lines_md5 FROM c"""
 SQL["pgm_chunks"] = SQL["pgm_stream"]
