@@ -33,6 +33,8 @@ from .scratch import spread, staged
 #: Labelled documents of each class that are read for fitting, lowest hash of doc_id first; each is read whole.
 SAMPLE = 3000
 LANDMARKS = 320
+#: Tasks that sum up normal equations; the driver gets three times LANDMARKS squared numbers of each.
+SUMS = 32
 #: Words that are mapped at a time.
 BLOCK = 2000
 #: Landmarks are less alike than this (cosine of their kernel).
@@ -342,7 +344,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> ToxicityModel:
                 yield pa.RecordBatch.from_arrays([pa.array([row.tobytes() for row in phi], pa.binary()), *part.columns[1:]], names=["phi", "n0", "n1", "n2", "n3"])
 
     cores = spark.sparkContext.defaultParallelism
-    rows = staged(counted.repartition(cores, "word").mapInArrow(mapped, "phi binary, n0 long, n1 long, n2 long, n3 long"), "toxicity-map")
+    # each task sends its sums to the driver, so there are at most SUMS of them however finely the table is split
+    rows = staged(counted.repartition(cores, "word").mapInArrow(mapped, "phi binary, n0 long, n1 long, n2 long, n3 long"), "toxicity-map").coalesce(min(cores, SUMS))
     width = len(marks) + 1
 
     def summed(ws: list[np.ndarray]) -> list[np.ndarray]:
