@@ -52,6 +52,8 @@ def test_listing_of_many_roots(spark, nested):
     roots = spark.createDataFrame([("a", str(nested / "sub")), ("b", str(nested / "m")), ("c", str(nested / "none")), ("f", str(nested / "sub/x.py"))], "repo_id string, root string")
     got = sorted((r["repo_id"], r["path"]) for r in list_trees(roots).collect())
     assert got == [("a", "deep/y.own"), ("a", "keep.log"), ("a", "x.py"), ("b", "n/o/p/q/r.rs"), ("b", "n/s.rs"), ("f", "x.py")]
+    for most in (1, 2, 3):  # however few folders a round scans
+        assert sorted((r["repo_id"], r["path"]) for r in list_trees(roots, most=most).collect()) == got
     with pytest.raises(ValueError, match="no such source tree"):
         list_tree(spark, str(nested / "none"))
 

@@ -1,7 +1,7 @@
-"""Listing source trees on the executors: a frontier of folders, expanded level by level.
+"""Listing source trees on the executors: a frontier of folders, expanded round by round.
 
-Each folder of a level is a row that carries the ignore rules in force; a task scans it and emits its
-files and its sub-folders, these with the rules that they inherit. A level is stored, its folders are
+Each folder of the frontier is a row that carries the ignore rules in force; a task scans it and a bounded number of
+folders below, and emits the files and the folders that are left, these with the rules that they inherit. A round is stored, its folders are
 dealt anew over all cores for the next one, and the driver only learns whether there are any. So
 neither a list of files nor one of folders ever stands on the driver, and a lost executor costs the
 folders it was scanning. Contents are read afterwards, for the rows that filters on path, size and a
@@ -11,6 +11,7 @@ change set have left.
 from __future__ import annotations
 
 import os
+from collections import deque
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from ..staging import staged
 from .ignore import EXCLUDE, GIT, OWN, PLAIN, USER, Rule, Rules
 
+#: Folders that are scanned for one of the frontier before the rest is dealt out anew.
+FOLDERS = 256
 META = "repo_id string, path string, path_parts array<string>, abs_path string, size_bytes bigint"
 RULE = pa.struct([("kind", pa.int32()), ("folder", pa.string()), ("regex", pa.string()), ("negated", pa.bool_()), ("folders", pa.bool_())])
 ENTRY = pa.schema([("repo_id", pa.string()), ("root", pa.string()), ("top", pa.string()), ("base", pa.string()), ("folder", pa.string()), ("depth", pa.int32()), ("size", pa.int64()), ("rules", pa.list_(RULE))])
@@ -118,8 +121,8 @@ def _entries(rows: Iterable[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ENTRY, strict=True)], schema=ENTRY)
 
 
-def _level(frontier: DataFrame, options: Walk) -> DataFrame:
-    """ENTRY rows of one level: folders have rules, files a size. The frontier's roots come as rows without a depth."""
+def _level(frontier: DataFrame, options: Walk, most: int) -> DataFrame:
+    """ENTRY rows of one round: files have a size, folders that are left have rules. The frontier's roots come as rows without a depth."""
 
     def scanned(batch: pa.RecordBatch) -> Iterator[tuple]:
         for row in batch.to_pylist():
@@ -133,11 +136,18 @@ def _level(frontier: DataFrame, options: Walk) -> DataFrame:
                 folder = start(row["root"], options)
             else:
                 folder = Folder(row["root"], row["top"], row["base"], row["folder"], row["depth"], Rules(tuple(Rule(**r) for r in row["rules"])))
-            for found in expand(folder, options):
-                if isinstance(found, Folder):
-                    yield row["repo_id"], folder.root, folder.top, folder.base, found.path, found.depth, None, [r._asdict() for r in found.rules.rules]
-                else:
-                    yield row["repo_id"], folder.root, folder.top, folder.base, found[0], folder.depth + 1, found[1], None
+            todo = deque([folder])
+            for _ in range(most):
+                if not todo:
+                    break
+                own = todo.popleft()
+                for found in expand(own, options):
+                    if isinstance(found, Folder):
+                        todo.append(found)
+                    else:
+                        yield row["repo_id"], own.root, own.top, own.base, found[0], own.depth + 1, found[1], None
+            for left in todo:
+                yield row["repo_id"], left.root, left.top, left.base, left.path, left.depth, None, [r._asdict() for r in left.rules.rules]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -152,10 +162,11 @@ def _level(frontier: DataFrame, options: Walk) -> DataFrame:
     return frontier.mapInArrow(run, ENTRY_DDL)
 
 
-def list_trees(roots: DataFrame, options: Walk | None = None) -> DataFrame:
+def list_trees(roots: DataFrame, options: Walk | None = None, most: int = FOLDERS) -> DataFrame:
     """META rows of all regular files below the roots, of (repo_id, root): folders or single files on storage that all executors mount.
 
-    A root that doesn't exist gives no row; ignored folders are never entered. One job a level.
+    A root that doesn't exist gives no row; ignored folders are never entered. In each round every folder of the frontier is scanned
+    with up to `most` - 1 folders below it, breadth first, so a small tree takes one round.
     """
     options = options or Walk()
     cores = roots.sparkSession.sparkContext.defaultParallelism
@@ -163,7 +174,7 @@ def list_trees(roots: DataFrame, options: Walk | None = None) -> DataFrame:
     frontier = roots.select("repo_id", "root", *blank, F.lit(None).cast(ENTRY_DDL.rsplit(" ", 1)[1]).alias("rules"))
     levels: list[DataFrame] = []
     while True:
-        level = staged(_level(frontier.repartition(cores), options), "tree-level")
+        level = staged(_level(frontier.repartition(cores), options, most), "tree-level")
         levels.append(level.filter("size IS NOT NULL"))
         frontier = level.filter("size IS NULL")
         if frontier.isEmpty():
