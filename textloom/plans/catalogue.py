@@ -18,7 +18,7 @@ from ..functions import lines as text_lines
 from ..operators import budget, files, ignore_rules, parts, selection, selection_log, tree
 from ..operators import format as shape
 from ..schema import PROFILES, PackOptions
-from ..staging import shared_dir, spread
+from ..staging import dealt, shared_dir, spread
 from . import pack as plan
 
 EXTENSIONS = [".rs", ".py", ".md", ".toml", ".json", ".svg", ".min.js", ".pem", ".go", ".txt", "_test.rs", ".png", ".yaml", ".ts", ".js.map", ".c", ".java", ".Dockerfile", ".spec.ts", ".SVG", "", ".tar.gz"]
@@ -320,7 +320,7 @@ def _deps(rows: DataFrame, name: str, content: Column) -> DataFrame:
 
 def _part(spark, sf_dir) -> tuple[DataFrame, Column, Column]:
     k = F.col("p_partkey").cast("string")
-    return table(spark, sf_dir, "part"), k, F.col("p_size").cast("string")
+    return dealt(table(spark, sf_dir, "part").select("p_partkey", "p_size")), k, F.col("p_size").cast("string")
 
 
 def lock_gosum(spark, sf_dir):
@@ -477,8 +477,13 @@ def _code(template: str) -> Column:
     return F.regexp_replace(F.lit(template.replace("{{", "{").replace("}}", "}").replace("{n}", "NUMBER")), F.lit("NUMBER"), F.col("p_partkey").cast("string"))
 
 
+def _part_keys(spark, sf_dir) -> DataFrame:
+    """A source is made of each key, so the keys are dealt to all cores."""
+    return dealt(table(spark, sf_dir, "part").select("p_partkey"))
+
+
 def _outline(spark, sf_dir, template: str, name: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", outline.outline(_code(template), F.lit(name)).alias("outline"))
+    return _part_keys(spark, sf_dir).select("p_partkey", outline.outline(_code(template), F.lit(name)).alias("outline"))
 
 
 def outline_rust(spark, sf_dir):
@@ -493,11 +498,11 @@ def outline_generic(spark, sf_dir):
     """A source of each brace language in turn."""
     k = F.col("p_partkey")
     source = F.get(F.array(*[_code(t) for t in BRACED.values()]), (k % len(BRACED)).cast("int"))
-    return table(spark, sf_dir, "part").select("p_partkey", outline.outline(source, F.concat(F.lit("a/main."), pick(list(BRACED), k))).alias("outline"))
+    return _part_keys(spark, sf_dir).select("p_partkey", outline.outline(source, F.concat(F.lit("a/main."), pick(list(BRACED), k))).alias("outline"))
 
 
 def highlight_lines(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(text.lines(_code(RUST))).alias("pos", "line"))
+    rows = _part_keys(spark, sf_dir).select("p_partkey", F.posexplode(text.lines(_code(RUST))).alias("pos", "line"))
     return rows.select("p_partkey", F.col("pos").cast("bigint").alias("pos"), F.array_join(F.transform(highlight.highlight("line", F.lit("rust")), lambda s: F.concat(s["kind"], F.lit(":"), s["text"])), "|").alias("spans"))
 
 

@@ -80,6 +80,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Narrow rows, each of which makes much work, dealt over all cores whatever their scan looks like.
+
+    A row group is read by one task. Millions of keys fit into one, and of the splits that Spark makes of its file all others are empty,
+    so that the number of splits says nothing. The rows should hold the few columns that are needed, for all of them are moved.
+    """
+    return df if df.isStreaming else df.repartition(3 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def held() -> frozenset[str]:
     """What this process has written here and not deleted."""
     return frozenset(_made)
