@@ -7,6 +7,7 @@ since its output repeats per shot with state that reads worse as nested expressi
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -59,6 +60,12 @@ BREAKS = r"[\n;]|\.(?=\s|\z)"
 BLANK = r"(?U)^\s+|(?<!\s)\s+$"
 DOTS = r"(?<!\.)\.+$"
 SIGN = r"[^\p{Alnum}\p{L}\p{N}]"
+STOP = rf"(?i)^{SIGN}*+(?:{'|'.join(STOP_WORDS)}){SIGN}*+$"
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is evaluated once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _trim(s: Column) -> Column:
@@ -72,7 +79,7 @@ def strip_fillers(text: Column) -> Column:
 
 def condense(shot: Column) -> Column:
     """Without stop words (punctuation around them ignored); white space becomes single spaces."""
-    words = F.filter(F.split(_trim(shot), r"(?U)\s+"), lambda w: ~F.translate(F.regexp_replace(w, rf"^{SIGN}+|(?<!{SIGN}){SIGN}+$", ""), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").isin(*STOP_WORDS))
+    words = F.filter(F.split(_trim(shot), r"(?U)\s+"), lambda w: ~F.regexp_like(w, F.lit(STOP)))
     return F.array_join(words, " ")
 
 
@@ -80,29 +87,51 @@ def shots(cleaned: Column) -> Column:
     """Array of shots: cut at line feeds, semicolons, sentence ends and explicit markers, never inside decimals."""
     cut = F.split(F.regexp_replace(cleaned, MARKERS, "\n"), BREAKS, -1)
     bare = F.filter(F.transform(cut, lambda s: _trim(F.regexp_replace(_trim(s), DOTS, ""))), lambda s: s != "")
-    return F.when(cleaned == "", F.array(F.lit("cinematic establishing shot"))).when(F.size(bare) == 0, F.array(cleaned)).otherwise(bare)
+    return F.when(cleaned == "", F.array(F.lit("cinematic establishing shot"))).otherwise(_let(bare, lambda b: F.when(F.size(b) == 0, F.array(cleaned)).otherwise(b)))
 
 
 def _bounded(spec: str) -> str:
     return rf"(?<![A-Za-z0-9]){re.escape(spec)}(?![A-Za-z0-9])"
 
 
+def _inside(spec: str, known: list[str]) -> list[str]:
+    """The known details that a detail contains on word boundaries, itself included."""
+    return [k for k in known if re.search(_bounded(k), spec)]
+
+
+def _looked_up(found: Column, table: dict[str, list[str]]) -> Column:
+    cells = [x for k, values in table.items() for x in (F.lit(k), F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>"))]
+    return F.flatten(F.transform(found, lambda k: F.element_at(F.create_map(*cells), k)))
+
+
+def _found(text: Column, known: list[str]) -> Column:
+    """Known details that the text names on word boundaries, by one scan: at each start of a word the longest, which stands for those it contains."""
+    any_of = "|".join(re.escape(k) for k in sorted(known, key=len, reverse=True))
+    found = F.regexp_extract_all(text, F.lit(rf"(?i)(?<![A-Za-z0-9])(?=({any_of})(?![A-Za-z0-9]))"), F.lit(1))
+    return F.array_distinct(F.transform(found, F.lower))
+
+
+def _listed(known: list[str], test: Callable[[Column], Column]) -> Column:
+    """Those that pass, in list order, as text; null if none does."""
+    return _let(F.filter(F.array(*[F.lit(k) for k in known]), test), lambda kept: F.when(F.size(kept) > 0, F.array_join(kept, ", ")))
+
+
 def specs(text: Column, known: list[str]) -> Column:
     """Known details that the text names on word boundaries, longest first; one that a found one contains is left out."""
-    low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    covers = {spec: [other for other in known[:k] if re.search(_bounded(spec), other)] for k, spec in enumerate(known)}
-    named = F.array(*[F.when(F.regexp_like(low, F.lit(_bounded(s))), F.lit(s)) for s in known])
-    pairs = F.filter(named, lambda s: s.isNotNull())
-    # of those named, drop the ones contained in another that is named
-    inside = F.create_map(*[x for s, others in covers.items() for x in (F.lit(s), F.array(*[F.lit(o) for o in others]) if others else F.array().cast("array<string>"))])
-    kept = F.filter(pairs, lambda s: ~F.arrays_overlap(F.element_at(inside, s), pairs))
-    return F.when(F.size(kept) > 0, F.array_join(kept, ", "))
+    named = {k: _inside(k, known) for k in known}
+    hidden = {k: list(dict.fromkeys(x for o in named[k] for x in named[o] if known.index(x) > known.index(o))) for k in known}
+
+    def kept(found: Column) -> Column:
+        both = F.struct(_looked_up(found, named).alias("named"), _looked_up(found, hidden).alias("hidden"))
+        return F.when(F.size(found) > 0, _let(both, lambda b: _listed(known, lambda k: F.array_contains(b["named"], k) & ~F.array_contains(b["hidden"], k))))
+
+    return _let(_found(text, known), kept)
 
 
 def subject(all_shots: Column) -> Column:
     """The first two clauses of the first shot."""
     clauses = F.filter(F.transform(F.slice(F.split(condense(F.get(all_shots, F.lit(0))), "[,;]", -1), 1, 2), _trim), lambda c: c != "")
-    return F.when(F.size(clauses) == 0, "primary subject").otherwise(F.array_join(clauses, ", "))
+    return _let(clauses, lambda found: F.when(F.size(found) == 0, "primary subject").otherwise(F.array_join(found, ", ")))
 
 
 def seen(text: str, known: list[str]) -> list[str]:

@@ -403,7 +403,7 @@ def _asks(spark, sf_dir) -> DataFrame:
     head = pick(["Please generate a video of ", "I want to see: show me a video of ", "Create a video where - ", ""], t + F.col("conv_id"))
     mid = pick([" very slowly, shot on 85mm Cooke at golden hour. Then it is just really quite calm; neon lighting", "\nShot 2: a drone wide angle view, f/1.4 bokeh", " cut to a cooked studio meal", ""], t)
     end = pick([", please.", " thank you.", "."], F.col("conv_id"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(head, F.coalesce("text", F.lit("")), mid, end).alias("ask"))
+    return spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")).select("conv_id", "turn", F.concat(head, F.coalesce("text", F.lit("")), mid, end).alias("ask"))
 
 
 def _stripped(asks: DataFrame) -> DataFrame:
@@ -436,7 +436,7 @@ def prompt_specs(spark, sf_dir):
 
 
 def prompt_compile(spark, sf_dir):
-    return spread(_asks(spark, sf_dir)).select("conv_id", "turn", prompts.compiled(F.col("ask"), F.lit(5), F.lit("anchor.png")).alias("compiled"))
+    return _asks(spark, sf_dir).select("conv_id", "turn", prompts.compiled(F.col("ask"), F.lit(5), F.lit("anchor.png")).alias("compiled"))
 
 
 def _frames(spark, sf_dir) -> DataFrame:
