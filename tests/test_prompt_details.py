@@ -47,3 +47,35 @@ def test_turns_of_one_row_group_are_dealt_over_the_cores(spark, tmp_path):
     spark.createDataFrame([(k, 0, "user", f"{k} a 50mm lens") for k in range(400)], "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
     for name in ("prompt_specs", "prompt_condense", "prompt_shots", "prompt_strip_filler"):
         assert catalogue.queries()[name](spark, str(tmp_path)).select(F.spark_partition_id()).distinct().count() >= spark.sparkContext.defaultParallelism
+
+
+def assemble(info, seconds, anchor):
+    who, lens, light = info["subject"], locked(info["clean"], prompts.LENS), locked(info["clean"], prompts.LIGHTING)
+    brief = ["# 1. Prompt-Writer Brief (XML for LLM planning)", "<video_brief>", "  <character_lock>", f"    subject: {who}"]
+    brief += [f"    {name}: {value}" for name, value in (("lens", lens), ("lighting", light)) if value is not None]
+    brief.append("  </character_lock>")
+    identity = ", ".join([who, *(v for v in (lens, light) if v is not None and v.lower() not in who.lower())])
+    paste = ["", "# 2. Paste-Ready Video Model Prompts (No XML tags — repeat identity per clip)"]
+    for n, shot in enumerate(info["shots"], 1):
+        cam = ", ".join(seen(shot, prompts.CAMERA_OR_LENS)) or lens
+        brief.append(f'  <shot index="{n}"' + (f' duration="{seconds}s">' if seconds is not None else ">"))
+        brief += [f"    [Camera: {cam}]"] if cam is not None else []
+        brief += [f"    [Motion: {shot or 'natural subject motion'}]", f"    [Continuity: anchor={(anchor or 'initial_keyframe') if n == 1 else 'sharpest_tail_frame'}, lock=character_lock]", "  </shot>"]
+        tail = shot[len(who) :].lstrip(" \t\n\r\f\v,;") if shot.startswith(who) else shot
+        paste.append(f"Shot {n}: {identity}" + (f", {tail}" if tail else "") + (f" ({seconds}s)" if seconds is not None else "") + (f" [Conditioning Image: {anchor}]" if anchor is not None else ""))
+    return "\n".join([*brief, "</video_brief>", *paste]).rstrip()
+
+
+def test_compiled_equals_the_plain_version(spark):
+    rows = [(t, s, a) for k, t in enumerate(texts()) for s, a in [((None, 5)[k % 2], (None, "", "k.png")[k % 3])]]
+    clean = prompts.strip_fillers(F.col("t"))
+    df = spark.createDataFrame(rows, "t string, seconds int, anchor string").withColumn("clean", clean).withColumn("cut", prompts.shots(F.col("clean")))
+    parts = df.select("t", "seconds", "anchor", "clean", prompts.subject(F.col("cut")).alias("subject"), F.transform("cut", prompts.condense).alias("shots"), prompts.compiled(F.col("t"), F.col("seconds"), F.col("anchor")).alias("got"), prompts.compiled(F.col("t")).alias("bare"))
+    for r in parts.collect():
+        assert r["got"] == (None if r["t"] is None else assemble(r, r["seconds"], r["anchor"])), r["t"]
+        assert r["bare"] == (None if r["t"] is None else assemble(r, None, None)), r["t"]
+
+
+def test_compiling_keeps_no_batches_in_python(spark, sf_dir):
+    plan = catalogue.queries()["prompt_compile"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "conversations" in plan and "Python" not in plan

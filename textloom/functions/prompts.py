@@ -1,7 +1,7 @@
 """Clean-up of prompts for video models: fillers, shots, locked details, per-shot directives.
 
-The parts are column expressions. `compile_prompt` puts them together as text in an Arrow function,
-since its output repeats per shot with state that reads worse as nested expressions.
+All are column expressions. What a later step needs more than once is bound by `_let`: Spark evaluates
+an argument of a higher-order function anew for each place it stands in.
 """
 
 from __future__ import annotations
@@ -9,10 +9,8 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Fixed phrases.
 FILLERS = """please generate a video of
@@ -49,7 +47,8 @@ LIGHTING = (
 
 #: A shot's camera words, in this order.
 CAMERA_OR_LENS = list(dict.fromkeys([*CAMERA, *LENS]))
-ASCII_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+#: What ends no prompt: white space, the four separators among the controls too.
+WHITE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 # Possessive groups run as loops: however often a phrase is repeated, the matcher's stack doesn't grow. The first phrase in list order counts.
 FILLER = r"(?i)^(?:(?:" + "|".join(FILLERS) + r")[\p{IsWhite_Space},:-]*+)++"
@@ -128,53 +127,56 @@ def specs(text: Column, known: list[str]) -> Column:
     return _let(_found(text, known), kept)
 
 
+def seen(text: Column, known: list[str]) -> Column:
+    """As `specs`, with those that a found one contains."""
+    named = {k: _inside(k, known) for k in known}
+    return _let(_found(text, known), lambda found: F.when(F.size(found) > 0, _let(_looked_up(found, named), lambda n: _listed(known, lambda k: F.array_contains(n, k)))))
+
+
 def subject(all_shots: Column) -> Column:
     """The first two clauses of the first shot."""
     clauses = F.filter(F.transform(F.slice(F.split(condense(F.get(all_shots, F.lit(0))), "[,;]", -1), 1, 2), _trim), lambda c: c != "")
     return _let(clauses, lambda found: F.when(F.size(found) == 0, "primary subject").otherwise(F.array_join(found, ", ")))
 
 
-def seen(text: str, known: list[str]) -> list[str]:
-    """Known details that the text names on word boundaries, in list order."""
-    low = text.translate(ASCII_LOWER)
-    return [k for k in known if k in low and re.search(_bounded(k), low)]
+def compiled(text: Column, seconds: Column | None = None, anchor: Column | None = None) -> Column:
+    """The two-section prompt: an XML brief to plan by, and tag-free prompts that repeat the subject in each."""
+    seconds = (F.lit(None) if seconds is None else seconds).cast("bigint").cast("string")
+    anchor = (F.lit(None) if anchor is None else anchor).cast("string")
 
+    def details(clean: Column) -> Column:
+        return F.struct(shots(clean).alias("cut"), specs(clean, LENS).alias("lens"), specs(clean, LIGHTING).alias("light"))
 
-def locked(text: str, known: list[str]) -> str | None:
-    """As `specs`, of one text: a detail that a found one contains is left out."""
-    found = seen(text, known)
-    return ", ".join(k for n, k in enumerate(found) if not any(re.search(_bounded(k), o) for o in found[:n])) or None
+    def info(d: Column) -> Column:
+        return F.struct(subject(d["cut"]).alias("subject"), F.transform(d["cut"], condense).alias("shots"), d["lens"].alias("lens"), d["light"].alias("light"))
 
+    return F.when(text.isNotNull(), _let(_let(_let(strip_fillers(text), details), info), lambda i: _assembled(i, seconds, anchor)))
 
-def compiled(text: Column, seconds: Column | None = None, anchor: Column | None = None) -> Column:
-    """The two-section prompt: an XML brief to plan by, and tag-free prompts that repeat the subject in each."""
-    clean = strip_fillers(text)
-    cut = shots(clean)
-    info = F.struct(clean.alias("clean"), subject(cut).alias("subject"), F.transform(cut, condense).alias("shots"))
-    return _assemble(info, F.lit(None).cast("int") if seconds is None else seconds, F.lit(None).cast("string") if anchor is None else anchor)
-
-
-def assemble(info: dict, seconds: int | None, anchor: str | None) -> str:
-    who, lens, light = info["subject"], locked(info["clean"], LENS), locked(info["clean"], LIGHTING)
-    brief = ["# 1. Prompt-Writer Brief (XML for LLM planning)", "<video_brief>", "  <character_lock>", f"    subject: {who}"]
-    brief += [f"    {name}: {value}" for name, value in (("lens", lens), ("lighting", light)) if value is not None]
-    brief.append("  </character_lock>")
-    identity = ", ".join([who, *(v for v in (lens, light) if v is not None and v.lower() not in who.lower())])
-    paste = ["", "# 2. Paste-Ready Video Model Prompts (No XML tags — repeat identity per clip)"]
-    for n, shot in enumerate(info["shots"], 1):
-        cam = ", ".join(seen(shot, CAMERA_OR_LENS)) or lens
-        first = anchor or "initial_keyframe"
-        brief.append(f'  <shot index="{n}"' + (f' duration="{seconds}s">' if seconds is not None else ">"))
-        brief += [f"    [Camera: {cam}]"] if cam is not None else []
-        brief += [f"    [Motion: {shot or 'natural subject motion'}]", f"    [Continuity: anchor={first if n == 1 else 'sharpest_tail_frame'}, lock=character_lock]", "  </shot>"]
-        tail = shot[len(who) :].lstrip(" \t\n\r\f\v,;") if shot.startswith(who) else shot
-        paste.append(f"Shot {n}: {identity}" + (f", {tail}" if tail else "") + (f" ({seconds}s)" if seconds is not None else "") + (f" [Conditioning Image: {anchor}]" if anchor is not None else ""))
-    return "\n".join([*brief, "</video_brief>", *paste]).rstrip()
-
-
-@F.pandas_udf(T.StringType())
-def _assemble(info: pd.DataFrame, seconds: pd.Series, anchor: pd.Series) -> pd.Series:
-    rows = []
-    for i, s, a in zip(info.to_dict("records"), seconds, anchor, strict=True):
-        rows.append(None if i["subject"] is None else assemble(i, None if pd.isna(s) else int(s), None if pd.isna(a) else a))
-    return pd.Series(rows, dtype="object")
+
+def _some(*parts: str | Column) -> Column:
+    """The parts joined; nothing if one of them is null."""
+    return F.coalesce(F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]), F.lit(""))
+
+
+def _assembled(info: Column, seconds: Column, anchor: Column) -> Column:
+    who, lens, light = info["subject"], info["lens"], info["light"]
+    extra = [F.when(~F.contains(F.lower(who), v), F.concat(F.lit(", "), v)) for v in (lens, light)]
+    identity = F.concat(who, *[F.coalesce(v, F.lit("")) for v in extra])
+
+    def brief(shot: Column, k: Column) -> Column:
+        first = F.when(anchor != "", anchor).otherwise("initial_keyframe")
+        return F.concat(
+            F.lit('  <shot index="'), (k + 1).cast("string"), F.lit('"'), _some(' duration="', seconds, 's"'), F.lit(">\n"), _some("    [Camera: ", F.coalesce(seen(shot, CAMERA_OR_LENS), lens), "]\n"),
+            F.lit("    [Motion: "), F.when(shot == "", "natural subject motion").otherwise(shot), F.lit("]\n    [Continuity: anchor="), F.when(k == 0, first).otherwise("sharpest_tail_frame"), F.lit(", lock=character_lock]\n  </shot>\n"),
+        )
+
+    def paste(shot: Column, k: Column, same: Column) -> Column:
+        tail = F.when(F.startswith(shot, who), F.ltrim(F.substring(shot, F.length(who) + 1, F.length(shot)), F.lit(" \t\n\r\f\v,;"))).otherwise(shot)
+        return F.concat(F.lit("Shot "), (k + 1).cast("string"), F.lit(": "), same, _let(tail, lambda t: F.when(t != "", F.concat(F.lit(", "), t)).otherwise("")), _some(" (", seconds, "s)"), _some(" [Conditioning Image: ", anchor, "]"))
+
+    text = F.concat(
+        F.lit("# 1. Prompt-Writer Brief (XML for LLM planning)\n<video_brief>\n  <character_lock>\n    subject: "), who, _some("\n    lens: ", lens), _some("\n    lighting: ", light), F.lit("\n  </character_lock>\n"),
+        F.array_join(F.transform(info["shots"], brief), ""), F.lit("</video_brief>\n\n# 2. Paste-Ready Video Model Prompts (No XML tags — repeat identity per clip)\n"),
+        _let(identity, lambda same: F.array_join(F.transform(info["shots"], lambda s, k: paste(s, k, same)), "\n")),
+    )
+    return F.rtrim(text, F.lit(WHITE))
